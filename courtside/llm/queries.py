@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from courtside.llm import linedup, mixing, packing, quality, simhash
+from courtside.llm import hnsw, lattice, linedup, mixing, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_report(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -38,8 +47,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_mixing": op2_mixing,
+        "op3_hnsw": op3_hnsw,
         "op5_line_runs": op5_line_runs,
         "op8_quality": op8_quality,
+        "op9_lattice": op9_lattice,
         "op10_simhash": op10_simhash,
         "pipeline": corpus_pipeline.run,
     }
@@ -49,4 +60,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing.SQL,
         "op5_line_runs": linedup.SQL,
+        "op9_lattice": lattice.SQL,
     }
