@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from courtside.llm import hnsw, lattice, linedup, mixing, packing, quality, simhash
+from courtside.llm import hnsw, lattice, linedup, mixing, packing, quality, simhash, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,20 @@ def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(_table(spark, sf_dir, "pages"), spark.createDataFrame(urls.RULES, urls.RULE_SCHEMA))
+
+
 def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the box's tokenizer files; their path is a parameter of the operator
+
+    return tokens.cached(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -48,7 +58,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_mixing": op2_mixing,
         "op3_hnsw": op3_hnsw,
+        "op4_urls": op4_urls,
         "op5_line_runs": op5_line_runs,
+        "op7_tokens": op7_tokens,
         "op8_quality": op8_quality,
         "op9_lattice": op9_lattice,
         "op10_simhash": op10_simhash,
@@ -59,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing.SQL,
+        "op4_urls": urls.SQL,
         "op5_line_runs": linedup.SQL,
         "op9_lattice": lattice.SQL,
     }
