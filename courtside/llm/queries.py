@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from courtside.llm import hnsw, lattice, linedup, mixing, packing, quality, simhash, tokens, urls
+from courtside.llm import hnsw, lattice, linedup, mixing, packing, quality, simhash, tokens, urls, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # the box's tokenizer files; their path is a parameter of the operator
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_hnsw": op3_hnsw,
         "op4_urls": op4_urls,
         "op5_line_runs": op5_line_runs,
+        "op6_wrappers": op6_wrappers,
         "op7_tokens": op7_tokens,
         "op8_quality": op8_quality,
         "op9_lattice": op9_lattice,
