@@ -55,7 +55,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     seq = flat.select((F.col("base") + F.col("i")).alias("pos"), "base", F.col("line.w").cast("long").alias("w"), "line.h1", "line.h2")
 
     # Round 0: lines that occur twice, named by their first place.
-    groups = seq.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("pos").alias("name")).where("c > 1")
+    # Groups are written before the join, here and below: a join of two plain tables is split where a line is
+    # in a great part of all documents, a join that shares its shuffle with the grouping is not.
+    groups = scratch.save(seq.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("pos").alias("name")).where("c > 1"))
     here = scratch.save(seq.join(groups, ["h1", "h2"]).select("pos", "base", "w", "name"))
 
     # Shortest windows of min_words from each line on, and up to each line, inside unbroken repeated lines.
@@ -80,7 +82,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     for k in range(deepest):
         onward = level.select((F.col("pos") - (1 << k)).alias("pos"), F.col("name").alias("next"))
         pairs = scratch.save(level.join(onward, "pos"))
-        named = pairs.groupBy("name", "next").agg(F.count("*").alias("c"), F.min("pos").alias("new")).where("c > 1")
+        named = scratch.save(pairs.groupBy("name", "next").agg(F.count("*").alias("c"), F.min("pos").alias("new")).where("c > 1"))
         level = scratch.save(pairs.join(named, ["name", "next"]).select("pos", F.col("new").alias("name")))
         levels = levels.union(level.withColumn("k", F.lit(k + 1)))
 
@@ -90,7 +92,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = levels.select(F.col("pos").alias("start"), "k", F.col("name").alias("a"))
     last = levels.select(F.col("pos").alias("end"), "k", F.col("name").alias("b"))
     whole = scratch.save(deep.join(first, ["start", "k"]).join(last, ["end", "k"]).select("start", "n", "a", "b"))
-    copies = whole.groupBy("n", "a", "b").agg(F.min("start").alias("origin"), F.count("*").alias("c")).where("c > 1")
+    copies = scratch.save(whole.groupBy("n", "a", "b").agg(F.min("start").alias("origin"), F.count("*").alias("c")).where("c > 1"))
     later = whole.join(copies, ["n", "a", "b"]).where(F.col("origin") + F.col("n") <= F.col("start"))
     gone = later.select(F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
 
