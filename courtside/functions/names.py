@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 CLUB_WORDS = "bc|basket|basketball|club|sad|sporting|sports"
 
 
-@F.pandas_udf("string")
-def without_accents(names: pd.Series) -> pd.Series:
-    """NFKD without combining marks."""
+def _strip(names: pd.Series) -> pd.Series:
     return names.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)), na_action="ignore")
 
 
+def without_accents(name: Column) -> Column:
+    """NFKD without combining marks."""
+    return F.pandas_udf(_strip, "string")(name)
+
+
 def team_key(name: Column) -> Column:
     """For entity resolution: no accents, lower case, no white space, no hyphens."""
     return F.regexp_replace(F.lower(without_accents(name)), r"[\s-]+", "")

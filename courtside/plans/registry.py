@@ -1,4 +1,4 @@
-"""Named queries over the driver's tables, each with its SQL twin."""
+"""All named queries over the driver's tables, each with its SQL twin where it has one."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from courtside.plans import analytics, records
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return analytics.QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return analytics.SQL | records.SQL

@@ -1 +1 @@
-
+"""Incremental capture: the job queue and landed results as streams."""
