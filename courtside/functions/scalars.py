@@ -157,7 +157,7 @@ def is_host(url: Column, host: str) -> Column:
 
 def fixed(value: Column, places: int = 1) -> Column:
     """A number with fixed places, rounded half-even on its decimal form; ``-`` for null."""
-    return F.coalesce(F.format_string(f"%.{places}f", F.bround(value, places)), F.lit("-"))
+    return F.when(value.isNull(), "-").otherwise(F.format_string(f"%.{places}f", F.bround(value, places)))
 
 
 def percent(value: Column, places: int = 1) -> Column:

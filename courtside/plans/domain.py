@@ -53,9 +53,9 @@ class Tables:
 
     @cached_property
     def boxscores(self) -> DataFrame:
-        """One row for each game and player: of several lines the first by (linenumber, partkey, suppkey)."""
+        """One row for each game and player: of several lines the first by (linenumber, partkey, quantity)."""
         line, part, supp = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
-        first = W.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber", "l_partkey")
+        first = W.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber", "l_partkey", "q")
         lines = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
         lines = lines.withColumn("r", F.row_number().over(first)).where("r = 1")
         sides = self.games.select(F.col("id").alias("l_orderkey"), "home_team_id", "away_team_id")
@@ -140,7 +140,7 @@ teams AS (
     CASE WHEN o_orderkey % 10 <> 0 THEN 'https://stats.example/boxscores/' || o_orderkey END AS boxscore_url
   FROM orders
 ), firsts AS (
-  SELECT *, l_quantity::INTEGER AS q FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem) WHERE r = 1
+  SELECT *, l_quantity::INTEGER AS q FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey, l_quantity::INTEGER) AS r FROM lineitem) WHERE r = 1
 ), boxes AS (
   SELECT l_orderkey AS game_id, CASE WHEN l_linenumber % 2 = 1 THEN home_team_id ELSE away_team_id END AS team_id, s_name AS player_name,
     CASE WHEN l_partkey % 13 = 0 THEN '' ELSE lpad((l_partkey % 41)::VARCHAR, 2, '0') || ':' || lpad((l_suppkey % 60)::VARCHAR, 2, '0') END AS minutes,
