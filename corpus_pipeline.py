@@ -23,7 +23,7 @@ def drop_line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: one document of each near-duplicate group stays (shingles of five words, 0.8 and up)."""
+    """Operator 10: one document of each group of similar ones stays (shingles of five words, 0.8 and up)."""
     return simhash.keep_one(docs)
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import Scratch, components, without_ids
+from courtside.llm.common import BROADCAST_IDS, Scratch, components, without_ids
 
 SEED = 42
 MAX_BITS = 3
@@ -82,13 +82,138 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return fps.join(of, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: the one with the smallest id.
+# --- documents that share most of their five-word shingles ------------------------------------------
+
+#: Segments of the long fingerprint, and their bits. Of each segment the ball over the four bits that are
+#: least certain is enumerated: of pairs at the threshold one in a hundred shares no key (measured).
+SEGMENTS, BITS, UNSURE = 12, 32, 4
+#: Bits of the long fingerprint that documents at the threshold differ in, at most (of 384; a tenth is usual).
+FAR = 64
+SIMILARITY, WORDS = 0.8, 5
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def _hashes(words: list[bytes], k: int) -> np.ndarray:
+    """Distinct hashes of the k-word shingles; fewer words are one shingle."""
+    digest = xxhash.xxh64_intdigest
+    return np.array(list({digest(b" ".join(words[i : i + k]), SEED) for i in range(max(1, len(words) - k + 1))}), dtype=np.uint64)
+
+
+def long_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of the two-word shingles as SEGMENTS unsigned words, and the keys of each segment's ball,
+    the segment itself first: shape (SEGMENTS, 2 ** UNSURE).
+
+    Two-word shingles change less under an edit than those by which similarity is measured.
+    """
+    h = _hashes(_words(text), 2)
+    total = np.zeros(SEGMENTS * BITS, dtype=np.int64)
+    lanes = np.arange(SEGMENTS * BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(h), PIECE // 4):  # 64 bits more of each hash for each lane
+            z = h[at : at + PIECE // 4, None] + lanes
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+            total += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    margin = (2 * total - len(h)).reshape(SEGMENTS, BITS)
+    segment = ((margin > 0) * (1 << np.arange(BITS, dtype=np.int64))).sum(axis=1)
+    unsure = np.argsort(np.abs(margin), axis=1, kind="stable")[:, :UNSURE]
+    flips = (np.arange(1 << UNSURE)[:, None] >> np.arange(UNSURE)) & 1
+    return segment, segment[:, None] ^ (flips[None] * (1 << unsure.astype(np.int64))[:, None, :]).sum(axis=2)
+
+
+def _text_hashes() -> list:
+    """What tells texts apart: 128 bits of hashes."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")]
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid fields, text) -> the fields, the segments and the keys, each with its segment's number above 32 bits."""
+    above = (np.arange(SEGMENTS, dtype=np.int64) << 32)[:, None]
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            part = b.slice(at, 512)
+            both = [long_fingerprint(t.as_py()) for t in part.column(3)]
+            segments, keys = pa.array([s for s, _ in both], pa.list_(pa.int64())), pa.array([(k + above).reshape(-1) for _, k in both], pa.list_(pa.int64()))
+            yield pa.record_batch([part.column(0), part.column(1), part.column(2), segments, keys], ["doc_id", "t1", "t2", "segments", "keys"])
+
+
+def _verified(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of ``pairs(a, b)`` of classes those whose long fingerprints are near and whose shingles are similar."""
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("segments").alias(f"s{c}"))
+    distance = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = scratch.save(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(distance <= FAR).select("a", "b"))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "t1", "t2"), "cid")
+    wanted = scratch.save(wanted)
+    n = wanted.count()
+    texts = docs.select(*_text_hashes(), "text").join(F.broadcast(wanted) if n <= BROADCAST_IDS // 3 else wanted.hint("shuffle_hash"), ["t1", "t2"]).select("cid", "text")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [_hashes(_words(t.as_py()), WORDS).view(np.int64) for t in part.column(1)]
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "set"])
+
+    # copies of a text give one row each and are one class
+    sets = scratch.save(texts.mapInArrow(shingled, "cid long, set array<long>").groupBy("cid").agg(F.first("set").alias("set")))
+    of = lambda c: sets.select(F.col("cid").alias(c), F.col("set").alias(f"s{c}"))
+    both = near.join(of("a"), "a").join(of("b"), "b")
+    common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    return scratch.save(both.where(common >= SIMILARITY * (total - common)).select("a", "b"))
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id, component_id``, documents linked where the Jaccard similarity of their
+    five-word shingles (lower-case, white space aside) is ``SIMILARITY`` or more.
+
+    Candidates share a key: a segment of one's long fingerprint lies in the ball around the other's. Equal
+    texts are one class. First each class is compared with the least class of each of its segments, which
+    joins large groups of near copies at a cost that is linear in them; then all candidates whose components
+    still differ are compared, so no candidate link is lost. Null and wordless texts are alike. A null doc_id
+    names no component. Other columns are not read. An empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = docs.select("doc_id", *_text_hashes(), "text").mapInArrow(_signed, f"doc_id {kind}, t1 long, t2 long, segments array<long>, keys array<long>")
+    signed = scratch.save(signed)
+    ids = signed.select("doc_id", "t1", "t2")
+    once = signed.groupBy("t1", "t2").agg(F.first("segments").alias("segments"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"))
+    classes = scratch.save(once.withColumn("cid", F.monotonically_increasing_id()))
+    probes = classes.select("cid", F.explode("keys").alias("key"))
+    homes = classes.select("cid", F.explode(F.filter("keys", lambda _, i: i % (1 << UNSURE) == 0)).alias("key"))
+
+    leaders = scratch.save(homes.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"))
+    first = homes.join(leaders, "key").where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b"))
+    links = _verified(scratch, docs, classes, first)
+    roots = scratch.save(components(scratch, links))
+    placed = lambda entries: entries.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "key", F.coalesce("root", "cid").alias("root"))
+    lived = scratch.save(placed(homes))
+    spans = lived.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    foreign = scratch.save(placed(probes).join(spans, "key").where("low <> root or high <> root").select("cid", "key", "root"))
+    there = lived.select("key", F.col("cid").alias("other"), F.col("root").alias("other_root"))
+    second = foreign.join(there, "key").where("root <> other_root").select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
+    links = links.union(_verified(scratch, docs, classes, second))
+
+    roots = components(scratch, links)
+    named = classes.select("cid", "t1", "t2", "least").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = scratch.save(named)
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = scratch.save(named.join(least, "root").select("t1", "t2", "component_id"))
+    return ids.join(of, ["t1", "t2"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component of similar ones: the one with the smallest id.
 
     Documents without an id stay, as no decision can name them. Repeated rows of one id become one.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    found = scratch.save(near_duplicates(docs, shingle).select("doc_id", "component_id"))
+    found = scratch.save(similar(docs))
     away = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct())
     kept = without_ids(docs, away, away.count())
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
