@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from courtside import schemas
 from courtside.functions import names
 from courtside.functions import scalars as S
-from courtside.operators import entities, fusion, players, teams, upsert
+from courtside.operators import entities, fusion, ingest, players, teams, upsert
 from courtside.operators.base import places, team_games
 from courtside.plans.domain import CTES, Tables
 from courtside.sources import html_tables, json_games, reports
@@ -338,3 +338,27 @@ def ratings_backfill(t: Tables) -> DataFrame:
 def advanced_backfill(t: Tables) -> DataFrame:
     gaps = t.boxscores.withColumns({c: F.when(F.col("game_id") % 3 != 0, F.col(c)) for c in ("efg_pct", "ts_pct")})
     return teams.fill_advanced(gaps).select("game_id", "player_name", places("efg_pct", 6).alias("efg_pct"), places("ts_pct", 6).alias("ts_pct"))
+
+
+@query("""
+WITH fresh AS (
+  SELECT game_id AS ord, g.date, CASE WHEN is_home THEN team_id ELSE opponent_id END AS home_team_id, CASE WHEN is_home THEN opponent_id ELSE team_id END AS away_team_id,
+    CASE WHEN is_home THEN own_score ELSE opp_score END AS home_score, CASE WHEN is_home THEN opp_score ELSE own_score END AS away_score, boxscore_url, season FROM team_games g WHERE team_id = 3)
+SELECT date, home_team_id, away_team_id, (arg_max(home_score, ord) FILTER (home_score IS NOT NULL))::DOUBLE AS home_score, (arg_max(away_score, ord) FILTER (away_score IS NOT NULL))::DOUBLE AS away_score,
+  arg_max(boxscore_url, ord) FILTER (boxscore_url IS NOT NULL) AS boxscore_url, CASE WHEN bool_or(ord % 2 = 0) THEN 'updated' ELSE 'inserted' END AS change FROM fresh GROUP BY date, home_team_id, away_team_id""")
+def persisted_schedule(t: Tables) -> DataFrame:
+    """One team's calendar as a source reports it, stored over the half of it that is there already."""
+    rival = t.teams.select(F.col("id").alias("opponent_id"), F.col("name").alias("opponent"), F.col("slug").alias("opponent_slug"))
+    reported = team_games(t.games).where("team_id = 3").join(rival, "opponent_id")
+    fused = reported.select(F.col("game_id").alias("src_ord"), "date", "opponent", "opponent_slug", "is_home", F.col("own_score").alias("points"), F.col("opp_score").alias("opp_points"), "boxscore_url", F.lit(None).cast("string").alias("notes"), "league", "season")
+    one = F.row_number().over(W.partitionBy("date", "home_team_id", "away_team_id").orderBy("id"))
+    there = t.games.where("(home_team_id = 3 or away_team_id = 3) and id % 2 = 0").withColumn("r", one).where("r = 1").drop("r", "id", "game_date")
+    games, _ = ingest.persist_schedule(there.withColumns({"home_score": F.lit(None).cast("int"), "away_score": F.lit(None).cast("int"), "boxscore_url": F.lit(None).cast("string")}), t.teams, fused, 3)
+    return games.select("date", "home_team_id", "away_team_id", F.col("home_score").cast("double").alias("home_score"), F.col("away_score").cast("double").alias("away_score"), "boxscore_url", "change")
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS href FROM pages WHERE contains(html, '<a href="')""")
+def page_links(t: Tables) -> DataFrame:
+    """The link found by its text: here the text of each page's first link."""
+    pages = t.raw("pages").where(F.contains("html", F.lit('<a href="'))).withColumn("label", F.regexp_extract("html", r'(?s)<a href="[^"]*">(.*?)</a>', 1))
+    return pages.select("page_id", html_tables.link_to("html", F.col("label")).alias("href"))

@@ -184,6 +184,58 @@ def day_schedule(pages: DataFrame, team: str) -> DataFrame:
     return rows.select("date", F.when(is_home, v["Away Team"]).otherwise(v["Home Team"]).alias("opponent"), is_home.alias("is_home"), F.when(is_home, home).otherwise(away).alias("points"), F.when(is_home, away).otherwise(home).alias("opp_points"), "league")
 
 
+def player_pages(pages: DataFrame) -> DataFrame:
+    """Player pages: their meta paragraph and the rows of their per-game table."""
+    meta = F.regexp_extract("html", r'(?is)<div[^>]*\bid="meta"[^>]*>(.*?)</div>', 1)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(meta, r"<[^>]*>", " "), r"\s+", " "))
+    return team_roster(pages.withColumn("meta", plain))
+
+
+def game_logs(pages: DataFrame) -> DataFrame:
+    """Rows of the game-log table of player pages, under canonical header names: tables with a date and points."""
+    found = tables(pages).where(F.array_contains("headers", "Date") & F.array_contains("headers", "PTS"))
+    return by_header(found).withColumn("values", canonical_stats(F.col("values"))).where(S.blank_to_null(F.col("values")["Date"]).isNotNull())
+
+
+def _anchors(pages: pd.Series) -> pd.Series:
+    class Links(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.found: list[dict] = []
+            self.inside = False
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.inside = True
+                self.found.append({"text": "", "href": dict(attrs).get("href")})
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "a"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.found[-1]["text"] += data
+
+    def one(html):
+        p = Links()
+        p.feed(html or "")
+        p.close()
+        return [{"text": " ".join(x["text"].split()), "href": x["href"]} for x in p.found]
+
+    return pd.Series([one(h) for h in pages], dtype=object)
+
+
+def link_to(html: Column | str, text: Column) -> Column:
+    """The first link of a page whose text is ``text`` but for case: how a team's or a player's page is found."""
+    links = F.pandas_udf(_anchors, "array<struct<text:string,href:string>>")(html)
+    return F.get(F.filter(links, lambda a: F.lower(a["text"]) == F.lower(F.trim(text))), F.lit(0))["href"]
+
+
+def game_log_url(summary: Column) -> Column:
+    """The game-log page that belongs to a player's summary page."""
+    return F.replace(summary, F.lit("/Summary"), F.lit("/GameLogs"))
+
+
 def canonical_stats(values: Column) -> Column:
     """A box-score row's map under the canonical header names."""
     return F.transform_keys(values, lambda k, _: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HEADER_ALIASES.items() for x in kv]), k), k))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtside import schemas
-from courtside.operators import calendar, entities, fusion, jobs, matchups, players, quality, teams, upsert
+from courtside.operators import calendar, entities, fusion, ingest, jobs, matchups, players, quality, teams, upsert
 from courtside.plans import domain
 
 D = datetime.date
@@ -180,3 +180,14 @@ def test_plans(spark, tmp_path):
     assert not any(x in plan for x in ("BatchEvalPython", "ArrowEvalPython"))
     scan = calendar.past(t.games, team_id=3)._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in scan  # columns are pruned
+
+
+def test_persist_schedule(spark):
+    base = spark.createDataFrame([(1, "sol", "Solar City", "acb"), (2, "rio", "Río Plata", "acb")], "id long, slug string, name string, league string")
+    stored = spark.createDataFrame([], "date string, home_team_id long, away_team_id long, league string, season int, home_score int, away_score int, boxscore_url string, notes string")
+    rows = [(1, "d1", "Rio Plata", "", False, 80, 70, "/b", None, "acb", 2025), (2, "d2", "Luna FC", None, True, None, None, None, None, "acb", 2025), (3, "d3", " ", None, True, 1, 2, None, None, "acb", 2025)]
+    fused = spark.createDataFrame(rows, "src_ord long, date string, opponent string, opponent_slug string, is_home boolean, points int, opp_points int, boxscore_url string, notes string, league string, season int")
+    games, every = ingest.persist_schedule(stored, base, fused, 1)
+    new = every.where("slug = 'luna-fc'").first()
+    got = {r.date: (r.home_team_id, r.away_team_id, r.home_score, r.away_score, r.change) for r in games.collect()}
+    assert got == {"d1": (2, 1, 70, 80, "inserted"), "d2": (1, new.id, None, None, "inserted")} and new.name == "Luna FC"

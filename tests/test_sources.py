@@ -40,6 +40,16 @@ def test_day_schedule(spark):
     assert html_tables.fetch_days(2025, spark).count() == 273
 
 
+def test_player_pages_and_links(spark):
+    page = '<div id="meta"><p>Ana <b>Luz</b></p></div><table id="per_game"><thead><tr><th>Season</th><th>PTS</th></tr></thead><tr><td>2025</td><td>9</td></tr></table><a href="/x">Other</a><a href="/p/Summary/1">ana  luz</a>'
+    df = spark.createDataFrame([("p", page)], "player string, html string")
+    row = html_tables.player_pages(df).first()
+    assert row.meta == "Ana Luz" and row["values"] == {"Season": "2025", "PTS": "9"}
+    assert df.select(html_tables.game_log_url(html_tables.link_to("html", F.lit("Ana Luz"))).alias("u")).first().u == "/p/GameLogs/1"
+    logs = "<table><thead><tr><th>Date</th><th>MIN</th><th>PTS</th></tr></thead><tr><td>11/23</td><td>30</td><td>22</td></tr><tr><td></td><td></td><td>99</td></tr></table>"
+    assert [r["values"] for r in html_tables.game_logs(spark.createDataFrame([("p", logs)], "player string, html string")).collect()] == [{"Date": "11/23", "MP": "30", "PTS": "22"}]
+
+
 def test_service_json(spark):
     items = [{"fecha": "2025-11-23", "local": {"nombre": " Blue "}, "awayTeam": "Red", "homeScore": 80, "visitanteScore": "71", "competition": "Copa del Rey"}, {"date": "x", "home": "A"}, {"gameDate": "d", "home": "Red", "away": {"name": "blue"}}]
     for body in (items, {"data": items}):
