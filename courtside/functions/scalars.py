@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 LEAGUE_LABELS = {"acb": "ACB", "euroleague": "Euroliga", "supercopa": "Supercopa"}
 TABLE_COMPETITIONS = {"SPA": "acb", "ELG": "euroleague"}
 CMS_LEAGUES = {"liga endesa": "acb", "euroleague": "euroleague", "copa del rey": "copa-del-rey", "supercopa": "supercopa"}
-DISPLAY_NAMES = {"vitoria": "Baskonia"}
 WEEKDAYS_ES = ["domingo", "lunes", "martes", "miércoles", "jueves", "viernes", "sábado"]
 MONTHS_ES = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
 HOT, COLD = 1.0, -1.0
@@ -70,8 +69,9 @@ def league_label(code: Column) -> Column:
     return F.when(code.isNull() | (code == ""), "Todas").otherwise(F.coalesce(F.element_at(_map(LEAGUE_LABELS), code), other))
 
 
-def display_name(slug: Column, name: Column) -> Column:
-    return F.coalesce(F.element_at(_map(DISPLAY_NAMES), slug), name)
+def display_name(slug: Column, name: Column, known: dict[str, str] | None = None) -> Column:
+    """The name to show: that of ``known`` for the slug, else the stored one."""
+    return F.coalesce(F.element_at(_map(known), slug), name) if known else name
 
 
 def to_float(text: Column) -> Column:
@@ -130,12 +130,13 @@ def result_label(own: Column, other: Column) -> Column:
 
 
 def table_competition(table_id: Column) -> Column:
-    """``vitoria-ELG-regular-season`` -> euroleague; null where the id has another form."""
+    """``blue-ELG-regular-season`` -> euroleague; null where the id has another form."""
     code = F.nullif(F.regexp_extract(table_id, r"-([A-Z]+)-(?:regular-season|playoffs)$", 1), F.lit(""))
     return F.coalesce(F.element_at(_map(TABLE_COMPETITIONS), code), F.lower(code))
 
 
-def cms_league(name: Column, default: str = "baskonia.com") -> Column:
+def cms_league(name: Column, default: str = "club") -> Column:
+    """Known competitions by code, others in lower case with hyphens, ``default`` for none."""
     low = F.lower(F.trim(name))
     return F.when(name.isNull() | (name == ""), default).otherwise(F.coalesce(F.element_at(_map(CMS_LEAGUES), low), F.replace(low, F.lit(" "), F.lit("-"))))
 

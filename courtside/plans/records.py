@@ -210,7 +210,7 @@ def normalised_names(t: Tables) -> DataFrame:
 
 @query(r"""
 WITH ids AS (SELECT id, slug || CASE id % 5 WHEN 0 THEN '-ELG-regular-season' WHEN 1 THEN '-SPA-playoffs' WHEN 2 THEN '-ITA-regular-season' WHEN 3 THEN '-games' ELSE '-elg-regular-season' END AS table_id, CASE id % 4 WHEN 0 THEN 'Liga Endesa' WHEN 1 THEN 'Copa Del Rey' WHEN 2 THEN '' ELSE 'Gira de verano' END AS cms FROM teams)
-SELECT id, CASE code WHEN '' THEN NULL WHEN 'SPA' THEN 'acb' WHEN 'ELG' THEN 'euroleague' ELSE lower(code) END AS competition, CASE cms WHEN '' THEN 'baskonia.com' WHEN 'Liga Endesa' THEN 'acb' WHEN 'Copa Del Rey' THEN 'copa-del-rey' ELSE replace(lower(cms), ' ', '-') END AS league
+SELECT id, CASE code WHEN '' THEN NULL WHEN 'SPA' THEN 'acb' WHEN 'ELG' THEN 'euroleague' ELSE lower(code) END AS competition, CASE cms WHEN '' THEN 'club' WHEN 'Liga Endesa' THEN 'acb' WHEN 'Copa Del Rey' THEN 'copa-del-rey' ELSE replace(lower(cms), ' ', '-') END AS league
 FROM (SELECT *, regexp_extract(table_id, '-([A-Z]+)-(?:regular-season|playoffs)$', 1) AS code FROM ids)""")
 def competition_code(t: Tables) -> DataFrame:
     k = F.col("id") % 5
@@ -226,9 +226,9 @@ def team_by_slug(t: Tables) -> DataFrame:
     return t.teams.join(wanted, "slug", "left_semi").select("id", "name", "slug", "league")
 
 
-@query("SELECT id, slug, name AS display, league, row_number() OVER (ORDER BY name) AS place FROM teams")
+@query("SELECT id, slug, CASE WHEN slug = 'nation_3' THEN 'Third' ELSE name END AS display, league, row_number() OVER (ORDER BY name) AS place FROM teams")
 def teams_by_name(t: Tables) -> DataFrame:
-    return t.teams.select("id", "slug", S.display_name(F.col("slug"), F.col("name")).alias("display"), "league", F.row_number().over(W.orderBy("name")).alias("place"))
+    return t.teams.select("id", "slug", S.display_name(F.col("slug"), F.col("name"), {"nation_3": "Third"}).alias("display"), "league", F.row_number().over(W.orderBy("name")).alias("place"))
 
 
 @query(r"SELECT page_id, regexp_matches(lower(regexp_extract(url, '://([^/?#]*)', 1)), 'example\.com$') AS own_host FROM pages")

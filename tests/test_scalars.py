@@ -95,4 +95,4 @@ def test_hosts(spark):
     assert one(spark, S.is_host(text("https://example.org/?u=example.com"), "example.com")) is False
     assert one(spark, S.is_host(text(None), "example.com")) is False
     assert one(spark, S.cms_league(text("Copa del Rey"))) == "copa-del-rey"
-    assert one(spark, S.cms_league(text(""))) == "baskonia.com"
+    assert one(spark, S.cms_league(text(""))) == "club"
