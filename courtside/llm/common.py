@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,20 +22,27 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-class Scratch:
-    """Tables written to the cluster's shared folder, so that a lost executor costs one stage at most.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors reach: the session's ``spark.checkpoint.dir``, or what its context was given.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, as in tests, a local
-    folder is made and set.
+    Where neither is set, a session in one process gets a temporary folder; a cluster must name one.
     """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[.*\])?$", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='courtside-')}")
+        base = context.getCheckpointDir()
+    return base.rstrip("/")
+
+
+class Scratch:
+    """Tables written to the cluster's shared folder, so that a lost executor costs one stage at most."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"file://{tempfile.mkdtemp(prefix='courtside-')}"
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
