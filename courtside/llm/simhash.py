@@ -90,6 +90,8 @@ SEGMENTS, BITS, UNSURE = 12, 32, 4
 #: Bits of the long fingerprint that documents at the threshold differ in, at most (of 384; a tenth is usual).
 FAR = 64
 SIMILARITY, WORDS = 0.8, 5
+#: Members of a key that are compared at once.
+CHUNK = 512
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -132,23 +134,20 @@ def _text_hashes() -> list:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid fields, text) -> the fields, the segments and the keys, each with its segment's number above 32 bits."""
-    above = (np.arange(SEGMENTS, dtype=np.int64) << 32)[:, None]
+    """(doc_id, t1, t2, text) -> the fields, the segments and the keys of their balls, segment by segment."""
     for b in batches:
         for at in range(0, b.num_rows, 512):
             part = b.slice(at, 512)
             both = [long_fingerprint(t.as_py()) for t in part.column(3)]
-            segments, keys = pa.array([s for s, _ in both], pa.list_(pa.int64())), pa.array([(k + above).reshape(-1) for _, k in both], pa.list_(pa.int64()))
+            segments, keys = pa.array([s for s, _ in both], pa.list_(pa.int64())), pa.array([k.reshape(-1).astype(np.uint32).view(np.int32) for _, k in both], pa.list_(pa.int32()))
             yield pa.record_batch([part.column(0), part.column(1), part.column(2), segments, keys], ["doc_id", "t1", "t2", "segments", "keys"])
 
 
-def _verified(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of ``pairs(a, b)`` of classes those whose long fingerprints are near and whose shingles are similar."""
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("segments").alias(f"s{c}"))
-    distance = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = scratch.save(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(distance <= FAR).select("a", "b"))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "t1", "t2"), "cid")
-    wanted = scratch.save(wanted)
+def _sets(scratch: Scratch, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(cid, set)``: the five-word shingles of the classes ``wanted(cid, t1, t2)``, hashed to 32 bits.
+
+    Two of a thousand different shingles of a text fall together once in ten thousand texts.
+    """
     n = wanted.count()
     texts = docs.select(*_text_hashes(), "text").join(F.broadcast(wanted) if n <= BROADCAST_IDS // 3 else wanted.hint("shuffle_hash"), ["t1", "t2"]).select("cid", "text")
 
@@ -156,17 +155,105 @@ def _verified(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: Data
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                sets = [_hashes(_words(t.as_py()), WORDS).view(np.int64) for t in part.column(1)]
-                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "set"])
+                sets = [np.unique(_hashes(_words(t.as_py()), WORDS).astype(np.uint32)).view(np.int32) for t in part.column(1)]
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int32()))], ["cid", "set"])
 
     # copies of a text give one row each and are one class
-    sets = scratch.save(texts.mapInArrow(shingled, "cid long, set array<long>").groupBy("cid").agg(F.first("set").alias("set")))
+    return scratch.save(texts.mapInArrow(shingled, "cid long, set array<int>").groupBy("cid").agg(F.first("set").alias("set")))
+
+
+def _verified(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of ``pairs(a, b)`` of classes those whose long fingerprints are near and whose shingles are similar."""
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("segments").alias(f"s{c}"))
+    distance = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = scratch.save(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(distance <= FAR).select("a", "b"))
+    wanted = scratch.save(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "t1", "t2"), "cid"))
+    sets = _sets(scratch, docs, wanted)
     of = lambda c: sets.select(F.col("cid").alias(c), F.col("set").alias(f"s{c}"))
     both = near.join(of("a"), "a").join(of("b"), "b")
     common, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     return scratch.save(both.where(common >= SIMILARITY * (total - common)).select("a", "b"))
 
 
+def _block_links(cid, home, root, segments, sets) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the documents of a block that are in different components so far."""
+    n = len(cid)
+    near = np.zeros((n, n), dtype=np.int16)
+    for k in range(segments.shape[1]):
+        near += np.bitwise_count(segments[:, None, k] ^ segments[None, :, k])
+    i, j = np.nonzero(np.triu((near <= FAR) & (home[:, None] | home[None]) & (root[:, None] != root[None]), 1))
+    up = {r: r for r in root.tolist()}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    held: dict[int, set] = {}
+    out = []
+    for a, b in zip(i.tolist(), j.tolist()):
+        x, y = find(int(root[a])), find(int(root[b]))
+        if x == y:
+            continue
+        for k in (a, b):
+            if k not in held:
+                held[k] = set(sets[k].tolist())
+        common = len(held[a] & held[b])
+        if common >= SIMILARITY * (len(held[a]) + len(held[b]) - common):
+            up[max(x, y)] = min(x, y)
+            out.append((int(cid[a]), int(cid[b])))
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, b, home, cid, root, segments, set), sorted by block -> links (a, b)."""
+
+    def numbers(part: pa.RecordBatch) -> list:
+        segments = part.column(6).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.uint64)
+        sets = np.empty(part.num_rows, dtype=object)
+        values, offsets = part.column(7).values.to_numpy(zero_copy_only=False), part.column(7).offsets.to_numpy()
+        for k in range(part.num_rows):
+            sets[k] = values[offsets[k] : offsets[k + 1]]
+        return [part.column(k).to_numpy(zero_copy_only=False) for k in range(6)] + [segments, sets]
+
+    def results(cols: list, edges: list[int]):
+        found = [pair for s, e in zip(edges, edges[1:]) if e - s > 1 for pair in _block_links(cols[4][s:e], cols[3][s:e], cols[5][s:e], cols[6][s:e], cols[7][s:e])]
+        if found:
+            yield pa.record_batch([pa.array([p[0] for p in found]), pa.array([p[1] for p in found])], ["a", "b"])
+
+    rest: list | None = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            cols = numbers(batch.slice(at, 1024))
+            if rest is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols)]
+            change = np.zeros(len(cols[0]), dtype=bool)
+            for k in cols[:3]:
+                change[1:] |= k[1:] != k[:-1]
+            edges = [0, *np.nonzero(change)[0].tolist()]  # the last block may go on in the next rows
+            yield from results(cols, edges)
+            rest = [c[edges[-1] :] for c in cols]
+    if rest is not None:
+        yield from results(rest, [0, len(rest[0])])
+
+
+def _blocked(scratch: Scratch, docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """Links of different components among ``members(key, cid, root, home)`` of each key, one of the two at home.
+
+    Compared inside tasks, by fingerprint and then exactly: what comes out is a forest, not the pairs. Keys
+    with many members are cut into chunks, and pairs of chunks are tasks of their own.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("cid", F.lit("chunk")), F.col("chunks")).cast("int")
+    dealt = members.join(sizes, "key").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "home", "cid", "root")
+    wanted = scratch.save(members.select("cid").distinct().join(classes.select("cid", "t1", "t2"), "cid"))
+    sets = _sets(scratch, docs, wanted).join(classes.select("cid", "segments"), "cid")
+    rows = dealt.join(scratch.save(sets), "cid").select("key", "a", "b", "home", "cid", "root", "segments", "set")
+    return scratch.save(rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_compared, "a long, b long"))
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, component_id``, documents linked where the Jaccard similarity of their
     five-word shingles (lower-case, white space aside) is ``SIMILARITY`` or more.
@@ -179,13 +266,17 @@ def similar(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "similar")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = docs.select("doc_id", *_text_hashes(), "text").mapInArrow(_signed, f"doc_id {kind}, t1 long, t2 long, segments array<long>, keys array<long>")
+    signed = docs.select("doc_id", *_text_hashes(), "text").mapInArrow(_signed, f"doc_id {kind}, t1 long, t2 long, segments array<long>, keys array<int>")
     signed = scratch.save(signed)
-    ids = signed.select("doc_id", "t1", "t2")
+    ids = scratch.save(signed.select("doc_id", "t1", "t2"))
     once = signed.groupBy("t1", "t2").agg(F.first("segments").alias("segments"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"))
     classes = scratch.save(once.withColumn("cid", F.monotonically_increasing_id()))
-    probes = classes.select("cid", F.explode("keys").alias("key"))
-    homes = classes.select("cid", F.explode(F.filter("keys", lambda _, i: i % (1 << UNSURE) == 0)).alias("key"))
+    scratch.drop(signed)
+    # a key is the number of its segment above the 32 bits of a value; the first of each ball is the segment itself
+    probes = classes.select("cid", F.posexplode("keys").alias("i", "value"))
+    probes = probes.select("cid", (F.shiftleft(F.shiftright("i", UNSURE).cast("long"), BITS) + F.col("value").cast("long")).alias("key"), (F.col("i") % (1 << UNSURE) == 0).alias("home"))
+    homes = probes.where("home").drop("home")
+    probes = probes.drop("home")
 
     leaders = scratch.save(homes.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"))
     first = homes.join(leaders, "key").where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b"))
@@ -195,9 +286,11 @@ def similar(docs: DataFrame) -> DataFrame:
     lived = scratch.save(placed(homes))
     spans = lived.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     foreign = scratch.save(placed(probes).join(spans, "key").where("low <> root or high <> root").select("cid", "key", "root"))
-    there = lived.select("key", F.col("cid").alias("other"), F.col("root").alias("other_root"))
-    second = foreign.join(there, "key").where("root <> other_root").select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
-    links = links.union(_verified(scratch, docs, classes, second))
+    there = lived.join(foreign.select("key").distinct(), "key", "left_semi").select("cid", "key", "root", F.lit(True).alias("home"))
+    every = foreign.withColumn("home", F.lit(False)).union(there.select("cid", "key", "root", "home"))
+    members = scratch.save(every.groupBy("key", "cid", "root").agg(F.max("home").alias("home")))
+    links = scratch.save(links.union(_blocked(scratch, docs, classes, members)))
+    scratch.drop(lived, foreign, members)
 
     roots = components(scratch, links)
     named = classes.select("cid", "t1", "t2", "least").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
