@@ -84,6 +84,32 @@ def test_simhash_null_ids(spark):
     assert got == [(5, 5), (None, 5), (None, None)]
 
 
+def test_similar_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(3000)]
+    texts = [None, "", " ", "one two", "ONE  two", LONG, LONG]
+    for _ in range(8):
+        base = rng.choices(vocabulary, k=150)
+        texts.append(" ".join(base))
+        for _ in range(14):
+            words = list(base)
+            for _ in range(rng.randint(1, 5)):
+                words[rng.randrange(150)] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if alike(shingles[i], shingles[j])]
+    want = components(len(texts), links)
+    df = documents(spark, texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert got == dict(enumerate(want)) and 8 < len(set(want)) < len(texts) / 2
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(want)
+    assert simhash.similar(df.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in simhash.keep_one(df.union(df)).collect()) == sorted(set(want))
+
+
 # --- 2 mixing ---------------------------------------------------------------------------------------
 
 
