@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
@@ -22,14 +23,16 @@ def box_totals(games: DataFrame, boxscores: DataFrame) -> DataFrame:
 def game_ratings(games: DataFrame, boxscores: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """Possessions, pace and ratings of both sides of each played game with any shot.
 
-    The opponent's side is a self-join on the game. Games whose two sides are both in ``done`` are left out.
+    The opponent's side is the game's other row, by a window, so the box scores are read once. Games whose two sides are both in ``done`` are left out.
     """
     side = box_totals(games, boxscores).withColumn("poss", S.possessions(F.col("fga"), F.col("orb"), F.col("tov"), F.col("fta")))
     if done is not None:
         ready = done.groupBy("game_id").agg(F.countDistinct("team_id").alias("n")).where("n >= 2").select("game_id")
         side = side.join(ready, "game_id", "left_anti")
-    other = side.select("game_id", (~F.col("is_home")).alias("is_home"), F.col("poss").alias("opp_poss"), F.col("fga").alias("opp_fga"))
-    both = side.join(other, ["game_id", "is_home"]).where(F.col("fga") + F.col("opp_fga") > 0)
+    game = W.partitionBy("game_id")
+    of = lambda c, home: F.max(F.when(F.col("is_home") == home, F.col(c))).over(game)
+    rival = lambda c: F.when(F.col("is_home"), of(c, False)).otherwise(of(c, True))
+    both = side.withColumns({"opp_poss": rival("poss"), "opp_fga": rival("fga")}).where(F.col("fga") + F.col("opp_fga") > 0)
     off, against = S.rating(F.col("own_score"), F.col("poss")), S.rating(F.col("opp_score"), F.col("opp_poss"))
     return both.select(
         "game_id",

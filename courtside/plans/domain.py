@@ -57,7 +57,8 @@ class Tables:
         line, part, supp = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
         first = W.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber", "l_partkey", "q")
         lines = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
-        lines = lines.withColumn("r", F.row_number().over(first)).where("r = 1")
+        # dealt by game: the fold, the join with the games and sums by game then need no other shuffle
+        lines = lines.repartition("l_orderkey").withColumn("r", F.row_number().over(first)).where("r = 1")
         sides = self.games.select(F.col("id").alias("l_orderkey"), "home_team_id", "away_team_id")
         fga, fg3a, fta = (line + F.col("q") % 15).cast("int"), (part % 8).cast("int"), (supp % 7).cast("int")
         rows = lines.join(sides, "l_orderkey").join(self.raw("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
