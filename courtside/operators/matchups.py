@@ -9,8 +9,25 @@ from courtside.functions import scalars as S
 from courtside.operators import calendar, players, teams
 from courtside.operators.base import mean, places
 
-# Thresholds of the paragraph.
+# Thresholds and sentences of the paragraph; {} stands for a figure or for names.
 PACE_FAST, PACE_SLOW, THREES_HIGH, THREES_LOW = 75.0, 68.0, 0.40, 0.25
+FAST = "Juega a ritmo alto ({} posesiones estimadas por partido)."
+SLOW = "Juega a ritmo bajo ({} posesiones estimadas por partido)."
+MEDIUM = "Juega a ritmo intermedio ({} posesiones estimadas por partido)."
+BALANCE = "Balance {}: {} de Net Rating medio."
+MANY_THREES = "Ataque muy volcado al triple: {}% de los intentos son de 3."
+FEW_THREES = "Ataque poco dependiente del triple: solo {}% de los intentos son de 3."
+SOME_THREES = "Reparto de tiro equilibrado: {}% de los intentos son de 3."
+TOP_SCORER = "Máximo anotador: {} ({} puntos por partido)."
+ON_FIRE = "En racha anotadora (últimos {} partidos): {}."
+OUT_OF_FORM = "Bajo forma anotadora (últimos {} partidos): {}."
+
+
+def _sentence(when: Column, template: str, *values: Column) -> Column:
+    """The template with its gaps filled, where the condition holds."""
+    parts = template.split("{}")
+    filled = [x for text, value in zip(parts, [*values, None]) for x in ([F.lit(text)] if value is None else [F.lit(text), value])]
+    return F.when(when, F.concat(*filled))
 
 
 def difficulty(pending: DataFrame, summaries: DataFrame, team_names: DataFrame, next_n: int = 5) -> DataFrame:
@@ -40,10 +57,6 @@ def projection(summaries: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("team_id", "opponent_id", *[F.when(known, v).alias(k) for k, v in values.items()])
 
 
-def _sentence(when: Column, *parts: Column | str) -> Column:
-    return F.when(when, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
-
-
 def narrative(games: DataFrame, boxscores: DataFrame, stats: DataFrame, season: int, recent_n: int = 5, league: str | None = None) -> DataFrame:
     """A paragraph in Spanish on each team's season; null without a rated game.
 
@@ -62,17 +75,18 @@ def narrative(games: DataFrame, boxscores: DataFrame, stats: DataFrame, season:
     pace, net, threes = places("avg_pace", 6), places("avg_net_rating", 6), places("threes", 6)
     number, share = S.fixed(pace), S.fixed(threes * 100, 0)
     signed = F.concat(F.when(net >= 0, "+").otherwise(""), S.fixed(net))
+    recent = F.lit(str(recent_n))
     text = F.concat_ws(
         " ",
-        _sentence(pace >= PACE_FAST, "Juega a ritmo alto (", number, " posesiones estimadas por partido)."),
-        _sentence(pace <= PACE_SLOW, "Juega a ritmo bajo (", number, " posesiones estimadas por partido)."),
-        _sentence((pace > PACE_SLOW) & (pace < PACE_FAST), "Juega a ritmo intermedio (", number, " posesiones estimadas por partido)."),
-        _sentence(net.isNotNull(), "Balance ", F.when(net > 0, "positivo").otherwise("negativo"), ": ", signed, " de Net Rating medio."),
-        _sentence(threes >= THREES_HIGH, "Ataque muy volcado al triple: ", share, "% de los intentos son de 3."),
-        _sentence(threes <= THREES_LOW, "Ataque poco dependiente del triple: solo ", share, "% de los intentos son de 3."),
-        _sentence((threes > THREES_LOW) & (threes < THREES_HIGH), "Reparto de tiro equilibrado: ", share, "% de los intentos son de 3."),
-        _sentence(F.col("top").isNotNull(), "Máximo anotador: ", F.col("top.player_name"), " (", S.fixed(-F.col("top.p")), " puntos por partido)."),
-        _sentence(F.col("hot") != "", f"En racha anotadora (últimos {recent_n} partidos): ", F.col("hot"), "."),
-        _sentence(F.col("cold") != "", f"Bajo forma anotadora (últimos {recent_n} partidos): ", F.col("cold"), "."),
+        _sentence(pace >= PACE_FAST, FAST, number),
+        _sentence(pace <= PACE_SLOW, SLOW, number),
+        _sentence((pace > PACE_SLOW) & (pace < PACE_FAST), MEDIUM, number),
+        _sentence(net.isNotNull(), BALANCE, F.when(net > 0, "positivo").otherwise("negativo"), signed),
+        _sentence(threes >= THREES_HIGH, MANY_THREES, share),
+        _sentence(threes <= THREES_LOW, FEW_THREES, share),
+        _sentence((threes > THREES_LOW) & (threes < THREES_HIGH), SOME_THREES, share),
+        _sentence(F.col("top").isNotNull(), TOP_SCORER, F.col("top.player_name"), S.fixed(-F.col("top.p"))),
+        _sentence(F.col("hot") != "", ON_FIRE, recent, F.col("hot")),
+        _sentence(F.col("cold") != "", OUT_OF_FORM, recent, F.col("cold")),
     )
     return rows.select("team_id", F.when(pace.isNotNull(), text).alias("narrative"))

@@ -9,6 +9,10 @@ from courtside.operators.base import team_games
 
 #: Points that a box score and a result may differ by.
 TOLERANCE = 2
+# The sides and the two messages.
+HOME, AWAY = "local", "visitante"
+POINTS = "Partido %s (%s): puntos del box score %s (%s) no cuadran con el resultado guardado (%s)"
+MINUTES = "Partido %s (%s): jugadores sin minutos registrados en el box score %s: %s"
 
 
 def warnings(games: DataFrame, boxscores: DataFrame) -> DataFrame:
@@ -21,11 +25,11 @@ def warnings(games: DataFrame, boxscores: DataFrame) -> DataFrame:
         F.sum(F.coalesce("points", F.lit(0))).alias("summed"), F.array_join(F.sort_array(F.collect_list(F.when(missing, F.col("player_name")))), ", ").alias("players")
     )
     rows = team_games(games).select("game_id", "team_id", "date", "is_home", "own_score").join(sides, ["game_id", "team_id"])
-    side = F.when(F.col("is_home"), "local").otherwise("visitante")
-    head = F.concat(F.lit("Partido "), F.col("game_id").cast("string"), F.lit(" ("), F.coalesce("date", F.lit("-")), F.lit("): "))
+    text = lambda c: F.col(c).cast("string")
+    head = [text("game_id"), F.coalesce("date", F.lit("-")), F.when(F.col("is_home"), HOME).otherwise(AWAY)]
     off = F.abs(F.col("summed") - F.col("own_score")) > TOLERANCE
-    points = F.when(off, F.concat(head, F.lit("puntos del box score "), side, F.lit(" ("), F.col("summed").cast("string"), F.lit(") no cuadran con el resultado guardado ("), F.col("own_score").cast("string"), F.lit(")")))
-    minutes = F.when(F.col("players") != "", F.concat(head, F.lit("jugadores sin minutos registrados en el box score "), side, F.lit(": "), F.col("players")))
+    points = F.when(off, F.format_string(POINTS, *head, text("summed"), text("own_score")))
+    minutes = F.when(F.col("players") != "", F.format_string(MINUTES, *head, F.col("players")))
     faults = F.array(F.struct(F.lit("points").alias("kind"), points.alias("message")), F.struct(F.lit("minutes").alias("kind"), minutes.alias("message")))
     return rows.select("game_id", "team_id", F.inline(faults)).where("message is not null")
 
