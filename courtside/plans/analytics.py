@@ -227,14 +227,14 @@ def head_to_head(t: Tables) -> DataFrame:
     return _scores(calendar.head_to_head(t.games, TEAM, OPPONENT)).select("game_id", "date", "is_home", "own_score", "opp_score")
 
 
-@query("SELECT team_id, opponent_id, game_id, own_score, opp_score, r AS recency FROM (SELECT *, row_number() OVER (PARTITION BY team_id, opponent_id ORDER BY game_date DESC, game_id DESC) AS r FROM team_games WHERE own_score IS NOT NULL) WHERE r <= 2")
+@query("SELECT team_id, opponent_id, game_id, own_score, opp_score, r::INTEGER AS recency FROM (SELECT *, row_number() OVER (PARTITION BY team_id, opponent_id ORDER BY game_date DESC, game_id DESC) AS r FROM team_games WHERE own_score IS NOT NULL) WHERE r <= 2")
 def last2_head_to_head(t: Tables) -> DataFrame:
     rows = calendar.newest(team_games(t.games).where("own_score is not null"), ["team_id", "opponent_id"], 2)
     return rows.select("team_id", "opponent_id", "game_id", "own_score", "opp_score", "recency")
 
 
 @query("""
-SELECT n.team_id, n.game_id, r AS recency, own_score, opp_score, pace, off_rating, def_rating, net_rating FROM (
+SELECT n.team_id, n.game_id, r::INTEGER AS recency, own_score, opp_score, pace, off_rating, def_rating, net_rating FROM (
   SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY game_date DESC, game_id DESC) AS r FROM team_games WHERE own_score IS NOT NULL) n LEFT JOIN team_game_stats s ON s.game_id = n.game_id AND s.team_id = n.team_id WHERE r <= 5""")
 def recent_games(t: Tables) -> DataFrame:
     return calendar.recent(t.games, t.team_game_stats, 5).select("team_id", "game_id", "recency", "own_score", "opp_score", "pace", "off_rating", "def_rating", "net_rating")

@@ -226,7 +226,7 @@ def team_by_slug(t: Tables) -> DataFrame:
     return t.teams.join(wanted, "slug", "left_semi").select("id", "name", "slug", "league")
 
 
-@query("SELECT id, slug, CASE WHEN slug = 'nation_3' THEN 'Third' ELSE name END AS display, league, row_number() OVER (ORDER BY name) AS place FROM teams")
+@query("SELECT id, slug, CASE WHEN slug = 'nation_3' THEN 'Third' ELSE name END AS display, league, row_number() OVER (ORDER BY name)::INTEGER AS place FROM teams")
 def teams_by_name(t: Tables) -> DataFrame:
     return t.teams.select("id", "slug", S.display_name(F.col("slug"), F.col("name"), {"nation_3": "Third"}).alias("display"), "league", F.row_number().over(W.orderBy("name")).alias("place"))
 
