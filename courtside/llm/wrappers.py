@@ -26,6 +26,8 @@ from courtside.llm.urls import host_of
 
 #: Streams that one task aligns; a host with more is aligned in parts, and then its partial wrappers.
 GROUP = 256
+#: Items of a folded stream or of a wrapper. Pages beyond it don't fit their host's wrapper and are cut by their own.
+ITEMS = 4000
 #: Wrappers are broadcast up to this many characters together; else the join on the host shuffles.
 BROADCAST_CHARS = 16_000_000
 
@@ -277,9 +279,11 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _infer(streams: list[list]) -> list:
     """Align wrappers, the shortest first, so that optional groups come in as they turn up."""
-    wrapper = streams[0]
-    for s in streams[1:]:
-        wrapper = align(wrapper, s)
+    wrapper: list = []
+    for s in streams:
+        if len(s) <= ITEMS:
+            wider = align(wrapper, s) if wrapper else s
+            wrapper = wider if len(wider) <= ITEMS else wrapper
     return wrapper
 
 
@@ -287,7 +291,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """``(host, main, pattern)``: the wrapper of each host, from all its pages (``host, html``)."""
     scratch = Scratch(pages.sparkSession, "wrappers")
     rows = scratch.save(pages.select("host", "html").mapInArrow(_streams, "host string, stream string, container string, n long").groupBy("host", "stream", "container").agg(F.sum("n").alias("n")))
-    weights = rows.groupBy("host", "container").agg(F.sum("n").alias("n")).groupBy("host").agg(F.collect_list(F.struct("container", "n")).alias("weights"))
+    heaviest = F.max_by("container", F.struct("n", "container")).alias("container")
+    weights = rows.groupBy("host", "container").agg(F.sum("n").alias("n")).groupBy("host").agg(heaviest)
     streams = rows.select("host", "stream").distinct()
     parts = F.pmod(F.xxhash64("stream"), F.ceil(F.col("of") / GROUP)).cast("int")
     salted = streams.join(streams.groupBy("host").agg(F.count("*").alias("of")), "host").withColumn("part", parts)
@@ -300,7 +305,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         if not len(left):
             return pd.DataFrame({"host": [], "main": [], "pattern": []}).astype(str)
         whole = _infer([[(_frozen(x), o) for x, o in json.loads(w)] for w in left.sort_values("part")["wrapper"]])
-        weights = Counter({w["container"]: w["n"] for w in (right["weights"].iloc[0] if len(right) else [])})
+        weights = Counter(right["container"].tolist())
         return pd.DataFrame({"host": [key[0]], "main": [main_container(whole, weights)], "pattern": [expression(whole)]})
 
     partials = salted.groupBy("host", "part").applyInPandas(partial, "host string, part int, wrapper string")

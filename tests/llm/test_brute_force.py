@@ -484,6 +484,8 @@ def test_wrapper_inference():
         assert fits.fullmatch("".join(t + " " for t, _, _ in wrappers.blocks(page)))
     assert not fits.fullmatch("".join(t + " " for t, _, _ in wrappers.blocks("<article><p>b</p><h1>a</h1></article>")))
     assert wrappers.main_container(w, Counter()) == "article"
+    huge = stream("".join(f"<div class=c{k}><p>x</p></div>" for k in range(3000)))
+    assert wrappers._infer([stream(one), huge]) == stream(one) and wrappers._infer([huge]) == []
 
 
 # --- registered queries -----------------------------------------------------------------------------
