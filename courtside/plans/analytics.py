@@ -18,21 +18,27 @@ REFERENCE = date(2001, 3, 1)
 SEASON = 2000
 TEAM, OPPONENT = 3, 7
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+def registrar() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str], Callable]:
+    """An empty registry of queries, one of SQL, and the decorator that fills both.
 
+    The decorator takes the SQL that follows the shared CTEs; the query's name is the function's.
+    """
+    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    twins: dict[str, str] = {}
 
-def query(sql: str | None = None):
-    """Register a function of ``Tables`` under its name, with the SQL that follows the shared CTEs."""
-
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
+    def query(sql: str):
+        def register(f: Callable[[Tables], DataFrame]):
+            found[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
             body = sql.strip()
-            SQL[f.__name__] = f"WITH {CTES.strip()}, {body[5:]}" if body.startswith("WITH ") else f"WITH {CTES.strip()} {body}"
-        return f
+            twins[f.__name__] = f"WITH {CTES.strip()}, {body[5:]}" if body.startswith("WITH ") else f"WITH {CTES.strip()} {body}"
+            return f
+
+        return register
+
+    return found, twins, query
+
 
-    return register
+QUERIES, SQL, query = registrar()
 
 
 def m(column: str) -> str:
@@ -63,6 +69,7 @@ streak_rows AS (
       CASE WHEN count(ts_pct) >= 6 THEN stddev_pop(ts_pct) END AS season_std_ts_pct
     FROM streak_rows GROUP BY ALL HAVING count(*) >= 6)
 )"""
+STREAKS_ALL = _STREAKS.format(where="")
 _STREAK_OUT = ", ".join(f"round({c}, 6) AS {c}" for c in "recent_avg_pts season_avg_pts season_std_pts recent_avg_ts_pct season_avg_ts_pct season_std_ts_pct z_score_pts z_score_ts".split())
 
 _SUMMARY = """
@@ -87,7 +94,7 @@ def recent_form(t: Tables) -> DataFrame:
     return rounded(players.recent_form(t.games, t.boxscores, 5))
 
 
-@query(f"WITH {_STREAKS.format(where='')} SELECT team_id, player_name, season, games_season, {_STREAK_OUT}, CASE WHEN round(z_score_pts, 6) >= 1 THEN 'hot' WHEN round(z_score_pts, 6) <= -1 THEN 'cold' ELSE 'neutral' END AS streak FROM streaks")
+@query(f"WITH {STREAKS_ALL} SELECT team_id, player_name, season, games_season, {_STREAK_OUT}, CASE WHEN round(z_score_pts, 6) >= 1 THEN 'hot' WHEN round(z_score_pts, 6) <= -1 THEN 'cold' ELSE 'neutral' END AS streak FROM streaks")
 def streak_zscore(t: Tables) -> DataFrame:
     return rounded(players.streaks(t.games, t.boxscores))
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,23 +11,11 @@ from courtside.functions import names
 from courtside.functions import scalars as S
 from courtside.operators import entities, fusion, ingest, players, teams, upsert
 from courtside.operators.base import places, team_games
-from courtside.plans.domain import CTES, Tables
+from courtside.plans.analytics import registrar
+from courtside.plans.domain import Tables
 from courtside.sources import html_tables, json_games, reports
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            body = sql.strip()
-            SQL[f.__name__] = f"WITH {CTES.strip()}, {body[5:]}" if body.startswith("WITH ") else f"WITH {CTES.strip()} {body}"
-        return f
-
-    return register
-
+QUERIES, SQL, query = registrar()
 
 _KEYED = r"""
 keyed AS (

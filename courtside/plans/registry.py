@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtside.plans import analytics, records
+from courtside.plans import analytics, records, shown
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return analytics.QUERIES | records.QUERIES
+    return analytics.QUERIES | records.QUERIES | shown.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return analytics.SQL | records.SQL
+    return analytics.SQL | records.SQL | shown.SQL
