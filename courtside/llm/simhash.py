@@ -51,16 +51,35 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def near_pairs(fps: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: the pairs of distinct fingerprints ``fp`` that differ in three bits or fewer."""
+def fingerprint_components(scratch: Scratch, fps: DataFrame) -> DataFrame:
+    """``(node, root)`` for the distinct fingerprints ``fp`` that differ in three bits or fewer from another.
+
+    First each is compared with the least one of each of its halves. What that joins is not compared again:
+    of the probes of a ball only those go on that reach a half where another component lives, and only
+    pairs of different components are made. So a large group of near copies costs no square of its size,
+    and every link that could join two components is found.
+    """
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
     halves = F.array(F.struct(F.lit(0).alias("part"), low.alias("at")), F.struct(F.lit(1).alias("part"), high.alias("at")))
-    table = fps.select("fp", F.inline(halves)).select("part", "at", F.col("fp").alias("b"))
+    key = ["part", "at"]
+    homes = fps.select("fp", F.inline(halves))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
+
+    leaders = scratch.save(homes.groupBy(*key).agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    first = homes.withColumnRenamed("fp", "b").join(leaders, key).where((F.col("a") < F.col("b")) & near).select("a", "b")
+    links = scratch.save(first.distinct())
+    roots = scratch.save(components(scratch, links))
+    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    lived = scratch.save(placed.select("fp", "root", F.inline(halves)))
+    spans = lived.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+
     ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    probes = fps.select("fp", F.inline(halves)).select("part", F.explode(F.transform(ball, lambda m: F.col("at").bitwiseXOR(m))).alias("at"), F.col("fp").alias("a"))
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return probes.join(table, ["part", "at"]).where((F.col("a") < F.col("b")) & (distance <= MAX_BITS)).select("a", "b").distinct()
+    probes = lived.select("part", F.explode(F.transform(ball, lambda m: F.col("at").bitwiseXOR(m))).alias("at"), F.col("fp").alias("a"), "root")
+    foreign = probes.join(spans, key).where("low <> root or high <> root").select(*key, "a", "root")
+    there = lived.select(*key, F.col("fp").alias("b"), F.col("root").alias("other"))
+    second = foreign.join(there, key).where((F.col("root") != F.col("other")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return components(scratch, scratch.save(links.union(second.distinct())))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -74,7 +93,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.save(fingerprints(docs, shingle))
     classes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(scratch, near_pairs(classes.select("fp")))
+    roots = fingerprint_components(scratch, classes.select("fp"))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = scratch.save(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
