@@ -103,14 +103,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 # --- documents that share most of their five-word shingles ------------------------------------------
 
-#: Segments of the long fingerprint, and their bits. Of each segment the ball over the four bits that are
-#: least certain is enumerated: of pairs at the threshold one in a hundred shares no key (measured).
-SEGMENTS, BITS, UNSURE = 12, 32, 4
-#: Bits of the long fingerprint that documents at the threshold differ in, at most (of 384; a tenth is usual).
+#: Segments of the long fingerprint, and their bits. They only join large groups early, at a cost linear in them.
+SEGMENTS, BITS = 12, 32
+#: Bits of the long fingerprint that are worth comparing shingles at that point. Which links are found doesn't depend on it.
 FAR = 64
 SIMILARITY, WORDS = 0.8, 5
+#: Shingles with OFTEN copies in one of SAMPLE texts come last in the order of shingles, the LISTED most usual at
+#: most. Any order finds the same links; one that has the usual ones last finds them with fewer candidates.
+SAMPLE, OFTEN, LISTED = 16, 8, 100_000
 #: Members of a key that are compared at once.
 CHUNK = 512
+#: Candidate pairs of a block for each of its rows, up to which they become rows; more are compared in the block.
+SPARSE = 2
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -123,9 +127,8 @@ def _hashes(words: list[bytes], k: int) -> np.ndarray:
     return np.array(list({digest(b" ".join(words[i : i + k]), SEED) for i in range(max(1, len(words) - k + 1))}), dtype=np.uint64)
 
 
-def long_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint of the two-word shingles as SEGMENTS unsigned words, and the keys of each segment's ball,
-    the segment itself first: shape (SEGMENTS, 2 ** UNSURE).
+def long_fingerprint(text: str | None) -> np.ndarray:
+    """The fingerprint of the two-word shingles as SEGMENTS unsigned words.
 
     Two-word shingles change less under an edit than those by which similarity is measured.
     """
@@ -140,10 +143,25 @@ def long_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             z ^= z >> np.uint64(31)
             total += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     margin = (2 * total - len(h)).reshape(SEGMENTS, BITS)
-    segment = ((margin > 0) * (1 << np.arange(BITS, dtype=np.int64))).sum(axis=1)
-    unsure = np.argsort(np.abs(margin), axis=1, kind="stable")[:, :UNSURE]
-    flips = (np.arange(1 << UNSURE)[:, None] >> np.arange(UNSURE)) & 1
-    return segment, segment[:, None] ^ (flips[None] * (1 << unsure.astype(np.int64))[:, None, :]).sum(axis=2)
+    return ((margin > 0) * (1 << np.arange(BITS, dtype=np.int64))).sum(axis=1)
+
+
+def prefix(text: str | None, usual: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int, bytes]:
+    """The first shingles of a text in an order that all texts share, the number of all, and a bitmap of all,
+    two to four bits for each.
+
+    Of two similar texts with n shingles each has at least ``SIMILARITY * n`` in common with the other, so the
+    first that both have is among the first ``n - SIMILARITY * n + 1`` of either.
+    """
+    h = _hashes(_words(text), WORDS).view(np.int64)
+    values, places = usual
+    late = np.zeros(len(h), dtype=np.int64)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+        late = np.where(values[at] == h, places[at], 0)
+    bits = np.zeros(max(8, 1 << (2 * len(h) - 1).bit_length()), dtype=np.uint8)
+    bits[h & (len(bits) - 1)] = 1
+    return h[np.lexsort((h, late))][: int((1 - SIMILARITY) * len(h) + 1e-6) + 1], len(h), np.packbits(bits, bitorder="little").tobytes()
 
 
 def _text_hashes() -> list:
@@ -152,14 +170,43 @@ def _text_hashes() -> list:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")]
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, t1, t2, text) -> the fields, the segments and the keys of their balls, segment by segment."""
-    for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
-            both = [long_fingerprint(t.as_py()) for t in part.column(3)]
-            segments, keys = pa.array([s for s, _ in both], pa.list_(pa.int64())), pa.array([k.reshape(-1).astype(np.uint32).view(np.int32) for _, k in both], pa.list_(pa.int32()))
-            yield pa.record_batch([part.column(0), part.column(1), part.column(2), segments, keys], ["doc_id", "t1", "t2", "segments", "keys"])
+def _usual(scratch: Scratch, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most usual shingles by value, and the place of each in the order, from 1."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.record_batch([pa.array(_hashes(_words(t.as_py()), WORDS).view(np.int64))], ["shingle"])
+
+    sample = docs.where(F.pmod(_text_hashes()[0], F.lit(SAMPLE)) == 0).select("text")
+    often = scratch.save(sample.mapInArrow(shingled, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN))
+    least, listed = 0, 0
+    for n, shingles in sorted(map(tuple, often.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        listed += shingles
+        if listed > LISTED:
+            least = n + 1
+            break
+    found = sorted((n, h) for h, n in often.where(F.col("n") >= least).collect())
+    scratch.drop(often)
+    values, places = np.array([h for _, h in found], dtype=np.int64), np.arange(1, len(found) + 1)
+    order = np.argsort(values)
+    return values[order], places[order]
+
+
+def _signed(usual: tuple[np.ndarray, np.ndarray]):
+    """(doc_id, t1, t2, text) -> the fields, the segments, the first shingles, the number and the bitmap of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                texts = [t.as_py() for t in part.column(3)]
+                firsts = [prefix(t, usual) for t in texts]
+                segments = pa.array([long_fingerprint(t) for t in texts], pa.list_(pa.int64()))
+                keys, sizes, bits = (pa.array(x, t) for x, t in zip(zip(*firsts), (pa.list_(pa.int64()), pa.int32(), pa.binary())))
+                yield pa.record_batch([part.column(0), part.column(1), part.column(2), segments, keys, sizes, bits], ["doc_id", "t1", "t2", "segments", "keys", "size", "bits"])
+
+    return run
 
 
 def _sets(scratch: Scratch, docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -181,11 +228,16 @@ def _sets(scratch: Scratch, docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return scratch.save(texts.mapInArrow(shingled, "cid long, set array<int>").groupBy("cid").agg(F.first("set").alias("set")))
 
 
-def _verified(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of ``pairs(a, b)`` of classes those whose long fingerprints are near and whose shingles are similar."""
+def _near(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of ``pairs(a, b)`` of classes those whose long fingerprints are near."""
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("segments").alias(f"s{c}"))
     distance = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = scratch.save(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(distance <= FAR).select("a", "b"))
+    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(distance <= FAR).select("a", "b")
+
+
+def _verified(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of ``pairs(a, b)`` of classes those whose shingles are similar."""
+    near = scratch.save(pairs.distinct())
     wanted = scratch.save(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "t1", "t2"), "cid"))
     sets = _sets(scratch, docs, wanted)
     of = lambda c: sets.select(F.col("cid").alias(c), F.col("set").alias(f"s{c}"))
@@ -194,13 +246,18 @@ def _verified(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: Data
     return scratch.save(both.where(common >= SIMILARITY * (total - common)).select("a", "b"))
 
 
-def _block_links(cid, home, root, segments, sets) -> list[tuple[int, int]]:
+def _candidates(root, pos, size) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block that are in different components so far and may be similar: by their sizes, and by what
+    follows the key in both, as one key of a pair is the first that both have."""
+    left, all_ = size - pos, np.add.outer(size, size)
+    able = np.minimum.outer(left, left) >= SIMILARITY / (1 + SIMILARITY) * all_ - 1e-6
+    able &= np.minimum.outer(size, size) >= SIMILARITY / (1 + SIMILARITY) * all_ - 1e-6
+    return np.nonzero(np.triu(able & (root[:, None] != root[None]), 1))
+
+
+def _block_links(cid, root, pos, size, sets) -> list[tuple[int, int]]:
     """A spanning forest of the links among the documents of a block that are in different components so far."""
-    n = len(cid)
-    near = np.zeros((n, n), dtype=np.int16)
-    for k in range(segments.shape[1]):
-        near += np.bitwise_count(segments[:, None, k] ^ segments[None, :, k])
-    i, j = np.nonzero(np.triu((near <= FAR) & (home[:, None] | home[None]) & (root[:, None] != root[None]), 1))
+    i, j = _candidates(root, pos, size)
     up = {r: r for r in root.tolist()}
 
     def find(x):
@@ -225,91 +282,152 @@ def _block_links(cid, home, root, segments, sets) -> list[tuple[int, int]]:
     return out
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, a, b, home, cid, root, segments, set), sorted by block -> links (a, b)."""
-
-    def numbers(part: pa.RecordBatch) -> list:
-        segments = part.column(6).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.uint64)
-        sets = np.empty(part.num_rows, dtype=object)
-        values, offsets = part.column(7).values.to_numpy(zero_copy_only=False), part.column(7).offsets.to_numpy()
-        for k in range(part.num_rows):
-            sets[k] = values[offsets[k] : offsets[k + 1]]
-        return [part.column(k).to_numpy(zero_copy_only=False) for k in range(6)] + [segments, sets]
-
-    def results(cols: list, edges: list[int]):
-        found = [pair for s, e in zip(edges, edges[1:]) if e - s > 1 for pair in _block_links(cols[4][s:e], cols[3][s:e], cols[5][s:e], cols[6][s:e], cols[7][s:e])]
-        if found:
-            yield pa.record_batch([pa.array([p[0] for p in found]), pa.array([p[1] for p in found])], ["a", "b"])
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Rows (key, a, b, ...), sorted by these -> the columns of each block of two rows and more."""
+
+    def numbers(column) -> np.ndarray:
+        if not pa.types.is_list(column.type):
+            return column.to_numpy(zero_copy_only=False)
+        lists = np.empty(len(column), dtype=object)
+        values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        for k in range(len(column)):
+            lists[k] = values[offsets[k] : offsets[k + 1]]
+        return lists
 
     rest: list | None = None
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
-            cols = numbers(batch.slice(at, 1024))
+            cols = [numbers(c) for c in batch.slice(at, 1024).columns]
             if rest is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols)]
             change = np.zeros(len(cols[0]), dtype=bool)
             for k in cols[:3]:
                 change[1:] |= k[1:] != k[:-1]
             edges = [0, *np.nonzero(change)[0].tolist()]  # the last block may go on in the next rows
-            yield from results(cols, edges)
+            for s, e in zip(edges, edges[1:]):
+                if e - s > 1:
+                    yield [c[s:e] for c in cols]
             rest = [c[edges[-1] :] for c in cols]
-    if rest is not None:
-        yield from results(rest, [0, len(rest[0])])
+    if rest is not None and len(rest[0]) > 1:
+        yield rest
+
+
+def _in_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, b, cid, root, pos, size), sorted by block -> those that are in a candidate pair."""
+    found: list = []
+    names = ["key", "a", "b", "cid", "root", "pos", "size"]
+    batch = lambda: pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found)], names)
+    for cols in _blocks(batches):
+        kept = np.unique(np.concatenate(_candidates(*cols[4:7])))
+        if len(kept):
+            found.append([c[kept] for c in cols])
+        if len(found) >= 4096:
+            yield batch()
+            found = []
+    if found:
+        yield batch()
+
+
+def _missing(a: bytes, b: bytes) -> tuple[int, int]:
+    """How many shingles of each are not in the other, at least: bits that are set in one bitmap only."""
+
+    def folded(x: bytes, n: int) -> int:
+        whole = 0
+        for at in range(0, len(x), n):
+            whole |= int.from_bytes(x[at : at + n], "little")
+        return whole
+
+    n = min(len(a), len(b))
+    x, y = folded(a, n), folded(b, n)
+    return (x & ~y).bit_count(), (y & ~x).bit_count()
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, b, cid, root, pos, size, bits), sorted by block -> candidate pairs (cid, other) that the bitmaps
+    allow, or, where a block has more than SPARSE for each row, its rows in such pairs, with other null."""
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    names = ["key", "a", "b", "cid", "root", "pos", "size", "other"]
+    found: list = []
+    batch = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
+    for cols in _blocks(batches):
+        size, bits = cols[6].tolist(), cols[7]
+        pairs = []
+        for i, j in zip(*(x.tolist() for x in _candidates(*cols[4:7]))):
+            x, y = _missing(bits[i], bits[j])
+            if min(size[i] - x, size[j] - y) >= SIMILARITY / (1 + SIMILARITY) * (size[i] + size[j]) - 1e-6:
+                pairs.append((i, j))
+        rows = list(zip(*(c.tolist() for c in cols[:7])))
+        if len(pairs) <= SPARSE * len(rows):
+            found += [(*rows[i], rows[j][3]) for i, j in pairs]
+        else:
+            found += [(*rows[i], None) for i in sorted({k for pair in pairs for k in pair})]
+        if len(found) >= 8192:
+            yield batch()
+            found = []
+    if found:
+        yield batch()
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, b, cid, root, pos, size, set), sorted by block -> links (a, b)."""
+    for cols in _blocks(batches):
+        if found := _block_links(*cols[3:]):
+            yield pa.record_batch([pa.array([p[0] for p in found]), pa.array([p[1] for p in found])], ["a", "b"])
 
 
 def _blocked(scratch: Scratch, docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """Links of different components among ``members(key, cid, root, home)`` of each key, one of the two at home.
+    """Links of different components among ``members(key, cid, root, pos, size)`` of each key.
 
-    Compared inside tasks, by fingerprint and then exactly: what comes out is a forest, not the pairs. Keys
-    with many members are cut into chunks, and pairs of chunks are tasks of their own.
+    Thinned out inside tasks by what size, place and bitmaps allow. What is left of a block with few candidates for
+    each row is compared pair by pair, once for all keys of a pair; of others inside tasks, where what comes out is
+    a forest, not the pairs. Keys with many members are cut into chunks, and pairs of chunks are tasks of their own.
     """
+    block = ["key", "a", "b"]
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("cid", F.lit("chunk")), F.col("chunks")).cast("int")
     dealt = members.join(sizes, "key").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "home", "cid", "root")
-    wanted = scratch.save(members.select("cid").distinct().join(classes.select("cid", "t1", "t2"), "cid"))
-    sets = _sets(scratch, docs, wanted).join(classes.select("cid", "segments"), "cid")
-    rows = dealt.join(scratch.save(sets), "cid").select("key", "a", "b", "home", "cid", "root", "segments", "set")
-    return scratch.save(rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_compared, "a long, b long"))
+    dealt = dealt.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "cid", "root", "pos", "size")
+    by_block = lambda df, work, schema: scratch.save(df.repartition(*block).sortWithinPartitions(*block).mapInArrow(work, schema))
+    kept = by_block(dealt, _in_pairs, "key long, a int, b int, cid long, root long, pos int, size int")
+    thin = by_block(kept.join(classes.select("cid", "bits"), "cid").select(*kept.columns, "bits"), _thinned, "key long, a int, b int, cid long, root long, pos int, size int, other long")
+    pairs = thin.where("other is not null").select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
+    dense = thin.where("other is null").drop("other")
+    wanted = scratch.save(dense.select("cid").distinct().join(classes.select("cid", "t1", "t2"), "cid"))
+    rows = dense.join(_sets(scratch, docs, wanted), "cid").select(*kept.columns, "set")
+    scratch.drop(kept)
+    return by_block(rows, _compared, "a long, b long").union(_verified(scratch, docs, classes, pairs))
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, component_id``, documents linked where the Jaccard similarity of their
     five-word shingles (lower-case, white space aside) is ``SIMILARITY`` or more.
 
-    Candidates share a key: a segment of one's long fingerprint lies in the ball around the other's. Equal
-    texts are one class. First each class is compared with the least class of each of its segments, which
-    joins large groups of near copies at a cost that is linear in them; then all candidates whose components
-    still differ are compared, so no candidate link is lost. Null and wordless texts are alike. A null doc_id
-    names no component. Other columns are not read. An empty table gives an empty result.
+    Equal texts are one class. First each class is compared with the least class of each segment of its long
+    fingerprint, which joins large groups of near copies at a cost that is linear in them. Then those whose
+    components still differ are compared if they share one of their first shingles (see ``prefix``), as all
+    similar texts do: no link between components is lost, wherever the texts differ. Null and wordless texts
+    are alike. A null doc_id names no component. Other columns are not read. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = docs.select("doc_id", *_text_hashes(), "text").mapInArrow(_signed, f"doc_id {kind}, t1 long, t2 long, segments array<long>, keys array<int>")
+    signed = docs.select("doc_id", *_text_hashes(), "text").mapInArrow(_signed(_usual(scratch, docs)), f"doc_id {kind}, t1 long, t2 long, segments array<long>, keys array<long>, size int, bits binary")
     signed = scratch.save(signed)
     ids = scratch.save(signed.select("doc_id", "t1", "t2"))
-    once = signed.groupBy("t1", "t2").agg(F.first("segments").alias("segments"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"))
+    once = signed.groupBy("t1", "t2").agg(*[F.first(c).alias(c) for c in ("segments", "keys", "size", "bits")], F.min("doc_id").alias("least"))
     classes = scratch.save(once.withColumn("cid", F.monotonically_increasing_id()))
     scratch.drop(signed)
-    # a key is the number of its segment above the 32 bits of a value; the first of each ball is the segment itself
-    probes = classes.select("cid", F.posexplode("keys").alias("i", "value"))
-    probes = probes.select("cid", (F.shiftleft(F.shiftright("i", UNSURE).cast("long"), BITS) + F.col("value").cast("long")).alias("key"), (F.col("i") % (1 << UNSURE) == 0).alias("home"))
-    homes = probes.where("home").drop("home")
-    probes = probes.drop("home")
+    # a key is the number of its segment above the 32 bits of a value
+    homes = classes.select("cid", F.posexplode("segments").alias("i", "value")).select("cid", (F.shiftleft(F.col("i").cast("long"), BITS) + F.col("value")).alias("key"))
 
     leaders = scratch.save(homes.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"))
     first = homes.join(leaders, "key").where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b"))
-    links = _verified(scratch, docs, classes, first)
+    links = _verified(scratch, docs, classes, _near(classes, first))
     roots = scratch.save(components(scratch, links))
-    placed = lambda entries: entries.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "key", F.coalesce("root", "cid").alias("root"))
-    lived = scratch.save(placed(homes))
-    spans = lived.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    foreign = scratch.save(placed(probes).join(spans, "key").where("low <> root or high <> root").select("cid", "key", "root"))
-    there = lived.join(foreign.select("key").distinct(), "key", "left_semi").select("cid", "key", "root", F.lit(True).alias("home"))
-    every = foreign.withColumn("home", F.lit(False)).union(there.select("cid", "key", "root", "home"))
-    members = scratch.save(every.groupBy("key", "cid", "root").agg(F.max("home").alias("home")))
+    firsts = classes.select("cid", "size", "keys").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(F.posexplode("keys").alias("pos", "key"), "cid", F.coalesce("root", "cid").alias("root"), "size")
+    spans = firsts.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    members = scratch.save(firsts.join(spans, "key").select("key", "cid", "root", "pos", "size"))
     links = scratch.save(links.union(_blocked(scratch, docs, classes, members)))
-    scratch.drop(lived, foreign, members)
+    scratch.drop(members)
 
     roots = components(scratch, links)
     named = classes.select("cid", "t1", "t2", "least").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))

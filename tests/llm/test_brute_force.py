@@ -110,6 +110,24 @@ def test_similar_against_all_pairs(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(df.union(df)).collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("sparse", [0, 2])
+def test_similar_with_passages_appended_and_replaced(spark, monkeypatch, sparse):
+    """Pairs at the threshold whose difference is one passage; usual shingles come last in the order."""
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "SPARSE", sparse)
+    rng = random.Random(12)
+    new = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    usual, texts = new(30), []
+    for k in range(30):
+        base = new(300) + usual
+        texts += [base, base + new(60 + k % 30), base[:100] + new(20 + k % 12) + base[120 + k % 12 :]]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    want = components(len(texts), links)
+    got = {r.doc_id: r.component_id for r in simhash.similar(documents(spark, [" ".join(w) for w in texts])).collect()}
+    assert got == dict(enumerate(want)) and 30 < len(set(want)) < 60
+
+
 # --- 2 mixing ---------------------------------------------------------------------------------------
 
 
