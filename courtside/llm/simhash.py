@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import BROADCAST_IDS, Scratch, components, without_ids
+from courtside.llm.common import BROADCAST_IDS, Scratch, components
 
 SEED = 42
 MAX_BITS = 3
@@ -398,16 +398,9 @@ def _blocked(scratch: Scratch, docs: DataFrame, classes: DataFrame, members: Dat
     return by_block(rows, _compared, "a long, b long").union(_verified(scratch, docs, classes, pairs))
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, component_id``, documents linked where the Jaccard similarity of their
-    five-word shingles (lower-case, white space aside) is ``SIMILARITY`` or more.
-
-    Equal texts are one class. First each class is compared with the least class of each segment of its long
-    fingerprint, which joins large groups of near copies at a cost that is linear in them. Then those whose
-    components still differ are compared if they share one of their first shingles (see ``prefix``), as all
-    similar texts do: no link between components is lost, wherever the texts differ. Null and wordless texts
-    are alike. A null doc_id names no component. Other columns are not read. An empty table gives an empty result.
-    """
+def _decided(docs: DataFrame) -> DataFrame:
+    """``doc_id, t1, t2, component_id, stays`` for each row: its text by hashes, and whether this id with this text
+    is the one that stays of its component."""
     scratch = Scratch(docs.sparkSession, "similar")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = docs.select("doc_id", *_text_hashes(), "text").mapInArrow(_signed(_usual(scratch, docs)), f"doc_id {kind}, t1 long, t2 long, segments array<long>, keys array<long>, size int, bits binary")
@@ -432,19 +425,39 @@ def similar(docs: DataFrame) -> DataFrame:
     roots = components(scratch, links)
     named = classes.select("cid", "t1", "t2", "least").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = scratch.save(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = scratch.save(named.join(least, "root").select("t1", "t2", "component_id"))
-    return ids.join(of, ["t1", "t2"]).select("doc_id", "component_id")
+    first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", "t1", "t2"))).alias("first")
+    of = scratch.save(named.join(named.groupBy("root").agg(first), "root").select("t1", "t2", "first"))
+    stays = (F.col("doc_id") == F.col("first.least")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
+    return ids.join(of, ["t1", "t2"]).select("doc_id", "t1", "t2", F.col("first.least").alias("component_id"), stays.alias("stays"))
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id, component_id``, documents linked where the Jaccard similarity of their
+    five-word shingles (lower-case, white space aside) is ``SIMILARITY`` or more.
+
+    Equal texts are one class. First each class is compared with the least class of each segment of its long
+    fingerprint, which joins large groups of near copies at a cost that is linear in them. Then those whose
+    components still differ are compared if they share one of their first shingles (see ``prefix``), as all
+    similar texts do: no link between components is lost, wherever the texts differ. Null and wordless texts
+    are alike. A null doc_id names no component. Other columns are not read. An empty table gives an empty result.
+    """
+    return _decided(docs).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component of similar ones: the one with the smallest id.
 
-    Documents without an id stay, as no decision can name them. Repeated rows of one id become one.
+    Documents without an id stay, as no decision can name them. Repeated rows of one id and text become one; an id
+    that stands for several texts is decided for each of them.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    found = scratch.save(similar(docs))
-    away = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = without_ids(docs, away, away.count())
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if twice else kept
+    found = scratch.save(_decided(docs))
+    key = ["doc_id", "_t1", "_t2"]
+    named = found.select("doc_id", F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "stays").where("doc_id is not null")
+    away = scratch.save(named.where("not stays").select(*key).distinct())
+    keyed = docs.withColumns(dict(zip(key[1:], _text_hashes())))
+    kept = keyed.join(F.broadcast(away) if away.count() <= BROADCAST_IDS // 3 else away, key, "left_anti")
+    twice = named.where("stays").groupBy(*key).count().where("count > 1").limit(1).count()
+    if twice:
+        kept = kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(key))
+    return kept.select(*docs.columns)

@@ -128,6 +128,18 @@ def test_similar_with_passages_appended_and_replaced(spark, monkeypatch, sparse)
     assert got == dict(enumerate(want)) and 30 < len(set(want)) < 60
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    rng = random.Random(13)
+    a, b, c, d, e, f = (" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(40)) for _ in range(6))
+    # 1: a repeated row; no ids: all stay; 5: the least of text b's component and not of text c's; 7: of texts of its own
+    rows = [(1, a), (1, a), (None, d), (None, d + " tail"), (None, e), (5, b), (9, b + " tail"), (5, c), (3, c + " tail"), (7, e + " x"), (7, f), (7, f + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=str)
+    one_of_7 = [r for r in kept if r in ((7, f), (7, f + " tail"))]
+    assert len(one_of_7) == 1
+    assert kept == sorted([(1, a), (None, d), (None, d + " tail"), (None, e), (5, b), (3, c + " tail"), (7, e + " x"), *one_of_7], key=str)
+
+
 # --- 2 mixing ---------------------------------------------------------------------------------------
 
 
