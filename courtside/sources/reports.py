@@ -18,17 +18,22 @@ def canonical(df: DataFrame, n: int = 4) -> DataFrame:
     return df.select(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def _padded(name: str, width: int) -> Column:
+    """A name filled up to a width, and whole if it is longer."""
+    return F.rpad(name, F.greatest(F.lit(width), F.length(name)), F.lit(" "))
+
+
 def form_lines(form: DataFrame) -> DataFrame:
     """``team_id, line``: the recent-form table of a text report."""
     c = F.col
-    line = F.concat(F.rpad("player_name", 24, " "), F.lpad(c("games").cast("string"), 4, " "), *[F.lpad(S.fixed(c(x)), 8, " ") for x in ("avg_minutes", "avg_pts", "avg_pts_per36")], F.lpad(S.percent(c("avg_efg_pct")), 8, " "), F.lpad(S.percent(c("avg_ts_pct")), 8, " "))
+    line = F.concat(_padded("player_name", 24), F.lpad(c("games").cast("string"), 4, " "), *[F.lpad(S.fixed(c(x)), 8, " ") for x in ("avg_minutes", "avg_pts", "avg_pts_per36")], F.lpad(S.percent(c("avg_efg_pct")), 8, " "), F.lpad(S.percent(c("avg_ts_pct")), 8, " "))
     return form.select("team_id", "avg_pts", "player_name", line.alias("line")).orderBy("team_id", F.desc("avg_pts"), "player_name").select("team_id", "line")
 
 
 def summary_lines(summary: DataFrame, teams: DataFrame) -> DataFrame:
     """``team_id, line``: one line a team for the head of a report."""
     c = F.col
-    line = F.concat_ws("  ", F.rpad("name", 20, " "), *[F.concat(F.lit(f"{label} "), S.fixed(c(x))) for label, x in (("Pace", "avg_pace"), ("ORtg", "avg_off_rating"), ("DRtg", "avg_def_rating"), ("Net", "avg_net_rating"))], F.concat(F.lit("eFG% "), S.percent(c("avg_efg_pct"))), F.concat(F.lit("TS% "), S.percent(c("avg_ts_pct"))))
+    line = F.concat_ws("  ", _padded("name", 20), *[F.concat(F.lit(f"{label} "), S.fixed(c(x))) for label, x in (("Pace", "avg_pace"), ("ORtg", "avg_off_rating"), ("DRtg", "avg_def_rating"), ("Net", "avg_net_rating"))], F.concat(F.lit("eFG% "), S.percent(c("avg_efg_pct"))), F.concat(F.lit("TS% "), S.percent(c("avg_ts_pct"))))
     return summary.join(teams.select(c("id").alias("team_id"), "name"), "team_id").select("team_id", line.alias("line"))
 
 

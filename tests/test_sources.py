@@ -105,3 +105,12 @@ def test_streaming_jobs_and_windows(spark, tmp_path):
     rows = spark.createDataFrame([(at, 1, "Ana", "30:00"), (at + datetime.timedelta(days=1), 1, "Ana", "10:00"), (at, 1, "Ana", "")], "ts timestamp, team_id long, player_name string, minutes string")
     loads = {r.load_minutes for r in capture.windowed_load(rows, 2).collect()}
     assert loads == {30.0, 40.0, 10.0}
+
+
+def test_report_lines_keep_long_names(spark):
+    form = spark.createDataFrame([(1, "A player of a very long name, " + x, 2, 10.0, 8.0, 20.0, 0.5, 0.5) for x in ("Ana", "Bea")] + [(1, "Eva", 2, 10.0, 7.0, 20.0, 0.5, 0.5)], "team_id long, player_name string, games long, avg_minutes double, avg_pts double, avg_pts_per36 double, avg_efg_pct double, avg_ts_pct double")
+    lines = [r.line for r in reports.form_lines(form).collect()]
+    assert [x.split("   2")[0] for x in lines] == ["A player of a very long name, Ana", "A player of a very long name, Bea", "Eva".ljust(24)]
+    summary = spark.createDataFrame([(1, 70.0, 100.0, 90.0, 10.0, 0.5, 0.5)], "team_id long, avg_pace double, avg_off_rating double, avg_def_rating double, avg_net_rating double, avg_efg_pct double, avg_ts_pct double")
+    team = spark.createDataFrame([(1, "A team of a very long name")], "id long, name string")
+    assert reports.summary_lines(summary, team).first().line.startswith("A team of a very long name  Pace ")
