@@ -70,7 +70,8 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: ``edges(a, b)`` -> ``(node, root)``, root the least node.
 
     Alternating large-star and small-star steps. Each step is a grouped minimum (combined before the
-    shuffle) and a join on the node, so a hub with many neighbours is never gathered in one place.
+    shuffle) and a join on the node, so a hub with many neighbours is never gathered in one place. It ends
+    when every component is a star around its least node, which is told exactly.
     The two ids must be of one orderable type and not null; only nodes with an edge are returned.
     """
 
@@ -86,16 +87,16 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
-    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+    def unsettled(e: DataFrame) -> int:
+        """Nodes that hang from two others, or hang from one and carry others: none if all that is left are stars."""
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("carries")).union(e.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("carries").alias("carries")).where("hangs + carries > 1").limit(1).count()
+
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = mark(now)
-    while seen[0]:
+    while unsettled(now):
         big = star(both(now), True)  # v > u hangs from the least neighbour: edges (larger, smaller)
         new = scratch.save(star(big, False))
-        then = mark(new)
         scratch.drop(now)
-        now, seen, done = new, then, then == seen
-        if done:
-            break
+        now = new
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))

@@ -51,16 +51,18 @@ def absolute(base: Column, href: Column) -> Column:
     )
 
 
+#: Tags that name another url of the page, and where each has it.
+CANONICAL, REFRESH = r"""(?is)<link\b[^<>]*\brel\s*=\s*["']?canonical\b[^<>]*>""", r"""(?is)<meta\b[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b[^<>]*>"""
+HREF, TARGET = r"""(?is)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", r"""(?is)\burl\s*=\s*['"]?([^'">\s]+)"""
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """``(source, target)`` urls: canonical links and redirects by meta refresh in the whole of each html."""
-    tag = F.regexp_extract("html", r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
-    canonical = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", 0)
-    meta = F.regexp_extract("html", r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", 1)
-    refresh = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*['"]?([^'">\s]+)""", 1)
-    href = F.regexp_replace(F.regexp_replace(canonical, r"(?i)^href\s*=\s*", ""), r"""^["']|["']$""", "")
+    """``(source, target)`` urls: every canonical link and redirect by meta refresh in the whole of each html."""
+    tags = lambda tag, part: F.transform(F.regexp_extract_all("html", F.lit(tag), 0), lambda t: F.regexp_extract(t, part, 1))
+    href = F.trim(F.regexp_replace(F.regexp_replace("href", r"""^["']|["']$""", ""), "&amp;", "&"))
     hinted = pages.where(F.lower("html").contains("canonical") | F.lower("html").contains("refresh"))
-    links = hinted.select("url", F.explode(F.array(href, refresh)).alias("href")).where(F.length("href") > 0)
-    return links.select(F.col("url").alias("source"), absolute(F.col("url"), F.trim(F.regexp_replace("href", "&amp;", "&"))).alias("target")).where("target is not null")
+    links = hinted.select("url", F.explode(F.concat(tags(CANONICAL, HREF), tags(REFRESH, TARGET))).alias("href")).withColumn("href", href).where("href <> ''")
+    return links.select(F.col("url").alias("source"), absolute(F.col("url"), F.col("href")).alias("target")).where("target is not null")
 
 
 def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -119,23 +121,36 @@ RULES = [
 SQL = r"""
 WITH RECURSIVE rules(rhost, rpath, said) AS (
   VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), tags AS (
+  SELECT DISTINCT url, regexp_extract(unnest(regexp_extract_all(html, '<link\b[^<>]*\brel\s*=\s*["'']?canonical\b[^<>]*>', 0, 'is')), '\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1, 'is') AS href FROM pages
+  UNION
+  SELECT url, regexp_extract(unnest(regexp_extract_all(html, '<meta\b[^<>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^<>]*>', 0, 'is')), '\burl\s*=\s*[''"]?([^''">\s]+)', 1, 'is') FROM pages
+), hrefs AS (
+  SELECT url, trim(replace(regexp_replace(href, '^["'']|["'']$', '', 'g'), '&amp;', '&'), ' ') AS href FROM tags
+), targets AS (
+  SELECT url AS source, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([^:/?#]*:)//', 1) || href
+    WHEN href LIKE '/%' THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || href
+    WHEN regexp_matches(url, '^.*?://[^?#]*/', 's') AND regexp_matches(url, '^.*?://[^/?#]*/', 's') THEN regexp_extract(url, '^(.*?://[^?#]*/)', 1, 's') || href
+    ELSE regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || '/' || href END AS target FROM hrefs WHERE href <> ''
+), urls AS (
+  SELECT url FROM pages UNION SELECT source FROM targets UNION SELECT target FROM targets
 ), parts AS (
-  SELECT page_id, url, html, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')) AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages
-), canon AS (
-  SELECT *, regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is') AS href FROM parts
-), named AS (
-  SELECT url AS a, CASE WHEN href LIKE '%://%' THEN href WHEN href LIKE '/%' THEN regexp_extract(url, '^.*?://[^/?#]*') || href END AS b FROM canon WHERE href <> ''
+  SELECT url, host, path, host || ' ' || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(url, '^.*?://[^?#]*(\?[^#]*)', 1, 's') AS resource, contains(coalesce(url, ''), '://') AS whole FROM (
+    SELECT url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM urls)
 ), links AS (
-  SELECT a, b FROM named WHERE b IS NOT NULL UNION SELECT b, a FROM named WHERE b IS NOT NULL
+  SELECT s.resource AS a, t.resource AS b FROM targets l JOIN parts s ON s.url = l.source JOIN parts t ON t.url = l.target WHERE s.whole AND t.whole AND s.resource <> t.resource
+), ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach(a, b) AS (
-  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+  SELECT a, b FROM ways UNION SELECT r.a, l.b FROM reach r JOIN ways l ON r.b = l.a
 ), fits AS (
-  SELECT page_id, rhost || rpath AS rule, said, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, said, rhost || rpath) AS r
-  FROM parts JOIN rules ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath)
-), own AS (
-  SELECT p.page_id, p.url, p.host, p.path, f.rule, f.said FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND r = 1
+  SELECT host, path, rhost || rpath AS rule, said, row_number() OVER (PARTITION BY host, path ORDER BY length(rhost || rpath) DESC, said, rhost || rpath) AS r
+  FROM (SELECT DISTINCT host, path FROM parts UNION SELECT split_part(a, ' ', 1), regexp_extract(a, '^\S* ([^?]*)', 1, 's') FROM reach) JOIN rules ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath)
+), said AS (
+  SELECT n.resource, f.said FROM (SELECT DISTINCT a AS resource, split_part(a, ' ', 1) AS host, regexp_extract(a, '^\S* ([^?]*)', 1, 's') AS path FROM reach) n JOIN fits f ON f.host = n.host AND f.path = n.path AND r = 1
 ), passed AS (
-  SELECT reach.a AS url, bool_or(o.said = 'block') AND NOT coalesce(bool_or(o.said = 'allow'), false) AS blocked FROM reach JOIN own o ON o.url = reach.b GROUP BY reach.a
+  SELECT reach.a AS resource, bool_or(s.said = 'block') AND NOT bool_or(s.said = 'allow') AS blocked FROM reach JOIN said s ON s.resource = reach.b GROUP BY reach.a
 )
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict FROM own LEFT JOIN passed USING (url)
+SELECT page_id, p.host, p.path, f.rule, coalesce(f.said, CASE WHEN d.blocked THEN 'block' END, 'allow') AS verdict
+FROM pages g JOIN parts p ON p.url IS NOT DISTINCT FROM g.url LEFT JOIN fits f ON f.host = p.host AND f.path = p.path AND f.r = 1 LEFT JOIN passed d ON d.resource = p.resource AND p.whole
 """
