@@ -21,6 +21,8 @@ from courtside.llm.common import BROADCAST_IDS, Scratch, components
 SEED = 42
 MAX_BITS = 3
 SHINGLE = 3
+#: Fingerprints at one value of a half from which on they are looked up by their other bits too.
+CROWD = 64
 #: A whole text is hashed in pieces of this many shingles, so that a very long one takes bounded memory.
 PIECE = 1 << 16
 
@@ -56,8 +58,9 @@ def fingerprint_components(scratch: Scratch, fps: DataFrame) -> DataFrame:
 
     First each is compared with the least one of each of its halves. What that joins is not compared again:
     of the probes of a ball only those go on that reach a half where another component lives, and only
-    pairs of different components are made. So a large group of near copies costs no square of its size,
-    and every link that could join two components is found.
+    pairs of different components are made. A half with more than ``CROWD`` fingerprints is split by the
+    four segments of the other half, one of which is equal in any two that are three bits apart. So a large
+    group costs no square of its size, and every link that could join two components is found.
     """
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
@@ -72,13 +75,18 @@ def fingerprint_components(scratch: Scratch, fps: DataFrame) -> DataFrame:
     roots = scratch.save(components(scratch, links))
     placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     lived = scratch.save(placed.select("fp", "root", F.inline(halves)))
-    spans = lived.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    spans = scratch.save(lived.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")))
 
+    # of a half that many live at, the rest of the bits is an index of its own: of four segments one is equal
+    rest = F.when(F.col("part") == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    segment = lambda i: F.struct(F.lit(i).alias("seg"), F.shiftright(F.col("rest"), 8 * i).bitwiseAND(F.lit(0xFF)).alias("val"))
+    finer = F.inline(F.when(F.col("n") > CROWD, F.array(*map(segment, range(4)))).otherwise(F.array(F.struct(F.lit(-1).alias("seg"), F.lit(0).cast("long").alias("val")))))
+    homes = lived.withColumn("rest", rest)
     ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    probes = lived.select("part", F.explode(F.transform(ball, lambda m: F.col("at").bitwiseXOR(m))).alias("at"), F.col("fp").alias("a"), "root")
-    foreign = probes.join(spans, key).where("low <> root or high <> root").select(*key, "a", "root")
-    there = lived.select(*key, F.col("fp").alias("b"), F.col("root").alias("other"))
-    second = foreign.join(there, key).where((F.col("root") != F.col("other")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    probes = homes.select("part", F.explode(F.transform(ball, lambda m: F.col("at").bitwiseXOR(m))).alias("at"), F.col("fp").alias("a"), "root", "rest")
+    foreign = probes.join(spans, key).where("low <> root or high <> root").select(*key, "a", "root", finer)
+    there = homes.join(spans.select(*key, "n"), key).select(*key, F.col("fp").alias("b"), F.col("root").alias("other"), finer)
+    second = foreign.join(there, [*key, "seg", "val"]).where((F.col("root") != F.col("other")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return components(scratch, scratch.save(links.union(second.distinct())))
 
 
