@@ -13,7 +13,8 @@ from collections import Counter
 from functools import reduce
 from operator import and_
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +97,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     A text of more than ``capacity`` words is cut into pieces of that size and a rest. ``cluster`` names a
     column of duplicate clusters; by default texts that are equal but for case and white space form one.
     A null source is a source; a null text and an empty one are pieces of no word, of one cluster.
-    Repeated rows are pieces of their own, of one cluster. An empty table gives an empty result.
+    Repeated rows are pieces of their own, of one cluster. Ids of any type, null ones too, come back as they
+    are. Which of several equal sizes goes first follows the order of the rows. An empty table gives an
+    empty result.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     same = F.col(cluster) if cluster else F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")))
@@ -109,12 +112,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     shards = max(1, -(-n // shard_rows))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "piece"], kind="stable")
-        pdf["bin"] = best_fit(pdf["words"].tolist(), pdf["source"].tolist(), pdf["cluster"].tolist(), capacity)
-        pdf["slot"] = pdf.groupby("bin").cumcount().astype("int32")
-        pdf["bin_id"] = (int(key[0]) << 32) + pdf["bin"].astype("int64")
-        return pdf[["bin_id", "slot", "doc_id", "piece", "from_word", "words"]]
-
-    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInPandas(run, f"bin_id long, slot int, doc_id {kind}, piece int, from_word long, words int")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("row", "ascending"), ("piece", "ascending")])
+        bins = best_fit(*(table[c].to_pylist() for c in ("words", "source", "cluster")), capacity)
+        held: Counter = Counter()
+        slots = []
+        for b in bins:
+            slots.append(held[b])
+            held[b] += 1
+        shard = table["shard"][0].as_py() << 32
+        return pa.table([pa.array(np.array(bins, dtype=np.int64) + shard), pa.array(slots, pa.int32()), *(table[c] for c in ("doc_id", "piece", "from_word", "words"))], ["bin_id", "slot", "doc_id", "piece", "from_word", "words"])
+
+    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("long"))
+    return sharded.groupBy("shard").applyInArrow(run, f"bin_id long, slot int, doc_id {kind}, piece int, from_word long, words int")
