@@ -126,12 +126,32 @@ class Graph:
                     heapq.heappush(todo, (dist, other))
         return sorted((-d, i) for d, i in best)
 
-    def nearest(self, q: np.ndarray, k: int, ef: int) -> list[int]:
+    def nearest(self, q: np.ndarray, k: int, ef: int, order: np.ndarray) -> list[tuple[float, int]]:
+        """``k`` nearest nodes found as (distance, node), those at one distance by ``order``.
+
+        All nodes at the k-th distance take part: where the search's list ends at that very distance, more of
+        them may lie beyond it, and the shard is asked for all at exactly that distance. So it is where the
+        search ends early, as vectors that all lie equally far apart have few links.
+        """
         first = next(iter(self.layers[-1][0]))
         at = (float(((self.x[first] - q) ** 2).sum()), first)
         for layer in range(len(self.layers) - 1, 0, -1):
             at = self._search(q, at, layer, 1)[0]
-        return [i for _, i in self._search(q, at, 0, max(ef, k))[:k]]
+        nodes = np.array([i for _, i in self._search(q, at, 0, max(ef, k))])
+        d = distances(self.x[nodes], q)
+        if len(nodes) < min(max(ef, k), len(self.x)):  # the rest can't be reached
+            nodes, d = np.arange(len(self.x)), distances(self.x, q)
+        elif len(nodes) >= k and d.max() <= np.partition(d, k - 1)[k - 1]:
+            every = distances(self.x, q)
+            nodes = np.union1d(nodes, np.nonzero(every == d.max())[0])
+            d = every[nodes]
+        best = np.lexsort((order[nodes], d))[:k]
+        return list(zip(d[best].tolist(), nodes[best].tolist()))
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, each row summed alike."""
+    return np.sqrt(((x - q) ** 2).sum(axis=1))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -141,53 +161,55 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
 
 
-def index(scratch: Scratch, nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, dict[int, int]]:
-    """The graphs of ``nodes(cid, embedding)``, one row a shard, and the number of shards by length of vector."""
-    shards = {r[0]: -(-r[1] // shard_rows) for r in nodes.groupBy(F.size("embedding")).count().collect()}  # a row for each length
+def index(scratch: Scratch, nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The graphs of ``nodes(cid, least, embedding)``, one row a shard; ``least`` orders nodes at one distance.
+
+    Vectors of one length share their shards. A shard's candidates are taken from exact distances within it,
+    whose number a shard's size bounds, so the work grows with the number of shards only.
+    """
+    sized = nodes.withColumn("dim", F.size("embedding"))
+    shards = scratch.save(sized.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("order", kind="stable")
         x = np.stack(pdf["embedding"].to_numpy())
         g = build(x)
-        row = {"dim": int(key[0]), "shard": int(key[1]), "cids": pdf["cid"].to_numpy(), "x": x.reshape(-1), **g}
+        row = {"dim": int(key[0]), "shard": int(key[1]), "cids": pdf["cid"].to_numpy(), "least": pdf["least"].to_numpy(), "x": x.reshape(-1), **g}
         return pd.DataFrame({k: [v] for k, v in row.items()})
 
-    count = F.element_at(F.create_map(*[F.lit(x) for kv in shards.items() for x in kv]), F.col("dim")) if shards else F.lit(1)
-    dealt = nodes.withColumn("dim", F.size("embedding")).withColumn("order", F.xxhash64("cid", F.lit("order")))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("cid"), count).cast("int"))
-    schema = "dim int, shard int, cids array<long>, x array<double>, sizes array<int>, nodes array<int>, links array<int>"
-    return scratch.save(dealt.groupBy("dim", "shard").applyInPandas(run, schema)), shards
+    dealt = sized.join(shards, "dim").withColumn("order", F.xxhash64("cid", F.lit("order")))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("cid"), F.col("shards")).cast("int")).drop("shards")
+    schema = "dim int, shard int, cids array<long>, least array<long>, x array<double>, sizes array<int>, nodes array<int>, links array<int>"
+    return scratch.save(dealt.groupBy("dim", "shard").applyInPandas(run, schema))
 
 
-def search(graphs: DataFrame, shards: dict[int, int], queries: DataFrame, k: int, ef: int = EF_SEARCH, block: int = BLOCK) -> DataFrame:
-    """``(qid, cid, score)``: of each shard the ``k`` nearest nodes found to each of ``queries(qid, embedding)``."""
+def search(graphs: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH, block: int = BLOCK) -> DataFrame:
+    """``(qid, cid, least, score)``: of each shard the ``k`` nearest nodes found to each of ``queries(qid, embedding)``."""
     blocks = max(1, -(-queries.count() // block))
-    each = F.element_at(F.create_map(*[F.lit(x) for kv in shards.items() for x in kv]), F.size("embedding")) if shards else F.lit(0)
-    asked = queries.withColumn("dim", F.size("embedding")).where(each > 0).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), each - 1)))
+    each = graphs.select(F.col("dim").alias("to_dim"), F.col("shard").alias("to"))
+    asked = queries.join(each, F.size("embedding") == F.col("to_dim"))
+    asked = asked.select("qid", "embedding", F.col("to_dim").alias("dim"), F.col("to").alias("shard"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
     held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, int, float]] = []
         if len(left) and len(right):
             g = left.iloc[0]
             x = np.asarray(g["x"], dtype=np.float64).reshape(len(g["cids"]), -1)
             graph = Graph(x, g["sizes"], g["nodes"], g["links"])
             for qid, q in zip(right["qid"], right["embedding"]):
-                found = graph.nearest(np.asarray(q), k, ef)
-                exact = np.sqrt(((x[found] - q) ** 2).sum(axis=1))
-                out += [(qid, g["cids"][i], d) for i, d in zip(found, exact.tolist())]
-        return pd.DataFrame(out, columns=["qid", "cid", "score"]).astype({"qid": "int64", "cid": "int64", "score": "float64"})
+                out += [(qid, g["cids"][i], g["least"][i], d) for d, i in graph.nearest(np.asarray(q), k, ef, g["least"])]
+        return pd.DataFrame(out, columns=["qid", "cid", "least", "score"]).astype({"qid": "int64", "cid": "int64", "least": "int64", "score": "float64"})
 
     key = ["dim", "shard", "block"]
-    return held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, "qid long, cid long, score double")
+    return held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, "qid long, cid long, least long, score double")
 
 
 def neighbours(vectors: DataFrame, is_query, k: int = NEIGHBOURS, ef: int = EF_SEARCH) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found to each row for which ``is_query`` holds.
 
-    Smallest Euclidean distance first, ties to the smaller vec_id, the query itself left out; all
-    candidates if there are fewer. Vectors that are null, empty, zero or hold a null or a non-finite
+    Smallest Euclidean distance first, ties to the smaller vec_id (however many there are, in one shard or
+    in several), the query itself left out; all candidates if there are fewer. Vectors that are null, empty, zero or hold a null or a non-finite
     component, and rows without an id, take no part. Vectors of another length are no candidates. Of rows
     that share an id and a vector one takes part. An empty table gives an empty result.
     """
@@ -196,13 +218,14 @@ def neighbours(vectors: DataFrame, is_query, k: int = NEIGHBOURS, ef: int = EF_S
     # A node for each distinct vector, with the k + 1 smallest ids that have it: no more can be in an answer.
     least = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
     named = scratch.save(rows.withColumn("r", least).where(F.col("r") <= k + 1).select("embedding", "vec_id").groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    nodes = scratch.save(named.withColumn("cid", F.monotonically_increasing_id()))
-    graphs, shards = index(scratch, nodes.select("cid", "embedding"))
+    nodes = scratch.save(named.withColumn("least", F.get("ids", F.lit(0))).withColumn("cid", F.monotonically_increasing_id()))
+    graphs = index(scratch, nodes.select("cid", "least", "embedding"))
 
     asked = scratch.save(rows.where(is_query).join(nodes.select("embedding", "cid"), "embedding").select("vec_id", "cid"))
-    distinct = scratch.save(asked.select("cid").distinct().join(nodes, "cid").select(F.col("cid").alias("qid"), "embedding"))
-    found = search(graphs, shards, distinct, k + 1, ef)
-    top = found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy("score", "cid"))).where(F.col("r") <= 2 * (k + 1))
+    distinct = scratch.save(asked.select("cid").distinct().join(nodes.select("cid", "embedding"), "cid").select(F.col("cid").alias("qid"), "embedding"))
+    found = search(graphs, distinct, k + 1, ef)
+    # each of these nodes adds an id no greater than any of a node that is cut
+    top = found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy("score", "least"))).where(F.col("r") <= k + 1)
     ids = top.join(nodes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
     first = ids.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
     lists = scratch.save(first.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("best")))
