@@ -42,7 +42,9 @@ def op6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # the box's tokenizer files; their path is a parameter of the operator
 
-    return tokens.cached(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    # a cache that is kept between runs is named by the session; without one the counts start afresh
+    cache = spark.conf.get("spark.courtside.tokenCache", None)
+    return tokens.cached(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,43 +18,41 @@ from pyspark.sql import functions as F
 from courtside.llm.common import BROADCAST_IDS, Scratch
 
 LIMIT = 4096
-CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
+CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 
 
 @lru_cache(maxsize=4)
-def counter(path: str):
-    """texts -> token counts, by the library that the file is for: no special tokens are added."""
-    if path.endswith(".model"):
+def counter(tokenizer: bytes, sentencepiece_model: bool):
+    """texts -> token counts, by the library that the file's content is for: no special tokens are added."""
+    if sentencepiece_model:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=tokenizer)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
     import tokenizers
 
-    model = tokenizers.Tokenizer.from_file(path)
+    model = tokenizers.Tokenizer.from_str(tokenizer.decode())
     model.no_truncation()
     model.no_padding()
     return lambda texts: [len(x) for x in model.encode_batch(texts, add_special_tokens=False)]
 
 
-def version(path: str) -> str:
-    """Digest of the tokenizer's file: another version never meets the counts of this one."""
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
-
-
 def cached(docs: DataFrame, path: str, cache: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_tokens, over_limit`` for the tokenizer file at ``path``.
 
-    ``cache`` is a folder of Parquet that all executors reach; by default a new one beside the session's
-    other shared tables. The normal form of a content is its UTF-8 bytes, null as empty: every other form
-    could change a count. Texts are encoded whole. Repeated rows are counted each; a null doc_id is
-    carried along. Other columns are not read. An empty table gives an empty result.
+    The file is read by the driver and sent to the executors, some megabytes at most. ``cache`` is a folder of
+    Parquet that all executors reach, a sub-folder for each version of a tokenizer's file; by default a new one
+    beside the session's other shared tables. The normal form of a content is its UTF-8 bytes, null as empty:
+    every other form could change a count. Texts are encoded whole, each distinct one that is not stored once,
+    whatever rows repeat it. Repeated rows are counted each; a null doc_id is carried along. Other columns are
+    not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     cache = cache or f"{scratch.root}/cache"
-    tokenizer = version(path)
+    with open(path, "rb") as f:
+        content = f.read()
+    tokenizer = hashlib.sha256(content).hexdigest()  # another version never meets the counts of this one
     text = F.coalesce("text", F.lit(""))
     sha = F.unhex(F.sha2(text.cast("binary"), 256))
     known = scratch.save(docs.select("doc_id", sha.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")))
@@ -64,30 +62,39 @@ def cached(docs: DataFrame, path: str, cache: str | None = None) -> DataFrame:
     there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     have = stored.parquet(cache).where(F.col("tokenizer") == tokenizer).select("digest") if there else spark.createDataFrame([], "digest binary")
 
-    # One document stands for each digest that is not stored. The texts are read again without a shuffle,
-    # by joining the smaller of two lists of ids: those to encode, or the copies and the stored ones.
-    first = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    misses = scratch.save(first.join(have, "digest", "left_anti"))
-    mine = known.select("digest", "doc_id").join(misses.withColumnRenamed("doc_id", "__of").withColumn("__miss", F.lit(True)), "digest", "left")
-    rest = scratch.save(mine.where(F.col("__miss").isNull() | ~F.col("doc_id").eqNullSafe(F.col("__of"))).select("digest", "doc_id").distinct())
-    wanted, other = misses.count(), rest.count()
-    ids, how = (misses, "left_semi") if wanted <= other else (rest, "left_anti")
-    ids = ids.select(F.col("digest").alias("__d"), F.col("doc_id").alias("__i"))
-    ids = F.broadcast(ids) if min(wanted, other) <= BROADCAST_IDS // 2 else ids.hint("shuffle_hash")
+    # One document stands for each digest that is not stored: of those with its least id, if any has one. The texts
+    # are read again without a shuffle, by joining the smaller of two lists of ids: those to encode, or the others.
+    rows = known.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    first = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n")).alias("m"))
+    misses = scratch.save(first.select("digest", F.col("m.doc_id").alias("doc_id"), (F.col("m.n") > 1).alias("again")).join(have, "digest", "left_anti"))
+    mine = rows.select("digest", "doc_id").join(misses.select("digest", F.col("doc_id").alias("of"), F.lit(True).alias("miss")), "digest", "left")
+    rest = scratch.save(mine.where(F.col("miss").isNull() | ~F.col("doc_id").eqNullSafe(F.col("of"))).select("digest", "doc_id"))
+    wanted, again, other = misses.count(), misses.where("again").count(), rest.count()
     keyed = docs.select("doc_id", text.alias("text"), sha.alias("digest"))
-    todo = keyed.join(ids, keyed["doc_id"].eqNullSafe(ids["__i"]) & (keyed["digest"] == ids["__d"]), how)
+
+    def picked(ids: DataFrame, n: int, how: str) -> DataFrame:
+        ids = ids.select(F.col("digest").alias("d"), F.col("doc_id").alias("i"))
+        ids = F.broadcast(ids) if n <= BROADCAST_IDS // 4 else ids.hint("shuffle_hash")
+        return keyed.join(ids, keyed["doc_id"].eqNullSafe(ids["i"]) & (keyed["digest"] == ids["d"]), how).select("digest", "text")
+
+    if not again:
+        todo = picked(misses, wanted, "left_semi") if wanted <= other else picked(rest, other, "left_anti")
+    else:  # ids that stand on several rows with one text: their texts are brought together, combined where they lie
+        todo = picked(misses.where("not again"), wanted - again, "left_semi") if wanted - again <= other + again else picked(rest.union(misses.where("again").select("digest", "doc_id")), other + again, "left_anti")
+        todo = todo.union(picked(misses.where("again"), again, "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
+
+    sent, is_model = spark.sparkContext.broadcast(content), path.endswith(".model")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count = counter(sent.value, is_model)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 counts = pa.array(count(part.column(1).to_pylist()), pa.int64())
-                yield pa.record_batch([pa.array([tokenizer] * part.num_rows), part.column(0), counts], ["tokenizer", "digest", "n_tokens"])
+                yield pa.record_batch([part.column(0), counts], ["digest", "n_tokens"])
 
-    new = todo.select("digest", "text").mapInArrow(encode, CACHE_SCHEMA)
-    # rows repeated with id and text are encoded each, and stored once
-    new.groupBy("tokenizer", "digest").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache)
+    new = todo.mapInArrow(encode, "digest binary, n_tokens long").select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens")
+    new.write.mode("append").partitionBy("tokenizer").parquet(cache)
 
     # two runs may have stored one digest at once: its counts are the same
     counts = stored.parquet(cache).where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
