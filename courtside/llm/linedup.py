@@ -11,7 +11,7 @@ a group of such pairs. Later copies of a run are deleted. Only DataFrame operati
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,8 +19,8 @@ from courtside.llm.common import WORD, Scratch
 
 #: A run of lines that repeats is deleted from this many words on.
 MIN_WORDS = 50
-#: A table of deletions is broadcast up to this many documents and lines, some 40 MB; else the join shuffles.
-BROADCAST_DOCS, BROADCAST_LINES = 250_000, 4_000_000
+#: Deletions are broadcast up to this many bytes, counted as ROW_BYTES a document and four a line; else the join shuffles.
+BROADCAST_BYTES, ROW_BYTES = 16_000_000, 100
 
 
 def _numbered(scratch: Scratch, parts: DataFrame) -> DataFrame:
@@ -101,17 +101,29 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return scratch.save(found)
 
 
-def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``__gone`` (indices of deleted lines, empty if none) and ``__text`` (the rest)."""
+def cleaned(docs: DataFrame, keep: list[str], min_words: int = MIN_WORDS) -> DataFrame:
+    """``rows``, a struct of the columns ``keep`` of ``docs`` (doc_id and text among them), with ``gone`` (indices of deleted lines, empty if
+    none), ``n_lines`` and ``rest`` (the text without them). Columns of any name can be kept."""
     found = repeated_lines(docs, min_words)
     n, lines = found.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    small = n <= BROADCAST_DOCS and lines <= BROADCAST_LINES
-    match = docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__th"])
-    both = docs.join(F.broadcast(found) if small else found, match, "left").drop("__id", "__th")
-    rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    both = both.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
-    return both.withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
+    found = found.select(F.struct("doc_id", "th", "gone").alias("found"))
+    small = ROW_BYTES * n + 4 * lines <= BROADCAST_BYTES
+    rows, text = docs.select(F.struct(*keep).alias("rows")), F.col("rows.text")
+    match = F.col("rows.doc_id").eqNullSafe(F.col("found.doc_id")) & (F.xxhash64(text) == F.col("found.th"))
+    both = rows.join(F.broadcast(found) if small else found, match, "left")
+
+    def without(lines: Column) -> Column:
+        """The stretches between the deleted lines: each line is touched once."""
+        gone = F.col("found.gone")
+        start = lambda i: F.when(i == 0, 0).otherwise(F.get(gone, i - 1) + 1)
+        end = lambda i: F.when(i == F.size(gone), F.size(lines)).otherwise(F.get(gone, i))
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines, start(i) + 1, end(i) - start(i)))), "\n")
+
+    # the one-element array binds the split text to a name, so that it is split once and not for each stretch
+    rest = F.get(F.transform(F.array(F.split(text, "\n")), without), F.lit(0))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n")))
+    gone = F.coalesce(F.col("found.gone"), F.array().cast("array<int>"))
+    return both.select("rows", gone.alias("gone"), n_lines.alias("n_lines"), F.when(F.col("found").isNull(), text).otherwise(rest).alias("rest"))
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -120,20 +132,30 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A null text has no line and a null digest; an empty one is one line without words. Repeated rows are
     one text and lose the same lines. Other columns are not read. An empty table gives an empty result.
     """
-    found = cleaned(docs.select("doc_id", "text"), min_words)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return found.select("doc_id", n_lines.cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"), F.coalesce(F.length("__text"), F.lit(0)).cast("long").alias("n_chars_left"), F.md5("__text").alias("digest"))
+    found = cleaned(docs, ["doc_id", "text"], min_words)
+    return found.select(
+        F.col("rows.doc_id").alias("doc_id"),
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_removed"),
+        F.coalesce(F.length("rest"), F.lit(0)).cast("long").alias("n_chars_left"),
+        F.md5("rest").alias("digest"),
+    )
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the later copies of runs cut from ``text`` (and ``n_chars`` counted anew, where there is one).
 
-    A document that loses every line with words is a copy altogether and goes; one that had none stays.
+    A document that loses every line with words is a copy altogether and goes; one that had none stays, null
+    and empty texts too. A null doc_id comes after all others, so its copies are the later ones. Rows equal in
+    id and text are one text: they lose the same lines, none for each other. All columns are kept, whatever
+    their names. An empty table gives an empty result.
     """
-    found = cleaned(docs, min_words)
-    empty = (F.size("__gone") > 0) & ~F.coalesce(F.col("__text").rlike(WORD), F.lit(False))
-    new = {"text": F.col("__text"), "n_chars": F.coalesce(F.length("__text"), F.lit(0)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return found.where(~empty).select(*[new[c].alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns])
+    found = cleaned(docs, docs.columns, min_words)
+    empty = (F.size("gone") > 0) & ~F.coalesce(F.col("rest").rlike(WORD), F.lit(False))
+    new = {"text": F.col("rest")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("gone") == 0, F.col("rows.n_chars")).otherwise(F.length("rest")).cast(docs.schema["n_chars"].dataType)
+    return found.where(~empty).select(*[new.get(c, F.col("rows").getField(c)).alias(c) for c in docs.columns])
 
 
 #: The same rows in DuckDB's SQL: every window's text is spelt out.
