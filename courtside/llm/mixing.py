@@ -123,14 +123,16 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix reads them: whole documents, each as often as its words are taken, rounded.
 
-    A document that is not taken, or without a word, is not in the mix. Rows that share a doc_id are
-    repeated alike.
+    A document that is not taken, or without a word (null and empty texts), is not in the mix. Rows that share a
+    doc_id, null too, are repeated alike, as often as the most taken of them. A null source is a source. All
+    columns are kept, whatever their names. An empty table gives an empty result.
     """
     times = F.round(F.col("taken") / F.col("size")).cast("int")
-    plan = mix_plan(docs).where("size > 0").select("doc_id", times.alias("__times")).groupBy("doc_id").agg(F.max("__times").alias("__times"))
-    plan = plan.where("__times > 0").withColumnRenamed("doc_id", "__id")
-    both = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]))
-    return both.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    plan = mix_plan(docs).where("size > 0").select("doc_id", times.alias("times")).groupBy("doc_id").agg(F.max("times").alias("times")).where("times > 0")
+    plan = plan.select(F.struct("doc_id", "times").alias("plan"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", word_count("text").alias("size")).where("size > 0")
+    both = rows.join(plan, rows["doc_id"].eqNullSafe(F.col("plan.doc_id")))
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("plan.times"))).alias("k")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same rows in DuckDB's SQL.
