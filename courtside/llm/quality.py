@@ -23,7 +23,7 @@ DIM = 1 << 18
 #: Most labelled documents that training reads (a documented bound); all documents are scored.
 TRAIN_ROWS = 24_000
 #: Rows of one learner: the sample is dealt to as many independent learners as that takes.
-LEARNER_ROWS = 4_000
+LEARNER_ROWS = 2_000
 #: FTRL-Proximal's rates and penalties, and passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 0.01, 0.0, 24
 THRESHOLD = 0.3
@@ -31,21 +31,28 @@ THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
 
+#: Grams of their own, which no token spells: how many words stand in capitals, how many tokens twice in a row.
+CAPITALS, TWICE = "^^", "=="
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values of a whole text: relative frequencies of word 1- and 2-grams, square-rooted.
+    """Indices and values of a whole text: relative frequencies of lower-case word 1- and 2-grams, square-rooted.
 
-    Words in capitals give a mark besides their lower-case form, and a bigram of twice the same token
-    is named by that fact, so that shouting and stuttering look alike in every language.
+    Two more grams count words in capitals and tokens that stand twice in a row, so that shouting and
+    stuttering look alike in every language.
     """
     grams: Counter = Counter()
     total, last = 0, None
     for tokens in _pieces(text or ""):
-        marked = ["^^" if len(t) > 1 and t.isupper() else t.lower() for t in tokens]
-        grams.update(marked)
-        pairs = zip(marked, marked[1:]) if last is None else zip([last, *marked], marked)
-        grams.update("=" if a == b else f"{a} {b}" for a, b in pairs)
-        total += len(marked)
-        last = marked[-1] if marked else last
+        low = [t.lower() for t in tokens]
+        pairs = list(zip(low, low[1:]) if last is None else zip([last, *low], low))
+        grams.update(low)
+        grams.update(f"{a} {b}" for a, b in pairs)
+        for mark, n in ((CAPITALS, sum(len(t) > 1 and t.isupper() for t in tokens)), (TWICE, sum(a == b for a, b in pairs))):
+            if n:
+                grams[mark] += n
+        total += len(low)
+        last = low[-1] if low else last
     if not total:
         return np.array([0], dtype=np.int32), np.array([1.0])
     index = np.fromiter((1 + zlib.crc32(g.encode()) % (DIM - 1) for g in grams), dtype=np.int32, count=len(grams))
@@ -88,25 +95,26 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS)
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> np.ndarray | None:
     """Model weights from ``labels(doc_id, quality)``; None if no row is usable.
 
-    Only rows with quality 0 or 1 and ``crc32(doc_id) mod 5 <> 0`` are learnt from. Above ``max_rows``
-    of them, those with the least hash of their id are taken, by a threshold. What comes back to the
-    driver is one sparse weight vector of each learner, bounded by ``DIM``.
+    Only rows with quality 0 or 1 and ``crc32(doc_id) mod 5 <> 0`` are learnt from. Where more than ``max_rows``
+    documents have such a label, those with the least hash of id and text are taken, by a threshold: ``max_rows``
+    of them, give or take a few in a hundred. Rows equal in id and text are learnt from once. What comes back to
+    the driver is one sparse weight vector of each learner, bounded by ``DIM``.
     """
-    usable = labels.where("quality in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = usable.count()
+    usable = labels.where("quality in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    by = lambda salt: F.xxhash64("doc_id", "text", F.lit(salt))
+    n = docs.select("doc_id", by("sample").alias("h")).join(usable, "doc_id").select("h").distinct().count()
     if not n:
         return None
-    order = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    sample = usable.where(order < int((1 << 30) * min(1.0, max_rows / n)))
-    of = F.pmod(F.xxhash64("doc_id", F.lit("learner")), F.lit(-(-min(n, max_rows) // LEARNER_ROWS)))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most about max_rows small rows
+    sampled = F.pmod(by("sample"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_rows / n))
+    learners = -(-min(n, max_rows) // LEARNER_ROWS)
+    texts = docs.select("doc_id", "text").where(sampled).join(usable, "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = [features(t.as_py()) for t in b.column(2)]
+            both = [features(t.as_py()) for t in b.column(1)]
             yield pa.record_batch(
-                [b.column(0), b.column(1), b.column(3), pa.array([i for i, _ in both], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in both], pa.list_(pa.float32()))],
-                ["doc_id", "learner", "quality", "i", "x"],
+                [b.column(0), b.column(2), b.column(3), pa.array([i for i, _ in both], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in both], pa.list_(pa.float32()))],
+                ["learner", "quality", "order", "i", "x"],
             )
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,14 +124,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> np.nd
         (at,) = np.nonzero(w)
         return pd.DataFrame({"i": [at.astype(np.int32)], "w": [w[at]]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.select("doc_id", of.cast("int").alias("learner"), "text", F.col("quality").cast("int").alias("quality"))
+    rows = texts.select(F.pmod(by("learner"), F.lit(learners)).cast("int").alias("learner"), "text", "quality", by("order").alias("order"))
     parts = (
-        rows.mapInArrow(hashed, f"doc_id {kind}, learner int, quality int, i array<int>, x array<float>")
-        .withColumn("order", F.xxhash64("doc_id", "i", F.lit("order")))
+        rows.mapInArrow(hashed, "learner int, quality int, order long, i array<int>, x array<float>")
+        .dropDuplicates(["learner", "order"])
         .groupBy("learner")
         .applyInPandas(learn, "i array<int>, w array<double>")
-        .collect()  # one row of each learner
+        .collect()  # one row of each learner, a dozen
     )
     model = np.zeros(DIM)
     for p in parts:
@@ -161,5 +168,9 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs``, with all its columns, without the documents predicted to be of low quality."""
+    """``docs``, with all its columns, without the documents predicted to be of low quality.
+
+    A null text is scored as an empty one; repeated rows are scored alike; a null doc_id is never learnt from.
+    Without a usable label every score is 0.5, so all documents stay. An empty table gives an empty result.
+    """
     return docs.where(scorer(docs, fit(docs, labels))("text") >= THRESHOLD)
