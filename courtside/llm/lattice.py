@@ -106,7 +106,7 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _links(cid, weight, u, codes, home, left, right, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def _links(cid, weight, u, home, left, right, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Of a block of one cell: cids with new links, their number, and the least cid they reach in the block.
 
     A pair counts here only if no earlier table brings it together and, where each of the two probes the
@@ -121,7 +121,12 @@ def _links(cid, weight, u, codes, home, left, right, table: int) -> tuple[np.nda
         i, j = np.nonzero(np.triu(u @ u.T >= MIN_COSINE, 1))
     ok = home[i] | home[j]
     i, j = i[ok], j[ok]
+    if not len(i):
+        return None
     keep = np.ones(len(i), dtype=bool)
+    some = np.unique(np.concatenate([i, j]))  # codes of those only that have a near one here
+    codes = np.empty((len(u), TABLES, 1 + PROBES), dtype=np.int64)
+    codes[some] = cells(u[some])
     for s in range(0, len(i), 1 << 17):
         x, y = i[s : s + (1 << 17)], j[s : s + (1 << 17)]
         first = np.ones(len(x), dtype=bool)
@@ -173,8 +178,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, e in whole:
             if e - s < 2:
                 continue
-            key, tab, code, a, b, home, chunk, cid, members, u, codes = (c[s:e] for c in cols)
-            if (out := _links(cid, members, u, codes, home, chunk == a[0], chunk == b[0], int(tab[0]))) is not None:
+            key, tab, code, a, b, home, chunk, cid, members, u = (c[s:e] for c in cols)
+            if (out := _links(cid, members, u, home, chunk == a[0], chunk == b[0], int(tab[0]))) is not None:
                 found.append(out)
         if found:
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)], ["cid", "links", "root"])
@@ -186,7 +191,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # one length of vector at a time: a key stands for one label and length, so blocks stay whole
             for rows, v in _by_size(part, 9):
                 u = units(v)
-                cols = [part.column(k).take(pa.array(rows)).to_numpy(zero_copy_only=False) for k in range(9)] + [u, cells(u)]
+                cols = [part.column(k).take(pa.array(rows)).to_numpy(zero_copy_only=False) for k in range(9)] + [u]
                 if rest is not None and rest[9].shape[1] != u.shape[1]:
                     yield from results(*blocks(None, rest, True)[:2])
                     rest = None
