@@ -1,10 +1,14 @@
 """HTML extraction by wrappers: a union-free regular expression per host (operator 6).
 
-A page is a stream of tokens: start and end of each block, and a text slot in each block that has no
-blocks inside. Equal neighbours fold to a repeated group. The distinct streams of a host are aligned one
-by one; what only some of them have becomes an optional group, what repeats in one of them a repeated
-group, and texts are slots. The wrapper tells which container holds the main text on pages of that host
-and which of its containers are furniture; a page that fits its wrapper is cut by it.
+A page is a stream of tokens: starts and ends of blocks, and texts. The streams of a host are aligned block
+by block, and each mismatch is resolved the way that union-free expressions allow: a block that some have
+and others don't becomes optional, one that stands in different numbers becomes a repeated group, blocks in
+changing order become a repeated group of optional ones, and texts that differ become a slot. Texts that
+don't differ are the template's. What comes out doesn't depend on the order of the pages, so the wrapper of
+a host is made from partial wrappers in rounds, however many pages it has.
+
+The main text of a page is what its host's wrapper has in the slots of the article; where pages have no such
+element, in all slots but menus, without what the template repeats.
 """
 
 from __future__ import annotations
@@ -12,9 +16,9 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
@@ -24,292 +28,534 @@ from pyspark.sql import functions as F
 from courtside.llm.common import Scratch
 from courtside.llm.urls import host_of
 
-#: Streams that one task aligns; a host with more is aligned in parts, and then its partial wrappers.
-GROUP = 256
-#: Items of a folded stream or of a wrapper. Pages beyond it don't fit their host's wrapper and are cut by their own.
-ITEMS = 4000
+#: Partial wrappers that one task merges, and blocks that a task holds before it writes its partial wrappers.
+FAN_IN, HELD = 64, 50_000
+#: Blocks of one name side by side up to which their places are told apart; more are a repeated group at once.
+PLACES = 8
+#: Different labels of one element in one place; more are one block, whatever its label.
+LABELS = 64
+#: Blocks within blocks; what lies deeper counts to the block at this depth.
+DEPTH = 100
+#: A text is the template's on this many different pages, and on this share of those that have its place.
+PAGES, SHARE = 3, 0.5
+#: A place where this share of the text is in links is a menu.
+LINKED = 0.8
 #: Wrappers are broadcast up to this many characters together; else the join on the host shuffles.
 BROADCAST_CHARS = 16_000_000
 
+TEMPLATE = "array<struct<place:bigint,text:bigint>>"
+
 # Element names of HTML, and names that mark furniture.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = set("script style textarea title iframe noembed noframes xmp".split())
 LEAF = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary address".split())
 FURNITURE = set("head nav footer aside form script style noscript template iframe button select dialog menu textarea svg object noembed noframes".split())
-NAMES = set("ad ads advert advertisement adverts sponsor sponsored promo banner menu nav navbar navigation sidebar footer masthead breadcrumb breadcrumbs cookie cookies consent notice notices alert popup modal comment comments reply replies disqus share sharing social related newsletter subscribe login search widget".split())
+NAMES = set("ad ads advert advertisement adverts sponsor sponsored promo banner menu nav navbar navigation sidebar footer masthead breadcrumb breadcrumbs cookie cookies consent notice notices alert popup modal comment comments reply replies disqus share sharing related newsletter subscribe login".split())
+#: Words that only say where or of what shape something is: a name of these and of NAMES is furniture too.
+SHAPES = set("site page main top bottom left right box bar area wrap wrapper container block section list slot unit widget side global primary secondary header links icons buttons form item items thread".split())
+HEADERS = set("header site-header page-header".split())
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu".split())
 #: An element of the key ends an open one of the values.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr"}, "tbody": {"thead", "tr"}}
 BOUNDS = set("ul ol dl table select".split())
+ENDABLE = LEAF | {"tr", "thead", "option"}
+
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+REST = re.compile(r"""((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""")
+ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|([^<]+|<)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I | re.S)
+def _named(word: str) -> bool:
+    """Whether a class or an id names furniture: ``comments``, ``comment-list``, ``sidebar_left``, not ``social-history``."""
+    parts = [p for p in re.split(r"[-_]", word) if p]
+    return any(p in NAMES for p in parts) and all(p in NAMES or p in SHAPES for p in parts)
 
 
-def furniture(name: str, attributes: str) -> bool:
+def furniture(name: str, attributes: str, in_article: bool) -> bool:
     """Whether an element is a menu, header, footer, sidebar, notice, advert, form, script, style or comment list."""
-    if name in FURNITURE:
+    if name in FURNITURE or name == "header" and not in_article:
         return True
-    if not attributes or name in ("html", "body", "main", "article") and "comment" not in attributes.lower():
+    if not attributes or name in ("html", "body", "main"):
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         words = next((v for v in values if v), "").lower().split()
         if key.lower() == "role":
             if ROLES.intersection(words):
                 return True
-        elif any(w in ("header", "site-header", "page-header") or NAMES.intersection(re.split(r"[-_]", w)) for w in words):
+        elif any(_named(w) or w in HEADERS and not in_article for w in words):
             return True
     return False
 
 
-def blocks(html: str) -> Iterator[tuple[str, str, bool]]:
-    """Events of a page: (start token, "", furniture), ("/token", "", False) and ("#", text, False).
+def blocks(html: str) -> Iterator[tuple]:
+    """Events of a page without its furniture: ("(", label), (")",) and ("#", text, characters of it in links).
 
-    Every start has its end; a block without inner blocks has one slot, be it empty.
+    Every start has its end. Time is linear in the length of the page: what is open or unfinished is looked for once.
     """
-    stack: list[tuple[str, str]] = []  # (name, token); inline elements are not kept
+    stack: list[tuple[str, bool]] = []  # (name, whether it is the root of furniture); inline elements are not kept
+    open_: Counter = Counter()
     text: list[str] = []
-    fresh = False  # whether the open block has had no event yet
+    linked = links = junk = 0
+    quoted = True  # whether quotes of attributes can be trusted to be closed
 
-    def flush(end: bool = False):
-        nonlocal fresh
-        words = entities.unescape("".join(text)).split() if text else []
+    def flush():
+        nonlocal linked
+        words = entities.unescape("".join(text)).split() if text and not junk else None
         text.clear()
-        if words or end and fresh:
-            fresh = False
-            yield "#", " ".join(words), False
+        here, linked = linked, 0
+        if words:
+            yield "#", " ".join(words), here
 
     def close(depth: int):
-        nonlocal fresh
+        nonlocal junk
+        yield from flush()
         while len(stack) > depth:
-            yield from flush(True)
-            yield "/" + stack.pop()[1], "", False
-            fresh = False
-
-    at = 0
-    while at < len(html):
-        m = MARKUP.match(html, at)
-        at = m.end()
-        slash, name, attributes, plain = m.groups()
-        if plain is not None:
-            text.append(plain)
+            name, bad = stack.pop()
+            open_[name] -= 1
+            junk -= bad
+            if not junk and not bad:
+                yield (")",)
+
+    at, n = 0, len(html)
+    while at < n:
+        start = html.find("<", at)
+        if start < 0:
+            start = n
+        if start > at:
+            text.append(html[at:start])
+            if links:
+                linked += start - at
+            at = start
             continue
-        if name is None:
+        m = TAG.match(html, at)
+        if m is None:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                at = n if end < 0 else end + 3
+            elif html.startswith(("<!", "<?"), at):
+                end = html.find(">", at)
+                at = n if end < 0 else end + 1
+            else:
+                text.append("<")
+                at += 1
             continue
-        name = name.lower()
+        slash, name = m[1], m[2].lower()
+        rest = REST.match(html, m.end()) if quoted else None
+        if rest is not None:
+            attributes, at = rest[1], rest.end()
+        else:  # an open quote or tag to the end of the page
+            quoted = False
+            end = html.find(">", m.end())
+            if end < 0:
+                break
+            attributes, at = html[m.end() : end], end + 1
         if name in INLINE:
             if name == "br":
                 text.append(" ")
+            elif name == "a":
+                links = 0 if slash else 1
             continue
         if slash:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is None:
-                yield from flush()
+            if open_[name]:
+                yield from close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             else:
-                yield from close(depth)
+                yield from flush()
+            links = 0
             continue
         yield from flush()
+        links = 0
         if name in VOID:
             continue
-        for k in range(len(stack) - 1, -1, -1):  # implied ends
-            if stack[k][0] == "p" and name not in INLINE or stack[k][0] in ENDS.get(name, ()):
+        for k in range(len(stack) - 1, max(-1, len(stack) - 17), -1):  # implied ends, among the innermost elements
+            if stack[k][0] == "p" or stack[k][0] in ENDS.get(name, ()):
                 yield from close(k)
                 break
-            if stack[k][0] in BOUNDS or stack[k][0] not in LEAF | {"tr", "thead", "option"}:
+            if stack[k][0] in BOUNDS or stack[k][0] not in ENDABLE:
                 break
-        junk = furniture(name, attributes) or name == "header" and not any(n == "article" for n, _ in stack)
-        label = next((next(v for v in values if v) for key, *values in ATTRIBUTE.findall(attributes) if key.lower() == "class" and any(values)), "") if attributes else ""
-        token = re.sub(r"[\s#/()+?*]+", ".", f"{name}.{label}" if label else name)
-        stack.append((name, token))
-        yield token, "", junk
-        fresh = True
+        bad = furniture(name, attributes, open_["article"] > 0)
+        stack.append((name, bad))
+        open_[name] += 1
+        junk += bad
+        if not junk:
+            label = next((next(v for v in values if v) for key, *values in ATTRIBUTE.findall(attributes) if key.lower() == "class" and any(values)), "") if attributes else ""
+            first = re.sub(r"[^\w-]|\d", "", label.split()[0]) if label.split() else ""  # numbers in labels are the page's own
+            yield "(", f"{name}.{first}" if first else name
         if name in RAW:
-            end = re.compile(rf"</{name}\b", re.I).search(html, at)
-            stop = end.start() if end else len(html)
+            end = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, at)
+            stop = end.start() if end else n
             if name in ("title", "textarea"):
                 text.append(html[at:stop])
             at = stop
     yield from close(0)
-    yield from flush()
-
-
-def fold(tokens: list) -> list:
-    """Tokens with equal neighbouring units (up to 12 items) folded to ("+", unit)."""
-    out: list = []
-    for t in tokens:
-        out.append(t)
-        again = True
-        while again:
-            again = False
-            for n in range(1, min(12, len(out)) + 1):
-                unit = tuple(out[-n:])
-                if n == 1 and isinstance(unit[0], str):
-                    continue
-                if len(out) > n and out[-n - 1] == ("+", unit):
-                    del out[-n:]
-                elif len(out) >= 2 * n and tuple(out[-2 * n : -n]) == unit:
-                    del out[-2 * n :]
-                    out.append(("+", unit))
-                    again = True
-                else:
-                    continue
-                break
-    return out
 
 
-def _frozen(x):
-    return tuple(map(_frozen, x)) if isinstance(x, list) else x
+# --- wrappers ---------------------------------------------------------------------------------------
+#
+# A block of a wrapper is {"n": how often it stands, "k": {label: [blocks that have it, number in each or 0, places]},
+# "e": {label: labels that follow}}; a text is {"n", "c": characters, "l": those in links, "t": the text's hash or null
+# where texts differ, "d": up to PAGES hashes of pages that have it}.
+
 
+def _slot(text: str, linked: int, page: int) -> dict:
+    return {"n": 1, "c": len(text), "l": min(linked, len(text)), "t": zlib.crc32(text.encode("utf-8", "replace")), "d": [page]}
 
-def align(a: list, b: list) -> list:
-    """The wrapper of two wrappers, each a list of (item, optional)."""
 
-    def repeated(one: list, other: list) -> list:
-        """``one`` with each single occurrence of a unit that ``other`` repeats as a repeated group."""
-        for item in [i for i, _ in other if not isinstance(i, str)]:
-            unit, k, new = item[1], 0, []
-            while k < len(one):
-                part = one[k : k + len(unit)]
-                if tuple(i for i, _ in part) == unit:
-                    new.append((item, any(o for _, o in part)))
-                    k += len(unit)
+def tree(html: str) -> dict:
+    """The wrapper of one page: its blocks and texts as they stand."""
+    events = list(blocks(html))
+    page = zlib.crc32("\n".join(e[1] for e in events if e[0] == "#").encode("utf-8", "replace"))
+    root: dict = {"n": 1, "k": {}, "e": {}}
+    path, last, deeper = [root], ["^"], 0
+    for kind, *more in events:
+        if kind == ")":
+            if deeper:
+                deeper -= 1
+            else:
+                path.pop()
+                last.pop()
+            continue
+        if kind == "(" and (deeper or len(path) > DEPTH):
+            deeper += 1
+            continue
+        label = "#" if kind == "#" else more[0]
+        new = _slot(*more, page) if kind == "#" else {"n": 1, "k": {}, "e": {}}
+        kids, edges = path[-1]["k"], path[-1]["e"]
+        if last[-1] != label and label not in (after := edges.setdefault(last[-1], [])):
+            after.append(label)
+        last[-1] = label
+        kids.setdefault(label, [1, 0, []])[2].append(new)
+        if kind == "(":
+            path.append(new)
+            last.append("^")
+    return _settled(root)
+
+
+def _settled(block: dict) -> dict:
+    """Numbers of equal labels counted, and long rows of them folded."""
+    todo = [block]
+    found = []
+    while todo:  # inner blocks last
+        now = todo.pop()
+        found.append(now)
+        todo += [b for _, _, places in now.get("k", {}).values() for b in places]
+    for now in reversed(found):
+        for kid in now.get("k", {}).values():
+            kid[1] = len(kid[2])
+            if kid[1] > PLACES:
+                _fold(kid)
+        _relabel(now)
+    return block
+
+
+def _fold(kid: list) -> None:
+    """A repeated group of what stood side by side."""
+    first, *others = kid[2]
+    for b in others:
+        merge(first, b)
+    kid[1], kid[2] = 0, [first]
+
+
+def _relabel(block: dict) -> None:
+    """Elements with too many different labels become one label ``name.*``."""
+    if len(block.get("k", {})) <= LABELS and not any(label.endswith(".*") for label in block.get("k", {})):
+        return
+    of: dict[str, list[str]] = {}
+    for label in block["k"]:
+        of.setdefault(label.split(".")[0], []).append(label)
+    for name, labels in of.items():
+        any_ = f"{name}.*"
+        if len(labels) > LABELS or any_ in labels:
+            for label in labels:
+                if label != any_:
+                    _join(block, any_, block["k"].pop(label))
+            to = dict.fromkeys(labels, any_)
+            edges: dict[str, list[str]] = {}
+            for a, after in block["e"].items():
+                known = edges.setdefault(to.get(a, a), [])
+                known += [b for b in dict.fromkeys(to.get(x, x) for x in after) if b not in known and b != to.get(a, a)]
+            block["e"] = edges
+
+
+def _join(block: dict, label: str, other: list) -> None:
+    """Add what ``other`` knows of a label: places one by one where numbers agree, else as a repeated group."""
+    if label not in block["k"]:
+        if label.endswith(".*") and len(other[2]) > 1:
+            _fold(other)
+        block["k"][label] = [other[0], 0 if label.endswith(".*") else other[1], other[2]]
+        return
+    own = block["k"][label]
+    own[0] += other[0]
+    if own[1] and own[1] == other[1]:
+        for a, b in zip(own[2], other[2]):
+            merge(a, b)
+    else:
+        own[2] += other[2]
+        _fold(own)
+
+
+def merge(a: dict, b: dict) -> dict:
+    """The wrapper of both, in ``a``. The order of pages doesn't matter."""
+    a["n"] += b["n"]
+    if "c" in a:
+        a["c"] += b["c"]
+        a["l"] += b["l"]
+        a["t"] = a["t"] if a["t"] == b["t"] else None  # texts that differ make a slot
+        a["d"] = sorted({*a["d"], *b["d"]})[:PAGES]
+        return a
+    for label, kid in b["k"].items():
+        _join(a, label, kid)
+    for label, after in b["e"].items():
+        known = a["e"].setdefault(label, [])
+        known += [x for x in after if x not in known]
+    _relabel(a)
+    return a
+
+
+def _order(block: dict) -> list[list[str]]:
+    """Labels of a block in an order that all pages have; labels in changing order are together (strong components)."""
+    edges = {a: [b for b in after if b != a] for a, after in block["e"].items()}
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack: list[str] = []
+    out: list[list[str]] = []
+    work = [("^", iter(sorted(edges.get("^", []))))]
+    index["^"] = low["^"] = 0
+    stack.append("^")
+    while work:
+        label, after = work[-1]
+        for b in after:
+            if b not in index:
+                index[b] = low[b] = len(index)
+                stack.append(b)
+                work.append((b, iter(sorted(edges.get(b, [])))))
+                break
+            if b in stack:
+                low[label] = min(low[label], index[b])
+        else:
+            work.pop()
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[label])
+            if low[label] == index[label]:
+                part = []
+                while not part or part[-1] != label:
+                    part.append(stack.pop())
+                out.append(sorted(part))
+    return [p for p in reversed(out) if p != ["^"]]
+
+
+def expression(block: dict) -> str:
+    """The wrapper as a union-free regular expression over space-ended tokens; ``#`` is a slot, ``=`` a text of the template."""
+
+    def one(label: str, b: dict) -> str:
+        if label == "#":
+            return "[#] " if b["t"] is None or len(b["d"]) < PAGES else "[=] "
+        return f"{re.escape(label)} {expression(b)}/{re.escape(label)} "
+
+    out = []
+    for part in _order(block):
+        free = len(part) > 1
+        group = ""
+        for label in part:
+            seen, count, places = block["k"][label]
+            inner = "".join(one(label, b) for b in places)
+            optional = seen < block["n"] or free
+            group += f"(?:{inner})" + ("*" if not count and optional else "+" if not count else "?" if optional else "")
+        out.append(f"(?:{group})+" if free else group)
+    return "".join(out)
+
+
+def labelled(block: dict) -> tuple[dict, bool]:
+    """The wrapper ready for extraction, and whether it has texts outside of articles: each text is {"id", "zone", "keep"}, each block {label: its places}.
+
+    Zones: 2 inside an article, 1 inside main, 0 else. ``main`` of the root is the zone of the main text: the
+    article's, unless most of main's text stands outside of it. A text of the template is not kept, nor is a
+    menu, but an article is kept whole.
+    """
+    mass: Counter = Counter()
+    number = 0
+
+    def walk(b: dict, zone: int) -> dict:
+        nonlocal number
+        out = {}
+        for label in sorted(b["k"]):
+            places = []
+            for inner in b["k"][label][2]:
+                if label == "#":
+                    number += 1
+                    mass[zone] += inner["c"]
+                    template = inner["t"] is not None and len(inner["d"]) >= PAGES
+                    menu = inner["l"] >= LINKED * inner["c"] and len(inner["d"]) >= PAGES
+                    places.append({"id": number, "zone": zone, "keep": zone == 2 or not template and not menu})
                 else:
-                    new.append(one[k])
-                    k += 1
-            one = new
-        return one
-
-    a, b = repeated(a, b), repeated(b, a)
-    out: list = []
-    for op, i, j, k, m in SequenceMatcher(None, [x for x, _ in a], [x for x, _ in b], autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [(x, o or p) for (x, o), (_, p) in zip(a[i:j], b[k:m])]
+                    name = label.split(".")[0]
+                    places.append(walk(inner, 2 if name == "article" else max(zone, 1) if name == "main" else zone))
+            out[label] = places
+        return out
+
+    wrapped = walk(block, 0)
+    return {"main": 2 if mass[2] and mass[2] >= mass[1] else 1, "root": wrapped}, bool(mass[0] or mass[1])
+
+
+def placed(html: str, wrapper: dict) -> Iterator[tuple[dict, str]]:
+    """(place in the wrapper, text) of each text of a page of the wrapper's host."""
+    path: list = [(wrapper["root"], Counter())]
+    deeper = 0
+    for kind, *more in blocks(html):
+        if kind == ")":
+            if deeper:
+                deeper -= 1
+            else:
+                path.pop()
+            continue
+        if kind == "(" and (deeper or len(path) > DEPTH):
+            deeper += 1
+            continue
+        kids, met = path[-1]
+        label = "#" if kind == "#" else more[0]
+        places = kids.get(label) or kids[f"{label.split('.')[0]}.*"]
+        at = places[min(met[label], len(places) - 1)]
+        met[label] += 1
+        if kind == "#":
+            yield at, more[0]
         else:
-            out += [(x, True) for x, _ in a[i:j] + b[k:m]]
-    return out
+            path.append((at, Counter()))
 
 
-def expression(wrapper: list) -> str:
-    """The wrapper as a regular expression over space-ended tokens. Groups are possessive: time is linear."""
+def text_hash(text: str) -> int:
+    data = text.encode("utf-8", "replace")
+    return zlib.crc32(data) << 31 ^ zlib.adler32(data)
 
-    def one(item) -> str:
-        return re.escape(item) + " " if isinstance(item, str) else "(?:" + "".join(map(one, item[1])) + ")++"
 
-    return "".join(f"(?:{one(x)})?+" if o else one(x) for x, o in wrapper)
+def main_text(html: str, wrapper: dict, template: set) -> str:
+    """The main text of a page; ``template`` holds (place, hash) of texts that most pages of the host share.
 
+    A page without the host's zone of the main text takes the next wider one. A page that is nothing but
+    template has no other main text than that.
+    """
+    texts = list(placed(html, wrapper))
+    zones = {at["zone"] for at, _ in texts}
+    zone = next((z for z in range(wrapper["main"], 0, -1) if z in zones), 0)
+    inside = [(at, t) for at, t in texts if at["zone"] >= zone]
+    kept = [t for at, t in inside if at["keep"] and (at["zone"] == 2 or (at["id"], text_hash(t)) not in template)]
+    return "\n".join(kept or [t for _, t in inside])
 
-def _flat(wrapper: list) -> Iterator[str]:
-    for x, _ in wrapper:
-        yield from [x] if isinstance(x, str) else _flat([(y, False) for y in x[1]])
 
+# --- over a corpus ----------------------------------------------------------------------------------
 
-def mass(events: list[tuple[str, str, bool]]) -> Counter:
-    """Characters of text right inside each container, furniture aside."""
-    found: Counter = Counter()
-    open_: list[str] = []
-    junk = 0
-    marks: list[bool] = []
-    for token, text, bad in events:
-        if token == "#":
-            if not junk and text:
-                found[next((t for t in reversed(open_) if t.split(".")[0] not in LEAF), "")] += len(text)
-        elif token[0] == "/":
-            open_.pop()
-            junk -= marks.pop()
-        else:
-            open_.append(token)
-            marks.append(bad)
-            junk += bad
-    return found
-
-
-def main_container(wrapper: list, weights: Counter) -> str:
-    """The name of the element that holds the main text: article, else main, else the container with most text."""
-    names = {t.split(".")[0] for t in _flat(wrapper)}
-    for name in ("article", "main"):
-        if name in names:
-            return name
-    return max(sorted(weights), key=lambda t: weights[t]) if weights else ""
-
-
-def cut(events: list[tuple[str, str, bool]], main: str) -> str | None:
-    """The slots inside ``main`` (an element name or token; "" for the whole page), furniture aside; None without it."""
-    out: list[str] = []
-    inside, junk, found = int(not main), 0, not main
-    marks: list[tuple[bool, bool]] = []
-    for token, text, bad in events:
-        if token == "#":
-            if inside and not junk and text:
-                out.append(text)
-        elif token[0] == "/":
-            is_main, bad = marks.pop()
-            inside -= is_main
-            junk -= bad
-        else:
-            is_main = token == main or token.split(".")[0] == main
-            marks.append((is_main, bad))
-            inside += is_main
-            junk += bad
-            found |= is_main
-    return "\n".join(out) if found else None
 
+def _size(block: dict) -> int:
+    todo, n = [block], 0
+    while todo:
+        now = todo.pop()
+        n += 1
+        todo += [b for _, _, places in now.get("k", {}).values() for b in places]
+    return n
 
-def extract_page(html: str, main: str | None, fits) -> str:
-    """The main text: by the wrapper's container if the page fits the wrapper, else by its own."""
-    events = list(blocks(html))
-    if main is not None and fits.fullmatch("".join(t + " " for t, _, _ in events)) and (text := cut(events, main)) is not None:
-        return text
-    own = [(t, False) for t, _, _ in events]
-    return cut(events, main_container(own, mass(events))) or ""
 
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) -> (host, wrapper): the pages of a task merged by host."""
+    held: dict[str, dict] = {}
+    pages = size = 0
+
+    def written():
+        return pa.record_batch([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], ["host", "wrapper"])
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> (host, folded stream, container, characters): one row for each container of a page, or one."""
     for b in batches:
-        seen: Counter = Counter()
         for host, html in zip(b.column(0).to_pylist(), b.column(1)):
-            events = list(blocks(html.as_py() or ""))
-            stream = json.dumps(fold([t for t, _, _ in events]), ensure_ascii=False)
-            for container, n in mass(events).items() or [("", 0)]:
-                seen[host, stream, container] += n
-        if seen:
-            yield pa.record_batch([pa.array(x) for x in zip(*[(*k, n) for k, n in seen.items()])], ["host", "stream", "container", "n"])
-
-
-def _infer(streams: list[list]) -> list:
-    """Align wrappers, the shortest first, so that optional groups come in as they turn up."""
-    wrapper: list = []
-    for s in streams:
-        if len(s) <= ITEMS:
-            wider = align(wrapper, s) if wrapper else s
-            wrapper = wider if len(wider) <= ITEMS else wrapper
-    return wrapper
+            page = tree(html.as_py() or "")
+            pages += 1
+            held[host] = merge(held[host], page) if host in held else page
+            if len(held) > HELD // 50 or pages % 256 == 0 and sum(map(_size, held.values())) > HELD:
+                yield written()
+                held.clear()
+    if held:
+        yield written()
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, main, pattern)``: the wrapper of each host, from all its pages (``host, html``)."""
+    """``(host, wrapper, pattern)``: the wrapper of each host from all its pages ``(host, html)``, and its expression.
+
+    Null htmls are pages without a token. Partial wrappers are merged ``FAN_IN`` at a time until one is left of
+    each host, so no task ever gathers a host's pages. An empty table gives an empty result.
+    """
     scratch = Scratch(pages.sparkSession, "wrappers")
-    rows = scratch.save(pages.select("host", "html").mapInArrow(_streams, "host string, stream string, container string, n long").groupBy("host", "stream", "container").agg(F.sum("n").alias("n")))
-    heaviest = F.max_by("container", F.struct("n", "container")).alias("container")
-    weights = rows.groupBy("host", "container").agg(F.sum("n").alias("n")).groupBy("host").agg(heaviest)
-    streams = rows.select("host", "stream").distinct()
-    parts = F.pmod(F.xxhash64("stream"), F.ceil(F.col("of") / GROUP)).cast("int")
-    salted = streams.join(streams.groupBy("host").agg(F.count("*").alias("of")), "host").withColumn("part", parts)
+    schema = "host string, wrapper string"
+    now = scratch.save(pages.select("host", "html").mapInArrow(_partial, schema).withColumn("part", F.monotonically_increasing_id()))
+
+    def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        whole: dict | None = None
+        for w in pdf["wrapper"]:
+            whole = merge(whole, json.loads(w)) if whole else json.loads(w)
+        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(whole)]})
+
+    while (most := now.groupBy("host").count().agg(F.max("count")).first()[0] or 1) > 1:
+        parts = -(-most // FAN_IN)
+        new = now.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(parts)))
+        new = scratch.save(new.groupBy("host", "bucket").applyInPandas(merged, schema).withColumn("part", F.monotonically_increasing_id()))
+        scratch.drop(now)
+        now = new
+
+    def ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            trees = [json.loads(w) for w in b.column(1).to_pylist()]
+            whole, open_ = zip(*map(labelled, trees)) if trees else ((), ())
+            yield pa.record_batch([b.column(0), pa.array(map(json.dumps, whole), pa.string()), pa.array(open_, pa.bool_()), pa.array(map(expression, trees), pa.string())], ["host", "wrapper", "open", "pattern"])
+
+    return now.select("host", "wrapper").mapInArrow(ready, "host string, wrapper string, open boolean, pattern string")
 
-    def partial(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = sorted((_frozen(json.loads(s)) for s in pdf["stream"]), key=lambda s: (len(s), repr(s)))
-        return pd.DataFrame({"host": [key[0]], "part": [key[1]], "wrapper": [json.dumps(_infer([[(x, False) for x in s] for s in lists]), ensure_ascii=False)]})
 
-    def final(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"host": [], "main": [], "pattern": []}).astype(str)
-        whole = _infer([[(_frozen(x), o) for x, o in json.loads(w)] for w in left.sort_values("part")["wrapper"]])
-        weights = Counter(right["container"].tolist())
-        return pd.DataFrame({"host": [key[0]], "main": [main_container(whole, weights)], "pattern": [expression(whole)]})
+class _Held:
+    """The wrappers of hosts: all of them where they are few enough to be sent to every executor, else as rows bring them."""
 
-    partials = salted.groupBy("host", "part").applyInPandas(partial, "host string, part int, wrapper string")
-    return partials.groupBy("host").cogroup(weights.groupBy("host")).applyInPandas(final, "host string, main string, pattern string")
+    def __init__(self, sent):
+        self.sent, self.loaded = sent, {}
+
+    def __call__(self, host: str, wrapper: str | None = None, template: list | None = None) -> tuple[dict, set]:
+        if host not in self.loaded:
+            if self.sent is not None:
+                wrapper, template = self.sent.value[host]
+            if len(self.loaded) > 256:
+                self.loaded.clear()
+            self.loaded[host] = json.loads(wrapper), {(t["place"], t["text"]) for t in template or []}
+        return self.loaded[host]
+
+
+def _with_wrappers(rows: DataFrame, ready: DataFrame, small: bool):
+    """``rows`` joined with ``ready(host, wrapper, template)``, and what a task needs to read it: the wrappers
+    themselves if they are small together, so that no row carries its own."""
+    if not small:
+        return rows.join(ready, "host").select(*rows.columns, "wrapper", "template"), None
+    every = {r.host: (r.wrapper, r.template) for r in ready.collect()}  # BROADCAST_CHARS at most
+    return rows.join(F.broadcast(ready.select("host")), "host").select(*rows.columns), rows.sparkSession.sparkContext.broadcast(every)
+
+
+def _shared(scratch: Scratch, rows: DataFrame, found: DataFrame, small: bool) -> DataFrame:
+    """``(host, template)``: places and hashes of texts that most different pages with that place share.
+
+    Only places outside of articles are counted, on hosts that have such. Pages that have the same such texts are
+    one page. At most ``1 / SHARE`` texts for each text of a page of the host come out.
+    """
+    some = found.where("open").select("host", "wrapper", F.lit(None).cast(TEMPLATE).alias("template"))
+    with_wrapper, sent = _with_wrappers(rows.select("host", "html"), some, small)
+
+    def open_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(sent)
+        for b in batches:
+            out = []
+            for host, html, *own in zip(*(c.to_pylist() for c in b.columns)):
+                texts = [(at["id"], text_hash(t)) for at, t in placed(html or "", held(host, *own)[0]) if at["zone"] < 2 and at["keep"]]
+                page = text_hash(repr(texts))
+                out += [(host, place, h, page) for place, h in set(texts)]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "place", "text", "page"])
+
+    texts = with_wrapper.mapInArrow(open_texts, "host string, place long, text long, page long").distinct()
+    texts = scratch.save(texts)
+    pages = texts.select("host", "place", "page").distinct().groupBy("host", "place").agg(F.count("*").alias("of"))
+    counted = texts.groupBy("host", "place", "text").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    often = counted.join(pages, ["host", "place"]).where(F.col("n") >= SHARE * F.col("of"))
+    return often.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("template"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -322,21 +568,17 @@ def main_texts(pages: DataFrame) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "extract")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     found = scratch.save(wrappers(rows))
-    chars = found.agg(F.coalesce(F.sum(F.length("pattern") + F.length("host")), F.lit(0))).first()[0]
-    joined = rows.join(F.broadcast(found) if chars <= BROADCAST_CHARS else found, "host", "left")
-
-    @F.pandas_udf("string")
-    def run(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        compiled: dict = {}
-        for html, main, pattern in columns:
-            out = []
-            for h, m, p in zip(html, main, pattern):
-                if p not in compiled:
-                    if len(compiled) > 512:
-                        compiled.clear()
-                    compiled[p] = re.compile(p) if p is not None else None
-                out.append(extract_page(h or "", m if p is not None else None, compiled[p]))
-            yield pd.Series(out, dtype=object)
-
-    texts = joined.select("page_id", "url", run("html", "main", "pattern").alias("text"))
-    return texts.withColumn("n_chars", F.length("text").cast("long"))
+    chars, open_ = found.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0)), F.count_if("open")).first()
+    small = chars <= BROADCAST_CHARS
+    shared = scratch.save(_shared(scratch, rows, found, small)) if open_ else None
+    ready = found.select("host", "wrapper").join(shared, "host", "left") if open_ else found.select("host", "wrapper", F.lit(None).cast(TEMPLATE).alias("template"))
+    joined, sent = _with_wrappers(rows, ready, small)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(sent)
+        for b in batches:
+            out = [main_text(html or "", *held(host, *own)) for html, host, *own in zip(*(c.to_pylist() for c in b.columns[2:]))]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+    kind = rows.schema["page_id"].dataType.simpleString()
+    return joined.mapInArrow(run, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
