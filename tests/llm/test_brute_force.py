@@ -4,6 +4,7 @@ import html as entities
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -78,6 +79,28 @@ def test_simhash_against_all_pairs(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_simhash_crowded_halves(spark, monkeypatch):
+    """Many fingerprints at one half, and pairs of them three bits apart in the other."""
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    rng = random.Random(21)
+    fps = set()
+    for _ in range(40):
+        base = rng.getrandbits(32)
+        fps.add(7 << 32 | base)
+        fps.add(7 << 32 | base ^ sum(1 << b for b in rng.sample(range(32), 3)))
+        fps.add(6 << 32 | base ^ sum(1 << b for b in rng.sample(range(32), 2)))
+        fps.add(base << 32 & (1 << 63) - 1 | 5)
+    fps = sorted(fps)
+    want = components(len(fps), [(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    found = {r.node: r.root for r in simhash.fingerprint_components(common.Scratch(spark, "t"), spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    groups = lambda of: sorted(sorted(g) for g in of.values() if len(g) > 1)
+    by_want, by_got = {}, {}
+    for f, w in zip(fps, want):
+        by_want.setdefault(w, []).append(f)
+        by_got.setdefault(found.get(f, f), []).append(f)
+    assert groups(by_got) == groups(by_want) and len(groups(by_want)) >= 30
+
+
 def test_simhash_null_ids(spark):
     df = spark.createDataFrame([(None, "x y z w"), (5, "x y z w"), (None, "other words here")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
@@ -193,6 +216,17 @@ def test_mixed_rows_follow_the_plan(spark):
     assert got == Counter({i: math.floor(n / 4 + 0.5) for i, n in plan.items() if n >= 2})
 
 
+def test_mixing_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c d", "x")] * 4 + [(None, "e f", "x"), (None, "g", None), (2, None, "y"), (3, "h i", "y"), (3, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("z") for c in ("times", "plan", "size", "row", "k", "slot", "bucket")})
+    plan = mixing.mix_plan(df).collect()
+    assert sorted(((r.doc_id, r["size"]) for r in plan), key=str) == sorted(((i, len((t or "").split())) for i, t, _ in rows), key=str)
+    assert all(0 <= r.taken <= 2 * r["size"] for r in plan)
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and out.where("text is null or text = ''").count() == 0
+    assert mixing.mixed(df.limit(0)).count() == 0
+
+
 # --- 5 line runs ------------------------------------------------------------------------------------
 
 
@@ -242,6 +276,17 @@ def test_line_runs_repeated_rows(spark):
     assert [r.n_removed for r in linedup.line_report(df).where("doc_id is null").collect()] == [1]
 
 
+def test_line_runs_keep_other_columns(spark):
+    text = " ".join(["w"] * 60)
+    clash = {c: F.lit(c) for c in ("gone", "rest", "rows", "found", "th", "id", "__gone", "__text", "n_lines")}
+    df = spark.createDataFrame([(1, text), (2, "own\n" + text + "\nwords"), (3, text), (4, None), (None, text + "\nx"), (5, "")], "doc_id long, text string").withColumns(clash)
+    kept = {r.doc_id: r for r in linedup.without_repeats(df).collect()}
+    assert linedup.without_repeats(df).columns == df.columns and all(r[c] == c for r in kept.values() for c in clash)
+    assert {i: r.text for i, r in kept.items()} == {1: text, 2: "own\nwords", 4: None, None: "x", 5: ""}
+    many = "\n".join(["y " * 50 if k % 2 else f"z{k}" for k in range(20_000)])
+    assert linedup.line_report(spark.createDataFrame([(1, many)], "doc_id long, text string")).first().n_removed == 9_999
+
+
 # --- 1 packing --------------------------------------------------------------------------------------
 
 
@@ -289,6 +334,16 @@ def test_packing_keeps_every_word(spark):
     assert packing.pack(documents(spark, texts, sources).limit(0)).count() == 0
 
 
+def test_packing_null_and_large_ids_and_repeated_rows(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b c", "s"), (None, "d e", "t"), (None, None, None), (5, "a b c", "u"), (5, "a b c", "u"), (7, "", "s")], "doc_id long, text string, source string")
+    rows = packing.pack(df).collect()
+    assert sorted(((r.doc_id, r.words) for r in rows), key=str) == sorted([(big, 3), (None, 2), (None, 0), (5, 3), (5, 3), (7, 0)], key=str)
+    assert len({r.bin_id for r in rows if r.words == 3}) == 3  # copies are kept apart
+    texts = packing.pack(df.withColumn("doc_id", F.col("doc_id").cast("string"))).collect()
+    assert str(big) in {r.doc_id for r in texts}
+
+
 # --- 8 quality --------------------------------------------------------------------------------------
 
 
@@ -316,6 +371,63 @@ def test_quality_edge_cases(spark):
     assert len(i) == len(x) and quality.features(None)[0].tolist() == [0]
 
 
+def plain_features(text):
+    """Word 1- and 2-grams by the letter, as a dictionary of slots."""
+    words = re.findall(r"[^\W\d_]+|\d+|[^\w\s]|_", text)
+    grams = Counter(w.lower() for w in words) + Counter(f"{a.lower()} {b.lower()}" for a, b in zip(words, words[1:]))
+    grams += Counter({"^^": sum(len(w) > 1 and w.isupper() for w in words), "==": sum(a.lower() == b.lower() for a, b in zip(words, words[1:]))})
+    out = Counter()
+    for g, n in grams.items():
+        out[1 + zlib.crc32(g.encode()) % (quality.DIM - 1)] += math.sqrt(n / len(words))
+    return {0: 1.0, **out}
+
+
+def plain_ftrl(rows, epochs):
+    """Follow the regularised leader, coordinate by coordinate, as published (per-coordinate rates, L1 and L2)."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_features_and_ftrl_against_plain():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["alpha", "BETA", "gamma,", "delta", "12", "é_x", "beta"], k=rng.randint(1, 40))) for _ in range(40)]
+    rows = []
+    for t in texts:
+        i, x = quality.features(t)
+        got = Counter()
+        for k, v in zip(i.tolist(), x.tolist()):
+            got[k] += v
+        assert got == pytest.approx(plain_features(t))
+        rows.append((i, x, int("alpha" in t)))
+    w = quality.train(rows, epochs=3)
+    want = plain_ftrl([(plain_features(t), y) for t, (_, _, y) in zip(texts, rows)], 3)
+    assert {k: w[k] for k in want} == pytest.approx(want, abs=1e-9) and np.count_nonzero(w) == sum(v != 0 for v in want.values())
+
+
+def test_quality_repeated_rows(spark):
+    rows = [(k, "good words here " + chr(97 + k % 26), 1) if k % 2 else (k, "BAD BAD " + chr(97 + k % 26), 0) for k in range(1, 80)]
+    once = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    many = once.union(once.where("doc_id < 4").crossJoin(spark.range(50)).select("doc_id", "text"))
+    model, again = quality.fit(once, labels), quality.fit(many, labels)
+    assert np.array_equal(model, again)  # equal rows are learnt from once
+    scored = quality.classify(many, labels).collect()
+    assert len(scored) == many.count() and len({(r.doc_id, r.score) for r in scored}) == len(rows)
+
+
 def test_pieces_of_long_texts_give_the_same_features(monkeypatch):
     text = " ".join(random.Random(2).choices(["a", "b!", "CC", "d1"], k=500))
     whole = quality.features(text)
@@ -328,6 +440,21 @@ def test_pieces_of_long_texts_give_the_same_features(monkeypatch):
 # --- 7 tokens ---------------------------------------------------------------------------------------
 
 
+def library_counts(path, texts):
+    """Token counts asked of the libraries as their manuals have it, one text at a time."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return [len(model.encode(t, add_bos=False, add_eos=False)) for t in texts]
+    import tokenizers
+
+    model = tokenizers.Tokenizer.from_file(path)
+    model.no_truncation()
+    model.no_padding()
+    return [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokens_against_the_library(spark, tmp_path, name):
     import public_tokenizers
@@ -336,8 +463,7 @@ def test_tokens_against_the_library(spark, tmp_path, name):
     texts = [None, "", "Hello world", "Hello world", "<s> </s> <|endoftext|>", "é\u00a0ñ\n\n  x", LONG]
     df = documents(spark, texts)
     cache = f"file://{tmp_path}/cache"
-    count = tokens.counter(path)
-    want = {i: (len((t or "").encode()), count([t or ""])[0]) for i, t in enumerate(texts)}
+    want = {i: (len((t or "").encode()), n) for i, (t, n) in enumerate(zip(texts, library_counts(path, [t or "" for t in texts])))}
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokens.cached(df, path, cache).collect()}
     assert got == want
     stored = spark.read.parquet(cache).count()
@@ -348,6 +474,22 @@ def test_tokens_against_the_library(spark, tmp_path, name):
     assert tokens.cached(df.limit(0), path).count() == 0
 
 
+def test_tokens_of_repeated_rows_and_null_ids_are_encoded_once(spark, tmp_path):
+    import public_tokenizers
+
+    path, cache = public_tokenizers.path("piece_bpe_32k.model"), f"file://{tmp_path}/cache"
+    rows = [(1, "a b")] * 20 + [(None, "c d")] * 20 + [(None, "a b"), (2, "e"), (3, "e"), (3, None), (3, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = dict(zip(["a b", "c d", "e", "", "f"], library_counts(path, ["a b", "c d", "e", "", "f"])))
+    got = sorted(((r.doc_id, r.n_tokens) for r in tokens.cached(df, path, cache).collect()), key=str)
+    assert got == sorted(((i, counts[t or ""]) for i, t in rows), key=str)
+    assert spark.read.parquet(cache).count() == 5  # a row for each text that was encoded
+    assert sorted(((r.doc_id, r.n_tokens) for r in tokens.cached(df, path, cache).collect()), key=str) == got
+    assert spark.read.parquet(cache).count() == 5  # all of them hits
+    tokens.cached(df, public_tokenizers.path("byte_bpe_50k.json"), cache).count()
+    assert spark.read.parquet(cache).count() == 10 and spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
+
+
 # --- 9 lattice --------------------------------------------------------------------------------------
 
 
@@ -410,13 +552,26 @@ def test_hnsw_recall_and_order(spark):
 def test_hnsw_shards_are_merged(spark):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(600, 16))
-    df = spark.createDataFrame([(i, [float(x) for x in e]) for i, e in enumerate(v)], "cid long, embedding array<double>")
-    graphs, shards = hnsw.index(common.Scratch(spark, "t"), df, shard_rows=100)
-    assert shards == {16: 6} and graphs.count() == 6
-    found = hnsw.search(graphs, shards, df.where("cid < 20").withColumnRenamed("cid", "qid"), 5, block=7).collect()
+    df = spark.createDataFrame([(i, i, [float(x) for x in e]) for i, e in enumerate(v)], "cid long, least long, embedding array<double>")
+    graphs = hnsw.index(common.Scratch(spark, "t"), df, shard_rows=100)
+    assert graphs.count() == 6
+    found = hnsw.search(graphs, df.where("cid < 20").select(F.col("cid").alias("qid"), "embedding"), 5, block=7).collect()
     assert len(found) == 20 * 6 * 5
 
 
+@pytest.mark.parametrize("shard_rows", [hnsw.SHARD_ROWS, 200])
+def test_hnsw_ties_between_different_vectors(spark, monkeypatch, shard_rows):
+    """63 axes up and down are 126 vectors at one distance from the origin's neighbour; more ties than a search holds are exact too."""
+    monkeypatch.setattr(hnsw.index, "__defaults__", (shard_rows,))
+    axes = [[float(s * (k == j)) for j in range(64)] for k in range(1, 64) for s in (1, -1)]
+    rows = [(i, e, 1) for i, e in enumerate([[1e-9] + [0.0] * 63, *axes])]
+    got = [r.vec_id for r in hnsw.neighbours(vectors(spark, rows), F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == list(range(1, 11))
+    ones = [(1000 - i, [float(i == j) for j in range(500)], 1) for i in range(500)]  # all at one distance from each other
+    found = hnsw.neighbours(vectors(spark, ones), F.col("vec_id") % 100 == 0).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in found} == {(q, k + 1, i) for q in range(600, 1001, 100) for k, i in enumerate([i for i in range(501, 512) if i != q][:10])}
+
+
 # --- 4 urls -----------------------------------------------------------------------------------------
 
 
@@ -452,6 +607,43 @@ def test_urls(spark):
     assert len(urls.verdicts(pages, rules).collect()) == len(rows) and urls.verdicts(pages.limit(0), rules).count() == 0
 
 
+def test_urls_against_sql_on_pages_with_links(spark, tmp_path):
+    """Random graphs of canonical links and refreshes, relative ones and escaped ones, against the query's SQL."""
+    rng = random.Random(14)
+    hosts = ["a.org", "B.org", "x.net", "good.com", "example.com", "www.example.com", "deep.example.com", "q.net"] + [f"h{k}.org" for k in range(60)] + [f"n{k}.net" for k in range(20)]
+    paths = ["", "/", "/en/1", "/es/1", "/fr/2", "/x/y", "/x/z?k=1&l=2", "/en/1#top", "/x/"]
+    every = [f"http://{h}{p}" for h in hosts for p in paths]
+    rows = []
+    for k in range(1000):
+        url, to = rng.choice(every), rng.choice(every)
+        href = rng.choice([to, to, to[5:], "/es/1", "y", "z?k=1&l=2", ""]).replace("&", rng.choice(["&", "&amp;"]))
+        tag = rng.choice([f'<link rel="canonical" href="{href}">', f"<LINK href='{href}' REL=canonical>", f'<meta http-equiv="refresh" content="0; url={href}">', "", "", "canonical", f"<link rel=canonical href={href}><link rel=canonical href=http://q.net/es/1>"])
+        rows.append((k, url if rng.random() < 0.98 else rng.choice([None, "no url"]), "<html>" + tag + "</html>" if rng.random() < 0.95 else None))
+    for share in (0.1, 0.6):  # few links and many
+        part = [(k, u, h if (k * 7919) % 1000 < share * 1000 else "") for k, u, h in rows]
+        pages = spark.createDataFrame(part, "page_id long, url string, html string")
+        pages.coalesce(1).write.mode("overwrite").parquet(f"file://{tmp_path}/pages")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+        want = {tuple(r) for r in con.execute("SELECT page_id, host, path, rule, verdict FROM (" + urls.SQL + ")").fetchall()}
+        got = {tuple(r) for r in urls.verdicts(pages, spark.createDataFrame(urls.RULES, urls.RULE_SCHEMA)).select("page_id", "host", "path", "rule", "verdict").collect()}
+        assert got == want
+        if share < 0.5:
+            assert any(r[3] is None and r[4] == "block" for r in got)
+    long = spark.createDataFrame([(1, "http://a.org/", "canonical" + "<link " * 200_000), (2, "http://b.org/", "x" * 3_000_000)], "page_id long, url string, html string")
+    assert {r.verdict for r in urls.verdicts(long, spark.createDataFrame(urls.RULES, urls.RULE_SCHEMA)).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    n = 300
+    links = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([100, 250, 500]))]
+    got = {r.node: r.root for r in common.components(common.Scratch(spark, "t"), spark.createDataFrame(links, "a long, b long")).collect()}
+    want = components(n, [x for x in links if x[0] != x[1]])
+    assert got == {i: want[i] for x in links if x[0] != x[1] for i in x}
+
+
 # --- 6 wrappers -------------------------------------------------------------------------------------
 
 
@@ -497,25 +689,60 @@ def test_wrappers_furniture_and_odd_html(spark):
     got = {r.page_id: r.text for r in out}
     assert len(out) == len(rows) and all(r.n_chars == len(r.text) for r in out)
     assert got[1] == "T & t\nOne two three <4>\nFive\nx\ny" and got[2] == "T & t\nOne two three <4>\nx\ny"
-    assert got[3] == got[4] == "" and got[5] == "plain text, 1 < 2" and got[6] == "only" and got[7] == "long text here\nand more"
+    assert got[3] == got[4] == "" and got[5] == "plain text, 1 < 2" and got[6] == "only" and got[7] == "ab\nlong text here\nand more"
     assert got[9] == "T\n" + "\n".join(["z"] * 3000)
     assert wrappers.main_texts(pages.limit(0)).count() == 0
 
 
 def test_wrapper_inference():
-    def stream(html):
-        return [(x, False) for x in wrappers.fold([t for t, _, _ in wrappers.blocks(html)])]
-
-    one, many, aside = "<article><h1>a</h1><p>b</p></article>", "<article><h1>a</h1><p>b</p><p>c</p><p>d</p></article>", "<article><h1>a</h1></article><aside>e</aside>"
-    w = wrappers.align(wrappers.align(stream(one), stream(many)), stream(aside))
-    assert (("+", ("p", "#", "/p")), True) in w and ("aside", True) in w and ("h1", False) in w
-    fits = re.compile(wrappers.expression(w))
-    for page in (one, many, aside):
-        assert fits.fullmatch("".join(t + " " for t, _, _ in wrappers.blocks(page)))
-    assert not fits.fullmatch("".join(t + " " for t, _, _ in wrappers.blocks("<article><p>b</p><h1>a</h1></article>")))
-    assert wrappers.main_container(w, Counter()) == "article"
-    huge = stream("".join(f"<div class=c{k}><p>x</p></div>" for k in range(3000)))
-    assert wrappers._infer([stream(one), huge]) == stream(one) and wrappers._infer([huge]) == []
+    one, many, aside = "<article><h1>a</h1><p>b</p></article>", "<article><h1>a</h1><p>b</p><p>c</p><p>d</p></article>", "<article><h1>a</h1></article><section>e</section>"
+    mixed = "<article><h1>a</h1><p>b</p><ul><li>x</li></ul><p>c</p></article>"
+    pages = [one, many, aside, mixed]
+    w = None
+    for page in pages:
+        w = wrappers.merge(w, wrappers.tree(page)) if w else wrappers.tree(page)
+    article = w["k"]["article"][2][0]
+    assert article["k"]["p"][:2] == [3, 0] and article["k"]["h1"][:2] == [4, 1] and w["k"]["section"][:2] == [1, 1]  # repeated, single, optional
+    assert article["k"]["h1"][2][0]["k"]["#"][2][0]["t"] is not None and article["k"]["p"][2][0]["k"]["#"][2][0]["t"] is None  # template, slot
+    fits = re.compile(wrappers.expression(w).replace("[#]", "#").replace("[=]", "#"))
+    stream = lambda page: "".join({"(": e[1] if e[0] == "(" else "", "#": "#"}.get(e[0], "") + " " for e in wrappers.blocks(page) if e[0] != ")")
+    starts = re.compile(re.sub(r"/[\w.*]+ ", "", fits.pattern))
+    assert all(starts.fullmatch(stream(page)) for page in pages)
+    assert not starts.fullmatch(stream("<article><p>b</p><h1>a</h1></article>"))
+    for seed in range(5):  # the order of pages doesn't matter
+        again = None
+        for page in random.Random(seed).sample(pages, 4):
+            again = wrappers.merge(again, wrappers.tree(page)) if again else wrappers.tree(page)
+        assert wrappers.labelled(again) == wrappers.labelled(w) and wrappers.expression(again) == wrappers.expression(w)
+
+
+def test_wrappers_on_hosts_without_articles(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "FAN_IN", 2)
+    page = "<html><body><div class=x1><p>We use pastries to improve your visit</p><ul><li><a href=/a>Home {n}</a></li><li><a href=/b>More {n}</a></li></ul></div><div class=x2><p>Story {n} begins</p><p>It goes on {n}</p><p>Sent from our office</p></div><div class=x3><p>Its end {n}</p></div></body></html>"
+    rows = [(n, f"http://h.org/{n}", page.replace("{n}", w)) for n, w in enumerate(["one", "two", "three", "four"])]
+    rows += [(10 + n, f"http://copies.org/{n}", page) for n in range(5)]  # one page only: nothing tells its template
+    rows += [(20 + n, f"http://two.org/{n}", page.replace("{n}", w)) for n, w in enumerate(["one", "two"])]
+    rows += [(30, "http://many.org/0", "".join(f"<div class=c{chr(97 + k // 26)}{chr(97 + k % 26)}><p>x{k}</p></div>" for k in range(600))), (31, "http://many.org/1", "<div class=zz><p>y</p></div><article>z</article>"), (32, "http://many.org/2", "<div class=social-history><p>kept</p></div><div class=comment-list><p>no</p></div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = {r.page_id: r.text for r in wrappers.main_texts(df).collect()}
+    assert [got[n] for n in range(4)] == [f"Story {w} begins\nIt goes on {w}\nIts end {w}" for w in ("one", "two", "three", "four")]
+    assert len({got[10 + n] for n in range(5)}) == 1 and "Story {n} begins" in got[10]
+    assert "Story one begins" in got[20]
+    assert got[30] == "\n".join(f"x{k}" for k in range(600)) and got[31] == "z" and got[32] == "kept"
+    # without its wrapper a page keeps the template and the menu
+    alone = wrappers.main_text(rows[0][2], wrappers.labelled(wrappers.tree(rows[0][2]))[0], set())
+    assert alone != got[0] and "pastries" in alone and "Home one" in alone
+    # wrappers that aren't sent to the executors give the same
+    monkeypatch.setattr(wrappers, "BROADCAST_CHARS", 0)
+    assert {r.page_id: r.text for r in wrappers.main_texts(df).collect()} == got
+
+
+@pytest.mark.parametrize("markup", ["<a ", "<div>", "<h1>", "</x><b>", "<!", "<div class='q' "])
+def test_markup_is_read_in_linear_time(markup):
+    began = time.perf_counter()
+    list(wrappers.blocks(markup * (1_000_000 // len(markup))))
+    assert time.perf_counter() - began < 8
+    assert len(wrappers.main_text("<div>" * 2000 + "x", wrappers.labelled(wrappers.tree("<div>" * 2000 + "x"))[0], set())) == 1
 
 
 # --- registered queries -----------------------------------------------------------------------------
@@ -532,4 +759,4 @@ def test_query_against_sql(spark, name):
 
 
 def test_entity_decoding_matches_the_standard():
-    assert next(t for _, t, _ in wrappers.blocks("<p>&eacute;&#233;&amp &nope; &#x41;</p>") if t) == entities.unescape("&eacute;&#233;&amp &nope; &#x41;")
+    assert next(e[1] for e in wrappers.blocks("<p>&eacute;&#233;&amp &nope; &#x41;</p>") if e[0] == "#") == entities.unescape("&eacute;&#233;&amp &nope; &#x41;")
