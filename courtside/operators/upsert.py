@@ -1,52 +1,60 @@
 """Keyed upserts by rule tables.
 
 Plain Parquet has no MERGE, so an upsert is a full outer join on the natural key and a rule for each
-column. New rows of one key are folded in their order of arrival first, as one-by-one application would.
+column, and a stored table is a folder of versions. New rows of one key are folded in their order of arrival first, as one-by-one application would.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from courtside import schemas
 from courtside.functions import scalars as S
 
 
 @dataclass(frozen=True)
 class Rules:
     """What becomes of each column: ``overwrite`` takes the new value, ``keep`` the new one unless it is
-    missing, ``insert`` the first, ``computed`` follows from the merged row."""
+    missing, ``computed`` follows from the merged row. Any other column of the stored table stays as it is,
+    and an inserted row takes it from the new one. ``id`` is minted for inserted rows."""
 
-    key: list[str]
+    table: str
     overwrite: list[str] = field(default_factory=list)
     keep: list[str] = field(default_factory=list)
-    insert: list[str] = field(default_factory=list)
-    computed: dict[str, Column] | None = None
+    computed: dict[str, tuple[list[str], Column]] | None = None
+
+    @property
+    def key(self) -> list[str]:
+        return schemas.KEYS[self.table]
 
 
 _STATS = "points rebounds assists steals blocks turnovers fg_made fg_attempted fg3_made fg3_attempted ft_made ft_attempted plus_minus".split()
 
 
-def _shooting() -> dict[str, Column]:
-    return {"efg_pct": S.effective_fg(F.col("fg_made"), F.col("fg_attempted"), F.col("fg3_made")), "ts_pct": S.true_shooting(F.col("points"), F.col("fg_attempted"), F.col("ft_attempted"))}
+def _shooting() -> dict[str, tuple[list[str], Column]]:
+    efg, ts = ["fg_made", "fg_attempted", "fg3_made"], ["points", "fg_attempted", "ft_attempted"]
+    return {"efg_pct": (efg, S.effective_fg(*map(F.col, efg))), "ts_pct": (ts, S.true_shooting(*map(F.col, ts)))}
 
 
 def rules(table: str) -> Rules:
-    """The rule table of one of the domain's tables."""
+    """The rule table of one of the domain's tables; its natural key is the schema's."""
     return {
-        "teams": lambda: Rules(["slug"], overwrite=["name", "league"]),
-        "players": lambda: Rules(["name", "team_id"], keep=["position", "number", "photo_url"]),
-        "games": lambda: Rules(["date", "home_team_id", "away_team_id"], keep=["league", "season", "home_score", "away_score", "boxscore_url", "notes"]),
-        "boxscores": lambda: Rules(["game_id", "player_name"], keep=["minutes", "offensive_rebounds", "defensive_rebounds", "personal_fouls", "games_started", *_STATS], insert=["team_id"], computed=_shooting()),
+        "teams": lambda: Rules(table, overwrite=["name", "league"]),
+        "players": lambda: Rules(table, keep=["position", "number", "photo_url"]),
+        "games": lambda: Rules(table, keep=["league", "season", "home_score", "away_score", "boxscore_url", "notes"]),
+        "boxscores": lambda: Rules(table, keep=["minutes", "offensive_rebounds", "defensive_rebounds", "personal_fouls", "games_started", *_STATS], computed=_shooting()),
         "team_game_stats": lambda: Rules(
-            ["game_id", "team_id"],
+            table,
             overwrite=["possessions", "pace", "off_rating", "def_rating", "net_rating", "team_points", "team_rebounds", "team_assists", "team_turnovers", "team_fg_attempted", "team_ft_attempted"],
         ),
-        "player_game_logs": lambda: Rules(["player_id", "game_id"], keep=["season", "minutes", *_STATS], computed=_shooting()),
-        "season_team_stats": lambda: Rules(["team_id", "season"], overwrite=["games_played", "wins", "losses", "points_per_game", "rebounds_per_game", "assists_per_game", "pace", "off_rating", "def_rating", "net_rating"]),
+        "player_game_logs": lambda: Rules(table, keep=["season", "minutes", *_STATS], computed=_shooting()),
+        "season_team_stats": lambda: Rules(table, overwrite=["games_played", "wins", "losses", "points_per_game", "rebounds_per_game", "assists_per_game", "pace", "off_rating", "def_rating", "net_rating"]),
     }[table]()
 
 
@@ -57,62 +65,102 @@ def _given(df: DataFrame, column: str, zero_is_missing: bool) -> Column:
     return F.nullif(F.col(column), F.lit(0).cast(kind)) if zero_is_missing else F.col(column)
 
 
-def upsert(old: DataFrame, new: DataFrame, how: Rules, *, order: str | None = None, zero_is_missing: bool = False) -> DataFrame:
-    """``old`` after applying the rows of ``new``; columns of ``how`` that a side lacks are null there.
+def minted(rows: DataFrame, key: list[str], start: Column, buckets: int = 4096) -> DataFrame:
+    """``rows`` with a unique ``id`` from ``start`` on that only their keys decide.
 
-    ``order`` names the column of arrival in ``new``; without it keys must be single there. With
-    ``zero_is_missing`` a zero is treated like null in kept columns, as the reference's storage does.
+    Rows are numbered within buckets of their keys' hash, and buckets take turns: no task sees all rows, and the
+    gaps are as small as the buckets are even.
     """
-    named = [c for c in [*how.overwrite, *how.keep, *how.insert] if c in old.columns or c in new.columns]
+    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+    within = F.row_number().over(W.partitionBy("__bucket").orderBy(*key)) - 1
+    return dealt.withColumn("id", start + within * buckets + F.col("__bucket")).drop("__bucket")
+
+
+def upsert(old: DataFrame, new: DataFrame, how: Rules, *, order: str | None = None, zero_is_missing: bool = False) -> DataFrame:
+    """``old`` after applying the rows of ``new``: all columns of ``old``, those that only ``new`` has, and ``change``.
 
-    def full(df: DataFrame) -> DataFrame:
-        kinds = dict(old.dtypes) | {c: t for c, t in new.dtypes if c not in old.columns}
-        return df.select(*how.key, *[(F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in named], *([F.col(order)] if order and order in df.columns else []))
+    ``order`` names the column of arrival in ``new``; without it keys must be single there. Keys with nulls are
+    keys like others. With ``zero_is_missing`` a zero is treated like null in kept columns, as the reference's
+    storage does. Where ``old`` has an ``id``, stored rows keep theirs and inserted ones go on from the greatest;
+    an ``id`` in ``new`` is not read. Computed columns are null where no side has what they follow from.
+    """
+    key, kinds = how.key, dict(new.dtypes) | dict(old.dtypes)
+    extra = [c for c in new.columns if c not in old.columns and c != order and c != "id"]
+    named = [c for c in [*old.columns, *extra] if c not in key and c != "id"]
+    kept = [c for c in named if c in how.keep]
 
-    fresh = full(new)
-    given = {c: _given(fresh, c, zero_is_missing) for c in how.keep if c in named}
+    fresh = new.select(*[F.col(c).cast(kinds[c]).alias(c) for c in key], *[(F.col(c) if c in new.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in named], *([order] if order else []))
+    given = {c: _given(fresh, c, zero_is_missing) for c in kept}
     if order:
-        last = W.partitionBy(*how.key).orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        folded = {c: F.last(c).over(last) for c in how.overwrite if c in named}
-        folded |= {c: F.last(v, ignorenulls=True).over(last) for c, v in given.items()}
-        folded |= {c: F.first(c).over(last) for c in how.insert if c in named}
-        rank = F.row_number().over(W.partitionBy(*how.key).orderBy(order))
-        fresh = fresh.select(*how.key, *[v.alias(c) for c, v in folded.items()], rank.alias("__r")).where("__r = 1").drop("__r")
+        last = W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        folded = {c: F.last(given[c], ignorenulls=True) if c in given else F.last(c) if c in how.overwrite else F.first(c) for c in named}
+        rank = F.row_number().over(W.partitionBy(*key).orderBy(order))
+        fresh = fresh.select(*key, *[v.over(last).alias(c) for c, v in folded.items()], rank.alias("__r")).where("__r = 1").drop("__r")
     else:
         fresh = fresh.withColumns(given)
-    right = fresh.select(*how.key, *[F.col(c).alias(f"__{c}") for c in named], F.lit(True).alias("__new"))
-    both = full(old).withColumn("__old", F.lit(True)).join(right, how.key, "full")
-    known, arrived = F.col("__old").isNotNull(), F.col("__new").isNotNull()
-    merged = {c: F.when(arrived, F.col(f"__{c}")).otherwise(F.col(c)) for c in how.overwrite if c in named}
-    merged |= {c: F.coalesce(f"__{c}", c) for c in how.keep if c in named}
-    merged |= {c: F.when(known, F.col(c)).otherwise(F.col(f"__{c}")) for c in how.insert if c in named}
-    out = both.select(*how.key, *[v.alias(c) for c, v in merged.items()], arrived.alias("__arrived"), known.alias("__known"))
-    for c, v in (how.computed or {}).items():
-        out = out.withColumn(c, v)
-    change = F.when(~F.col("__known"), "inserted").when(F.col("__arrived"), "updated").otherwise("kept")
-    return out.withColumn("change", change).drop("__arrived", "__known")
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write ``df`` to ``path`` though it may read from there: to a new folder beside it first, then swap names."""
+
+    left, right = old.select(F.struct(*old.columns).alias("was")), fresh.select(F.struct(*fresh.columns).alias("now"))
+    same = reduce(and_, [F.col(f"was.{c}").eqNullSafe(F.col(f"now.{c}")) for c in key])
+    both = left.join(right, same, "full")
+    known, arrived = F.col("was").isNotNull(), F.col("now").isNotNull()
+
+    def value(c: str) -> Column:
+        was, now = F.col(f"was.{c}") if c in old.columns else F.lit(None).cast(kinds[c]), F.col(f"now.{c}")
+        if c in how.overwrite:
+            return F.when(arrived, now).otherwise(was)
+        return F.coalesce(now, was) if c in kept else F.when(known, was).otherwise(now)
+
+    change = F.when(~known, "inserted").when(arrived, "updated").otherwise("kept")
+    with_id = [F.col("was.id").alias("id")] if "id" in old.columns else []
+    out = both.select(*with_id, *[F.when(known, F.col(f"was.{c}")).otherwise(F.col(f"now.{c}")).alias(c) for c in key], *[value(c).alias(c) for c in named], change.alias("change"))
+    for c, (inputs, v) in (how.computed or {}).items():
+        out = out.withColumn(c, v if set(inputs) <= set(out.columns) else F.lit(None).cast("double"))
+    if with_id:
+        most = old.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+        new_rows = minted(out.where("change = 'inserted'").drop("id"), key, most + 1)
+        out = out.where("change <> 'inserted'").unionByName(new_rows.withColumn("id", F.col("id").cast(kinds["id"])).select(*out.columns))
+    computed = [c for c in how.computed or {} if c not in old.columns and c not in extra]
+    return out.select(*old.columns, *extra, *computed, "change")
+
+
+def _fs(spark, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark, path: str) -> list[int]:
+    """Complete versions of a stored table: folders ``v=<n>`` whose write has ended."""
+    folder, fs = _fs(spark, path)
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(_fs(spark, f"{path}/{n}/_SUCCESS")[0]))
+
+
+def current(spark, path: str) -> DataFrame:
+    """The newest complete version of a stored table."""
+    return spark.read.parquet(f"{path}/v={versions(spark, path)[-1]}")
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Write ``df`` as the table's next version, though it may read the present one, and return its number.
+
+    A version counts once its write has ended, so readers find the old table or the new one at any time and never
+    none; versions before the last ``keep`` go. One writer at a time.
+    """
     spark = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    target, beside, before = fs_path(path), fs_path(f"{path}.next"), fs_path(f"{path}.before")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(f"{path}.next")
-    fs.delete(before, True)
-    if fs.exists(target):
-        fs.rename(target, before)
-    fs.rename(beside, target)
+    number = max(versions(spark, path), default=0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/v={number}")
+    for old in versions(spark, path)[:-keep]:
+        folder, fs = _fs(spark, f"{path}/v={old}")
+        fs.delete(folder, True)
+    return number
 
 
 def snapshot(path: str, stamp: str, spark) -> str | None:
-    """Copy a table's folder beside it under a time stamp; None if there is no table."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    source = fs_path(path)
-    conf = spark._jsc.hadoopConfiguration()
-    if not source.getFileSystem(conf).exists(source):
+    """Copy a table's newest version beside it under a time stamp; None if there is no table."""
+    if not versions(spark, path):
         return None
     copy = f"{path}.{stamp}"
-    spark.read.parquet(path).write.mode("errorifexists").parquet(copy)
+    current(spark, path).write.mode("errorifexists").parquet(copy)
     return copy
