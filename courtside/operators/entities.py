@@ -20,25 +20,30 @@ def resolve(opponents: DataFrame, teams: DataFrame) -> DataFrame:
     that share a run of four characters, so that no pair of all names is formed.
     """
     asked = opponents.select("opponent", "opponent_slug").distinct()
-    by_slug = asked.join(teams.select(F.col("slug").alias("opponent_slug"), F.col("id").alias("slug_id")), "opponent_slug", "left")
-    open_ = by_slug.where("slug_id is null").select("opponent").distinct().withColumn("key", names.team_key(F.col("opponent"))).where(F.length("key") >= SHORTEST)
-    known = teams.select("id", names.team_key(F.col("name")).alias("team_key")).where(F.length("team_key") >= SHORTEST)
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - SHORTEST + 1), lambda i: F.substring(F.col(c), i, F.lit(SHORTEST)))))
     # whichever is contained has its first gram inside the other: heads meet grams, both ways
-    head = lambda c: F.substring(c, 1, SHORTEST)
-    held = open_.withColumn("g", head("key")).join(known.withColumn("g", grams("team_key")), "g").where(F.contains("team_key", "key"))
-    holds = open_.withColumn("g", grams("key")).join(known.withColumn("g", head("team_key")), "g").where(F.contains("key", "team_key"))
-    by_name = held.select("opponent", "id").union(holds.select("opponent", "id")).groupBy("opponent").agg(F.min("id").alias("name_id"))
-    found = by_slug.join(by_name, "opponent", "left")
+    grams = lambda c: F.inline(F.transform(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - SHORTEST + 1), lambda i: F.substring(F.col(c), i, F.lit(SHORTEST)))), lambda g, i: F.struct(g.alias("g"), (i == 0).alias("head"))))
+    open_ = asked.select("opponent", names.team_key(F.col("opponent")).alias("key")).where(F.length("key") >= SHORTEST)
+    known = teams.select(F.col("id").alias("name_id"), names.team_key(F.col("name")).alias("team_key")).where(F.length("team_key") >= SHORTEST)
+    left, right = open_.select("opponent", "key", grams("key")), known.select("name_id", "team_key", grams("team_key")).withColumnRenamed("head", "team_head")
+    inside = F.col("head") & F.contains("team_key", "key") | F.col("team_head") & F.contains("key", "team_key")
+    by_name = left.join(right, "g").where(inside).groupBy(F.col("opponent").alias("named")).agg(F.min("name_id").alias("name_id"))
+    by_slug = teams.select(F.col("slug").alias("known_slug"), F.col("id").alias("slug_id"))
+    found = asked.join(by_slug, F.col("opponent_slug") == F.col("known_slug"), "left").join(by_name, F.col("opponent") == F.col("named"), "left")
     how = F.when(F.col("slug_id").isNotNull(), "slug").when(F.col("name_id").isNotNull(), "name").otherwise("new")
     return found.select("opponent", "opponent_slug", F.coalesce("slug_id", "name_id").alias("team_id"), how.alias("found_by"))
 
 
 def duplicates(teams: DataFrame, canonical: DataFrame) -> DataFrame:
-    """``(id, canonical_id)``: teams whose normal name holds the slug of a canonical team (a small list) that is not theirs."""
-    of = canonical.select(F.col("id").alias("canonical_id"), F.col("slug").alias("canonical_slug"))
-    keyed = teams.select("id", "slug", names.team_key(F.col("name")).alias("key"))
-    pairs = keyed.join(of, F.contains("key", "canonical_slug") & (F.col("slug") != F.col("canonical_slug")))
+    """``(id, canonical_id)``: teams whose normal name holds the slug of a canonical team that is not theirs.
+
+    A name that holds a slug holds its head, of four characters at most: heads meet the runs of one to four
+    characters of the names, so that no pair of all teams is formed.
+    """
+    head = F.substring("slug", 1, SHORTEST)
+    of = canonical.where("slug <> ''").select(F.col("id").alias("canonical_id"), F.col("slug").alias("canonical_slug"), head.alias("g"))
+    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SHORTEST)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))), lambda i: F.substring(F.col("key"), i, n)))))
+    keyed = teams.select("id", "slug", names.team_key(F.col("name")).alias("key")).where("key <> ''")
+    pairs = keyed.select("id", "slug", "key", F.explode(runs).alias("g")).join(of, "g").where(F.contains("key", "canonical_slug") & (F.col("slug") != F.col("canonical_slug")))
     return pairs.groupBy("id").agg(F.min("canonical_id").alias("canonical_id")).where("id <> canonical_id")
 
 

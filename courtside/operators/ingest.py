@@ -1,42 +1,42 @@
-"""From fused source games to stored rows: resolve the opponent, orient by side, upsert."""
+"""From fused source games to stored rows: resolve the opponent, orient by side, upsert; and a whole capture run."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.operators import entities, upsert
+from courtside.functions import scalars as S
+from courtside.operators import entities, fusion, teams, upsert
 
 
-def with_new_teams(resolved: DataFrame, teams: DataFrame) -> DataFrame:
-    """``teams`` and a row for each opponent that resolved to none: its slug, or its name made one.
+def new_slug() -> Column:
+    """The slug of an opponent that is no team yet: its own, or its name made one."""
+    return F.coalesce(F.nullif("opponent_slug", F.lit("")), F.regexp_replace(F.trim(F.lower("opponent")), r"\s+", "-"))
 
-    New ids are a hash of the slug, so they are the same wherever and whenever the batch runs.
-    """
-    slug = F.coalesce(F.nullif("opponent_slug", F.lit("")), F.regexp_replace(F.trim(F.lower("opponent")), r"\s+", "-"))
-    new = resolved.where("found_by = 'new'").select(slug.alias("slug"), "opponent").groupBy("slug").agg(F.min("opponent").alias("name"))
-    new = new.join(teams.select("slug"), "slug", "left_anti")
-    return teams.unionByName(new.select((F.abs(F.xxhash64("slug") % 1_000_000_007) + 1_000_000).alias("id"), "slug", "name", F.lit("").alias("league")))
 
+def with_new_teams(resolved: DataFrame, teams: DataFrame) -> DataFrame:
+    """``teams`` and a row for each opponent that resolved to none. New ids lie beyond the greatest stored one and
+    follow from the slugs, so no two teams share one."""
+    new = resolved.where("found_by = 'new'").select(new_slug().alias("slug"), "opponent").groupBy("slug").agg(F.min("opponent").alias("name"))
+    new = new.join(teams.select("slug"), "slug", "left_anti")
+    ids = upsert.minted(new, ["slug"], teams.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() + 1)
+    return teams.unionByName(ids.select(F.col("id").cast("long").alias("id"), "slug", "name", F.lit("").alias("league")))
 
-def persist_schedule(stored: DataFrame, teams: DataFrame, fused: DataFrame, team_id: int) -> tuple[DataFrame, DataFrame]:
-    """(games, teams) after storing a team's fused games ``(src_ord, date, opponent, opponent_slug, is_home, points, ...)``.
 
-    Blank opponents are left out. Home and away follow from ``is_home``; scores of 0 count as missing, as in
-    the reference's storage.
-    """
-    named = fused.where("trim(coalesce(opponent, '')) <> ''")
-    found = entities.resolve(named, teams)
-    every = with_new_teams(found, teams)
-    again = entities.resolve(named, every).select("opponent", "opponent_slug", F.col("team_id").alias("opponent_id"))
-    same = named["opponent"].eqNullSafe(again["opponent"]) & named["opponent_slug"].eqNullSafe(again["opponent_slug"])
-    rows = named.join(again, same).drop(again["opponent"], again["opponent_slug"])
-    own, home = F.lit(team_id).cast("long"), F.col("is_home")
-    fresh = rows.select(
+def oriented(fused: DataFrame, resolved: DataFrame, every: DataFrame) -> DataFrame:
+    """Fused games ``(team_id, src_ord, date, opponent, opponent_slug, is_home, points, opp_points, ...)`` as rows of the
+    games table, home and away after ``is_home``. ``every`` has the teams that ``resolved`` calls new."""
+    slug = F.when(F.col("found_by") == "new", new_slug())
+    made = every.select(F.col("slug").alias("made_slug"), F.col("id").alias("made_id"))
+    found = resolved.withColumn("new_slug", slug).join(made, F.col("new_slug") == F.col("made_slug"), "left")
+    found = found.select(F.col("opponent").alias("o"), F.col("opponent_slug").alias("s"), F.coalesce("team_id", "made_id").alias("opponent_id"))
+    rows = fused.join(found, fused["opponent"].eqNullSafe(F.col("o")) & fused["opponent_slug"].eqNullSafe(F.col("s")))
+    own, other, home = F.col("team_id").cast("long"), F.col("opponent_id"), F.col("is_home")
+    return rows.select(
         "src_ord",
         "date",
-        F.when(home, own).otherwise(F.col("opponent_id")).alias("home_team_id"),
-        F.when(home, F.col("opponent_id")).otherwise(own).alias("away_team_id"),
+        F.when(home, own).otherwise(other).alias("home_team_id"),
+        F.when(home, other).otherwise(own).alias("away_team_id"),
         F.when(home, F.col("points")).otherwise(F.col("opp_points")).alias("home_score"),
         F.when(home, F.col("opp_points")).otherwise(F.col("points")).alias("away_score"),
         "boxscore_url",
@@ -44,4 +44,37 @@ def persist_schedule(stored: DataFrame, teams: DataFrame, fused: DataFrame, team
         "league",
         "season",
     ).where("home_team_id is not null and away_team_id is not null")
-    return upsert.upsert(stored, fresh, upsert.rules("games"), order="src_ord", zero_is_missing=True), every
+
+
+def persist_schedule(stored: DataFrame, teams: DataFrame, fused: DataFrame, team_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(games, teams) after storing fused games: of ``team_id``, or of the teams that the rows' ``team_id`` names.
+
+    Blank opponents are left out, unknown ones become teams. Scores of 0 count as missing, as in the reference's
+    storage.
+    """
+    rows = (fused if team_id is None else fused.withColumn("team_id", F.lit(team_id))).where("trim(coalesce(opponent, '')) <> ''")
+    resolved = entities.resolve(rows, teams)
+    every = with_new_teams(resolved, teams)
+    return upsert.upsert(stored, oriented(rows, resolved, every), upsert.rules("games"), order="src_ord", zero_is_missing=True), every
+
+
+def capture_run(folder: str, tables: dict[str, DataFrame], source_games: DataFrame, box_rows: DataFrame, team_id: int) -> dict[str, DataFrame]:
+    """One whole capture of a team: fuse what the sources report, store it, store the box-score rows, fill and rate
+    them, and make the season table. ``tables`` holds teams, games and boxscores; all tables are written to
+    ``folder`` as new versions and come back as stored.
+    """
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        upsert.replace_table(df, f"{folder}/{name}")
+        return upsert.current(df.sparkSession, f"{folder}/{name}")
+
+    fused = fusion.fuse(source_games)
+    dated = fused if "season" in fused.columns else fused.withColumn("season", S.season_of(S.parse_date(F.col("date"))))
+    new_games, new_teams = persist_schedule(tables["games"], tables["teams"], dated, team_id)
+    out = {"teams": stored("teams", new_teams), "games": stored("games", new_games.drop("change"))}
+    boxes = upsert.upsert(tables["boxscores"], box_rows, upsert.rules("boxscores")).drop("change")
+    out["boxscores"] = stored("boxscores", teams.fill_advanced(boxes))
+    dated_games = out["games"].withColumn("game_date", S.parse_date(F.col("date")))
+    out["team_game_stats"] = stored("team_game_stats", teams.game_ratings(dated_games, out["boxscores"]))
+    out["season_team_stats"] = stored("season_team_stats", teams.season_stats(dated_games, out["boxscores"], out["team_game_stats"]))
+    return out
