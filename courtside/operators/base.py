@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
@@ -32,9 +33,22 @@ def team_games(games: DataFrame) -> DataFrame:
     return games.select(*keep, F.inline(F.array(side("home", "away", True), side("away", "home", False))))
 
 
+def bounded(name: str, value: int, most: int) -> int:
+    """A parameter that counts games or days: 1 to ``most``."""
+    if not 1 <= value <= most:
+        raise ValueError(f"{name} must be from 1 to {most}, not {value}")
+    return value
+
+
+def placed(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+    """``rows`` with ``place``, their number from 1 in the list of their key. Who shows them sorts by key and place."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
 def season_boxes(games: DataFrame, boxscores: DataFrame, *, team_id: int | None = None, season: int | None = None, league: str | None = None) -> DataFrame:
-    """Box-score rows with their game's season and league, and ``mins`` as a number."""
-    of = scoped(games.select(F.col("id").alias("game_id"), "season", "league"), season=season, league=league)
+    """Box-score rows with their game's season, league and (where it has one) day, and ``mins`` as a number."""
+    day = [c for c in ("game_date",) if c in games.columns]
+    of = scoped(games.select(F.col("id").alias("game_id"), "season", "league", *day), season=season, league=league)
     return scoped(boxscores, team_id=team_id).join(of, "game_id").withColumn("mins", S.parse_minutes(F.col("minutes")))
 
 
@@ -55,6 +69,20 @@ def rounded(df: DataFrame, n: int = 6) -> DataFrame:
 
 
 def mean(column: Column | str) -> Column:
-    """Mean of a number, summed in whole billionths: the same whatever the order of the rows; null of none."""
+    """Mean of a number, summed in whole billionths: the same whatever the order of the rows; null of none.
+
+    The sum is a decimal of 30 digits, so it holds any number of rows.
+    """
     c = F.col(column) if isinstance(column, str) else column
-    return F.sum(F.round(c * F.lit(1e9)).cast("long")).cast("double") / F.nullif(F.count(c), F.lit(0)) / F.lit(1e9)
+    return F.sum(F.round(c * F.lit(1e9)).cast("long").cast("decimal(20,0)")).cast("double") / F.nullif(F.count(c), F.lit(0)) / F.lit(1e9)
+
+
+def ranked(rows: DataFrame, name: str, order: list[Column], bucket: Column) -> DataFrame:
+    """``rows`` with ``name``, their place from 1 in the order (bucket, *order), without a task that sees them all:
+    rows are numbered within each bucket, and the sizes of the buckets are summed."""
+    dealt = rows.withColumn("__bucket", bucket)
+    sizes = dealt.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    offsets = sizes.select(F.col("__bucket").alias("__of"), (F.sum("__n").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(W.partitionBy("__bucket").orderBy(*order))
+    joined = dealt.withColumn("__within", within).join(offsets, F.col("__bucket").eqNullSafe(F.col("__of")))
+    return joined.withColumn(name, (F.col("__before") + F.col("__within")).cast("int")).drop("__bucket", "__of", "__before", "__within")

@@ -9,33 +9,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
-from courtside.operators.base import scoped, team_games
+from courtside.operators.base import bounded, placed, scoped, team_games
 
 #: A date that no parseable one exceeds: pending games without a date stay in, last.
 FAR = date(9999, 12, 31)
 
 
 def calendar(games: DataFrame, **scope) -> DataFrame:
-    """All games of a team, earliest first; games without a date come first."""
-    return scoped(team_games(games), **scope).orderBy("team_id", F.asc_nulls_first("game_date"), "game_id")
+    """All games of a team; ``place`` is earliest first, games without a date before all."""
+    return placed(scoped(team_games(games), **scope), ["team_id"], F.asc_nulls_first("game_date"), F.asc("game_id"))
 
 
 def past(games: DataFrame, **scope) -> DataFrame:
-    """Played games with their result, newest first; games without a date last."""
+    """Played games with their result; ``place`` is newest first, games without a date last."""
     rows = scoped(team_games(games), **scope).where("own_score is not null")
     rows = rows.withColumn("result", S.result_label(F.col("own_score"), F.col("opp_score"))).withColumn("score", S.score_label(F.col("own_score"), F.col("opp_score")))
-    return rows.orderBy("team_id", F.desc_nulls_last("game_date"), F.desc("game_id"))
+    return placed(rows, ["team_id"], F.desc_nulls_last("game_date"), F.desc("game_id"))
 
 
-def upcoming(games: DataFrame, reference: date, **scope) -> DataFrame:
-    """Games without a score from the reference date on; those without a date stay, last. Notes don't matter."""
+def _pending(games: DataFrame, reference: date, **scope) -> DataFrame:
     rows = scoped(team_games(games), **scope).where("own_score is null")
-    return rows.where(F.coalesce("game_date", F.lit(FAR)) >= F.lit(reference)).orderBy("team_id", F.asc_nulls_last("game_date"), "game_id")
+    return rows.where(F.coalesce("game_date", F.lit(FAR)) >= F.lit(reference))
+
+
+def upcoming(games: DataFrame, reference: date, **scope) -> DataFrame:
+    """Games without a score from the reference date on; ``place`` is earliest first, those without a date last.
+    Notes don't matter."""
+    return placed(_pending(games, reference, **scope), ["team_id"], F.asc_nulls_last("game_date"), F.asc("game_id"))
 
 
 def in_window(games: DataFrame, reference: date, days: int = 14, **scope) -> DataFrame:
     """Played games of the trailing days, both ends included."""
-    return scoped(team_games(games), **scope).where("own_score is not null").where(F.col("game_date").between(F.date_sub(F.lit(reference), days), F.lit(reference)))
+    return scoped(team_games(games), **scope).where("own_score is not null").where(F.col("game_date").between(F.date_sub(F.lit(reference), bounded("days", days, 90)), F.lit(reference)))
 
 
 def head_to_head(games: DataFrame, team_id: int | None = None, opponent_id: int | None = None, **scope) -> DataFrame:
@@ -58,19 +63,16 @@ def recent(games: DataFrame, stats: DataFrame, last_n: int = 5, **scope) -> Data
 
 
 def next_games(pending: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` pending games of each team."""
-    order = W.partitionBy("team_id").orderBy(F.asc_nulls_last("game_date"), "game_id")
-    return pending.withColumn("ahead", F.row_number().over(order)).where(F.col("ahead") <= n)
+    """The first ``n`` pending games of each team, of ``upcoming``. The place is cut before the shuffle."""
+    return pending.where(F.col("place") <= n).withColumn("ahead", F.col("place"))
 
 
 def page(games: DataFrame, stats: DataFrame, reference: date, team_id: int, limit: int = 50, offset: int = 0, season: int | None = None, league: str | None = None) -> DataFrame:
     """A page of a team's list: played games (newest first), then pending ones, each with ratings and the total."""
     scope = {"team_id": team_id, "season": season, "league": league}
     both = past(games, **scope).drop("result", "score").withColumn("branch", F.lit(0)).unionByName(upcoming(games, reference, **scope).withColumn("branch", F.lit(1)))
-    day = F.unix_date("game_date")
-    order = [F.col("branch"), F.when(F.col("branch") == 0, -day).otherwise(day).asc_nulls_last(), F.when(F.col("branch") == 0, -F.col("game_id")).otherwise(F.col("game_id"))]
     total = both.agg(F.count("*").alias("total"))
-    cut = both.orderBy(*order).offset(offset).limit(limit)
+    cut = both.orderBy("branch", "place").offset(offset).limit(limit)  # a page of one team: the top of its list
     rated = stats.where(F.col("team_id") == team_id).select("game_id", "pace", "net_rating")
     return cut.join(rated, "game_id", "left").join(total)  # one row
 

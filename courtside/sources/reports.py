@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
@@ -24,10 +25,11 @@ def _padded(name: str, width: int) -> Column:
 
 
 def form_lines(form: DataFrame) -> DataFrame:
-    """``team_id, line``: the recent-form table of a text report."""
+    """``team_id, place, line``: the recent-form table of a text report, best scorers first."""
     c = F.col
     line = F.concat(_padded("player_name", 24), F.lpad(c("games").cast("string"), 4, " "), *[F.lpad(S.fixed(c(x)), 8, " ") for x in ("avg_minutes", "avg_pts", "avg_pts_per36")], F.lpad(S.percent(c("avg_efg_pct")), 8, " "), F.lpad(S.percent(c("avg_ts_pct")), 8, " "))
-    return form.select("team_id", "avg_pts", "player_name", line.alias("line")).orderBy("team_id", F.desc("avg_pts"), "player_name").select("team_id", "line")
+    best = W.partitionBy("team_id").orderBy(F.desc("avg_pts"), "player_name")
+    return form.select("team_id", F.row_number().over(best).alias("place"), line.alias("line"))
 
 
 def summary_lines(summary: DataFrame, teams: DataFrame) -> DataFrame:
@@ -38,8 +40,9 @@ def summary_lines(summary: DataFrame, teams: DataFrame) -> DataFrame:
 
 
 def write_text(lines: DataFrame, path: str) -> None:
-    """Lines to a folder of text files, one sub-folder a team."""
-    lines.write.mode("overwrite").partitionBy("team_id").text(path)
+    """Lines to a folder of text files, one sub-folder and file a team, in the order of ``place`` where there is one."""
+    order = [c for c in ("team_id", "place") if c in lines.columns]
+    lines.repartition("team_id").sortWithinPartitions(*order).select("team_id", "line").write.mode("overwrite").partitionBy("team_id").text(path)
 
 
 def version_tag(df: DataFrame) -> DataFrame:
