@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
-from courtside.operators import calendar, players, teams
-from courtside.operators.base import mean, places
+from courtside.operators import calendar, players
+from courtside.operators.base import bounded, mean, places, scoped
 
 # Thresholds and sentences of the paragraph; {} stands for a figure or for names.
 PACE_FAST, PACE_SLOW, THREES_HIGH, THREES_LOW = 75.0, 68.0, 0.40, 0.25
@@ -35,7 +35,7 @@ def difficulty(pending: DataFrame, summaries: DataFrame, team_names: DataFrame,
 
     The opponents' summaries are grouped once for all teams and joined, not asked for game by game.
     """
-    ahead = calendar.next_games(pending, next_n)
+    ahead = calendar.next_games(pending, bounded("next_n", next_n, 20))
     net = summaries.select(F.col("team_id").alias("opponent_id"), F.col("avg_net_rating").alias("net"))
     names = team_names.select(F.col("id").alias("opponent_id"), F.col("name").alias("opponent"))
     rows = ahead.join(net, "opponent_id", "left").join(names, "opponent_id", "left")
@@ -60,18 +60,21 @@ def projection(summaries: DataFrame, pairs: DataFrame) -> DataFrame:
 def narrative(games: DataFrame, boxscores: DataFrame, stats: DataFrame, season: int, recent_n: int = 5, league: str | None = None) -> DataFrame:
     """A paragraph in Spanish on each team's season; null without a rated game.
 
-    Pace, balance, share of threes, top scorer, and who is hot or cold. The box-score rows are ranked and
-    grouped once a view; names in a list are in order of z-score.
+    Pace, balance, share of threes, top scorer, and who is hot or cold. Box scores are read once, for the players'
+    profiles, and the ratings once; names in a list are in order of z-score.
     """
-    scope = {"season": season, "league": league}
-    style = teams.advanced_summary(games, boxscores, stats, **scope).select("team_id", "avg_pace", "avg_net_rating")
-    form = players.recent_form(games, boxscores, 1000, **scope)
-    profile = form.groupBy("team_id").agg(mean("fg3a_rate").alias("threes"), F.min(F.struct((-places("avg_pts", 6)).alias("p"), "player_name")).alias("top"))
-    z = places("z_score_pts", 6)
-    marked = players.streaks(games, boxscores, season, recent_n, league=league).withColumn("z", z)
-    names = lambda label, key: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("streak") == label, F.struct(key.alias("k"), "player_name")))), lambda s: s["player_name"]), ", ")
-    lists = marked.groupBy("team_id").agg(names("hot", -F.col("z")).alias("hot"), names("cold", -F.col("z")).alias("cold"))
-    rows = style.join(profile, "team_id", "left").join(lists, "team_id", "left")
+    of = scoped(games.select(F.col("id").alias("game_id"), "season", "league"), season=season, league=league)
+    style = stats.join(of, "game_id").groupBy("team_id").agg(mean("pace").alias("avg_pace"), mean("net_rating").alias("avg_net_rating"))
+    found = players.season_profile(games, boxscores, season, recent_n, league=league).withColumn("z", places("z_score_pts", 6))
+    in_form = lambda v: F.when(F.col("form_games") > 0, v)
+    names = lambda label, key: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("enough") & (F.col("streak") == label), F.struct(key.alias("k"), "player_name")))), lambda s: s["player_name"]), ", ")
+    lists = found.groupBy("team_id").agg(
+        mean(in_form(F.col("fg3a_rate"))).alias("threes"),
+        F.min(in_form(F.struct((-places("form_avg_pts", 6)).alias("p"), "player_name"))).alias("top"),
+        names("hot", -F.col("z")).alias("hot"),
+        names("cold", F.col("z")).alias("cold"),
+    )
+    rows = style.join(lists, "team_id", "full")
     pace, net, threes = places("avg_pace", 6), places("avg_net_rating", 6), places("threes", 6)
     number, share = S.fixed(pace), S.fixed(threes * 100, 0)
     signed = F.concat(F.when(net >= 0, "+").otherwise(""), S.fixed(net))

@@ -7,20 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
-from courtside.operators.base import mean, places, season_boxes
+from courtside.operators.base import bounded, mean, places, season_boxes
 
 PLAYER = ["team_id", "player_name"]
 
 
-def recent_form(games: DataFrame, boxscores: DataFrame, last_n: int = 5, *, team_id: int | None = None, season: int | None = None, league: str | None = None) -> DataFrame:
+def recent_form(games: DataFrame, boxscores: DataFrame, last_n: int = 5, *, team_id: int | None = None, season: int | None = None, league: str | None = None, by_date: bool = False) -> DataFrame:
     """Means of each player over the newest ``last_n`` rows, of which those without minutes then fall away.
 
-    Newest by game id. Null points are zero in the mean and left out per 36 minutes; shot shares are over
+    Newest by game id, or by the game's day and then id. Null points are zero in the mean and left out per 36 minutes; shot shares are over
     sums. A player with no minutes in the window is absent. One shuffle, by player; ranks are cut before it.
     """
     rows = season_boxes(games, boxscores, team_id=team_id, season=season, league=league)
-    newest = W.partitionBy(*PLAYER).orderBy(F.desc("game_id"))
-    played = rows.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= last_n).where("mins > 0")
+    newest = W.partitionBy(*PLAYER).orderBy(*([F.desc_nulls_last("game_date")] if by_date else []), F.desc("game_id"))
+    played = rows.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= bounded("last_n", last_n, 20)).where("mins > 0")
     return played.groupBy(*PLAYER).agg(
         F.count("*").alias("games"),
         mean("mins").alias("avg_minutes"),
@@ -35,33 +35,61 @@ def recent_form(games: DataFrame, boxscores: DataFrame, last_n: int = 5, *, team
     )
 
 
-def streaks(
-    games: DataFrame, boxscores: DataFrame, season: int | None = None, recent_n: int = 5, min_season_games: int = 6, *, team_id: int | None = None, league: str | None = None
+def season_profile(
+    games: DataFrame, boxscores: DataFrame, season: int | None = None, recent_n: int = 5, min_season_games: int = 6, form_n: int | None = 1000, *, team_id: int | None = None, league: str | None = None
 ) -> DataFrame:
-    """z-score of the newest games against the player's own season, in points and in true shooting.
+    """Of each player and season: streak figures and, over the newest ``form_n`` rows, points and the share of threes.
 
-    Rows without minutes go first, then the window is cut; true shooting has a window of its own, over the
-    rows that have it. Without a season every (player, season) is a row. A deviation of 0 gives a null z.
+    Box scores are read, shuffled and sorted once: every rank is a running count in one order, newest game first.
     """
-    rows = season_boxes(games, boxscores, team_id=team_id, season=season, league=league).where("mins > 0")
+    rows = season_boxes(games, boxscores, team_id=team_id, season=season, league=league)
     of = [*PLAYER, "season"]
     newest = W.partitionBy(*of).orderBy(F.desc("game_id"))
-    with_ts = W.partitionBy(*of).orderBy(F.col("ts_pct").isNull(), F.desc("game_id"))
+    so_far = newest.rowsBetween(W.unboundedPreceding, W.currentRow)
+    played = F.col("mins") > 0
+    with_ts = played & F.col("ts_pct").isNotNull()
     points = F.coalesce(F.col("points"), F.lit(0)).cast("double")
-    ranked = rows.select(*of, points.alias("p"), "ts_pct", F.row_number().over(newest).alias("r"), F.row_number().over(with_ts).alias("rt"))
-    enough = F.count("ts_pct") >= min_season_games
+    ranked = rows.select(
+        *of,
+        points.alias("p"),
+        F.col("ts_pct").alias("ts"),
+        *(["fg3_attempted", "fg_attempted"] if form_n else []),
+        played.alias("played"),
+        with_ts.alias("has_ts"),
+        (F.row_number().over(newest) <= (form_n or 0)).alias("in_form"),
+        (F.count_if(played).over(so_far) <= recent_n).alias("recent"),
+        (F.count_if(with_ts).over(so_far) <= recent_n).alias("recent_ts"),
+    ).where("played")
+    ts = F.when(F.col("has_ts"), F.col("ts"))
+    enough = F.count(ts) >= min_season_games
+    form = lambda c: F.when(F.col("in_form"), F.col(c))
+    shown = [F.count_if("in_form").alias("form_games"), F.avg(form("p")).alias("form_avg_pts"), F.try_divide(F.sum(form("fg3_attempted")), F.sum(form("fg_attempted"))).alias("fg3a_rate")]
     found = ranked.groupBy(*of).agg(
         F.count("*").alias("games_season"),
-        F.avg(F.when(F.col("r") <= recent_n, F.col("p"))).alias("recent_avg_pts"),
+        F.avg(F.when(F.col("recent"), F.col("p"))).alias("recent_avg_pts"),
         F.avg("p").alias("season_avg_pts"),
         F.stddev_pop("p").alias("season_std_pts"),
-        F.when(enough, mean(F.when(F.col("rt") <= recent_n, F.col("ts_pct")))).alias("recent_avg_ts_pct"),
-        F.when(enough, mean("ts_pct")).alias("season_avg_ts_pct"),
-        F.when(enough, F.stddev_pop("ts_pct")).alias("season_std_ts_pct"),
+        F.when(enough, mean(F.when(F.col("recent_ts"), ts))).alias("recent_avg_ts_pct"),
+        F.when(enough, mean(ts)).alias("season_avg_ts_pct"),
+        F.when(enough, F.stddev_pop(ts)).alias("season_std_ts_pct"),
+        *(shown if form_n else []),
     )
-    z = lambda kind: F.try_divide(F.col(f"recent_avg_{kind}") - F.col(f"season_avg_{kind}"), F.col(f"season_std_{kind}"))
-    out = found.where(F.col("games_season") >= min_season_games).withColumn("z_score_pts", z("pts")).withColumn("z_score_ts", z("ts_pct"))
-    return out.withColumn("streak", S.streak_label(places("z_score_pts", 6)))
+    some = F.col("games_season") >= min_season_games
+    z = lambda kind: F.when(some, F.try_divide(F.col(f"recent_avg_{kind}") - F.col(f"season_avg_{kind}"), F.col(f"season_std_{kind}")))
+    out = found.withColumn("z_score_pts", z("pts")).withColumn("z_score_ts", z("ts_pct"))
+    return out.withColumn("enough", some).withColumn("streak", S.streak_label(places("z_score_pts", 6)))
+
+
+def streaks(
+    games: DataFrame, boxscores: DataFrame, season: int | None = None, recent_n: int = 5, min_season_games: int = 6, *, team_id: int | None = None, league: str | None = None
+) -> DataFrame:
+    """z-score of the newest games against the player's own season, in points and in true shooting.
+
+    Rows without minutes go first, then the window is cut; true shooting has a window of its own, over the
+    rows that have it. Without a season every (player, season) is a row. A deviation of 0 gives a null z.
+    """
+    out = season_profile(games, boxscores, season, recent_n, min_season_games, None, team_id=team_id, league=league)
+    return out.where("enough").drop("enough")
 
 
 def load(boxscores: DataFrame, window: DataFrame) -> DataFrame:
