@@ -30,21 +30,23 @@ def _stored(spark: SparkSession, table: str) -> DataFrame | None:
     return spark.read.parquet(table) if fs.exists(path) and len(fs.listStatus(path)) else None
 
 
-def append_new(table: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
+def append_new(table: str, key: list[str], order: str, buckets: int = 256) -> Callable[[DataFrame, int], None]:
     """A batch function: rows whose key isn't stored yet are appended, of several in a batch the first by ``order``.
 
-    A batch that comes again overwrites the folder it wrote before, and ignores that folder when it looks
-    for stored keys.
+    Stored rows lie in buckets of their key's hash, and a batch reads the keys of its own buckets only. A batch
+    that comes again overwrites the folder it wrote before, and ignores that folder when it looks for stored keys.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         first = batch.groupBy(*key).agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        first = first.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
         have = _stored(spark, table)
         if have is not None:
-            have = have.where(F.col("batch") != batch_id)
-            first = first.join(have.select(*key), key, "left_anti")
-        first.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+            own = [r.bucket for r in first.select("bucket").distinct().collect()]  # at most as many as there are buckets
+            have = have.where((F.col("batch") != batch_id) & F.col("bucket").isin(own))
+            first = first.join(have.select("bucket", *key), ["bucket", *key], "left_anti")
+        first.select(*batch.columns, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={batch_id}")
 
     return run
 
