@@ -171,17 +171,19 @@ def schedule(pages: DataFrame) -> DataFrame:
     return out.where("date is not null")
 
 
-def day_schedule(pages: DataFrame, team: str) -> DataFrame:
-    """Games of one team on day pages (``date, league, html``). The score is read by its header, away side first
-    where the Away column leads; the reference reads the fourth cell, home side first."""
+def day_schedule(pages: DataFrame, team: str | None = None) -> DataFrame:
+    """Games on day pages (``date, league, html``) from the side of ``team``, or without one from both sides of each.
+
+    The score is read by its header, away side first where the Away column leads; the reference reads the fourth
+    cell, home side first.
+    """
     found = tables(pages).where(F.array_contains("headers", "Away Team") & F.array_contains("headers", "Home Team"))
-    rows = by_header(found.withColumn("box", F.lit(None).cast("string")))
     v = F.col("values")
     score = F.coalesce(v["Score"], v["Result"], F.lit(""))
-    away, home = F.nullif(F.regexp_extract(score, r"(\d+)\s*-\s*(\d+)", 1), F.lit("")).cast("int"), F.nullif(F.regexp_extract(score, r"(\d+)\s*-\s*(\d+)", 2), F.lit("")).cast("int")
-    is_home = v["Home Team"] == team
-    rows = rows.where(is_home | (v["Away Team"] == team))
-    return rows.select("date", F.when(is_home, v["Away Team"]).otherwise(v["Home Team"]).alias("opponent"), is_home.alias("is_home"), F.when(is_home, home).otherwise(away).alias("points"), F.when(is_home, away).otherwise(home).alias("opp_points"), "league")
+    points = lambda k: F.nullif(F.regexp_extract(score, r"(\d+)\s*-\s*(\d+)", k), F.lit("")).cast("int")
+    side = lambda home: F.struct((v["Home Team"] if home else v["Away Team"]).alias("team"), (v["Away Team"] if home else v["Home Team"]).alias("opponent"), F.lit(home).alias("is_home"), points(1 + home).alias("points"), points(2 - home).alias("opp_points"))
+    rows = by_header(found).select("date", F.inline(F.array(side(True), side(False))), "league")
+    return rows if team is None else rows.where(F.col("team") == team).drop("team")
 
 
 def player_pages(pages: DataFrame) -> DataFrame:
