@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
 from courtside.operators import calendar, jobs, matchups, players, quality, teams
-from courtside.operators.base import places, rounded, team_games
+from courtside.operators.base import placed, places, rounded, team_games
 from courtside.plans.domain import CTES, Tables
 
 #: "Now" of the checked queries: none of them asks the clock.
@@ -46,6 +46,11 @@ def m(column: str) -> str:
     return f"sum(round({column} * 1e9::DOUBLE)::BIGINT)::DOUBLE / nullif(count({column}), 0) / 1e9::DOUBLE"
 
 
+def _fixed(value: str, n: int = 1) -> str:
+    """A figure as it is printed: fixed places, half to even."""
+    return f"printf('%.{n}f', round_even({value}, {n}))"
+
+
 _FORM = """
 form_rows AS (
   SELECT b.*, row_number() OVER (PARTITION BY team_id, player_name ORDER BY game_id DESC) AS r FROM boxscores b JOIN games g ON g.id = b.game_id {where}
@@ -99,6 +104,32 @@ def streak_zscore(t: Tables) -> DataFrame:
     return rounded(players.streaks(t.games, t.boxscores))
 
 
+@query(f"""
+WITH {STREAKS_ALL}, loads AS (
+  SELECT b.team_id, player_name, round(sum(mins), 6) AS total FROM boxscores b JOIN team_games t ON t.game_id = b.game_id AND t.team_id = b.team_id
+  WHERE own_score IS NOT NULL AND game_date BETWEEN DATE '{REFERENCE}' - 30 AND DATE '{REFERENCE}' AND mins > 0 GROUP BY b.team_id, player_name)
+SELECT 'streak' AS list, team_id, season, player_name, row_number() OVER (PARTITION BY team_id, season ORDER BY round(z_score_pts, 6) DESC NULLS LAST, player_name)::INTEGER AS place FROM streaks
+UNION ALL SELECT 'load', team_id, {SEASON}, player_name, row_number() OVER (PARTITION BY team_id ORDER BY total DESC, player_name)::INTEGER FROM loads""")
+def player_orders(t: Tables) -> DataFrame:
+    """The orders in which streaks and loads are listed."""
+    hot = placed(rounded(players.streaks(t.games, t.boxscores)), ["team_id", "season"], F.desc_nulls_last("z_score_pts"), "player_name")
+    tired = placed(rounded(players.load(t.boxscores, calendar.in_window(t.games, REFERENCE, 30))), ["team_id"], F.desc("total_minutes"), "player_name")
+    cols = ["list", "team_id", "season", "player_name", "place"]
+    return hot.withColumn("list", F.lit("streak")).select(*cols).union(tired.withColumn("list", F.lit("load")).withColumn("season", F.lit(SEASON)).select(*cols))
+
+
+@query("WITH " + _FORM.format(where="WHERE g.league = '1-URGENT'", n=5) + f" SELECT team_id, player_name, games, {_FORM_OUT} FROM form")
+def league_form(t: Tables) -> DataFrame:
+    """Recent form within one league: games of others neither count nor fill the window."""
+    return rounded(players.recent_form(t.games, t.boxscores, 5, league="1-URGENT"))
+
+
+@query("WITH " + _FORM.format(where="", n=5).replace("ORDER BY game_id DESC", "ORDER BY game_date DESC, game_id DESC") + f" SELECT team_id, player_name, games, {_FORM_OUT} FROM form")
+def form_by_date(t: Tables) -> DataFrame:
+    """Recent form, newest by the games' day."""
+    return rounded(players.recent_form(t.games, t.boxscores, 5, by_date=True))
+
+
 @query(f"""
 SELECT b.team_id, player_name, round(sum(mins), 6) AS total_minutes, round({m('mins')}, 6) AS avg_minutes, count(*) AS games FROM boxscores b JOIN team_games t ON t.game_id = b.game_id AND t.team_id = b.team_id
 WHERE own_score IS NOT NULL AND game_date BETWEEN DATE '{REFERENCE}' - 30 AND DATE '{REFERENCE}' AND mins > 0 GROUP BY b.team_id, player_name""")
@@ -126,9 +157,9 @@ def form_vs_team(t: Tables) -> DataFrame:
     return players.against_team(players.recent_form(t.games, t.boxscores, 5)).select("team_id", "player_name", *[f"team_{c}" for c in marks], *[f"{c}_mark" for c in marks])
 
 
-@query("SELECT *, CASE WHEN regexp_full_match(number, '[0-9]+') THEN number::INTEGER ELSE 999 END AS jersey FROM players WHERE photo_url IS NOT NULL")
+@query("SELECT *, CASE WHEN regexp_full_match(number, '[0-9]+') THEN number::INTEGER ELSE 999 END AS jersey, row_number() OVER (PARTITION BY team_id ORDER BY CASE WHEN regexp_full_match(number, '[0-9]+') THEN number::INTEGER ELSE 999 END, name)::INTEGER AS place FROM players WHERE photo_url IS NOT NULL")
 def roster(t: Tables) -> DataFrame:
-    return players.roster(t.players)
+    return placed(players.roster(t.players), ["team_id"], "jersey", "name")
 
 
 @query(f"""
@@ -214,19 +245,19 @@ def filter_options(t: Tables) -> DataFrame:
     return out.select("team_id", F.array_join("seasons", ",").alias("seasons"), F.array_join(F.transform("leagues", lambda x: x["league"]), ",").alias("leagues"), "default_season")
 
 
-@query("SELECT game_id, team_id, opponent_id, is_home, own_score, opp_score, season, CASE WHEN own_score > opp_score THEN 'W' ELSE 'L' END AS result, own_score || '-' || opp_score AS score FROM team_games WHERE own_score IS NOT NULL")
+@query("SELECT game_id, team_id, opponent_id, is_home, own_score, opp_score, season, CASE WHEN own_score > opp_score THEN 'W' ELSE 'L' END AS result, own_score || '-' || opp_score AS score, row_number() OVER (PARTITION BY team_id ORDER BY game_date DESC NULLS LAST, game_id DESC)::INTEGER AS place FROM team_games WHERE own_score IS NOT NULL")
 def past_games(t: Tables) -> DataFrame:
-    return calendar.past(t.games).select("game_id", "team_id", "opponent_id", "is_home", "own_score", "opp_score", "season", "result", "score")
+    return calendar.past(t.games).select("game_id", "team_id", "opponent_id", "is_home", "own_score", "opp_score", "season", "result", "score", "place")
 
 
-@query(f"SELECT game_id, team_id, opponent_id, date, is_home FROM team_games WHERE own_score IS NULL AND game_date >= DATE '{REFERENCE}'")
+@query(f"SELECT game_id, team_id, opponent_id, date, is_home, row_number() OVER (PARTITION BY team_id ORDER BY game_date NULLS LAST, game_id)::INTEGER AS place FROM team_games WHERE own_score IS NULL AND game_date >= DATE '{REFERENCE}'")
 def upcoming_games(t: Tables) -> DataFrame:
-    return calendar.upcoming(t.games, REFERENCE).select("game_id", "team_id", "opponent_id", "date", "is_home")
+    return calendar.upcoming(t.games, REFERENCE).select("game_id", "team_id", "opponent_id", "date", "is_home", "place")
 
 
-@query(f"SELECT game_id, date, season, league, opponent_id, is_home, CASE WHEN own_score IS NULL THEN 'pendiente' ELSE own_score || '-' || opp_score END AS score FROM team_games WHERE team_id = {TEAM} AND season = {SEASON}")
+@query(f"SELECT game_id, date, season, league, opponent_id, is_home, CASE WHEN own_score IS NULL THEN 'pendiente' ELSE own_score || '-' || opp_score END AS score, row_number() OVER (PARTITION BY team_id ORDER BY game_date NULLS FIRST, game_id)::INTEGER AS place FROM team_games WHERE team_id = {TEAM} AND season = {SEASON}")
 def team_calendar(t: Tables) -> DataFrame:
-    return calendar.calendar(t.games, team_id=TEAM, season=SEASON).select("game_id", "date", "season", "league", "opponent_id", "is_home", S.score_label(F.col("own_score"), F.col("opp_score")).alias("score"))
+    return calendar.calendar(t.games, team_id=TEAM, season=SEASON).select("game_id", "date", "season", "league", "opponent_id", "is_home", S.score_label(F.col("own_score"), F.col("opp_score")).alias("score"), "place")
 
 
 @query(f"SELECT game_id, date, is_home, own_score::DOUBLE AS own_score, opp_score::DOUBLE AS opp_score FROM team_games WHERE team_id = {TEAM} AND opponent_id = {OPPONENT}")
@@ -272,6 +303,14 @@ def schedule_difficulty(t: Tables) -> DataFrame:
     return rounded(out.withColumn("opponents", F.array_join(F.transform("opponents", lambda o: o["opponent"]), "|")))
 
 
+@query("WITH " + _SUMMARY.format(where="WHERE g.league = '1-URGENT'") + f""", ahead AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY game_date, game_id) AS k FROM team_games WHERE own_score IS NULL AND league = '1-URGENT' AND game_date >= DATE '{REFERENCE}') WHERE k <= 3)
+SELECT a.team_id, count(*) AS games_considered, count(avg_net_rating) AS opponents_scouted, round({m('avg_net_rating')}, 6) AS avg_opponent_net_rating FROM ahead a LEFT JOIN summaries s ON s.team_id = a.opponent_id GROUP BY a.team_id""")
+def league_difficulty(t: Tables) -> DataFrame:
+    """Schedule difficulty within one league."""
+    summaries = teams.advanced_summary(t.games, t.boxscores, t.team_game_stats, league="1-URGENT")
+    return rounded(matchups.difficulty(calendar.upcoming(t.games, REFERENCE, league="1-URGENT"), summaries, t.teams, 3).drop("opponents"))
+
+
 @query(f"""
 WITH {SUMMARY_SEASON}, pairs AS (SELECT a.id AS team_id, b.id AS opponent_id FROM teams a JOIN teams b ON b.id = (a.id + 1) % 25), both_sides AS (
   SELECT p.team_id, p.opponent_id, (o.avg_pace + r.avg_pace) / 2 AS poss, (o.avg_off_rating + r.avg_def_rating) / 2 AS own, (r.avg_off_rating + o.avg_def_rating) / 2 AS opp FROM pairs p LEFT JOIN summaries o ON o.team_id = p.team_id LEFT JOIN summaries r ON r.team_id = p.opponent_id)
@@ -284,23 +323,15 @@ def projection(t: Tables) -> DataFrame:
 @query(f"""
 WITH {SUMMARY_SEASON}, {_FORM.format(where=f"WHERE g.season = {SEASON}", n=1000)}, {_STREAKS.format(where=f"AND g.season = {SEASON}")},
 profile AS (SELECT team_id, {m('fg3a_rate')} AS threes, arg_min(player_name, (-round(avg_pts, 6), player_name)) AS top_name, max(round(avg_pts, 6)) AS top_pts FROM form GROUP BY team_id),
-lists AS (SELECT team_id, string_agg(player_name, ', ' ORDER BY round(z_score_pts, 6) DESC, player_name) FILTER (round(z_score_pts, 6) >= 1) AS hot, string_agg(player_name, ', ' ORDER BY round(z_score_pts, 6), player_name) FILTER (round(z_score_pts, 6) <= -1) AS cold FROM streaks GROUP BY team_id)
-SELECT s.team_id, round(avg_pace, 6) >= 75 AS fast, round(avg_pace, 6) <= 68 AS slow, round(avg_net_rating, 6) > 0 AS positive, CASE WHEN round(threes, 6) >= 0.4 THEN 'high' WHEN round(threes, 6) <= 0.25 THEN 'low' ELSE 'even' END AS threes, top_name, coalesce(hot, '') AS hot, coalesce(cold, '') AS cold
-FROM summaries s LEFT JOIN profile p ON p.team_id = s.team_id LEFT JOIN lists l ON l.team_id = s.team_id""")
+lists AS (SELECT team_id, string_agg(player_name, ', ' ORDER BY round(z_score_pts, 6) DESC, player_name) FILTER (round(z_score_pts, 6) >= 1) AS hot, string_agg(player_name, ', ' ORDER BY round(z_score_pts, 6), player_name) FILTER (round(z_score_pts, 6) <= -1) AS cold FROM streaks GROUP BY team_id),
+shown AS (SELECT s.team_id, round(avg_pace, 6) AS pace, round(avg_net_rating, 6) AS net, round(threes, 6) AS threes, top_name, top_pts, hot, cold FROM summaries s LEFT JOIN profile p ON p.team_id = s.team_id LEFT JOIN lists l ON l.team_id = s.team_id)
+SELECT team_id, CASE WHEN pace IS NOT NULL THEN concat_ws(' ',
+  'Juega a ritmo ' || CASE WHEN pace >= 75 THEN 'alto' WHEN pace <= 68 THEN 'bajo' ELSE 'intermedio' END || ' (' || {_fixed('pace')} || ' posesiones estimadas por partido).',
+  'Balance ' || CASE WHEN net > 0 THEN 'positivo' ELSE 'negativo' END || ': ' || CASE WHEN net >= 0 THEN '+' ELSE '' END || {_fixed('net')} || ' de Net Rating medio.',
+  CASE WHEN threes >= 0.4 THEN 'Ataque muy volcado al triple: ' || {_fixed('(threes * 100)', 0)} || '% de los intentos son de 3.' WHEN threes <= 0.25 THEN 'Ataque poco dependiente del triple: solo ' || {_fixed('(threes * 100)', 0)} || '% de los intentos son de 3.' WHEN threes IS NOT NULL THEN 'Reparto de tiro equilibrado: ' || {_fixed('(threes * 100)', 0)} || '% de los intentos son de 3.' END,
+  'Máximo anotador: ' || top_name || ' (' || {_fixed('top_pts')} || ' puntos por partido).', 'En racha anotadora (últimos 5 partidos): ' || hot || '.', 'Bajo forma anotadora (últimos 5 partidos): ' || cold || '.') END AS narrative FROM shown""")
 def narrative(t: Tables) -> DataFrame:
-    """The paragraph, taken apart again: the printed figures are rounded differently by the two engines."""
-    text = F.col("narrative")
-    names = lambda head: F.coalesce(F.regexp_extract(text, head + r" \(últimos 5 partidos\): ([^.]*)\.", 1), F.lit(""))
-    return matchups.narrative(t.games, t.boxscores, t.team_game_stats, SEASON).select(
-        "team_id",
-        text.contains("ritmo alto").alias("fast"),
-        text.contains("ritmo bajo").alias("slow"),
-        text.contains("Balance positivo").alias("positive"),
-        F.when(text.contains("muy volcado"), "high").when(text.contains("poco dependiente"), "low").otherwise("even").alias("threes"),
-        F.nullif(F.regexp_extract(text, r"Máximo anotador: (.*?) \(", 1), F.lit("")).alias("top_name"),
-        names("En racha anotadora").alias("hot"),
-        names("Bajo forma anotadora").alias("cold"),
-    )
+    return matchups.narrative(t.games, t.boxscores, t.team_game_stats, SEASON)
 
 
 @query("""
@@ -323,11 +354,11 @@ def pending_downloads(t: Tables) -> DataFrame:
     return calendar.pending_downloads(t.games, t.boxscores)
 
 
-@query("SELECT game_id, team_id, player_name, points, round(points * 36.0::DOUBLE / nullif(mins, 0), 6) AS pts_per36, round_even(efg_pct * 100, 1) AS efg, round_even(ts_pct * 100, 1) AS ts FROM boxscores")
+@query("SELECT game_id, team_id, player_name, points, round(points * 36.0::DOUBLE / nullif(mins, 0), 6) AS pts_per36, round_even(efg_pct * 100, 1) AS efg, round_even(ts_pct * 100, 1) AS ts, row_number() OVER (PARTITION BY game_id, team_id ORDER BY points DESC NULLS LAST, player_name)::INTEGER AS place FROM boxscores")
 def boxscore(t: Tables) -> DataFrame:
     per36 = places(S.per_36(F.col("points"), S.parse_minutes(F.col("minutes"))), 6)
     rows = t.boxscores.select("game_id", "team_id", "player_name", "points", per36.alias("pts_per36"), places(F.col("efg_pct") * 100, 1, half_even=True).alias("efg"), places(F.col("ts_pct") * 100, 1, half_even=True).alias("ts"))
-    return rows.orderBy("game_id", "team_id", F.desc_nulls_last("points"), "player_name")
+    return placed(rows, ["game_id", "team_id"], F.desc_nulls_last("points"), "player_name")
 
 
 @query("""
@@ -356,8 +387,18 @@ def active_jobs(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH asked AS (SELECT id + 1000000 AS id, (team_id + 1) % 40 AS team_id, last_n, created_at FROM ingest_jobs WHERE id % 3 = 0), busy AS (SELECT DISTINCT team_id FROM ingest_jobs WHERE status IN ('queued', 'running') AND team_id < 20)
+WITH asked AS (SELECT id + 1000000000000 AS id, team_id + 25 * (id % 40) AS team_id, last_n, created_at FROM ingest_jobs), busy AS (SELECT DISTINCT team_id FROM ingest_jobs WHERE status IN ('queued', 'running'))
 SELECT id, team_id, last_n, 'queued' AS status, created_at FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY created_at, id) AS r FROM asked WHERE last_n BETWEEN 1 AND 15 AND team_id NOT IN (SELECT team_id FROM busy)) WHERE r = 1""")
 def enqueued_jobs(t: Tables) -> DataFrame:
-    asked = t.ingest_jobs.where("id % 3 = 0").select((F.col("id") + 1_000_000).alias("id"), ((F.col("team_id") + 1) % 40).alias("team_id"), "last_n", "created_at")
-    return jobs.enqueue(t.ingest_jobs.where("team_id < 20"), asked)
+    """Every request again, of its own team or of one of many others."""
+    asked = t.ingest_jobs.select((F.col("id") + 1_000_000_000_000).alias("id"), (F.col("team_id") + 25 * (F.col("id") % 40)).alias("team_id"), "last_n", "created_at")
+    return jobs.enqueue(t.ingest_jobs, asked)
+
+
+@query("""
+SELECT id, team_id, CASE WHEN id % 2 = 1 THEN status WHEN id % 6 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN id % 6 = 0 THEN 'boom ' || id END AS error, CASE WHEN id % 2 = 0 THEN created_at + INTERVAL 1 HOUR END AS finished_at FROM ingest_jobs""")
+def finished_jobs(t: Tables) -> DataFrame:
+    """Half of the jobs come back, a third of them with an error."""
+    known = t.ingest_jobs.withColumns({"error": F.lit(None).cast("string"), "finished_at": F.lit(None).cast("timestamp")})
+    back = known.where("id % 2 = 0").select("id", F.when(F.col("id") % 6 == 0, F.concat(F.lit("boom "), F.col("id").cast("string"))).alias("error"), (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("finished_at"))
+    return jobs.finish(known, back).select("id", "team_id", "status", "error", "finished_at")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +17,10 @@ from courtside.functions import scalars as S
 from courtside.session import load
 
 
+def _number(name: str) -> Column:
+    return F.regexp_extract(name, r"#0*(\d+)$", 1).cast("long")
+
+
 @dataclass(frozen=True)
 class Tables:
     """The domain's tables of one data set. Lazy: a query reads what it uses."""
@@ -104,9 +108,9 @@ class Tables:
 
     @cached_property
     def source_games(self) -> DataFrame:
-        """Games as sources report them: the opponent is the head of a text, so copies name one game."""
+        """Games as sources report them: the opponent is a whole text, so copies name one game."""
         n, key = F.substring("source", 4, 9).cast("int"), F.col("doc_id")
-        opponent = F.substring(F.regexp_replace(F.col("text"), r"\s+", " "), 1, 40)
+        opponent = F.regexp_replace(F.col("text"), r"\s+", " ")
         return self.raw("documents").select(
             F.col("source"),
             n.alias("priority"),
@@ -122,6 +126,13 @@ class Tables:
             F.col("lang").alias("league"),
         )
 
+    @cached_property
+    def player_game_logs(self) -> DataFrame:
+        """Box-score rows of players, whose id is the number in their name."""
+        stats = ["points", "rebounds", "assists", "turnovers", "fg_made", "fg_attempted", "fg3_made", "fg3_attempted", "ft_made", "ft_attempted", "plus_minus", "efg_pct", "ts_pct"]
+        rows = self.boxscores.join(self.games.select(F.col("id").alias("game_id"), "season"), "game_id")
+        return rows.select((F.col("game_id") * 100_000 + _number("player_name")).alias("id"), _number("player_name").alias("player_id"), "game_id", "season", "minutes", *stats)
+
     @cached_property
     def ingest_jobs(self) -> DataFrame:
         """A request for each event of a user: the user names the team, the type the status."""
@@ -173,7 +184,7 @@ teams AS (
     CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 19 = 0 THEN '00A' ELSE (c_custkey % 100)::VARCHAR END AS number, CASE WHEN c_acctbal >= 0 THEN 'https://img.example/' || c_custkey END AS photo_url
   FROM customer
 ), source_games AS (
-  SELECT source, substr(source, 4)::INTEGER AS priority, doc_id AS src_ord, lang AS date, substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 40) AS opponent,
+  SELECT source, substr(source, 4)::INTEGER AS priority, doc_id AS src_ord, lang AS date, regexp_replace(text, '\s+', ' ', 'g') AS opponent,
     CASE WHEN doc_id % 3 = 0 THEN 'slug-' || (doc_id % 50) ELSE '' END AS opponent_slug, CASE WHEN doc_id % 4 = 0 THEN '/boxscores/' || doc_id END AS boxscore_url, n_chars % 2 = 0 AS is_home,
     (CASE WHEN doc_id % 5 <> 0 THEN n_chars % 60 + 50 END)::INTEGER AS points, (CASE WHEN doc_id % 5 <> 0 THEN n_chars % 47 + 50 END)::INTEGER AS opp_points,
     CASE WHEN doc_id % 7 = 0 THEN 'aplazado' END AS notes, lang AS league
