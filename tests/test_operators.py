@@ -28,9 +28,9 @@ def boxes(spark):
 
 
 def test_calendar(games):
-    assert [r.game_id for r in calendar.calendar(games, team_id=1).collect()] == [3, 1, 2, 4]
-    assert [(r.game_id, r.result, r.score) for r in calendar.past(games, team_id=1).collect()] == [(2, "L", "70-70"), (1, "W", "88-80")]
-    assert [r.game_id for r in calendar.upcoming(games, D(2026, 8, 12), team_id=1).collect()] == [4, 3]
+    assert [r.game_id for r in calendar.calendar(games, team_id=1).orderBy("place").collect()] == [3, 1, 2, 4]
+    assert [(r.game_id, r.result, r.score) for r in calendar.past(games, team_id=1).orderBy("place").collect()] == [(2, "L", "70-70"), (1, "W", "88-80")]
+    assert [r.game_id for r in calendar.upcoming(games, D(2026, 8, 12), team_id=1).orderBy("place").collect()] == [4, 3]
     assert [r.game_id for r in calendar.upcoming(games, D(2026, 8, 13), team_id=1).collect()] == [3]
     assert {r.game_id for r in calendar.in_window(games, D(2026, 2, 8), 77, team_id=1).collect()} == {1, 2}
     assert {r.game_id for r in calendar.in_window(games, D(2026, 2, 8), 76, team_id=1).collect()} == {2}
@@ -134,23 +134,54 @@ def test_entities(spark):
 
 
 def test_upsert(spark):
-    old = spark.createDataFrame([("d", 1, 2, "acb", 10, "n")], "date string, home_team_id long, away_team_id long, league string, home_score int, notes string")
+    old = spark.createDataFrame([(7, "d", 1, 2, "acb", 10, "n", D(2025, 1, 1))], "id long, date string, home_team_id long, away_team_id long, league string, home_score int, notes string, game_date date")
     new = spark.createDataFrame([("d", 1, 2, "", 0, None, 1), ("d", 1, 2, "cup", None, "m", 2), ("e", 1, 2, "acb", 0, None, 3)], "date string, home_team_id long, away_team_id long, league string, home_score int, notes string, ord int")
     rule = upsert.rules("games")
-    kept = {r.date: (r.league, r.home_score, r.notes, r.change) for r in upsert.upsert(old, new, rule, order="ord", zero_is_missing=True).collect()}
-    assert kept == {"d": ("cup", 10, "m", "updated"), "e": ("acb", None, None, "inserted")}
+    out = upsert.upsert(old, new, rule, order="ord", zero_is_missing=True)
+    assert out.columns == [*old.columns, "change"]
+    kept = {r.date: (r.id, r.league, r.home_score, r.notes, r.game_date, r.change) for r in out.collect()}
+    assert kept == {"d": (7, "cup", 10, "m", D(2025, 1, 1), "updated"), "e": (kept["e"][0], "acb", None, None, None, "inserted")} and kept["e"][0] > 7
     zero = {r.date: r.home_score for r in upsert.upsert(old, new, rule, order="ord").collect()}
     assert zero == {"d": 0, "e": 0}
     once = upsert.upsert(old, new, rule, order="ord").drop("change")
     assert sorted(upsert.upsert(once, new, rule, order="ord").drop("change").collect()) == sorted(once.collect())
+    # a stored box score can still be joined by the id that its game keeps
+    box = spark.createDataFrame([(7, 22)], "game_id long, points int")
+    assert box.join(out.withColumnRenamed("id", "game_id"), "game_id").first().date == "d"
+
+
+def test_upsert_keys(spark):
+    """Two players of one name in one game are two rows; keys with nulls are found again; absent inputs give nulls."""
+    kinds = "id long, game_id long, team_id long, player_name string, points int"
+    old = spark.createDataFrame([(1, 5, 100, "Ana", 10), (2, 5, 200, "Ana", 20), (3, None, 100, "Bea", 1)], kinds)
+    new = spark.createDataFrame([(5, 200, "Ana", 21), (None, 100, "Bea", 2), (6, 100, "Ana", 3), (6, 200, "Ana", 4)], "game_id long, team_id long, player_name string, points int")
+    out = upsert.upsert(old, new, upsert.rules("boxscores"))
+    rows = {(r.game_id, r.team_id, r.player_name): (r.points, r.change) for r in out.collect()}
+    assert rows == {(5, 100, "Ana"): (10, "kept"), (5, 200, "Ana"): (21, "updated"), (None, 100, "Bea"): (2, "updated"), (6, 100, "Ana"): (3, "inserted"), (6, 200, "Ana"): (4, "inserted")}
+    assert {r.efg_pct for r in out.collect()} == {None}
+    again = upsert.upsert(out.drop("change", "efg_pct", "ts_pct"), new, upsert.rules("boxscores"))
+    assert again.count() == 5 and {r.change for r in again.collect()} == {"kept", "updated"}
+
+
+def test_minted_ids_are_unique(spark):
+    old = spark.createDataFrame([(41, "a", "A", "x")], "id long, slug string, name string, league string")
+    new = spark.range(500).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("slug"), F.lit("n").alias("name"), F.lit("x").alias("league"))
+    ids = lambda df: {r.slug: r.id for r in upsert.upsert(old, df, upsert.rules("teams")).collect()}
+    first = ids(new)
+    assert len(set(first.values())) == 501 and first["a"] == 41 and 41 < min(i for s, i in first.items() if s != "a") and max(first.values()) < 41 + 8 * 4096
+    assert ids(new.repartition(7)) == first  # the same whatever the order of the rows
 
 
 def test_replace_table(spark, tmp_path):
     path = f"file://{tmp_path}/t"
-    spark.range(3).write.parquet(path)
-    upsert.replace_table(spark.read.parquet(path).where("id > 0"), path)
-    assert spark.read.parquet(path).count() == 2
-    assert upsert.snapshot(path, "s1", spark) and spark.read.parquet(f"{path}.s1").count() == 2
+    assert upsert.replace_table(spark.range(3).toDF("id"), path) == 1
+    assert upsert.replace_table(upsert.current(spark, path).where("id > 0"), path) == 2  # reads the version before
+    assert upsert.current(spark, path).count() == 2 and upsert.versions(spark, path) == [1, 2]
+    spark.range(9).write.parquet(f"{path}/v=3")
+    (tmp_path / "t" / "v=3" / "_SUCCESS").unlink()  # a write that was cut short is no version
+    assert upsert.current(spark, path).count() == 2
+    assert upsert.replace_table(spark.range(5).toDF("id"), path) == 3 and upsert.versions(spark, path) == [2, 3]
+    assert upsert.snapshot(path, "s1", spark) and spark.read.parquet(f"{path}.s1").count() == 5
     assert upsert.snapshot(f"{path}-none", "s1", spark) is None
 
 
@@ -189,5 +220,49 @@ def test_persist_schedule(spark):
     fused = spark.createDataFrame(rows, "src_ord long, date string, opponent string, opponent_slug string, is_home boolean, points int, opp_points int, boxscore_url string, notes string, league string, season int")
     games, every = ingest.persist_schedule(stored, base, fused, 1)
     new = every.where("slug = 'luna-fc'").first()
+    assert new.id > 2
     got = {r.date: (r.home_team_id, r.away_team_id, r.home_score, r.away_score, r.change) for r in games.collect()}
     assert got == {"d1": (2, 1, 70, 80, "inserted"), "d2": (1, new.id, None, None, "inserted")} and new.name == "Luna FC"
+
+
+def test_capture_run(spark, games, boxes, tmp_path):
+    """Read, fuse, persist, fill, rate and the season table in one go; a second run changes nothing."""
+    base = spark.createDataFrame([(1, "sol", "Solar City", "acb"), (2, "rio", "Río Plata", "acb")], "id long, slug string, name string, league string")
+    sources = spark.createDataFrame(
+        [("bbr", 1, "Sun, Nov 23, 2025", "Rio Plata", None, "u1", True, 88, 80, None, "acb"), ("acb", 2, "Sun, Nov 23, 2025", "Río Plata SAD", None, None, True, 88, 80, "n", "acb"), ("bbr", 3, "Mon, Dec 1, 2025", "Luna", None, None, False, 70, 90, None, "acb")], SOURCE
+    )
+    tables = {"teams": base, "games": games.where("id < 3").withColumn("notes", F.lit(None).cast("string")), "boxscores": boxes.withColumn("id", F.col("game_id") * 10 + F.col("team_id")).where("game_id = 1 and team_id = 2")}
+    out = ingest.capture_run(f"file://{tmp_path}/t", tables, sources, boxes.withColumns({c: F.lit(None).cast("double") for c in ("efg_pct", "ts_pct")}), 1)
+    luna = out["teams"].where("slug = 'luna'").first().id
+    assert {(r.home_team_id, r.away_team_id, r.notes) for r in out["games"].collect()} == {(1, 2, "n"), (2, 1, None), (luna, 1, None)}
+    assert {r.id for r in out["games"].where("id < 3").collect()} == {1, 2}
+    assert {r.slug for r in out["teams"].collect()} == {"sol", "rio", "luna"}
+    assert out["boxscores"].count() == 3 and out["boxscores"].where("player_name = 'Ana' and game_id = 1").first().efg_pct == pytest.approx((8 + 2) / 15)
+    assert {(r.game_id, r.team_id) for r in out["team_game_stats"].collect()} == {(1, 1), (1, 2)}
+    assert {(r.team_id, r.season, r.wins) for r in out["season_team_stats"].where("team_id = 1").collect()} == {(1, 2025, 1)}
+    again = ingest.capture_run(f"file://{tmp_path}/t", {**tables, **{k: out[k] for k in ("teams", "games", "boxscores")}}, sources, boxes, 1)
+    assert again["games"].count() == 3 and again["teams"].count() == 3 and again["boxscores"].count() == 3
+
+
+def test_bounds_and_recency_by_date(games, boxes):
+    for call in (lambda: players.recent_form(games, boxes, 21), lambda: players.recent_form(games, boxes, 0), lambda: calendar.in_window(games, D(2026, 1, 1), 91), lambda: matchups.difficulty(calendar.upcoming(games, D(2026, 1, 1)), boxes, boxes, 21)):
+        with pytest.raises(ValueError):
+            call()
+    swapped = games.withColumn("game_date", F.when(F.col("id") == 1, F.lit(D(2027, 1, 1))).otherwise(F.col("game_date")))
+    assert players.recent_form(swapped, boxes, 1, by_date=True).where("player_name = 'Ana'").first().avg_pts == 22.0
+    assert players.recent_form(swapped, boxes, 1).where("player_name = 'Ana'").count() == 0
+
+
+def test_means_of_many_rows_do_not_overflow(spark):
+    from courtside.operators.base import mean
+
+    big = spark.createDataFrame([(9e8,)] * 20, "x double")  # whole billionths beyond a long
+    assert big.agg(mean("x").alias("m")).first().m == 9e8
+
+
+def test_duplicates_without_all_pairs(spark):
+    teams_ = spark.createDataFrame([(1, "ab", "x", "l"), (2, "rio", "Old", "l"), (3, "q", "Club Rio AB", "l"), (4, "longslug", "", "l"), (5, "z9", "The Long-Slug", "l")], "id long, slug string, name string, league string")
+    found = entities.duplicates(teams_, teams_)
+    assert {tuple(r) for r in found.collect()} == {(3, 1), (5, 4), (2, None)} - {(2, None)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -75,8 +75,10 @@ def test_reports(spark, tmp_path):
     form = spark.createDataFrame([(1, "Ana", 3, 30.0, 22.0, None, 0.5223, 0.6)], "team_id long, player_name string, games long, avg_minutes double, avg_pts double, avg_pts_per36 double, avg_efg_pct double, avg_ts_pct double")
     lines = reports.form_lines(form)
     assert lines.first().line == "Ana" + " " * 21 + "   3    30.0    22.0       -    52.2    60.0"
-    reports.write_text(lines, f"file://{tmp_path}/out")
-    assert spark.read.text(f"file://{tmp_path}/out").count() == 1
+    more = reports.form_lines(form.union(form.withColumns({"player_name": F.lit("Bea"), "avg_pts": F.lit(30.0)})))
+    reports.write_text(more, f"file://{tmp_path}/out")
+    (file,) = (tmp_path / "out" / "team_id=1").glob("part-*")
+    assert [x[:3] for x in file.read_text().splitlines()] == ["Bea", "Ana"]
 
 
 def test_streaming_capture_is_idempotent(spark, tmp_path):
@@ -109,7 +111,7 @@ def test_streaming_jobs_and_windows(spark, tmp_path):
 
 def test_report_lines_keep_long_names(spark):
     form = spark.createDataFrame([(1, "A player of a very long name, " + x, 2, 10.0, 8.0, 20.0, 0.5, 0.5) for x in ("Ana", "Bea")] + [(1, "Eva", 2, 10.0, 7.0, 20.0, 0.5, 0.5)], "team_id long, player_name string, games long, avg_minutes double, avg_pts double, avg_pts_per36 double, avg_efg_pct double, avg_ts_pct double")
-    lines = [r.line for r in reports.form_lines(form).collect()]
+    lines = [r.line for r in reports.form_lines(form).orderBy("place").collect()]
     assert [x.split("   2")[0] for x in lines] == ["A player of a very long name, Ana", "A player of a very long name, Bea", "Eva".ljust(24)]
     summary = spark.createDataFrame([(1, 70.0, 100.0, 90.0, 10.0, 0.5, 0.5)], "team_id long, avg_pace double, avg_off_rating double, avg_def_rating double, avg_net_rating double, avg_efg_pct double, avg_ts_pct double")
     team = spark.createDataFrame([(1, "A team of a very long name")], "id long, name string")
