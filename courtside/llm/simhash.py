@@ -125,43 +125,52 @@ CHUNK = 512
 SPARSE = 2
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of ``z``."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
-def _hashes(words: list[bytes], k: int) -> np.ndarray:
-    """Distinct hashes of the k-word shingles; fewer words are one shingle."""
+def _words(text: str | None) -> np.ndarray:
+    """The hash of each word, A-Z in lower case."""
     digest = xxhash.xxh64_intdigest
-    return np.array(list({digest(b" ".join(words[i : i + k]), SEED) for i in range(max(1, len(words) - k + 1))}), dtype=np.uint64)
+    return np.array([digest(w, SEED) for w in (text or "").encode().lower().split()], dtype=np.uint64)
 
 
-def long_fingerprint(text: str | None) -> np.ndarray:
-    """The fingerprint of the two-word shingles as SEGMENTS unsigned words.
+def _hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Distinct hashes of the k-word shingles, in order; fewer words are one shingle."""
+    n = max(1, len(words) - k + 1)
+    h = np.full(n, min(k, len(words)), dtype=np.uint64)
+    for j in range(min(k, len(words))):  # the order of the words counts, as each is mixed into what precedes it
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n])
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def long_fingerprint(words: np.ndarray) -> np.ndarray:
+    """The fingerprint of the two-word shingles of hashed words as SEGMENTS unsigned words.
 
     Two-word shingles change less under an edit than those by which similarity is measured.
     """
-    h = _hashes(_words(text), 2)
+    h = _hashes(words, 2)
     total = np.zeros(SEGMENTS * BITS, dtype=np.int64)
     lanes = np.arange(SEGMENTS * BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(h), PIECE // 4):  # 64 bits more of each hash for each lane
-            z = h[at : at + PIECE // 4, None] + lanes
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z ^= z >> np.uint64(31)
-            total += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for at in range(0, len(h), 255):  # 64 bits more of each hash for each lane; a byte holds the count of 255 of them
+        z = _mixed(h[at : at + 255, None] + lanes)
+        total += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     margin = (2 * total - len(h)).reshape(SEGMENTS, BITS)
     return ((margin > 0) * (1 << np.arange(BITS, dtype=np.int64))).sum(axis=1)
 
 
-def prefix(text: str | None, usual: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int, bytes]:
-    """The first shingles of a text in an order that all texts share, the number of all, and a bitmap of all,
-    two to four bits for each.
+def prefix(words: np.ndarray, usual: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int, bytes]:
+    """The first shingles of a text of hashed words in an order that all texts share, the number of all, and a
+    bitmap of all, two to four bits for each.
 
     Of two similar texts with n shingles each has at least ``SIMILARITY * n`` in common with the other, so the
     first that both have is among the first ``n - SIMILARITY * n + 1`` of either.
     """
-    h = _hashes(_words(text), WORDS).view(np.int64)
+    h = _hashes(words, WORDS).view(np.int64)
     values, places = usual
     late = np.zeros(len(h), dtype=np.int64)
     if len(values):
@@ -208,7 +217,7 @@ def _signed(usual: tuple[np.ndarray, np.ndarray]):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                texts = [t.as_py() for t in part.column(3)]
+                texts = [_words(t.as_py()) for t in part.column(3)]
                 firsts = [prefix(t, usual) for t in texts]
                 segments = pa.array([long_fingerprint(t) for t in texts], pa.list_(pa.int64()))
                 keys, sizes, bits = (pa.array(x, t) for x, t in zip(zip(*firsts), (pa.list_(pa.int64()), pa.int32(), pa.binary())))
