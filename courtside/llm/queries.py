@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from courtside.llm import hnsw, lattice, linedup, mixing, packing, quality, simhash, tokens, urls, wrappers
+from courtside.llm import balls, hnsw, lattice, linedup, middle, mixing, packing, quality, simhash, tokens, urls, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -71,6 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_lattice": op9_lattice,
         "op10_simhash": op10_simhash,
+        "op11_balls": op11_balls,
+        "op12_middle": op12_middle,
+        "op13_warc": op13_warc,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -81,4 +96,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_urls": urls.SQL,
         "op5_line_runs": linedup.SQL,
         "op9_lattice": lattice.SQL,
+        "op11_balls": balls.SQL,
+        "op12_middle": middle.SQL,
+        "op13_warc": warc.SQL,
     }
