@@ -2,48 +2,204 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtside.functions import names
+from courtside.operators.base import ranked
+from courtside.written import Written
 
-#: Normal forms shorter than this match by equality only.
+#: Reported names whose normal form is shorter than this are never matched by name; also the length of a gram.
 SHORTEST = 4
 
 
+def _grams(key: str, length: int | Column) -> Column:
+    """The runs of ``length`` characters of a name, the whole of a shorter one."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - length + 1, F.lit(1))), lambda i: F.substring(F.col(key), i, F.lit(length) if isinstance(length, int) else length))
+
+
+def candidates(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """``(inner, outer)``: keys of ``inner(key)`` and those of ``outer(key)`` in which they may stand.
+
+    An inverted index: outer keys lie under all their grams, inner keys ask under one, that of theirs which the fewest
+    outer keys have. So a word that many names share makes no pairs: whoever has nothing rarer is really contained
+    wherever it is found. Keys shorter than a gram are grams themselves. Empty and null keys are in nothing.
+    """
+    asked = inner.select("key").where("key <> ''").distinct()
+    held = outer.select("key").where("key <> ''").distinct()
+    runs = F.array_distinct(F.flatten(F.array(*[_grams("key", n) for n in range(1, SHORTEST + 1)])))
+    held = held.select(F.col("key").alias("outer"), F.explode(runs).alias("g"))
+    usual = held.groupBy("g").agg(F.count("*").alias("df"))
+    own = F.array_distinct(_grams("key", F.least(F.length("key"), F.lit(SHORTEST))))
+    wanted = asked.select(F.col("key").alias("inner"), F.explode(own).alias("g")).join(usual, "g", "left")
+    rarest = wanted.groupBy("inner").agg(F.min_by("g", F.struct("df", "g")).alias("g"), F.bool_and(F.col("df").isNotNull()).alias("all")).where("all").drop("all")
+    return rarest.join(held, "g").select("inner", "outer")
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """``(inner, outer)``: keys of ``inner(key)`` that stand within keys of ``outer(key)``, equal ones too."""
+    return candidates(inner, outer).where(F.contains("outer", "inner"))
+
+
+def _alike(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``(key, other)``: keys of ``asked`` long enough, and keys of ``known`` that hold them or are held by them."""
+    long = asked.where(F.length("key") >= SHORTEST)
+    within = contained(long, known).select(F.col("inner").alias("key"), F.col("outer").alias("other"))
+    around = contained(known, long).select(F.col("outer").alias("key"), F.col("inner").alias("other"))
+    return within.union(around).distinct()
+
+
+def _named(opponents: DataFrame, teams: DataFrame) -> DataFrame:
+    """``(key, name_id)``: the team with the least id whose normal name holds the key or is held by it."""
+    known = teams.select(names.team_key(F.col("name")).alias("key"), "id")
+    return _alike(opponents, known).join(known.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("id").alias("name_id"))
+
+
 def resolve(opponents: DataFrame, teams: DataFrame) -> DataFrame:
-    """``opponents(opponent, opponent_slug)`` with ``team_id`` and how it was found: slug, name or new.
+    """``opponents(opponent, opponent_slug)`` with ``team_id`` among ``teams`` and how it was found: slug, name or new.
 
-    First by slug. What is left matches a team whose normal name holds the opponent's or is held by it;
-    of several, the one with the least id. Distinct names only meet the teams dimension, and only pairs
-    that share a run of four characters, so that no pair of all names is formed.
+    First by slug. What is left matches a team whose normal name holds the opponent's or is held by it; of several,
+    the one with the least id. Here no opponent changes what another meets; ``settle`` has that.
     """
-    asked = opponents.select("opponent", "opponent_slug").distinct()
-    # whichever is contained has its first gram inside the other: heads meet grams, both ways
-    grams = lambda c: F.inline(F.transform(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - SHORTEST + 1), lambda i: F.substring(F.col(c), i, F.lit(SHORTEST)))), lambda g, i: F.struct(g.alias("g"), (i == 0).alias("head"))))
-    open_ = asked.select("opponent", names.team_key(F.col("opponent")).alias("key")).where(F.length("key") >= SHORTEST)
-    known = teams.select(F.col("id").alias("name_id"), names.team_key(F.col("name")).alias("team_key")).where(F.length("team_key") >= SHORTEST)
-    left, right = open_.select("opponent", "key", grams("key")), known.select("name_id", "team_key", grams("team_key")).withColumnRenamed("head", "team_head")
-    inside = F.col("head") & F.contains("team_key", "key") | F.col("team_head") & F.contains("key", "team_key")
-    by_name = left.join(right, "g").where(inside).groupBy(F.col("opponent").alias("named")).agg(F.min("name_id").alias("name_id"))
-    by_slug = teams.select(F.col("slug").alias("known_slug"), F.col("id").alias("slug_id"))
-    found = asked.join(by_slug, F.col("opponent_slug") == F.col("known_slug"), "left").join(by_name, F.col("opponent") == F.col("named"), "left")
+    asked = opponents.select("opponent", "opponent_slug").distinct().withColumn("key", names.team_key(F.col("opponent")))
+    by_slug = teams.groupBy(F.col("slug").alias("opponent_slug")).agg(F.min("id").alias("slug_id"))
+    found = asked.join(by_slug, "opponent_slug", "left").join(_named(asked, teams), "key", "left")
     how = F.when(F.col("slug_id").isNotNull(), "slug").when(F.col("name_id").isNotNull(), "name").otherwise("new")
     return found.select("opponent", "opponent_slug", F.coalesce("slug_id", "name_id").alias("team_id"), how.alias("found_by"))
 
 
-def duplicates(teams: DataFrame, canonical: DataFrame) -> DataFrame:
-    """``(id, canonical_id)``: teams whose normal name holds the slug of a canonical team that is not theirs.
+# --- a delivery, row by row ---------------------------------------------------------------------------
+
+#: Rows that make their team, and rows after which their team has their slug: those that bring one, and those that make it.
+_MADE = "(team.new = 1 AND team.at = at)"
+_SETS = f"(given OR {_MADE})"
+
+
+def _stored(id_: Column) -> Column:
+    """A stored team as a reference: stored ones come first, by id, then new ones in the order in which they came up."""
+    return F.when(id_.isNotNull(), F.struct(F.lit(0).alias("new"), id_.cast("long").alias("id"), F.lit(None).cast("struct<ord:bigint,opponent:string,slug:string>").alias("at")))
+
+
+def _fresh(at: Column) -> Column:
+    return F.when(at.isNotNull(), F.struct(F.lit(1).alias("new"), F.lit(None).cast("long").alias("id"), at.alias("at")))
 
-    A name that holds a slug holds its head, of four characters at most: heads meet the runs of one to four
-    characters of the names, so that no pair of all teams is formed.
+
+def _stepped(state: DataFrame, near: DataFrame) -> DataFrame:
+    """Every row's team as it follows from the teams that ``state`` holds for the rows before it.
+
+    Who holds a slug at a row: the team of the last row before it that set this slug, if no row in between set another
+    one on that team; without such a row the team that had the slug at first, if none before set another on it.
+    """
+    back = W.partitionBy("team").orderBy(F.col("at").desc()).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("slug").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    seen = state.withColumn("until", F.min(F.when(F.expr(_SETS), F.col("at"))).over(back))
+    seen = seen.withColumn("last", F.last(F.when(F.expr(_SETS), F.struct("team", "until")), ignorenulls=True).over(before))
+    first = state.where(f"{_SETS} AND team.new = 0").groupBy(F.col("team.id").alias("slug_id")).agg(F.min("at").alias("left"))
+    made = state.where(_MADE).groupBy(F.col("key").alias("other")).agg(F.min("at").alias("made"))
+    leader = near.join(made, "other").groupBy("key").agg(F.min("made").alias("leader"))
+    seen = seen.join(first, "slug_id", "left").join(leader, "key", "left")
+    still = lambda end: end.isNull() | (end >= F.col("at"))
+    holder = F.when(F.col("last").isNotNull(), F.when(still(F.col("last.until")), F.col("last.team"))).when(still(F.col("left")), _stored(F.col("slug_id")))
+    named = F.coalesce(_stored(F.col("name_id")), F.when(F.col("leader") < F.col("at"), _fresh(F.col("leader"))))
+    team = F.coalesce(holder, named, _fresh(F.col("at")))
+    how = F.when(holder.isNotNull(), "slug").when(named.isNotNull(), "name").otherwise("new")
+    own = ["at", "slug", "given", "key", "slug_id", "name_id"]
+    return seen.select(*own, team.alias("team"), how.alias("found_by"), (~team.eqNullSafe(F.col("team"))).alias("moved"))
+
+
+def settle(delivery: DataFrame, teams: DataFrame, order: str = "src_ord") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What storing a delivery's opponents one by one, in the order of ``order``, makes of them and of ``teams``.
+
+    A row finds the team that holds its slug at that moment (its normal name, where it brings no slug); else the first
+    team whose normal name holds its own or is held by it, which then takes over the slug that the row brings; else it
+    makes a team, which later rows find. Returns
+
+    * ``resolved``: ``order, opponent, opponent_slug, team_id`` of every distinct row;
+    * ``teams`` with migrated slugs and the new teams, whose ids go on from the greatest in the order in which they
+      came up; a new team has the columns ``slug, name`` and, where ``delivery`` has it, the row's ``league``;
+    * ``found``: of each pair of opponent and slug the first row, ``order, opponent, opponent_slug, team_id, found_by``.
+
+    Rows with a blank opponent are left out; a null slug is a blank one; rows of equal order take turns by name and
+    slug. A normal name that is empty is matched by slug only.
+
+    The order is not walked through. All rows guess their team, and correct it from the guesses of the rows before
+    them until nothing moves: a row is right one round after those that it depends on. Only the first row of each pair
+    takes part, and all rows of pairs whose team is given several slugs, as no other repeated row changes anything.
     """
-    head = F.substring("slug", 1, SHORTEST)
-    of = canonical.where("slug <> ''").select(F.col("id").alias("canonical_id"), F.col("slug").alias("canonical_slug"), head.alias("g"))
-    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SHORTEST)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))), lambda i: F.substring(F.col("key"), i, n)))))
-    keyed = teams.select("id", "slug", names.team_key(F.col("name")).alias("key")).where("key <> ''")
-    pairs = keyed.select("id", "slug", "key", F.explode(runs).alias("g")).join(of, "g").where(F.contains("key", "canonical_slug") & (F.col("slug") != F.col("canonical_slug")))
+    spark = delivery.sparkSession
+    written = Written(spark, "settle")
+    slug = F.coalesce("opponent_slug", F.lit(""))
+    league = F.col("league") if "league" in delivery.columns else F.lit(None).cast("string")
+    rows = delivery.where("trim(coalesce(opponent, '')) <> ''").select(F.col(order).cast("long").alias("ord"), "opponent", slug.alias("given_slug"), league.alias("league"))
+    rows = written.save(rows.groupBy("ord", "opponent", "given_slug").agg(F.min("league").alias("league")))
+    pairs = rows.groupBy("opponent", "given_slug").agg(F.min("ord").alias("ord"))
+    pairs = pairs.withColumn("key", names.team_key(F.col("opponent")))
+    pairs = pairs.withColumn("given", F.col("given_slug") != "").withColumn("slug", F.when(F.col("given"), F.col("given_slug")).otherwise(F.col("key")))
+    holders = teams.groupBy("slug").agg(F.min("id").cast("long").alias("slug_id"))
+    pairs = written.save(pairs.join(holders, "slug", "left").join(_named(pairs, teams).select("key", F.col("name_id").cast("long").alias("name_id")), "key", "left"))
+    # names that no stored team has: who of them would be whose team
+    unknown = pairs.where("name_id is null").select("key").distinct()
+    near = written.save(_alike(unknown, unknown))
+
+    at = F.struct("ord", "opponent", F.col("given_slug").alias("slug")).alias("at")
+    own = ["slug", "given", "key", "slug_id", "name_id"]
+    open_ = None
+    while True:
+        if open_ is None:
+            state = pairs.select(at, *own)
+        else:
+            every = rows.join(open_, ["opponent", "given_slug"]).join(pairs.drop("ord"), ["opponent", "given_slug"]).select(at, *own)
+            state = pairs.join(open_, ["opponent", "given_slug"], "left_anti").select(at, *own).union(every)
+        guess = F.coalesce(_stored(F.col("slug_id")), _stored(F.col("name_id")), _fresh(F.col("at")))
+        state = written.save(state.withColumn("team", guess))
+        while True:
+            before, state = state, written.save(_stepped(state, near))
+            written.drop(before)
+            if not state.where("moved").limit(1).count():
+                break
+        # a team that rows set several slugs on, or another than that under which a row looks for it
+        asked_for = state.where(F.col("slug_id").isNotNull()).select(_stored(F.col("slug_id")).alias("team"), "slug")
+        slugs = state.where(_SETS).select("team", "slug").union(asked_for).groupBy("team").agg((F.min("slug") != F.max("slug")).alias("several")).where("several")
+        torn = state.join(slugs.select("team"), "team", "left_semi").select(F.col("at.opponent").alias("opponent"), F.col("at.slug").alias("given_slug")).distinct()
+        more = torn if open_ is None else torn.union(open_).distinct()
+        more = written.save(more)
+        if more.count() == (open_.count() if open_ is not None else 0):
+            break
+        open_ = more
+
+    # the teams: last slug set on each, and new ones numbered
+    last = state.where(_SETS).groupBy("team").agg(F.max_by("slug", "at").alias("new_slug"))
+    most = teams.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    made = state.where(_MADE).select("team", F.col("at.ord").alias("ord"), F.col("at.opponent").alias("name"), F.col("at.slug").alias("given_slug"), "at")
+    numbered = ranked(made, "rank", [F.asc("at")], F.floor(F.col("ord") / 65536))
+    numbered = written.save(numbered.join(last, "team").join(rows.withColumnRenamed("opponent", "name"), ["ord", "name", "given_slug"]).select("team", (F.lit(most) + F.col("rank")).cast("long").alias("team_id"), "name", "new_slug", "league"))
+    migrated = last.where("team.new = 0").select(F.col("team.id").alias("__id"), "new_slug")
+    kept = teams.join(migrated, teams["id"] == F.col("__id"), "left").withColumn("slug", F.coalesce("new_slug", "slug")).select(*teams.columns)
+    fresh = numbered.select(F.col("team_id").cast(teams.schema["id"].dataType).alias("id"), F.col("new_slug").alias("slug"), "name", F.coalesce("league", F.lit("")).alias("league"))
+    fresh = fresh.select(*[c for c in fresh.columns if c in teams.columns])
+    every_team = written.save(kept.unionByName(fresh, allowMissingColumns=True))
+
+    ids = state.join(numbered.select("team", "team_id"), "team", "left").select("at", F.coalesce("team.id", "team_id").alias("team_id"), "found_by")
+    found = ids.select(F.col("at.ord").alias("ord"), F.col("at.opponent").alias("opponent"), F.col("at.slug").alias("given_slug"), "team_id", "found_by")
+    first = written.save(found.join(pairs.select("opponent", "given_slug", "ord"), ["opponent", "given_slug", "ord"], "left_semi"))
+    single = rows.join(first.select("opponent", "given_slug", "team_id"), ["opponent", "given_slug"])
+    if open_ is not None:
+        single = single.join(open_, ["opponent", "given_slug"], "left_anti").select("ord", "opponent", "given_slug", "team_id")
+        single = single.union(found.join(open_, ["opponent", "given_slug"], "left_semi").select("ord", "opponent", "given_slug", "team_id"))
+    out = lambda df, *more: df.select(F.col("ord").alias(order), "opponent", F.col("given_slug").alias("opponent_slug"), "team_id", *more)
+    return written.save(out(single)), every_team, out(first, "found_by")
+
+
+# --- teams that are one -------------------------------------------------------------------------------
+
+
+def duplicates(teams: DataFrame, canonical: DataFrame) -> DataFrame:
+    """``(id, canonical_id)``: teams whose normal name holds the slug of a canonical team that is not theirs."""
+    keyed = teams.select("id", "slug", names.team_key(F.col("name")).alias("key"))
+    of = canonical.select(F.col("id").alias("canonical_id"), F.col("slug").alias("canonical_slug"))
+    held = contained(of.select(F.col("canonical_slug").alias("key")), keyed)
+    pairs = keyed.join(held, F.col("key") == F.col("outer")).join(of, F.col("inner") == F.col("canonical_slug")).where(F.col("slug") != F.col("canonical_slug"))
     return pairs.groupBy("id").agg(F.min("canonical_id").alias("canonical_id")).where("id <> canonical_id")
 
 
@@ -66,4 +222,3 @@ def merge_duplicates(tables: dict[str, DataFrame], merged: DataFrame) -> dict[st
     if "teams" in out:
         out["teams"] = out["teams"].join(merged.select("id"), "id", "left_anti")
     return out
-

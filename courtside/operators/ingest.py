@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
 from courtside.operators import entities, fusion, teams, upsert
 
 
-def new_slug() -> Column:
-    """The slug of an opponent that is no team yet: its own, or its name made one."""
-    return F.coalesce(F.nullif("opponent_slug", F.lit("")), F.regexp_replace(F.trim(F.lower("opponent")), r"\s+", "-"))
-
-
-def with_new_teams(resolved: DataFrame, teams: DataFrame) -> DataFrame:
-    """``teams`` and a row for each opponent that resolved to none. New ids lie beyond the greatest stored one and
-    follow from the slugs, so no two teams share one."""
-    new = resolved.where("found_by = 'new'").select(new_slug().alias("slug"), "opponent").groupBy("slug").agg(F.min("opponent").alias("name"))
-    new = new.join(teams.select("slug"), "slug", "left_anti")
-    ids = upsert.minted(new, ["slug"], teams.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() + 1)
-    return teams.unionByName(ids.select(F.col("id").cast("long").alias("id"), "slug", "name", F.lit("").alias("league")))
-
-
-def oriented(fused: DataFrame, resolved: DataFrame, every: DataFrame) -> DataFrame:
+def oriented(fused: DataFrame, resolved: DataFrame) -> DataFrame:
     """Fused games ``(team_id, src_ord, date, opponent, opponent_slug, is_home, points, opp_points, ...)`` as rows of the
-    games table, home and away after ``is_home``. ``every`` has the teams that ``resolved`` calls new."""
-    slug = F.when(F.col("found_by") == "new", new_slug())
-    made = every.select(F.col("slug").alias("made_slug"), F.col("id").alias("made_id"))
-    found = resolved.withColumn("new_slug", slug).join(made, F.col("new_slug") == F.col("made_slug"), "left")
-    found = found.select(F.col("opponent").alias("o"), F.col("opponent_slug").alias("s"), F.coalesce("team_id", "made_id").alias("opponent_id"))
-    rows = fused.join(found, fused["opponent"].eqNullSafe(F.col("o")) & fused["opponent_slug"].eqNullSafe(F.col("s")))
+    games table, home and away after ``is_home``; ``resolved`` has the opponents' ids."""
+    found = resolved.select(F.col("src_ord").alias("o"), F.col("opponent").alias("n"), F.col("opponent_slug").alias("s"), F.col("team_id").alias("opponent_id"))
+    rows = fused.join(found, (F.col("src_ord") == F.col("o")) & (F.col("opponent") == F.col("n")) & (F.coalesce("opponent_slug", F.lit("")) == F.col("s")))
     own, other, home = F.col("team_id").cast("long"), F.col("opponent_id"), F.col("is_home")
     return rows.select(
         "src_ord",
@@ -49,13 +32,15 @@ def oriented(fused: DataFrame, resolved: DataFrame, every: DataFrame) -> DataFra
 def persist_schedule(stored: DataFrame, teams: DataFrame, fused: DataFrame, team_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(games, teams) after storing fused games: of ``team_id``, or of the teams that the rows' ``team_id`` names.
 
-    Blank opponents are left out, unknown ones become teams. Scores of 0 count as missing, as in the reference's
-    storage.
+    Opponents are settled in the order of ``src_ord``: blank ones are left out, unknown ones become teams, of the league
+    of the team whose calendar names them first, and slugs move to the teams that are called by them. A game without a
+    league takes that of the calendar's team. Scores of 0 count as missing, as in the reference's storage.
     """
     rows = (fused if team_id is None else fused.withColumn("team_id", F.lit(team_id))).where("trim(coalesce(opponent, '')) <> ''")
-    resolved = entities.resolve(rows, teams)
-    every = with_new_teams(resolved, teams)
-    return upsert.upsert(stored, oriented(rows, resolved, every), upsert.rules("games"), order="src_ord", zero_is_missing=True), every
+    own = teams.select(F.col("id").alias("team_id"), F.col("league").alias("own_league"))
+    rows = rows.join(own, "team_id", "left").withColumn("league", F.coalesce(F.nullif("league", F.lit("")), "own_league"))
+    resolved, every, _ = entities.settle(rows.select("src_ord", "opponent", "opponent_slug", F.col("own_league").alias("league")), teams)
+    return upsert.upsert(stored, oriented(rows, resolved), upsert.rules("games"), order="src_ord", zero_is_missing=True), every
 
 
 def capture_run(folder: str, tables: dict[str, DataFrame], source_games: DataFrame, box_rows: DataFrame, team_id: int) -> dict[str, DataFrame]:

@@ -30,7 +30,8 @@ def registrar() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], di
         def register(f: Callable[[Tables], DataFrame]):
             found[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
             body = sql.strip()
-            twins[f.__name__] = f"WITH {CTES.strip()}, {body[5:]}" if body.startswith("WITH ") else f"WITH {CTES.strip()} {body}"
+            head = next((h for h in ("WITH RECURSIVE ", "WITH ") if body.startswith(h)), None)
+            twins[f.__name__] = f"{head}{CTES.strip()}, {body[len(head):]}" if head else f"WITH {CTES.strip()} {body}"
             return f
 
         return register

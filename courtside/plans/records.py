@@ -41,32 +41,61 @@ def fusion_gapfill(t: Tables) -> DataFrame:
     return out.select("src_ord", "date", "is_home", "opponent_slug", "boxscore_url", F.col("points").cast("double").alias("points"), F.col("opp_points").cast("double").alias("opp_points"), "notes", "league")
 
 
-_OPPONENTS = """
+#: Opponents one by one, in the order of their rows: each step takes the list of teams as the step before left it.
+_SETTLED = r"""
 asked AS (
-  SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN t.name || ' Basket' WHEN 1 THEN substr(t.name, 1, 6) ELSE p_name END AS opponent, CASE WHEN p_partkey % 5 = 0 THEN t.slug ELSE '' END AS opponent_slug FROM part JOIN teams t ON t.id = p_partkey % 25
-), named AS (
-  SELECT *, regexp_replace(lower(strip_accents(opponent)), '[\\s-]+', '', 'g') AS key FROM asked
-), bases AS (
-  SELECT id, regexp_replace(lower(strip_accents(name)), '[\\s-]+', '', 'g') AS team_key FROM teams
-)"""
+  SELECT p_partkey AS ord, CASE WHEN p_partkey % 3 <> 0 THEN p_brand || CASE p_partkey % 4 WHEN 0 THEN ' Basket' WHEN 1 THEN '' WHEN 2 THEN '-BC' ELSE ' Club' END WHEN p_partkey % 4 = 0 THEN t.name || ' Basket' WHEN p_partkey % 4 = 1 THEN substr(t.name, 1, 6) ELSE t.name END AS opponent,
+    CASE WHEN p_partkey % 3 <> 0 THEN CASE WHEN p_partkey % 5 = 0 THEN lower(p_brand) ELSE '' END WHEN p_partkey % 5 = 0 THEN t.slug WHEN p_partkey % 7 = 0 THEN 'alt-' || t.id ELSE '' END AS opponent_slug
+  FROM part JOIN teams t ON t.id = p_partkey % 25
+), asked_rows AS (
+  SELECT *, regexp_replace(lower(strip_accents(opponent)), '[\s-]+', '', 'g') AS key, row_number() OVER (ORDER BY ord) AS i FROM asked
+), run AS (
+  SELECT 0::BIGINT AS i, '' AS found_by, (SELECT list({'slug': slug, 'name': name, 'key': regexp_replace(lower(strip_accents(name)), '[\s-]+', '', 'g'), 'league': league} ORDER BY id) FROM teams) AS held, 0::BIGINT AS place
+  UNION ALL
+  SELECT i, CASE WHEN s > 0 THEN 'slug' WHEN n > 0 THEN 'name' ELSE 'new' END,
+    CASE WHEN s > 0 OR n > 0 AND opponent_slug = '' THEN held WHEN n > 0 THEN list_transform(held, lambda t, j: {'slug': CASE WHEN j = n THEN opponent_slug ELSE t.slug END, 'name': t.name, 'key': t.key, 'league': t.league})
+      ELSE list_append(held, {'slug': wanted, 'name': opponent, 'key': key, 'league': 'cup'}) END, CASE WHEN s > 0 THEN s WHEN n > 0 THEN n ELSE len(held) + 1 END
+  FROM (SELECT e.*, r.held, coalesce(nullif(opponent_slug, ''), e.key) AS wanted, coalesce(list_position(list_transform(r.held, lambda t: t.slug), coalesce(nullif(opponent_slug, ''), e.key)), 0) AS s,
+      CASE WHEN length(e.key) >= 4 THEN coalesce(list_position(list_transform(r.held, lambda t: t.key <> '' AND (contains(t.key, e.key) OR contains(e.key, t.key))), true), 0) ELSE 0 END AS n
+    FROM run r JOIN asked_rows e ON e.i = r.i + 1)
+), at_last AS (SELECT max_by(held, i) AS held FROM run)"""
 
 
 def _opponents(t: Tables) -> DataFrame:
-    """Opponents as sources might write them: team names with a club word, cut short, or unknown ones."""
+    """Opponents as sources might write them: of stored teams with a club word, cut short, under a slug of another source; and of teams that come up in the delivery."""
     k = F.col("p_partkey")
-    rows = t.raw("part").select("p_name", k, (k % 25).alias("id")).join(t.teams.select("id", "name", "slug"), "id")
-    name = F.when(k % 4 == 0, F.concat("name", F.lit(" Basket"))).when(k % 4 == 1, F.substring("name", 1, 6)).otherwise(F.col("p_name"))
-    return rows.select(name.alias("opponent"), F.when(k % 5 == 0, F.col("slug")).otherwise("").alias("opponent_slug"))
+    rows = t.raw("part").select("p_brand", k, (k % 25).alias("id")).join(t.teams.select("id", "name", "slug"), "id")
+    word = F.element_at(F.array(*map(F.lit, (" Basket", "", "-BC", " Club"))), (k % 4 + 1).cast("int"))
+    stored = F.when(k % 4 == 0, F.concat("name", F.lit(" Basket"))).when(k % 4 == 1, F.substring("name", 1, 6)).otherwise(F.col("name"))
+    slug = F.when(k % 3 != 0, F.when(k % 5 == 0, F.lower("p_brand")).otherwise("")).when(k % 5 == 0, F.col("slug")).when(k % 7 == 0, F.concat(F.lit("alt-"), F.col("id").cast("string"))).otherwise("")
+    return rows.select(k.alias("src_ord"), F.when(k % 3 != 0, F.concat("p_brand", word)).otherwise(stored).alias("opponent"), slug.alias("opponent_slug"), F.lit("cup").alias("league"))
 
 
 @query(f"""
-WITH {_OPPONENTS}, by_name AS (SELECT opponent, min(id) AS id FROM named JOIN bases ON length(key) >= 4 AND length(team_key) >= 4 AND (contains(team_key, key) OR contains(key, team_key)) GROUP BY opponent)
-SELECT n.opponent, opponent_slug, coalesce(t.id, b.id)::DOUBLE AS team_id, CASE WHEN t.id IS NOT NULL THEN 'slug' WHEN b.id IS NOT NULL THEN 'name' ELSE 'new' END AS found_by
-FROM named n LEFT JOIN teams t ON t.slug = opponent_slug LEFT JOIN by_name b ON b.opponent = n.opponent""")
+WITH RECURSIVE {_SETTLED}
+SELECT opponent, opponent_slug, min(ord) AS src_ord, arg_min(found_by, ord) AS found_by, arg_min(held[place].slug, ord) AS slug, arg_min(held[place].name, ord) AS name
+FROM (SELECT a.opponent, a.opponent_slug, a.ord, r.found_by, r.place, l.held FROM asked_rows a JOIN run r ON r.i = a.i, at_last l) GROUP BY opponent, opponent_slug""")
 def resolve_opponents(t: Tables) -> DataFrame:
-    found = entities.resolve(_opponents(t), t.teams)
-    # the name is asked where the slug fails; the oracle asks always and prefers the slug
-    return found.select("opponent", "opponent_slug", F.col("team_id").cast("double").alias("team_id"), "found_by")
+    """Of each spelling the first row: how it finds its team, and what that is called in the end."""
+    _, every, found = entities.settle(_opponents(t), t.teams)
+    return found.join(every.select(F.col("id").alias("team_id"), "slug", "name"), "team_id").select("opponent", "opponent_slug", "src_ord", "found_by", "slug", "name")
+
+
+@query(f"WITH RECURSIVE {_SETTLED} SELECT row_number() OVER (ORDER BY place)::INTEGER AS place, slug, name, league FROM (SELECT unnest(range(1, len(held) + 1)) AS place, unnest(held, recursive := true) FROM at_last)")
+def settled_teams(t: Tables) -> DataFrame:
+    """The teams after a delivery: slugs as they moved, and new teams in the order in which they came up."""
+    every = entities.settle(_opponents(t), t.teams)[1]
+    return ranked(every, "place", [F.asc("id")], F.floor(F.col("id") / 65536)).select("place", "slug", "name", "league")
+
+
+@query(f"""
+WITH RECURSIVE {_SETTLED}
+SELECT slug, count(*) AS reports, min(ord) AS first_ord, max(ord) AS last_ord FROM (SELECT l.held[r.place].slug AS slug, a.ord FROM asked_rows a JOIN run r ON r.i = a.i, at_last l) GROUP BY slug""")
+def reports_by_team(t: Tables) -> DataFrame:
+    """Every row of a delivery under the team that it means in the end."""
+    resolved, every, _ = entities.settle(_opponents(t), t.teams)
+    named = resolved.join(every.select(F.col("id").alias("team_id"), "slug"), "team_id")
+    return named.groupBy("slug").agg(F.count("*").alias("reports"), F.min("src_ord").alias("first_ord"), F.max("src_ord").alias("last_ord"))
 
 
 def _ids(out: DataFrame, stored: DataFrame) -> DataFrame:
