@@ -43,10 +43,11 @@ def persist_schedule(stored: DataFrame, teams: DataFrame, fused: DataFrame, team
     return upsert.upsert(stored, oriented(rows, resolved), upsert.rules("games"), order="src_ord", zero_is_missing=True), every
 
 
-def capture_run(folder: str, tables: dict[str, DataFrame], source_games: DataFrame, box_rows: DataFrame, team_id: int) -> dict[str, DataFrame]:
+def capture_run(folder: str, tables: dict[str, DataFrame], source_games: DataFrame, box_rows: DataFrame, team_id: int, order: str | None = None) -> dict[str, DataFrame]:
     """One whole capture of a team: fuse what the sources report, store it, store the box-score rows, fill and rate
     them, and make the season table. ``tables`` holds teams, games and boxscores; all tables are written to
-    ``folder`` as new versions and come back as stored.
+    ``folder`` as new versions and come back as stored. ``order`` names the arrival of the box-score rows, if one may
+    come twice. All seasons are made anew here; ``increments`` has the form that moves the changed ones only.
     """
 
     def stored(name: str, df: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def capture_run(folder: str, tables: dict[str, DataFrame], source_games: DataFra
     dated = fused if "season" in fused.columns else fused.withColumn("season", S.season_of(S.parse_date(F.col("date"))))
     new_games, new_teams = persist_schedule(tables["games"], tables["teams"], dated, team_id)
     out = {"teams": stored("teams", new_teams), "games": stored("games", new_games.drop("change"))}
-    boxes = upsert.upsert(tables["boxscores"], box_rows, upsert.rules("boxscores")).drop("change")
+    boxes = upsert.upsert(tables["boxscores"], box_rows, upsert.rules("boxscores"), order=order).drop("change")
     out["boxscores"] = stored("boxscores", teams.fill_advanced(boxes))
     dated_games = out["games"].withColumn("game_date", S.parse_date(F.col("date")))
     out["team_game_stats"] = stored("team_game_stats", teams.game_ratings(dated_games, out["boxscores"]))

@@ -6,6 +6,7 @@ column, and a stored table is a folder of versions. New rows of one key are fold
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
@@ -76,11 +77,12 @@ def minted(rows: DataFrame, key: list[str], start: Column, buckets: int = 4096)
     return dealt.withColumn("id", start + within * buckets + F.col("__bucket")).drop("__bucket")
 
 
-def upsert(old: DataFrame, new: DataFrame, how: Rules, *, order: str | None = None, zero_is_missing: bool = False) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, how: Rules, *, order: str | None = None, zero_is_missing: bool = False, mint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``old`` after applying the rows of ``new``: all columns of ``old``, those that only ``new`` has, and ``change``.
 
-    ``order`` names the column of arrival in ``new``; without it keys must be single there. Keys with nulls are
-    keys like others. With ``zero_is_missing`` a zero is treated like null in kept columns, as the reference's
+    ``order`` names the column of arrival in ``new``, by which rows of one key are folded into one; without it a key
+    that stands twice in ``new`` raises an error. Keys with nulls are keys like others. ``mint`` gives inserted rows
+    their ids, by default on from the greatest of ``old``. With ``zero_is_missing`` a zero is treated like null in kept columns, as the reference's
     storage does. Where ``old`` has an ``id``, stored rows keep theirs and inserted ones go on from the greatest;
     an ``id`` in ``new`` is not read. Computed columns are null where no side has what they follow from.
     """
@@ -97,7 +99,9 @@ def upsert(old: DataFrame, new: DataFrame, how: Rules, *, order: str | None = No
         rank = F.row_number().over(W.partitionBy(*key).orderBy(order))
         fresh = fresh.select(*key, *[v.over(last).alias(c) for c, v in folded.items()], rank.alias("__r")).where("__r = 1").drop("__r")
     else:
-        fresh = fresh.withColumns(given)
+        once = fresh.withColumns(given).groupBy(*key).agg(F.any_value(F.struct(*named)).alias("r"), F.count("*").alias("n"))
+        twice = F.raise_error(F.concat(F.lit(f"rows of one key in a delivery of {how.table} need an order: "), F.to_json(F.struct(*key))))
+        fresh = once.withColumn("r", F.when(F.col("n") > 1, twice.cast(once.schema["r"].dataType)).otherwise(F.col("r"))).select(*key, *[F.col("r").getField(c).alias(c) for c in named])
 
     left, right = old.select(F.struct(*old.columns).alias("was")), fresh.select(F.struct(*fresh.columns).alias("now"))
     same = reduce(and_, [F.col(f"was.{c}").eqNullSafe(F.col(f"now.{c}")) for c in key])
@@ -117,7 +121,8 @@ def upsert(old: DataFrame, new: DataFrame, how: Rules, *, order: str | None = No
         out = out.withColumn(c, v if set(inputs) <= set(out.columns) else F.lit(None).cast("double"))
     if with_id:
         most = old.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-        new_rows = minted(out.where("change = 'inserted'").drop("id"), key, most + 1)
+        inserted = out.where("change = 'inserted'").drop("id")
+        new_rows = mint(inserted) if mint else minted(inserted, key, most + 1)
         out = out.where("change <> 'inserted'").unionByName(new_rows.withColumn("id", F.col("id").cast(kinds["id"])).select(*out.columns))
     computed = [c for c in how.computed or {} if c not in old.columns and c not in extra]
     return out.select(*old.columns, *extra, *computed, "change")
