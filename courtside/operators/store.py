@@ -67,14 +67,14 @@ def _create(spark: SparkSession, path: str, text: str) -> None:
         fs.delete(p, False)
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
+def names(spark: SparkSession, folder: str) -> list[str]:
     p, fs = fs_path(spark, folder)
     return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the table's versions that are there."""
-    return [int(n[:-5]) for n in _names(spark, f"{path}/_versions") if n.endswith(".json")]
+    return [int(n[:-5]) for n in names(spark, f"{path}/_versions") if n.endswith(".json")]
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict:
@@ -83,11 +83,22 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict
     return json.loads(_text(spark, f"{path}/_versions/{number:012d}.json"))
 
 
-def _commit(spark: SparkSession, path: str, m: dict) -> int:
+def commit(spark: SparkSession, path: str, m: dict) -> int:
     _create(spark, f"{path}/_versions/{m['version']:012d}.json", json.dumps(m, sort_keys=True))
     return m["version"]
 
 
+def _forget(spark: SparkSession, path: str, numbers: set[int]) -> None:
+    for v in numbers:
+        p, fs = fs_path(spark, f"{path}/_versions/{v:012d}.json")
+        fs.delete(p, False)
+
+
+def forget(spark: SparkSession, path: str, last: int) -> None:
+    """Delete the manifests, not the data, of versions before the ``last`` ones."""
+    _forget(spark, path, set(versions(spark, path)[:-last]))
+
+
 # --- reading and writing ------------------------------------------------------------------------------
 
 
@@ -109,7 +120,7 @@ def _write(df: DataFrame, path: str, by: list[str], buckets: int) -> dict[str, s
     folder = f"data/{uuid.uuid4().hex}"
     dealt = df.withColumn("__bucket", bucket_of(by, buckets))
     dealt.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{path}/{folder}")
-    return {n.removeprefix("__bucket="): f"{folder}/{n}" for n in _names(df.sparkSession, f"{path}/{folder}") if n.startswith("__bucket=")}
+    return {n.removeprefix("__bucket="): f"{folder}/{n}" for n in names(df.sparkSession, f"{path}/{folder}") if n.startswith("__bucket=")}
 
 
 def create(df: DataFrame, path: str, by: list[str], buckets: int = 256) -> int:
@@ -117,7 +128,7 @@ def create(df: DataFrame, path: str, by: list[str], buckets: int = 256) -> int:
     most = df.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0] if "id" in df.columns else 0
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema]).jsonValue()
     m = {"version": 1, "by": by, "buckets": buckets, "schema": schema, "first_id": most // buckets + 1, "ids": {}, "folders": _write(df, path, by, buckets)}
-    return _commit(df.sparkSession, path, m)
+    return commit(df.sparkSession, path, m)
 
 
 def merge(spark: SparkSession, path: str, new: DataFrame, how: upsert.Rules, *, order: str | None = None, zero_is_missing: bool = False, attempts: int = 8, before_commit: Callable[[int], None] | None = None) -> int:
@@ -156,7 +167,7 @@ def merge(spark: SparkSession, path: str, new: DataFrame, how: upsert.Rules, *,
         if before_commit:
             before_commit(attempt)
         try:
-            return _commit(spark, path, base | {"version": base["version"] + 1, "folders": base["folders"] | done[1], "ids": base["ids"] | done[2]})
+            return commit(spark, path, base | {"version": base["version"] + 1, "folders": base["folders"] | done[1], "ids": base["ids"] | done[2]})
         except Conflict:
             continue
     raise Conflict(f"{path}: {attempts} attempts")
@@ -189,14 +200,12 @@ def clean(spark: SparkSession, path: str, last: int = 2) -> int:
     """Delete versions before the ``last`` ones that no stamp keeps, and folders that no version left names; how many
     folders went. Folders of a writer that has not committed go too: clean when none is at work."""
     there = versions(spark, path)
-    kept = set(there[-last:]) | {int(_text(spark, f"{path}/_kept/{s}")) for s in _names(spark, f"{path}/_kept") if not s.endswith((".tmp", ".crc"))}
+    kept = set(there[-last:]) | {int(_text(spark, f"{path}/_kept/{s}")) for s in names(spark, f"{path}/_kept") if not s.endswith((".tmp", ".crc"))}
     named = {f for v in kept & set(there) for f in manifest(spark, path, v)["folders"].values()}
-    for v in set(there) - kept:
-        p, fs = fs_path(spark, f"{path}/_versions/{v:012d}.json")
-        fs.delete(p, False)
+    _forget(spark, path, set(there) - kept)
     gone = 0
-    for write in _names(spark, f"{path}/data"):
-        for name in _names(spark, f"{path}/data/{write}"):
+    for write in names(spark, f"{path}/data"):
+        for name in names(spark, f"{path}/data/{write}"):
             if name.startswith("__bucket=") and f"data/{write}/{name}" not in named:
                 p, fs = fs_path(spark, f"{path}/data/{write}/{name}")
                 fs.delete(p, True)

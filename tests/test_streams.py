@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.operators import players
+from courtside.operators import players, store
 from courtside.streaming import capture, state
 
 T0 = datetime.datetime(2026, 1, 1)
@@ -82,6 +82,29 @@ def test_stuck_jobs_fail_by_a_timer(spark, landed):
     assert {(r.id, r.status, r.error) for r in got.collect() if r.team_id < 3} == {(1, "queued", None), (1, "failed", "stuck"), (2, "queued", None), (2, "done", None), (4, "queued", None)}
 
 
+def test_capture_of_many_batches(spark, tmp_path):
+    """Files stay bounded by buckets and runs, whatever the number of batches; batches come again without effect."""
+    table = f"file://{tmp_path}/table"
+    add = capture.append_new(table, ["k"], "ord", buckets=2, runs=4)
+    rng = random.Random(1)
+    rows, most = {}, 0
+    for batch in range(30):
+        new = [(rng.choice([rng.randrange(90), None]), batch * 100 + i) for i in range(8)]
+        for k, o in new:
+            rows.setdefault(k, o)
+        df = spark.createDataFrame(new, "k long, ord long").coalesce(1)
+        for _ in range(1 + batch % 2):
+            add(df, batch)
+        most = max(most, sum(1 for _ in (tmp_path / "table").glob("run=*/bucket=*/*.parquet")))
+    got = capture.captured(spark, table)
+    assert {r.k: r.ord for r in got.collect()} == rows and got.count() == len(rows)
+    m = store.manifest(spark, table)
+    assert all(len(f) <= 4 for f in m["runs"].values()) and most <= 2 * (4 + 4 + 1) and m["batch"] == 29
+    assert len(store.versions(spark, table)) == 2
+    add(spark.createDataFrame([], "k long, ord long"), 30)
+    assert capture.captured(spark, table).count() == len(rows)
+
+
 def test_trailing_load_of_rows_out_of_order(spark, landed):
     rng = random.Random(3)
     schema = "ts timestamp, team_id long, player_name string, minutes string"
