@@ -29,18 +29,26 @@ def oriented(fused: DataFrame, resolved: DataFrame) -> DataFrame:
     ).where("home_team_id is not null and away_team_id is not null")
 
 
-def persist_schedule(stored: DataFrame, teams: DataFrame, fused: DataFrame, team_id: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(games, teams) after storing fused games: of ``team_id``, or of the teams that the rows' ``team_id`` names.
+def settled_rows(fused: DataFrame, teams: DataFrame, team_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fused games as rows of the games table, and ``teams`` with those that their opponents make of them.
 
-    Opponents are settled in the order of ``src_ord``: blank ones are left out, unknown ones become teams, of the league
-    of the team whose calendar names them first, and slugs move to the teams that are called by them. A game without a
-    league takes that of the calendar's team. Scores of 0 count as missing, as in the reference's storage.
+    The games are those of ``team_id``, or of the teams that the rows' ``team_id`` names. Opponents are settled in the
+    order of ``src_ord``: blank ones are left out, unknown ones become teams, of the league of the team whose calendar
+    names them first, and slugs move to the teams that are called by them. A game without a league takes that of the
+    calendar's team.
     """
     rows = (fused if team_id is None else fused.withColumn("team_id", F.lit(team_id))).where("trim(coalesce(opponent, '')) <> ''")
     own = teams.select(F.col("id").alias("team_id"), F.col("league").alias("own_league"))
     rows = rows.join(own, "team_id", "left").withColumn("league", F.coalesce(F.nullif("league", F.lit("")), "own_league"))
     resolved, every, _ = entities.settle(rows.select("src_ord", "opponent", "opponent_slug", F.col("own_league").alias("league")), teams)
-    return upsert.upsert(stored, oriented(rows, resolved), upsert.rules("games"), order="src_ord", zero_is_missing=True), every
+    return oriented(rows, resolved), every
+
+
+def persist_schedule(stored: DataFrame, teams: DataFrame, fused: DataFrame, team_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(games, teams) after storing fused games, as ``settled_rows`` makes them. Scores of 0 count as missing, as in the
+    reference's storage."""
+    rows, every = settled_rows(fused, teams, team_id)
+    return upsert.upsert(stored, rows, upsert.rules("games"), order="src_ord", zero_is_missing=True), every
 
 
 def capture_run(folder: str, tables: dict[str, DataFrame], source_games: DataFrame, box_rows: DataFrame, team_id: int, order: str | None = None) -> dict[str, DataFrame]:

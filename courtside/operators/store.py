@@ -123,22 +123,22 @@ def _write(df: DataFrame, path: str, by: list[str], buckets: int) -> dict[str, s
     return {n.removeprefix("__bucket="): f"{folder}/{n}" for n in names(df.sparkSession, f"{path}/{folder}") if n.startswith("__bucket=")}
 
 
-def create(df: DataFrame, path: str, by: list[str], buckets: int = 256) -> int:
+def create(df: DataFrame, path: str, by: list[str], buckets: int = 256, note: dict | None = None) -> int:
     """Store ``df`` as a new table, in ``buckets`` buckets by the columns ``by``, the first of its natural key."""
     most = df.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0] if "id" in df.columns else 0
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema]).jsonValue()
-    m = {"version": 1, "by": by, "buckets": buckets, "schema": schema, "first_id": most // buckets + 1, "ids": {}, "folders": _write(df, path, by, buckets)}
+    m = {"version": 1, "by": by, "buckets": buckets, "schema": schema, "first_id": most // buckets + 1, "ids": {}, "folders": _write(df, path, by, buckets), "note": note}
     return commit(df.sparkSession, path, m)
 
 
-def merge(spark: SparkSession, path: str, new: DataFrame, how: upsert.Rules, *, order: str | None = None, zero_is_missing: bool = False, attempts: int = 8, before_commit: Callable[[int], None] | None = None) -> int:
+def merge(spark: SparkSession, path: str, new: DataFrame, how: upsert.Rules, *, order: str | None = None, zero_is_missing: bool = False, note: dict | None = None, attempts: int = 8, before_commit: Callable[[int], None] | None = None) -> int:
     """Upsert ``new`` into the stored table, and the number of the version that has it.
 
     Only the buckets of ``new``'s keys are read and written. Ids of inserted rows are numbers of their bucket's own
     row of them, ``n * buckets + bucket``, so writers of different buckets never give one id twice. Where another writer
     commits first, its version is the new base: what was written stays right if it touched none of these buckets, and is
-    made again otherwise. ``before_commit`` is called with each attempt's number, for tests. Columns that only ``new``
-    has are not stored.
+    made again otherwise. Columns that only ``new`` has are not stored. ``note`` becomes part of the version's manifest.
+    ``before_commit`` is called with each attempt's number, for tests.
     """
     done: tuple[dict, dict[str, str], dict[str, int]] | None = None
     touched: list[str] = []
@@ -167,12 +167,20 @@ def merge(spark: SparkSession, path: str, new: DataFrame, how: upsert.Rules, *,
         if before_commit:
             before_commit(attempt)
         try:
-            return commit(spark, path, base | {"version": base["version"] + 1, "folders": base["folders"] | done[1], "ids": base["ids"] | done[2]})
+            return commit(spark, path, base | {"version": base["version"] + 1, "folders": base["folders"] | done[1], "ids": base["ids"] | done[2]} | ({"note": note} if note else {}))
         except Conflict:
             continue
     raise Conflict(f"{path}: {attempts} attempts")
 
 
+def replace(spark: SparkSession, path: str, rows: DataFrame) -> int:
+    """Make ``rows`` the table's next version whole: for small tables whose keys may change, as teams' slugs do. Fails with
+    ``Conflict`` if another writer commits meanwhile, as ``rows`` follow from the version before."""
+    base = manifest(spark, path)
+    kept = rows.select(*[f["name"] for f in base["schema"]["fields"]])
+    return commit(spark, path, base | {"version": base["version"] + 1, "folders": _write(kept, path, base["by"], base["buckets"])})
+
+
 def changes(spark: SparkSession, path: str, since: int, until: int | None = None) -> DataFrame:
     """Rows that differ between two versions, with ``sign``: -1 as they were, 1 as they are. Only buckets that lie
     elsewhere in the two are read."""
