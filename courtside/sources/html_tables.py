@@ -227,10 +227,14 @@ def _anchors(pages: pd.Series) -> pd.Series:
     return pd.Series([one(h) for h in pages], dtype=object)
 
 
+def anchors(html: Column | str) -> Column:
+    """All links of a page, in its order, with their texts."""
+    return F.pandas_udf(_anchors, "array<struct<text:string,href:string>>")(html)
+
+
 def link_to(html: Column | str, text: Column) -> Column:
     """The first link of a page whose text is ``text`` but for case: how a team's or a player's page is found."""
-    links = F.pandas_udf(_anchors, "array<struct<text:string,href:string>>")(html)
-    return F.get(F.filter(links, lambda a: F.lower(a["text"]) == F.lower(F.trim(text))), F.lit(0))["href"]
+    return F.get(F.filter(anchors(html), lambda a: F.lower(a["text"]) == F.lower(F.trim(text))), F.lit(0))["href"]
 
 
 def game_log_url(summary: Column) -> Column:
