@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtside.plans import analytics, landed, records, shown
+from courtside.plans import analytics, chains, landed, records, shown
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return analytics.QUERIES | records.QUERIES | shown.QUERIES | landed.QUERIES
+    return analytics.QUERIES | records.QUERIES | shown.QUERIES | landed.QUERIES | chains.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return analytics.SQL | records.SQL | shown.SQL | landed.SQL
+    return analytics.SQL | records.SQL | shown.SQL | landed.SQL | chains.SQL

@@ -110,14 +110,14 @@ class _Load(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ring = handle.getMapState("ring", "day int", "micros long, games long, told boolean")
+        self.ring = handle.getMapState("ring", "day int", "billionths long, games long, told boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         closed = timerValues.getCurrentWatermarkInMs()
         for chunk in rows:
             day = chunk["ts"].astype("datetime64[ms]").astype("int64") // DAY_MS
-            micros = (chunk["mins"] * 1e6).round().astype("int64")
-            for d, part in micros.groupby(day):
+            billionths = (chunk["mins"] * 1e9).round().astype("int64")
+            for d, part in billionths.groupby(day):
                 if (d + 1) * DAY_MS <= closed:
                     continue  # its day was told
                 old = self.ring.getValue((int(d),)) if self.ring.containsKey((int(d),)) else (0, 0, False)
@@ -131,7 +131,7 @@ class _Load(StatefulProcessor):
         out = []
         if last in held:
             span = [v for d, v in held.items() if last - self.days < d <= last]
-            out.append((key[0], key[1], datetime.date(1970, 1, 1) + datetime.timedelta(days=last), sum(v[0] for v in span) / 1e6, sum(v[1] for v in span)))
+            out.append((key[0], key[1], datetime.date(1970, 1, 1) + datetime.timedelta(days=last), sum(v[0] for v in span) / 1e9, sum(v[1] for v in span)))
         for d in held:
             if d <= last - self.days + 1:  # no later day's span holds it
                 self.ring.removeKey((d,))
