@@ -125,7 +125,7 @@ def settle(delivery: DataFrame, teams: DataFrame, order: str = "src_ord") -> tup
 
     The order is not walked through. All rows guess their team, and correct it from the guesses of the rows before
     them until nothing moves: a row is right one round after those that it depends on. Only the first row of each pair
-    takes part, and all rows of pairs whose team is given several slugs, as no other repeated row changes anything.
+    takes part, and all rows of pairs whose team or slug moves, as no other repeated row changes anything.
     """
     spark = delivery.sparkSession
     written = Written(spark, "settle")
@@ -144,7 +144,7 @@ def settle(delivery: DataFrame, teams: DataFrame, order: str = "src_ord") -> tup
 
     at = F.struct("ord", "opponent", F.col("given_slug").alias("slug")).alias("at")
     own = ["slug", "given", "key", "slug_id", "name_id"]
-    open_ = None
+    open_ = solved = None
     while True:
         if open_ is None:
             state = pairs.select(at, *own)
@@ -152,21 +152,29 @@ def settle(delivery: DataFrame, teams: DataFrame, order: str = "src_ord") -> tup
             every = rows.join(open_, ["opponent", "given_slug"]).join(pairs.drop("ord"), ["opponent", "given_slug"]).select(at, *own)
             state = pairs.join(open_, ["opponent", "given_slug"], "left_anti").select(at, *own).union(every)
         guess = F.coalesce(_stored(F.col("slug_id")), _stored(F.col("name_id")), _fresh(F.col("at")))
-        state = written.save(state.withColumn("team", guess))
+        if open_ is not None:  # what was found before is nearer
+            was = solved.groupBy(F.col("at.opponent").alias("o"), F.col("at.slug").alias("s")).agg(F.min_by("team", "at").alias("was"))
+            state = state.join(was, (F.col("at.opponent") == F.col("o")) & (F.col("at.slug") == F.col("s")), "left")
+            guess = F.coalesce("was", guess)
+        state = written.save(state.select("at", *own, guess.alias("team")))
         while True:
             before, state = state, written.save(_stepped(state, near))
             written.drop(before)
             if not state.where("moved").limit(1).count():
                 break
-        # a team that rows set several slugs on, or another than that under which a row looks for it
+        # rows whose team is given several slugs, or another than that under which a row looks for it, may find another
+        # team when they come again; so may rows whose slug some row sets on a team that isn't theirs
+        sets = state.where(_SETS).select("team", "slug")
         asked_for = state.where(F.col("slug_id").isNotNull()).select(_stored(F.col("slug_id")).alias("team"), "slug")
-        slugs = state.where(_SETS).select("team", "slug").union(asked_for).groupBy("team").agg((F.min("slug") != F.max("slug")).alias("several")).where("several")
-        torn = state.join(slugs.select("team"), "team", "left_semi").select(F.col("at.opponent").alias("opponent"), F.col("at.slug").alias("given_slug")).distinct()
+        several = sets.union(asked_for).groupBy("team").agg((F.min("slug") != F.max("slug")).alias("several")).where("several").select("team", "several")
+        owners = sets.groupBy("slug").agg(F.min("team").alias("least"), F.max("team").alias("most"))
+        judged = state.join(several, "team", "left").join(owners, "slug", "left")
+        torn = judged.where("several OR least <> most OR least <> team").select(F.col("at.opponent").alias("opponent"), F.col("at.slug").alias("given_slug")).distinct()
         more = torn if open_ is None else torn.union(open_).distinct()
         more = written.save(more)
         if more.count() == (open_.count() if open_ is not None else 0):
             break
-        open_ = more
+        open_, solved = more, state
 
     # the teams: last slug set on each, and new ones numbered
     last = state.where(_SETS).groupBy("team").agg(F.max_by("slug", "at").alias("new_slug"))

@@ -88,7 +88,7 @@ def test_a_thousand_random_deliveries(spark):
         slugs = sorted({word(1, 2) + "!" for _ in range(4)})
         own = [{"id": d * 1000 + k, "slug": s, "name": word(2, 6)} for k, s in enumerate(slugs[:2])]
         names_ = [word(3, 7) for _ in range(5)]
-        mine = [(d * 100 + k, rng.choice(names_) + rng.choice(["", " ", "-"]), rng.choice([*slugs, "", "", ""])) for k in range(rng.randint(1, 16))]
+        mine = [(d * 100 + k, rng.choice(names_) + rng.choice(["", " ", "-"]), rng.choice([*slugs, *map(key, names_[:2]), "", "", ""])) for k in range(rng.randint(1, 16))]
         rows += mine
         teams += own
         for w, r in zip(want, one_by_one(mine, own)):
