@@ -302,12 +302,12 @@ def round_trip(pages: DataFrame, date: str = "2000-01-01T00:00:00Z") -> DataFram
     return read(pages.sparkSession, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-#: The same rows in DuckDB's SQL.
+#: The same rows in DuckDB's SQL; ids that may be null are doubles there, as in a data frame.
 SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 g AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
 SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
   CASE WHEN strlen(html) >= {SHORTEST} AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN strlen(html) >= {SHORTEST} AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+  CASE WHEN strlen(html) >= {SHORTEST} AND first IS DISTINCT FROM page_id THEN first END::DOUBLE AS refers_to
 FROM g
 """
