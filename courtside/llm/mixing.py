@@ -66,15 +66,15 @@ def running(df: DataFrame, key: str, bucket: str, order: list[str], value: Colum
     return valued.join(offsets, [key, bucket]).withColumn(name, F.col("__before") + within).drop("__v", "__before")
 
 
-def schedule(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> tuple[DataFrame, DataFrame]:
+def schedule(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, **more: Column) -> tuple[DataFrame, DataFrame]:
     """The sized documents and the mix.
 
-    ``(row, doc_id, source, size, source_size, target)`` has one row per row of ``docs``; the mix is
-    ``(slot, row, epoch, from_word, words)``: slot by slot, the words that it takes of a document.
+    ``(row, doc_id, source, size, source_size, target)`` has one row per row of ``docs``, and the columns ``more`` of it;
+    the mix is ``(slot, row, epoch, from_word, words)``: slot by slot, the words that it takes of a document.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    sized = scratch.save(docs.select("doc_id", "source", word_count("text").alias("size")).withColumn("row", F.monotonically_increasing_id()))
+    sized = scratch.save(docs.select("doc_id", "source", word_count("text").alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("__salt"), *[v.alias(k) for k, v in more.items()]).withColumn("row", F.monotonically_increasing_id()))
     sources = scratch.save(targets(sized, share, epochs))
     n, total = sized.count(), sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.max("hi"), F.lit(0))).first()
     mix_words, width = total[0] * share, total[1]
@@ -91,9 +91,9 @@ def schedule(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> tup
     slots = slots.withColumn("chunk", F.shiftright("slot", 12))
     slots = running(slots, "rank", "chunk", ["slot"], F.lit(1).cast("long"), "block").select("slot", "rank", "block")
 
-    # Words: each source in the order of a digest of the id, both epochs, cut into blocks.
+    # Words: each source in the order of a digest of the id (of the text, where there is none), both epochs, cut into blocks.
     digits = max(2, math.ceil(math.log(max(n, 2) / 2000, 16)))
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("__salt").cast("string"))))
     known = sized.join(sources.select("source", "source_size", "target", "rank"), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     known = scratch.save(known)
     laid = known.where("size > 0").select("row", "rank", "size", "source_size", digest.alias("digest"), "doc_id")
@@ -105,7 +105,7 @@ def schedule(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> tup
     left, right = F.greatest("start", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
     pieces = cut.select("rank", "block", "row", "epoch", (left - F.col("start")).alias("from_word"), (right - left).alias("words"))
     mix = pieces.join(slots, ["rank", "block"]).select("slot", "row", "epoch", "from_word", "words")
-    return known.select("row", "doc_id", "source", "size", "source_size", "target"), mix
+    return known.select("row", "doc_id", "source", "size", "source_size", "target", *more), mix
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:
@@ -123,16 +123,26 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix reads them: whole documents, each as often as its words are taken, rounded.
 
-    A document that is not taken, or without a word (null and empty texts), is not in the mix. Rows that share a
-    doc_id, null too, are repeated alike, as often as the most taken of them. A null source is a source. All
-    columns are kept, whatever their names. An empty table gives an empty result.
+    Every row is planned for itself, also where ids are null or repeated, and found again by two hashes of all its
+    columns; rows that are equal in all of them are one document, read as often as all of them together. A document that
+    is not taken, or without a word (null and empty texts), is not in the mix. A null source is a source. All columns
+    are kept, whatever their names. An empty table gives an empty result. Slots order the plan; the rows of the
+    result are a set.
     """
+    scratch = Scratch(docs.sparkSession, "mixed")
+    hashes = [F.xxhash64(*docs.columns, F.lit(salt)) for salt in ("one", "two")]
+    known, mix = schedule(docs, __h1=hashes[0], __h2=hashes[1])
+    taken = mix.groupBy("row").agg(F.sum("words").alias("taken"))
     times = F.round(F.col("taken") / F.col("size")).cast("int")
-    plan = mix_plan(docs).where("size > 0").select("doc_id", times.alias("times")).groupBy("doc_id").agg(F.max("times").alias("times")).where("times > 0")
-    plan = plan.select(F.struct("doc_id", "times").alias("plan"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", word_count("text").alias("size")).where("size > 0")
-    both = rows.join(plan, rows["doc_id"].eqNullSafe(F.col("plan.doc_id")))
-    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("plan.times"))).alias("k")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    key = ["__h1", "__h2"]
+    plan = known.where("size > 0").join(taken, "row").groupBy(*key).agg(F.sum(times).cast("int").alias("times"), F.count("*").alias("n")).where("times > 0")
+    plan = scratch.save(plan)
+    rows = docs.select(F.struct(*docs.columns).alias("rows"), *[h.alias(k) for k, h in zip(key, hashes)])
+    both = rows.join(plan, key)
+    if plan.where("n > 1").limit(1).count():  # equal rows
+        both = both.where("n = 1").union(both.where("n > 1").dropDuplicates(key))
+    each = both.select("rows", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k"))
+    return each.select(*[F.col("rows").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same rows in DuckDB's SQL.

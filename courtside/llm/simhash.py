@@ -465,16 +465,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component of similar ones: the one with the smallest id.
 
     Documents without an id stay, as no decision can name them. Repeated rows of one id and text become one; an id
-    that stands for several texts is decided for each of them.
+    that stands for several texts is decided for each of them. Null and wordless texts are alike, so one of them stays.
+    All columns are kept, whatever their names. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     found = scratch.save(_decided(docs))
-    key = ["doc_id", "_t1", "_t2"]
-    named = found.select("doc_id", F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "stays").where("doc_id is not null")
+    key = ["doc_id", "t1", "t2"]
+    named = found.select(*key, "stays").where("doc_id is not null")
     away = scratch.save(named.where("not stays").select(*key).distinct())
-    keyed = docs.withColumns(dict(zip(key[1:], _text_hashes())))
-    kept = keyed.join(F.broadcast(away) if away.count() <= BROADCAST_IDS // 3 else away, key, "left_anti")
+    t1, t2 = _text_hashes()
+    # the caller's columns go in one, so that none of them meets a name in here
+    rows = docs.select(F.struct(*docs.columns).alias("rows"), "doc_id", t1.alias("t1"), t2.alias("t2"))
+    kept = rows.join(F.broadcast(away) if away.count() <= BROADCAST_IDS // 3 else away, key, "left_anti")
     twice = named.where("stays").groupBy(*key).count().where("count > 1").limit(1).count()
     if twice:
         kept = kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(key))
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col("rows").getField(c).alias(c) for c in docs.columns])

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.llm import balls, middle, warc
+from courtside.llm import balls, middle, mixing, simhash, warc
 
 # --- 11 balls ---------------------------------------------------------------------------------------
 
@@ -216,3 +216,48 @@ def test_revisits_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_IDS", 0)
     rows = some_pages()
     assert same(warc.round_trip(pages(spark, rows)).collect(), plain_warc(rows))
+
+
+# --- stages of the pipeline -------------------------------------------------------------------------
+
+CLASHING = {c: 11 for c in ("_t1", "_t2", "t1", "t2", "row", "rows", "plan", "times", "stays", "size", "n", "k", "slot", "__h1", "taken")}
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    rng = random.Random(12)
+    base = [" ".join(rng.choices("abcdefghijklmnop", k=60)) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(base + [base[0], base[1] + " tail", None, "", " "])] + [(None, "alone one two three four five"), (None, base[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(v) for c, v in CLASHING.items()})
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert all(r[c] == 11 for r in got for c in CLASHING)
+    assert sorted((r.doc_id for r in got), key=str) == sorted([0, 1, 2, 3, 4, 5, 8, None, None], key=str)
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_mixed_meets_its_targets_without_ids(spark):
+    """Half of the documents without an id, a few rows repeated: the mix has what each source's target says."""
+    rng = random.Random(13)
+    rows = [(i if i % 2 else None, f"text {i} " + " ".join(["w"] * rng.randint(10, 90)), "abc"[min(2, rng.randrange(6))]) for i in range(1200)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(v) for c, v in CLASHING.items()})
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    got, words = Counter(), Counter()
+    for r in out.collect():
+        words[r.source] += len(r.text.split())
+        got[r.text] += 1
+        assert r.slot == 11
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = {"a": 0.0, "b": 0.0, "c": 0.0}
+    known, _ = mixing.schedule(df)
+    for r in known.select("source", "target").distinct().collect():
+        want[r.source] = r.target
+    for s in want:
+        assert abs(words[s] - want[s]) <= 0.02 * want[s], (s, words[s], want[s])
+    times = Counter(t for _, t, _ in rows)
+    assert all(n <= 2 * times[t] for t, n in got.items())
+    assert Counter(r.text for r in mixing.mixed(df.repartition(5)).collect()) == got
