@@ -7,8 +7,9 @@ changing order become a repeated group of optional ones, and texts that differ b
 don't differ are the template's. What comes out doesn't depend on the order of the pages, so the wrapper of
 a host is made from partial wrappers in rounds, however many pages it has.
 
-The main text of a page is what its host's wrapper has in the slots of the article; where pages have no such
-element, in all slots but menus, without what the template repeats.
+The main text of a page is what its host's wrapper has in the article, or in main where pages have no such element:
+slots and what the template repeats between them, but no bars of links that are the same on all pages. Where pages have
+neither, it is all slots and the headings beside them, without what else the template repeats.
 """
 
 from __future__ import annotations
@@ -51,10 +52,12 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 RAW = set("script style textarea title iframe noembed noframes xmp".split())
 LEAF = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary address".split())
 FURNITURE = set("head nav footer aside form script style noscript template iframe button select dialog menu textarea svg object noembed noframes".split())
-NAMES = set("ad ads advert advertisement adverts sponsor sponsored promo banner menu nav navbar navigation sidebar footer masthead breadcrumb breadcrumbs cookie cookies consent notice notices alert popup modal comment comments reply replies disqus share sharing related newsletter subscribe login".split())
+NAMES = set("ad ads advert advertisement adverts sponsor sponsored promo banner menu nav navbar navigation sidebar footer masthead breadcrumb breadcrumbs cookie cookies consent notice notices alert popup modal comment comments reply replies disqus share sharing related newsletter subscribe login adsbygoogle gdpr respond".split())
 #: Words that only say where or of what shape something is: a name of these and of NAMES is furniture too.
-SHAPES = set("site page main top bottom left right box bar area wrap wrapper container block section list slot unit widget side global primary secondary header links icons buttons form item items thread".split())
+SHAPES = set("site page main top bottom left right box bar area wrap wrapper container block section list slot unit widget side global primary secondary header links icons buttons form item items thread post posts article articles user users story stories text inner outer".split())
 HEADERS = set("header site-header page-header".split())
+#: Names that a paragraph, heading or list item may have for its looks.
+LOOKS = set("alert menu".split())
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu".split())
 #: An element of the key ends an open one of the values.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr"}, "tbody": {"thead", "tr"}}
@@ -62,28 +65,34 @@ BOUNDS = set("ul ol dl table select".split())
 ENDABLE = LEAF | {"tr", "thead", "option"}
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+HIDDEN = re.compile(r"(?<![\w=-])hidden(?![\w-])", re.I)
+UNSEEN = re.compile(r"""\bstyle\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
 REST = re.compile(r"""((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
-def _named(word: str) -> bool:
-    """Whether a class or an id names furniture: ``comments``, ``comment-list``, ``sidebar_left``, not ``social-history``."""
-    parts = [p for p in re.split(r"[-_]", word) if p]
-    return any(p in NAMES for p in parts) and all(p in NAMES or p in SHAPES for p in parts)
+def _named(word: str, besides: frozenset | set = frozenset()) -> bool:
+    """Whether a class or an id names furniture: ``comments``, ``comment-list``, ``ad-slot-1``, not ``social-history``."""
+    parts = [p for p in re.split(r"[-_]", word) if p and not p.isdigit()]
+    return any(p in NAMES and p not in besides for p in parts) and all(p in NAMES or p in SHAPES for p in parts)
 
 
 def furniture(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form, script, style or comment list."""
+    """Whether an element is a menu, header, footer, sidebar, notice, advert, form, script, style, comment list or hidden."""
     if name in FURNITURE or name == "header" and not in_article:
         return True
     if not attributes or name in ("html", "body", "main"):
         return False
+    low = attributes.lower()
+    if "hidden" in low and HIDDEN.search(QUOTED.sub("=", attributes)) or "display" in low and UNSEEN.search(attributes):
+        return True
     for key, *values in ATTRIBUTE.findall(attributes):
         words = next((v for v in values if v), "").lower().split()
         if key.lower() == "role":
             if ROLES.intersection(words):
                 return True
-        elif any(_named(w) or w in HEADERS and not in_article for w in words):
+        elif any(_named(w, LOOKS if name in LEAF else frozenset()) or w in HEADERS and not in_article for w in words):
             return True
     return False
 
@@ -97,6 +106,7 @@ def blocks(html: str) -> Iterator[tuple]:
     open_: Counter = Counter()
     text: list[str] = []
     linked = links = junk = 0
+    muted, within = "", 0  # an inline element that is furniture, and how many of its name are open in it
     quoted = True  # whether quotes of attributes can be trusted to be closed
 
     def flush():
@@ -123,9 +133,10 @@ def blocks(html: str) -> Iterator[tuple]:
         if start < 0:
             start = n
         if start > at:
-            text.append(html[at:start])
-            if links:
-                linked += start - at
+            if not muted:
+                text.append(html[at:start])
+                if links:
+                    linked += start - at
             at = start
             continue
         m = TAG.match(html, at)
@@ -150,9 +161,26 @@ def blocks(html: str) -> Iterator[tuple]:
             if end < 0:
                 break
             attributes, at = html[m.end() : end], end + 1
+        if muted:
+            if name == muted:
+                within += -1 if slash else 1
+                muted = muted if within else ""
+                continue
+            if name in INLINE:
+                continue
+            if not slash:  # it holds blocks, so it is one
+                yield from flush()
+                stack.append((muted, True))
+                open_[muted] += 1
+                junk += 1
+            muted = ""  # the end of a block ends what was left open
         if name in INLINE:
-            if name == "br":
+            if slash and open_[name]:
+                yield from close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+            elif name == "br":
                 text.append(" ")
+            elif not slash and name not in VOID and attributes and furniture(name, attributes, open_["article"] > 0):
+                muted, within = name, 1
             elif name == "a":
                 links = 0 if slash else 1
             continue
@@ -365,17 +393,35 @@ def expression(block: dict) -> str:
     return "".join(out)
 
 
+HEADINGS = set("h1 h2 h3 h4 h5 h6 dt th".split())
+
+
 def labelled(block: dict) -> tuple[dict, bool]:
-    """The wrapper ready for extraction, and whether it has texts outside of articles: each text is {"id", "zone", "keep"}, each block {label: its places}.
+    """The wrapper ready for extraction, and whether it has texts outside of articles and main: each text is {"id", "zone",
+    "keep", "sure"}, each block {label: its places}.
 
     Zones: 2 inside an article, 1 inside main, 0 else. ``main`` of the root is the zone of the main text: the
-    article's, unless most of main's text stands outside of it. A text of the template is not kept, nor is a
-    menu, but an article is kept whole.
+    article's, unless most of main's text stands outside of it. In zones 2 and 1 all is kept but bars of links that
+    are the template's, be they repeated or not. In zone 0 slots are kept (but for menus), and of the template the headings
+    of blocks that have slots (``sure``).
     """
     mass: Counter = Counter()
     number = 0
 
-    def walk(b: dict, zone: int) -> dict:
+    def bar(text: dict) -> bool:
+        return text["l"] >= LINKED * text["c"] and len(text["d"]) >= PAGES
+
+    def constant(text: dict) -> bool:
+        return text["t"] is not None and len(text["d"]) >= PAGES
+
+    has_slots: dict[int, bool] = {}
+
+    def slots(b: dict) -> bool:
+        if id(b) not in has_slots:
+            has_slots[id(b)] = any(not constant(x) and not bar(x) if label == "#" else label.split(".")[0] not in HEADINGS and slots(x) for label, kid in b["k"].items() for x in kid[2])
+        return has_slots[id(b)]
+
+    def walk(b: dict, zone: int, name: str, outer: dict | None) -> dict:
         nonlocal number
         out = {}
         for label in sorted(b["k"]):
@@ -384,17 +430,17 @@ def labelled(block: dict) -> tuple[dict, bool]:
                 if label == "#":
                     number += 1
                     mass[zone] += inner["c"]
-                    template = inner["t"] is not None and len(inner["d"]) >= PAGES
-                    menu = inner["l"] >= LINKED * inner["c"] and len(inner["d"]) >= PAGES
-                    places.append({"id": number, "zone": zone, "keep": zone == 2 or not template and not menu})
+                    sure = name in HEADINGS and outer is not None and slots(outer)
+                    keep = not (constant(inner) and bar(inner)) if zone else not bar(inner) and (sure or not constant(inner))
+                    places.append({"id": number, "zone": zone, "keep": keep, "sure": sure})
                 else:
-                    name = label.split(".")[0]
-                    places.append(walk(inner, 2 if name == "article" else max(zone, 1) if name == "main" else zone))
+                    kind = label.split(".")[0]
+                    places.append(walk(inner, 2 if kind == "article" else max(zone, 1) if kind == "main" else zone, kind, b))
             out[label] = places
         return out
 
-    wrapped = walk(block, 0)
-    return {"main": 2 if mass[2] and mass[2] >= mass[1] else 1, "root": wrapped}, bool(mass[0] or mass[1])
+    wrapped = walk(block, 0, "", None)
+    return {"main": 2 if mass[2] and mass[2] >= mass[1] else 1, "root": wrapped}, bool(mass[0])
 
 
 def placed(html: str, wrapper: dict) -> Iterator[tuple[dict, str]]:
@@ -437,7 +483,7 @@ def main_text(html: str, wrapper: dict, template: set) -> str:
     zones = {at["zone"] for at, _ in texts}
     zone = next((z for z in range(wrapper["main"], 0, -1) if z in zones), 0)
     inside = [(at, t) for at, t in texts if at["zone"] >= zone]
-    kept = [t for at, t in inside if at["keep"] and (at["zone"] == 2 or (at["id"], text_hash(t)) not in template)]
+    kept = [t for at, t in inside if at["keep"] and (at["zone"] or at["sure"] or (at["id"], text_hash(t)) not in template)]
     return "\n".join(kept or [t for _, t in inside])
 
 
@@ -533,7 +579,7 @@ def _with_wrappers(rows: DataFrame, ready: DataFrame, small: bool):
 def _shared(scratch: Scratch, rows: DataFrame, found: DataFrame, small: bool) -> DataFrame:
     """``(host, template)``: places and hashes of texts that most different pages with that place share.
 
-    Only places outside of articles are counted, on hosts that have such. Pages that have the same such texts are
+    Only places outside of articles and main are counted, on hosts that have such. Pages that have the same such texts are
     one page. At most ``1 / SHARE`` texts for each text of a page of the host come out.
     """
     some = found.where("open").select("host", "wrapper", F.lit(None).cast(TEMPLATE).alias("template"))
@@ -544,7 +590,7 @@ def _shared(scratch: Scratch, rows: DataFrame, found: DataFrame, small: bool) ->
         for b in batches:
             out = []
             for host, html, *own in zip(*(c.to_pylist() for c in b.columns)):
-                texts = [(at["id"], text_hash(t)) for at, t in placed(html or "", held(host, *own)[0]) if at["zone"] < 2 and at["keep"]]
+                texts = [(at["id"], text_hash(t)) for at, t in placed(html or "", held(host, *own)[0]) if not at["zone"] and at["keep"] and not at["sure"]]
                 page = text_hash(repr(texts))
                 out += [(host, place, h, page) for place, h in set(texts)]
             if out:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.llm import balls, middle, mixing, simhash, warc
+from courtside.llm import balls, middle, mixing, simhash, warc, wrappers
 
 # --- 11 balls ---------------------------------------------------------------------------------------
 
@@ -261,3 +261,34 @@ def test_mixed_meets_its_targets_without_ids(spark):
     times = Counter(t for _, t, _ in rows)
     assert all(n <= 2 * times[t] for t, n in got.items())
     assert Counter(r.text for r in mixing.mixed(df.repartition(5)).collect()) == got
+
+
+# --- 6 wrappers -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 60])
+@pytest.mark.parametrize("zone", ["article", "main", "div"])
+def test_headings_stay_however_many_pages_have_them(spark, n, zone):
+    rows = [(k, f"http://r.example/{k}", f"<body><div class=top><p>Kitchen of all</p></div><{zone}><h1>Dish {k}</h1><h2>Ingredients</h2><ul><li>{k} eggs</li><li>salt {k}</li></ul><h2>Method</h2><p>Stir {k} times</p></{zone}></body>") for k in range(n)]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    top = "Kitchen of all\n" if zone == "div" and n < 3 else ""  # nothing tells the template of fewer pages
+    assert got == {k: f"{top}Dish {k}\nIngredients\n{k} eggs\nsalt {k}\nMethod\nStir {k} times" for k in range(n)}
+
+
+def test_furniture_within_articles(spark):
+    gone = ["<div class='ad-slot-1'>A</div>", "<ins class=adsbygoogle><p>A</p></ins>", "<div class=post-comments>A</div>", "<div class=user-comments>A</div>", "<div id=respond>A</div>", "<div class=gdpr>A</div>", "<div class=related-articles>A</div>", "<div hidden>A</div>", "<div style='color:red; display: none'>A</div>"]
+    inline = "<p>one <span class=advert>A <span>B</span> C</span>two <b class=x>three</b></p>"
+    stay = ["<p class=alert>Mind the step</p>", "<p class=main-menu>Soup and fish</p>", "<div class='overflow-hidden' data-x='hidden'>seen</div>"]
+    html = "<article>" + inline + "".join(gone) + "".join(stay) + "<p>left <i class=ad>open</p><p>end</p></article>"
+    out = wrappers.main_texts(spark.createDataFrame([(1, "http://h/1", html)], "page_id long, url string, html string")).first()
+    assert out.text == "one two three\nMind the step\nSoup and fish\nseen\nleft\nend"
+
+
+def test_bars_of_links_in_articles_go_by_the_wrapper(spark):
+    """A bar that no name tells is known by its host: the same links on every page. Without the wrapper it stays."""
+    page = "<article><div class=x><a href=/>Home</a> <a href=/b>More</a></div><h1>Title {0}</h1><p>Text {0} with <a href=/{0}>a link {0}</a></p><p><a href=/s>Source {0}</a></p></article>"
+    rows = [(k, f"http://b.example/{k}", page.format(k)) for k in range(5)]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\nText {k} with a link {k}\nSource {k}" for k in range(5)}
+    alone = wrappers.main_text(rows[0][2], wrappers.labelled(wrappers.tree(rows[0][2]))[0], set())
+    assert alone.startswith("Home More\n")
