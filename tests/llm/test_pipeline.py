@@ -3,6 +3,8 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from courtside.llm import linedup, mixing, packing, quality
 
@@ -50,3 +52,43 @@ def test_stages(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def folder(spark, tmp_path, rows, labels):
+    """A data set of its own: documents with columns that clash with the stages' inner ones."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, kind).withColumns({c: F.lit(11) for c in ("row", "size", "score", "t1", "_t1", "plan", "gone", "rest", "k", "times", "bin_id")})
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    return f"file://{tmp_path}", docs
+
+
+def test_stages_on_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    texts = [f"sentence {i} is about item {i * 7} and place {i * 13} of the year {1900 + i}" for i in range(60)]
+    rows = [(i, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3]] + [(None, "a text without an id that stands alone here", "en", "a", 10), (None, None, None, None, None), (100, None, "en", "a", 0), (101, "", "en", None, 0), (102, " \n ", "en", "b", 3), (103, texts[5] + " tail", "en", "b", 90), (104, "word " * 50_000, "en", "a", 250_000)]
+    labels = [(i, int(i % 10 != 0), 0) for i in range(40)] + [(None, 1, 0), (500, None, 0)]
+    sf, docs = folder(spark, tmp_path, rows, labels)
+    seen = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, seen, sf).cache()
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns and out.where("row <> 11 or t1 <> 11 or bin_id <> 11").count() == 0
+        if k == 2:  # one row of each text, whatever repeats it
+            kept = [r.text for r in out.collect() if r.doc_id is not None]
+            assert len(set(kept)) == len(kept)
+        seen = out
+    packed = seen.collect()
+    assert packed and corpus_pipeline.run(spark, sf).count() == len(packed)
+    assert {r["doc_id"] for r in packed} <= {r[0] for r in rows}
+    assert None in {r["doc_id"] for r in packed} and 104 in {r["doc_id"] for r in packed}  # nothing goes for want of an id, or for its length
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    sf, _ = folder(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_run_without_labels(spark, tmp_path):
+    sf, _ = folder(spark, tmp_path, [(1, "one two three", "en", "a", 13), (2, "four five six", "en", "b", 13)], [])
+    assert corpus_pipeline.run(spark, sf).count() > 0
