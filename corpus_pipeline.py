@@ -47,7 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: which words of which documents make up each training sequence.
 
-    Long texts lie in several pieces, texts without a word in none. Null ids are carried; a null source is a source."""
+    Long texts lie in several pieces; a text without a word is a piece of no word. Null ids are carried; a null source
+    is a source."""
     return packing.pack(docs)
 
 
