@@ -113,28 +113,37 @@ class _Load(StatefulProcessor):
         self.ring = handle.getMapState("ring", "day int", "billionths long, games long, told boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        closed = timerValues.getCurrentWatermarkInMs()
+        closed = timerValues.getCurrentWatermarkInMs() // DAY_MS  # days before this one are over
+        first = None
         for chunk in rows:
             day = chunk["ts"].astype("datetime64[ms]").astype("int64") // DAY_MS
             billionths = (chunk["mins"] * 1e9).round().astype("int64")
             for d, part in billionths.groupby(day):
-                if (d + 1) * DAY_MS <= closed:
+                if d < closed:
                     continue  # its day was told
                 old = self.ring.getValue((int(d),)) if self.ring.containsKey((int(d),)) else (0, 0, False)
                 self.ring.updateValue((int(d),), (old[0] + int(part.sum()), old[1] + len(part), False))
-                self.handle.registerTimer((int(d) + 1) * DAY_MS)
+                first = int(d) if first is None else min(first, int(d))
+        if first is not None:
+            self.handle.registerTimer((first + 1) * DAY_MS)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
+        """Tell all days that are over, forget those on which no later day looks back, and wait for the next one."""
+        closed = timerValues.getCurrentWatermarkInMs() // DAY_MS
         held = {k[0]: v for k, v in self.ring.iterator()}
         out = []
-        if last in held:
-            span = [v for d, v in held.items() if last - self.days < d <= last]
-            out.append((key[0], key[1], datetime.date(1970, 1, 1) + datetime.timedelta(days=last), sum(v[0] for v in span) / 1e9, sum(v[1] for v in span)))
-        for d in held:
-            if d <= last - self.days + 1:  # no later day's span holds it
+        for day in sorted(d for d, v in held.items() if d < closed and not v[2]):
+            span = [held[d] for d in range(day - self.days + 1, day + 1) if d in held]
+            out.append((key[0], key[1], datetime.date(1970, 1, 1) + datetime.timedelta(days=day), sum(v[0] for v in span) / 1e9, sum(v[1] for v in span)))
+        for d, v in held.items():
+            if d <= closed - self.days:
                 self.ring.removeKey((d,))
+            elif d < closed and not v[2]:
+                self.ring.updateValue((d,), (v[0], v[1], True))
+        waiting = [d for d in held if d >= closed]
+        if waiting:
+            self.handle.registerTimer((min(waiting) + 1) * DAY_MS)
         yield pd.DataFrame(out, columns=["team_id", "player_name", "game_date", "load_minutes", "load_games"]).astype({"team_id": "int64", "load_minutes": "float64", "load_games": "int64"})
 
     def close(self) -> None:
