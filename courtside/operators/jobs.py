@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from courtside.operators import store
+
 ACTIVE = ["queued", "running"]
 
 
@@ -26,6 +30,24 @@ def claim(jobs: DataFrame) -> DataFrame:
     return jobs.where("status = 'queued'").agg(oldest).where("j is not null").select("j.*")
 
 
+def claim_next(spark: SparkSession, path: str, now: datetime) -> Row | None:
+    """Take the stored queue's oldest waiting job and mark it running, as one step: of workers that see the same job one
+    commits, and the others look again. None if no job waits. ``path`` is a table of ``store``, small as open jobs are."""
+    while True:
+        version = store.manifest(spark, path)["version"]
+        jobs = store.read(spark, path, version)
+        job = claim(jobs).first()
+        if job is None:
+            return None
+        own = F.col("id") == job["id"]
+        taken = jobs.withColumns({"status": F.when(own, "running").otherwise(F.col("status")), "started_at": F.when(own, F.lit(now)).otherwise(F.col("started_at"))})
+        try:
+            store.replace(spark, path, taken, version)
+        except store.Conflict:
+            continue
+        return job
+
+
 def enqueue(jobs: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests ``(id, team_id, last_n, created_at)`` that make new jobs: none for a team with an active job, one a team."""
     idle = requests.where(F.col("last_n").between(1, 15)).join(jobs.where(F.col("status").isin(ACTIVE)), "team_id", "left_anti")

@@ -173,10 +173,12 @@ def merge(spark: SparkSession, path: str, new: DataFrame, how: upsert.Rules, *,
     raise Conflict(f"{path}: {attempts} attempts")
 
 
-def replace(spark: SparkSession, path: str, rows: DataFrame) -> int:
-    """Make ``rows`` the table's next version whole: for small tables whose keys may change, as teams' slugs do. Fails with
-    ``Conflict`` if another writer commits meanwhile, as ``rows`` follow from the version before."""
-    base = manifest(spark, path)
+def replace(spark: SparkSession, path: str, rows: DataFrame, base_version: int | None = None) -> int:
+    """Make ``rows`` the table's next version whole: for small tables whose keys may change, as teams' slugs do.
+
+    ``base_version`` is the version that ``rows`` follow from, by default the newest. Fails with ``Conflict`` if another
+    writer has committed after it."""
+    base = manifest(spark, path, base_version)
     kept = rows.select(*[f["name"] for f in base["schema"]["fields"]])
     return commit(spark, path, base | {"version": base["version"] + 1, "folders": _write(kept, path, base["by"], base["buckets"])})
 

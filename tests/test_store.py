@@ -1,12 +1,13 @@
 """Stored tables: touched buckets, repeated keys, writers that race, versions that are kept."""
 
+import datetime
 import threading
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.operators import store, upsert
+from courtside.operators import jobs, store, upsert
 
 KIND = "id long, game_id long, team_id long, player_name string, minutes string, points int"
 NEW = "game_id long, team_id long, player_name string, points int, ord int"
@@ -97,3 +98,23 @@ def test_snapshots_and_cleaning(spark, boxes):
     assert store.at(spark, boxes, "monday").count() == 201 and store.read(spark, boxes).count() == 203
     assert store.clean(spark, boxes) == 0
     assert store.snapshot(spark, f"{boxes}-none", "x") is None
+
+
+def test_workers_claim_each_job_once(spark, tmp_path):
+    path = f"file://{tmp_path}/jobs"
+    at = lambda k: datetime.datetime(2026, 1, 1, 0, k)
+    rows = [(k, k, 5, "queued" if k != 2 else "done", None, at(9 - k), None, None) for k in range(5)]
+    store.create(spark.createDataFrame(rows, "id long, team_id long, last_n int, status string, error string, created_at timestamp, started_at timestamp, finished_at timestamp"), path, ["id"], buckets=1)
+    got = []
+
+    def work():
+        while (job := jobs.claim_next(spark, path, at(30))) is not None:
+            got.append(job["id"])
+
+    threads = [threading.Thread(target=work) for _ in range(3)]
+    [t.start() for t in threads]
+    [t.join(300) for t in threads]
+    assert sorted(got) == [0, 1, 3, 4]
+    table = store.read(spark, path).collect()
+    assert {r.id: r.status for r in table} == {0: "running", 1: "running", 2: "done", 3: "running", 4: "running"}
+    assert store.versions(spark, path) == [1, 2, 3, 4, 5] and all((r.started_at is None) == (r.id == 2) for r in table)
