@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -754,7 +755,7 @@ def test_query_against_sql(spark, name):
     for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.queries()[name](spark, SF).toPandas(), con.execute(queries.oracle_sql()[name]).df()
-    clean = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    clean = lambda df: sorted(tuple("null" if pd.isna(x) else round(x, 6) if isinstance(x, float) else str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and clean(got) == clean(want)
 
 
