@@ -9,22 +9,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
-from courtside.operators.base import bounded, placed, scoped, team_games
+from courtside.operators.base import bounded, placed, ranked, scoped, team_games
 
 #: A date that no parseable one exceeds: pending games without a date stay in, last.
 FAR = date(9999, 12, 31)
 
 
+def _stretch() -> Column:
+    """Games of a day (or of none) with ids near each other, in a calendar's order: a team's list is numbered stretch by stretch."""
+    return F.struct("game_date", F.floor(F.col("game_id") / 1_000_000))
+
+
 def calendar(games: DataFrame, **scope) -> DataFrame:
     """All games of a team; ``place`` is earliest first, games without a date before all."""
-    return placed(scoped(team_games(games), **scope), ["team_id"], F.asc_nulls_first("game_date"), F.asc("game_id"))
+    return ranked(scoped(team_games(games), **scope), "place", [F.asc("game_id")], _stretch(), ("team_id",))
 
 
 def past(games: DataFrame, **scope) -> DataFrame:
     """Played games with their result; ``place`` is newest first, games without a date last."""
     rows = scoped(team_games(games), **scope).where("own_score is not null")
     rows = rows.withColumn("result", S.result_label(F.col("own_score"), F.col("opp_score"))).withColumn("score", S.score_label(F.col("own_score"), F.col("opp_score")))
-    return placed(rows, ["team_id"], F.desc_nulls_last("game_date"), F.desc("game_id"))
+    return ranked(rows, "place", [F.desc("game_id")], _stretch(), ("team_id",), descending=True)
 
 
 def _pending(games: DataFrame, reference: date, **scope) -> DataFrame:

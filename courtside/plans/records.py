@@ -11,6 +11,7 @@ from courtside.functions import names
 from courtside.functions import scalars as S
 from courtside.operators import entities, fusion, ingest, players, teams, upsert
 from courtside.operators.base import places, ranked, team_games
+from courtside.plans import pages
 from courtside.plans.analytics import FORM5, registrar
 from courtside.plans.domain import Tables
 from courtside.sources import html_tables, json_games, reports
@@ -315,13 +316,13 @@ def html_extract(t: Tables) -> DataFrame:
 
 
 def _landed_schedules(t: Tables) -> DataFrame:
-    """Each team's calendar as landed schedule pages, one a season, the table hidden in a comment."""
+    """Each team's calendar as landed schedule pages of its seasons, the table hidden in a comment."""
     rows = team_games(t.games).join(t.teams.select(F.col("id").alias("opponent_id"), F.col("name").alias("opp"), F.col("slug").alias("opp_slug")), "opponent_id")
     cell = lambda stat, v: F.concat(F.lit(f'<td data-stat="{stat}">'), F.coalesce(v.cast("string"), F.lit("")), F.lit("</td>"))
     link = F.when(F.col("boxscore_url").isNotNull(), F.concat(F.lit('<a href="'), F.col("boxscore_url"), F.lit('">'), F.col("date"), F.lit("</a>"))).otherwise(F.col("date"))
     rival = F.concat(F.lit('<a href="/teams/'), F.col("opp_slug"), F.lit('/2001.html">'), F.col("opp"), F.lit("</a>"))
     tr = F.concat(F.lit("<tr>"), cell("date_game_full", link), cell("opp_name_link|x", rival), cell("game_location", F.when(F.col("is_home"), "").otherwise("@")), cell("pts", F.col("own_score")), cell("opp_pts", F.col("opp_score")), F.lit("</tr>"))
-    body = rows.withColumn("tr", tr).groupBy("team_id", "season").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("game_id", "tr"))), lambda r: r["tr"]), "").alias("trs"))
+    body = pages.listed(rows, ["team_id", "season"], "game_id", tr)
     page = F.concat(F.lit('<html><!-- <table id="team-ELG-regular-season"><thead><tr><th>Date</th></tr></thead><tbody>'), F.col("trs"), F.lit("</tbody></table> --></html>"))
     return body.select("team_id", "season", page.alias("html"))
 
@@ -376,7 +377,7 @@ def json_props(t: Tables) -> DataFrame:
 @query("""
 SELECT g.team_id, g.game_date::VARCHAR AS date, o.name AS opponent, is_home, own_score::DOUBLE AS points, opp_score::DOUBLE AS opp_points, CASE WHEN game_id % 2 = 0 THEN 'copa-del-rey' ELSE 'acb' END AS league FROM team_games g JOIN teams o ON o.id = g.opponent_id""")
 def service_games(t: Tables) -> DataFrame:
-    """Every team's games as the league's service would send them, a document for each team and season, and parsed."""
+    """Every team's games as the league's service would send them, documents for each team and season, and parsed."""
     name = lambda side: t.teams.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"))
     rows = team_games(t.games).join(name("team"), "team_id").join(name("opponent"), "opponent_id")
     pick = lambda a, b: F.when(F.col("is_home"), F.col(a)).otherwise(F.col(b))
@@ -388,8 +389,8 @@ def service_games(t: Tables) -> DataFrame:
         pick("opp_score", "own_score").alias("visitanteScore"),
         F.when(F.col("game_id") % 2 == 0, "Copa del Rey").otherwise("Liga Endesa").alias("competition"),
     )
-    landed = rows.groupBy("team_id", "team_name", "season").agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("body"))
-    return json_games.service_games(landed, F.col("team_name")).drop("team_name", "season").withColumns({c: F.col(c).cast("double") for c in ("points", "opp_points")})
+    landed = pages.document(rows, ["team_id", "team_name", "season"], "game_id", item)
+    return json_games.service_games(landed, F.col("team_name")).drop("team_name", "season", "page").withColumns({c: F.col(c).cast("double") for c in ("points", "opp_points")})
 
 
 @query("SELECT DISTINCT season, unnest(range(make_date(season, 10, 1), make_date(season + 1, 7, 1), INTERVAL 1 DAY))::DATE::VARCHAR AS day FROM (SELECT DISTINCT season FROM games)")
