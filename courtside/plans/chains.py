@@ -186,3 +186,28 @@ def streamed_load(t: Tables) -> DataFrame:
 
 
 SQL["streamed_load"] = analytics.SQL["sliding_load"]
+
+
+@query("""
+WITH RECURSIVE asked AS (
+  SELECT event_id AS id, user_id AS team_id, (event_id % 17)::INTEGER AS last_n, ts AS since, ts + to_hours((event_id % 48 + 1)::INTEGER) AS ends FROM events WHERE event_type IN ('view', 'logout') AND event_id % 17 BETWEEN 1 AND 15
+), starts AS (SELECT team_id, since, min(id) AS id FROM asked GROUP BY ALL),
+linked AS (SELECT a.*, s.id AS after FROM asked a ASOF LEFT JOIN starts s ON s.team_id = a.team_id AND a.ends < s.since),
+jobs AS (
+  SELECT * FROM linked WHERE id IN (SELECT arg_min(id, (since, id)) FROM asked GROUP BY team_id)
+  UNION ALL SELECT l.* FROM jobs j JOIN linked l ON l.id = j.after
+)
+SELECT team_id, id, last_n, 'queued' AS status, NULL::VARCHAR AS error, epoch_us(since) AS micros FROM jobs
+UNION ALL SELECT team_id, id, last_n, CASE WHEN id % 3 = 0 THEN 'failed' ELSE 'done' END, CASE WHEN id % 3 = 0 THEN 'boom' END, epoch_us(ends) FROM jobs""")
+def streamed_jobs(t: Tables) -> DataFrame:
+    """Every job's way by keyed state: each user asks for a team, and each request's result comes hours later."""
+    state.with_states(t.spark)
+    root = Written(t.spark, "jobs").root
+    k = F.col("event_id")
+    asked = t.raw("events").where(F.col("event_type").isin("view", "logout")).select(k.alias("id"), F.col("user_id").alias("team_id"), (k % 17).cast("int").alias("last_n"), F.col("ts").cast("timestamp").alias("created_at"))
+    hours = F.make_dt_interval(hours=(F.col("id") % 48 + 1).cast("int"))
+    ended = asked.select("id", "team_id", F.when(F.col("id") % 3 == 0, "boom").alias("error"), (F.col("created_at") + hours).alias("finished_at"))
+    state.events(asked, ended).write.parquet(f"{root}/landed")
+    out = state.job_moves(t.spark.readStream.schema(state.EVENT).parquet(f"{root}/landed"), "36500 days")
+    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/mark").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(f"{root}/out").select("team_id", "id", "last_n", "status", "error", F.unix_micros("at").alias("micros"))
