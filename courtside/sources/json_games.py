@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courtside.functions import scalars as S
 
@@ -58,15 +59,18 @@ HOME_SCORE_KEYS, AWAY_SCORE_KEYS = ("homeScore", "home_score", "localScore"), ("
 NAME_KEYS = ("name", "nombre", "teamName", "team_name")
 
 
+def _texts(json: Column, *keys: str) -> Column:
+    """The values of ``keys`` as texts, read in one pass; nulls where the text is no object."""
+    return F.from_json(json, T.StructType([T.StructField(k, T.StringType()) for k in keys]))
+
+
 def _any(item: Column, *keys: str) -> Column:
-    return S.first_value(*[F.get_json_object(item, f"$.{k}") for k in keys])
+    return S.first_value(*[item[k] for k in keys])
 
 
-def _team(item: Column, *keys: str) -> Column:
+def _team(raw: Column) -> Column:
     """A team's name, given as text or as an object with one of four keys."""
-    raw = _any(item, *keys)
-    inner = S.first_value(*[F.get_json_object(raw, f"$.{k}") for k in NAME_KEYS])
-    return F.when(raw.startswith("{"), inner).otherwise(raw)
+    return F.when(raw.startswith("{"), _any(_texts(raw, *NAME_KEYS), *NAME_KEYS)).otherwise(raw)
 
 
 def service_games(landed: DataFrame, team: str | Column) -> DataFrame:
@@ -75,9 +79,12 @@ def service_games(landed: DataFrame, team: str | Column) -> DataFrame:
     games these are, or a column of ``landed`` with it; other columns are carried along."""
     keep = [c for c in landed.columns if c != "body"]
     listed = F.coalesce(F.get_json_object("body", "$.data"), F.col("body"))
-    items = landed.select(*keep, (team if isinstance(team, Column) else F.lit(team)).alias("__team"), F.explode(F.from_json(listed, "array<string>")).alias("item"))
+    keys = [*HOME_KEYS, *AWAY_KEYS, *DATE_KEYS, *LEAGUE_KEYS, *HOME_SCORE_KEYS, *AWAY_SCORE_KEYS]
+    # read before the list is spread out, so that an item is read once and not for each of its columns
+    read = F.transform(F.from_json(listed, "array<string>"), lambda item: _texts(item, *keys))
+    items = landed.select(*keep, (team if isinstance(team, Column) else F.lit(team)).alias("__team"), F.explode(read).alias("item"))
     item = F.col("item")
-    home, away = _team(item, *HOME_KEYS), _team(item, *AWAY_KEYS)
+    home, away = _team(_any(item, *HOME_KEYS)), _team(_any(item, *AWAY_KEYS))
     date = _any(item, *DATE_KEYS)
     own, other = S.to_int(_any(item, *HOME_SCORE_KEYS)), S.to_int(_any(item, *AWAY_SCORE_KEYS))
     rows = items.select(*keep, "__team", date.alias("date"), home.alias("home"), away.alias("away"), own.alias("hs"), other.alias("as_"), F.lower(F.trim(_any(item, *LEAGUE_KEYS))).alias("competition"))

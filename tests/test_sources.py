@@ -116,3 +116,10 @@ def test_report_lines_keep_long_names(spark):
     summary = spark.createDataFrame([(1, 70.0, 100.0, 90.0, 10.0, 0.5, 0.5)], "team_id long, avg_pace double, avg_off_rating double, avg_def_rating double, avg_net_rating double, avg_efg_pct double, avg_ts_pct double")
     team = spark.createDataFrame([(1, "A team of a very long name")], "id long, name string")
     assert reports.summary_lines(summary, team).first().line.startswith("A team of a very long name  Pace ")
+
+
+def test_service_lists_with_items_that_are_no_games(spark):
+    body = '[1, "x", null, [2], {}, {"fecha": "2024-01-02", "local": {"teamName": "A"}, "awayTeam": "B", "homeScore": "80", "visitanteScore": 7}, {"fecha": "2024-01-03", "local": "{broken", "awayTeam": "A"}, {"fecha": "", "date": null, "home": "A", "away": "B"}]'
+    df = spark.createDataFrame([(body, 1), (None, 2), ("", 3), ("not json", 4), ('{"data": []}', 5)], "body string, note int")
+    got = json_games.service_games(df, "a").collect()
+    assert [(r.note, r.date, r.opponent, r.is_home, r.points, r.opp_points, r.league) for r in got] == [(1, "2024-01-02", "B", True, 80, 7, "acb")]
