@@ -6,9 +6,13 @@ all that follows from the cells is DataFrame work.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,11 +22,45 @@ from courtside.functions import scalars as S
 CELL = "struct<text:string,stat:string,href:string,header:boolean>"
 ROW = f"struct<css:string,head:boolean,cells:array<{CELL}>>"
 TABLE = f"array<struct<ordinal:int,table_id:string,caption:string,headers:array<string>,rows:array<{ROW}>>>"
+LINKS = "array<struct<text:string,href:string>>"
+
+#: Cells, rows, links and pages, about, of which Python holds the results before it gives them back.
+PORTION = 20_000
 
 #: Header names of one source as the others have them (fixed values).
 HEADER_ALIASES = {"MIN": "MP", "TO": "TOV", "FGM": "FG", "3PM": "3P", "FTM": "FT", "REB": "TRB", "OREB": "ORB", "DREB": "DRB"}
 
 
+# Markup without anything unusual: known tags with quoted attributes, comments without a "--" inside.
+_NAMES = "table|thead|tbody|tfoot|caption|tr|td|th|a|html|body|div|p|span|b|i|u|em|strong|small|sup|sub|h[1-6]|ul|ol|li|br"
+_MARKUP = rf"""<(?:(?P<end>/)(?P<ended>{_NAMES})\s*+|(?P<begun>{_NAMES})(?P<attrs>(?:\s++[a-zA-Z][a-zA-Z-]*+="[^"<>&]*+")*+)\s*+|!--(?!-?>)(?P<comment>(?:[^-]|-(?!-))*+)--)>"""
+_PLAIN = re.compile(r"[^<]*+(?:" + re.sub(r"\?P<\w+>", "?:", _MARKUP) + r"[^<]*+)*+", re.IGNORECASE)
+_TOKENS = re.compile(_MARKUP + r"([^<]*+)", re.IGNORECASE)
+_ATTRS = re.compile(r'([a-zA-Z-]+)="([^"]*)"')
+
+
+def _read(parser: HTMLParser, html: str) -> HTMLParser:
+    """``parser`` after the page. Plain markup is cut into tags by a pattern, several times as fast; any other goes
+    through the parser's own reading. Both call the same handlers in the same order."""
+    if not _PLAIN.fullmatch(html):
+        parser.feed(html)
+        parser.close()
+        return parser
+    first = html.find("<")
+    if first:
+        parser.handle_data(unescape(html if first < 0 else html[:first]))
+    for end, ended, begun, attrs, comment, text in _TOKENS.findall(html):
+        if begun:
+            parser.handle_starttag(begun.lower(), [(k.lower(), v) for k, v in _ATTRS.findall(attrs)] if attrs else [])
+        elif end:
+            parser.handle_endtag(ended.lower())
+        else:
+            parser.handle_comment(comment)
+        if text:
+            parser.handle_data(unescape(text) if "&" in text else text)
+    return parser
+
+
 class _Tables(HTMLParser):
     """Collects tables as nested dictionaries; a comment that holds a table is parsed like the page."""
 
@@ -79,9 +117,7 @@ class _Tables(HTMLParser):
 
 def parse(html: str | None) -> list[dict]:
     """All tables of a page in order, those in comments after the visible ones."""
-    p = _Tables()
-    p.feed(html or "")
-    p.close()
+    p = _read(_Tables(), html or "")
     for table in p.open:  # never closed
         table["headers"] = table["headers"] or []
     out = p.tables + p.hidden
@@ -93,13 +129,46 @@ def parse(html: str | None) -> list[dict]:
     return out
 
 
-def _parsed(pages: pd.Series) -> pd.Series:
-    return pd.Series([parse(h) for h in pages], dtype=object)
+def _arrow(pages: list[list[dict]]) -> pa.Array:
+    """The tables of several pages as one array, put together column by column."""
+    tables = [t for page in pages for t in page]
+    rows = [r for t in tables for r in t["rows"]]
+    cells = [c for r in rows for c in r["cells"]]
+    text = lambda dicts, k: pa.array([d[k] for d in dicts], pa.string())
+    flag = lambda dicts, k: pa.array([d[k] for d in dicts], pa.bool_())
+
+    def lists(parts, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, parts))], pa.int32()), values)
+
+    cell = pa.StructArray.from_arrays([text(cells, "text"), text(cells, "stat"), text(cells, "href"), flag(cells, "header")], ["text", "stat", "href", "header"])
+    row = pa.StructArray.from_arrays([text(rows, "css"), flag(rows, "head"), lists((r["cells"] for r in rows), cell)], ["css", "head", "cells"])
+    headers = lists((t["headers"] for t in tables), pa.array([h for t in tables for h in t["headers"]], pa.string()))
+    ordinal = pa.array([t["ordinal"] for t in tables], pa.int32())
+    table = pa.StructArray.from_arrays([ordinal, text(tables, "table_id"), text(tables, "caption"), headers, lists((t["rows"] for t in tables), row)], ["ordinal", "table_id", "caption", "headers", "rows"])
+    return lists(pages, table)
+
+
+def _portions(batches: Iterator[pa.Array], read: Callable[[str | None], list], weight: Callable[[list], int], built: Callable[[list], pa.Array]) -> Iterator[pa.Array]:
+    """What ``read`` makes of each page, given back in portions of bounded size however many and long a batch's pages are."""
+    for batch in batches:
+        held, size = [], 0
+        for page in batch:
+            held.append(read(page.as_py()))
+            size += 1 + weight(held[-1])
+            if size >= PORTION:
+                yield built(held)
+                held, size = [], 0
+        if held or not len(batch):
+            yield built(held)
+
+
+def _tables(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from _portions(pages, parse, lambda found: sum(len(r["cells"]) + 1 for t in found for r in t["rows"]), _arrow)
 
 
 def html_tables(html: Column | str) -> Column:
     """The tables of a page as an array of structs."""
-    return F.pandas_udf(_parsed, TABLE)(html)
+    return F.arrow_udf(_tables, TABLE)(html)
 
 
 def tables(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -119,7 +188,12 @@ def by_header(found: DataFrame) -> DataFrame:
     pairs = F.transform("cells", lambda c, i: F.struct(key(i).alias("k"), c["text"].alias("v")))
     # of a header that stands twice the last counts
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.lit(0), F.size(pairs) - i - 1)), lambda q: q["k"] == p["k"]))
-    return body_rows(found).withColumn("values", F.map_from_entries(last)).drop("cells")
+    # a table's headers are looked through once, not for each of its rows
+    once = (F.size("headers") > 0) & (F.size(F.array_distinct("headers")) == F.size("headers"))
+    rows = body_rows(found.withColumn("__once", once))
+    plain = F.map_from_arrays(F.slice("headers", F.lit(1), F.size("cells")), F.col("cells.text"))
+    values = F.when(F.col("__once") & (F.size("cells") == F.size("headers")), F.map_from_arrays("headers", F.col("cells.text"))).when(F.col("__once") & (F.size("cells") < F.size("headers")), plain).otherwise(F.map_from_entries(last))
+    return rows.withColumn("values", values).drop("cells", "__once")
 
 
 def by_stat(found: DataFrame) -> DataFrame:
@@ -196,40 +270,44 @@ def player_pages(pages: DataFrame) -> DataFrame:
 def game_logs(pages: DataFrame) -> DataFrame:
     """Rows of the game-log table of player pages, under canonical header names: tables with a date and points."""
     found = tables(pages).where(F.array_contains("headers", "Date") & F.array_contains("headers", "PTS"))
-    return by_header(found).withColumn("values", canonical_stats(F.col("values"))).where(S.blank_to_null(F.col("values")["Date"]).isNotNull())
+    return by_header(canonical_headers(found)).where(S.blank_to_null(F.col("values")["Date"]).isNotNull())
 
 
-def _anchors(pages: pd.Series) -> pd.Series:
-    class Links(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.found: list[dict] = []
-            self.inside = False
+class _Links(HTMLParser):
+    """Collects links with their texts."""
 
-        def handle_starttag(self, tag, attrs):
-            if tag == "a":
-                self.inside = True
-                self.found.append({"text": "", "href": dict(attrs).get("href")})
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[dict] = []
+        self.inside = False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.inside = True
+            self.found.append({"text": "", "href": dict(attrs).get("href")})
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "a"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.found[-1]["text"] += data
 
-        def handle_endtag(self, tag):
-            self.inside = self.inside and tag != "a"
 
-        def handle_data(self, data):
-            if self.inside:
-                self.found[-1]["text"] += data
+def parse_links(html: str | None) -> list[dict]:
+    """All links of a page in order."""
+    found = _read(_Links(), html or "").found
+    return [{"text": " ".join(x["text"].split()), "href": x["href"]} for x in found]
 
-    def one(html):
-        p = Links()
-        p.feed(html or "")
-        p.close()
-        return [{"text": " ".join(x["text"].split()), "href": x["href"]} for x in p.found]
 
-    return pd.Series([one(h) for h in pages], dtype=object)
+def _anchors(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("text", pa.string()), ("href", pa.string())]))
+    yield from _portions(pages, parse_links, len, lambda held: pa.array(held, kind))
 
 
 def anchors(html: Column | str) -> Column:
     """All links of a page, in its order, with their texts."""
-    return F.pandas_udf(_anchors, "array<struct<text:string,href:string>>")(html)
+    return F.arrow_udf(_anchors, LINKS)(html)
 
 
 def link_to(html: Column | str, text: Column) -> Column:
@@ -242,9 +320,10 @@ def game_log_url(summary: Column) -> Column:
     return F.replace(summary, F.lit("/Summary"), F.lit("/GameLogs"))
 
 
-def canonical_stats(values: Column) -> Column:
-    """A box-score row's map under the canonical header names."""
-    return F.transform_keys(values, lambda k, _: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HEADER_ALIASES.items() for x in kv]), k), k))
+def canonical_headers(found: DataFrame) -> DataFrame:
+    """Tables under the canonical header names."""
+    known = F.create_map(*[F.lit(x) for kv in HEADER_ALIASES.items() for x in kv])
+    return found.withColumn("headers", F.transform("headers", lambda h: F.coalesce(F.element_at(known, h), h)))
 
 
 def box_scores(pages: DataFrame, key: str) -> DataFrame:
@@ -254,8 +333,8 @@ def box_scores(pages: DataFrame, key: str) -> DataFrame:
     order = F.row_number().over(W.partitionBy(key).orderBy("ordinal"))
     named = F.when(F.col("table_id").endswith("box-score-home"), "home").when(F.col("table_id").endswith("box-score-visitor"), "away")
     sided = found.withColumn("side", F.coalesce(named, F.when(order == 1, "home").when(order == 2, "away"))).where("side is not null")
-    rows = by_header(sided)
-    return rows.withColumn("values", canonical_stats(F.col("values"))).withColumn("player_name", S.blank_to_null(F.col("values")["Player"])).where("player_name is not null")
+    rows = by_header(canonical_headers(sided))
+    return rows.withColumn("player_name", S.blank_to_null(F.col("values")["Player"])).where("player_name is not null")
 
 
 def box_stats(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 import datetime
 import json
+import random
+import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from courtside.sources import html_tables, json_games, reports
@@ -123,3 +126,27 @@ def test_service_lists_with_items_that_are_no_games(spark):
     df = spark.createDataFrame([(body, 1), (None, 2), ("", 3), ("not json", 4), ('{"data": []}', 5)], "body string, note int")
     got = json_games.service_games(df, "a").collect()
     assert [(r.note, r.date, r.opponent, r.is_home, r.points, r.opp_points, r.league) for r in got] == [(1, "2024-01-02", "B", True, 80, 7, "acb")]
+
+
+def test_pages_are_parsed_alike_by_pattern_and_parser(monkeypatch):
+    rng = random.Random(1)
+    bits = '<table id="a">|<TABLE>|</table>|<tr class="thead">|</tr>|<td data-stat="x">|</td>|<th>|</th>|<a href="/q">|</a>|<thead>|</thead>|<caption>|text| & |&lt;b|\n|<!-- <table><tr><td>h</td></tr></table> -->|<br>|<!-- x -- y -->|<!-->|<script>a<b</script>|<|>|<p x=1>|é|<td\n class="u" >|<br/>'.split("|")
+    pages = ["".join(rng.choice(bits[: 20 if n % 2 else None]) for _ in range(rng.randint(0, 25))) for n in range(3000)]
+    fast = [(html_tables.parse(p), html_tables.parse_links(p)) for p in pages]
+    assert sum(bool(html_tables._PLAIN.fullmatch(p)) for p in pages) > 1000
+    monkeypatch.setattr(html_tables, "_PLAIN", re.compile("(?!)"))
+    assert fast == [(html_tables.parse(p), html_tables.parse_links(p)) for p in pages]
+
+
+def test_parsed_pages_are_given_back_in_portions():
+    page = "<table>" + "<tr><td>1</td><td>2</td></tr>" * 1000 + "</table>"
+    parts = list(html_tables._tables(iter([pa.array([page, None] * 100)])))
+    assert sum(map(len, parts)) == 200 and len(parts) > 10
+    assert max(len(p.flatten().field("rows").flatten()) for p in parts) <= html_tables.PORTION
+    assert parts[0].to_pylist()[:2] == [html_tables.parse(page), []]
+
+
+def test_headers_that_are_one_under_their_canonical_name(spark):
+    page = "<table><thead><tr><th>Date</th><th>MIN</th><th>MP</th><th>PTS</th></tr></thead><tr><td>d</td><td>1</td><td>2</td><td>3</td></tr><tr><td>e</td><td>4</td></tr></table>"
+    rows = html_tables.game_logs(spark.createDataFrame([("p", page)], "player string, html string")).collect()
+    assert [r["values"] for r in rows] == [{"Date": "d", "MP": "2", "PTS": "3"}, {"Date": "e", "MP": "4"}]
