@@ -6,7 +6,7 @@ import datetime
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -103,48 +103,60 @@ def job_moves(stream: DataFrame, stuck: str = STUCK, late: str = "1 hour") -> Da
 
 
 class _Load(StatefulProcessor):
-    """Minutes of a player by day; a day is told once no game of it, or before it, can come."""
+    """Minutes of a player by day; a day is told once no game of it, or before it, can come.
+
+    A player's days are one value, read and written once for all rows of a trigger.
+    """
 
     def __init__(self, days: int):
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ring = handle.getMapState("ring", "day int", "billionths long, games long, told boolean")
+        self.held = handle.getValueState("days", "day array<int>, billionths array<long>, games array<long>, told array<boolean>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _get(self) -> dict[int, tuple[int, int, bool]]:
+        held = self.held.get()
+        return {d: v for d, *v in zip(*held)} if held is not None else {}
+
+    def _put(self, held: dict[int, tuple[int, int, bool]]) -> None:
+        self.held.update((list(held), *map(list, zip(*held.values()))))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         closed = timerValues.getCurrentWatermarkInMs() // DAY_MS  # days before this one are over
-        first = None
-        for chunk in rows:
-            day = chunk["ts"].astype("datetime64[ms]").astype("int64") // DAY_MS
-            billionths = (chunk["mins"] * 1e9).round().astype("int64")
-            for d, part in billionths.groupby(day):
-                if d < closed:
-                    continue  # its day was told
-                old = self.ring.getValue((int(d),)) if self.ring.containsKey((int(d),)) else (0, 0, False)
-                self.ring.updateValue((int(d),), (old[0] + int(part.sum()), old[1] + len(part), False))
-                first = int(d) if first is None else min(first, int(d))
-        if first is not None:
-            self.handle.registerTimer((first + 1) * DAY_MS)
+        new: dict[int, tuple[int, int]] = {}
+        for r in rows:
+            if r.day >= closed:  # else its day was told
+                minutes, games = new.get(r.day, (0, 0))
+                new[r.day] = minutes + r.billionths, games + 1
+        if new:
+            held = self._get()
+            waiting = min((d for d in held if d >= closed), default=None)
+            for d, (minutes, games) in new.items():
+                old = held.get(d, (0, 0, False))
+                held[d] = (old[0] + minutes, old[1] + games, False)
+            self._put(held)
+            if waiting is None or min(new) < waiting:  # else the timer is there
+                self.handle.registerTimer((min(new) + 1) * DAY_MS)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Tell all days that are over, forget those on which no later day looks back, and wait for the next one."""
         closed = timerValues.getCurrentWatermarkInMs() // DAY_MS
-        held = {k[0]: v for k, v in self.ring.iterator()}
+        held = self._get()
         out = []
         for day in sorted(d for d, v in held.items() if d < closed and not v[2]):
             span = [held[d] for d in range(day - self.days + 1, day + 1) if d in held]
-            out.append((key[0], key[1], datetime.date(1970, 1, 1) + datetime.timedelta(days=day), sum(v[0] for v in span) / 1e9, sum(v[1] for v in span)))
-        for d, v in held.items():
-            if d <= closed - self.days:
-                self.ring.removeKey((d,))
-            elif d < closed and not v[2]:
-                self.ring.updateValue((d,), (v[0], v[1], True))
-        waiting = [d for d in held if d >= closed]
+            out.append(Row(team_id=key[0], player_name=key[1], game_date=datetime.date(1970, 1, 1) + datetime.timedelta(days=day), load_minutes=sum(v[0] for v in span) / 1e9, load_games=sum(v[1] for v in span)))
+        kept = {d: (v[0], v[1], d < closed) for d, v in held.items() if d > closed - self.days}
+        if kept:
+            self._put(kept)
+        else:
+            self.held.clear()
+        waiting = [d for d in kept if d >= closed]
         if waiting:
             self.handle.registerTimer((min(waiting) + 1) * DAY_MS)
-        yield pd.DataFrame(out, columns=["team_id", "player_name", "game_date", "load_minutes", "load_games"]).astype({"team_id": "int64", "load_minutes": "float64", "load_games": "int64"})
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -157,5 +169,6 @@ def trailing_load(stream: DataFrame, days: int = 14, late: str = "30 days") -> D
     a later one can still look back on; each row is held once, not once for each window that it falls in. Rows without
     minutes and rows of closed days are left out.
     """
-    rows = stream.withColumn("mins", S.parse_minutes(F.col("minutes"))).where("mins > 0").withWatermark("ts", late)
-    return rows.select("team_id", "player_name", "ts", "mins").groupBy("team_id", "player_name").transformWithStateInPandas(_Load(days), LOAD, "append", "EventTime")
+    rows = stream.withColumn("mins", S.parse_minutes(F.col("minutes"))).where("mins > 0 and ts is not null").withWatermark("ts", late)
+    of_day = rows.select("team_id", "player_name", "ts", F.unix_date(F.to_date("ts")).alias("day"), F.rint(F.col("mins") * F.lit(1e9)).cast("long").alias("billionths"))
+    return of_day.groupBy("team_id", "player_name").transformWithState(_Load(days), LOAD, "append", "EventTime")

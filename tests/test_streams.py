@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from courtside.operators import players, store
@@ -119,3 +120,44 @@ def test_trailing_load_of_rows_out_of_order(spark, landed):
     want = players.sliding_load(df.select(F.col("game_id").alias("id"), F.col("ts").cast("date").alias("game_date")), df, 14)
     key = lambda r: (r.team_id, r.player_name, r.game_date)
     assert {key(r): (round(r.load_minutes, 5), r.load_games) for r in got.collect()} == {key(r): (round(r.load_minutes, 5), r.load_games) for r in want.collect()}
+
+
+def test_trailing_load_reads_and_writes_a_player_once_a_trigger():
+    calls = []
+
+    class Held:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.held = Held()
+
+        def getValueState(self, *_):
+            return self.held
+
+        def registerTimer(self, ms):
+            calls.append(ms)
+
+    class Time:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    handle, load = Handle(), state._Load(14)
+    load.init(handle)
+    days = [9, 3, 3, 50]
+    list(load.handleInputRows((1, "a"), iter([Row(day=d, billionths=d) for d in days]), Time()))
+    assert calls == ["get", "update", 4 * state.DAY_MS]
+    list(load.handleInputRows((1, "a"), iter([Row(day=9, billionths=1)]), Time()))
+    assert calls[3:] == ["get", "update"]
+    assert dict(zip(handle.held.value[0], handle.held.value[1])) == {9: 10, 3: 6, 50: 50}
