@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,13 +13,31 @@ from pyspark.sql import functions as F
 CLUB_WORDS = "bc|basket|basketball|club|sad|sporting|sports"
 
 
-def _strip(names: pd.Series) -> pd.Series:
-    return names.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)), na_action="ignore")
+#: Characters, about, of which Python holds the names before it gives them back.
+PORTION = 1_000_000
 
 
-def without_accents(name: Column) -> Column:
-    """NFKD without combining marks."""
-    return F.pandas_udf(_strip, "string")(name)
+def _bare(name: str | None) -> str | None:
+    return name and "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
+
+
+def _strip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        held, size = [], 0
+        for name in batch:
+            held.append(_bare(name.as_py()))
+            size += 1 + len(held[-1] or "")
+            if size >= PORTION:
+                yield pa.array(held, pa.string())
+                held, size = [], 0
+        if held or not len(batch):
+            yield pa.array(held, pa.string())
+
+
+def without_accents(name: Column | str) -> Column:
+    """NFKD without combining marks. Names in ASCII are that already and don't go to Python."""
+    name = F.col(name) if isinstance(name, str) else name
+    return F.coalesce(F.arrow_udf(_strip, "string")(F.when(name.rlike(r"[^\x00-\x7F]"), name)), name)
 
 
 def team_key(name: Column) -> Column:

@@ -1,5 +1,7 @@
 import datetime
+import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,11 @@ def test_hosts(spark):
     assert one(spark, S.is_host(text(None), "example.com")) is False
     assert one(spark, S.cms_league(text("Copa del Rey"))) == "copa-del-rey"
     assert one(spark, S.cms_league(text(""))) == "club"
+
+
+def test_names_leave_python_in_portions(spark):
+    parts = list(names._strip(iter([pa.array(["é" * 300_000, None, "́", "a"] * 10)])))
+    assert len(parts) > 2 and [x for p in parts for x in p.to_pylist()] == ["e" * 300_000, None, "", "a"] * 10
+    texts = ["", "abc", "Àé ﬁ", "́", "x" * 9, None, "ΆЙ", "한"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", names.without_accents(F.col("t")).alias("x")).collect()
+    assert [r.x for r in sorted(got)] == [t and "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts]
