@@ -1,6 +1,7 @@
 """Chains of links over landed pages, and differences of dumps."""
 
 import json
+from pathlib import Path
 
 from courtside.sources import dumps, links
 
@@ -65,3 +66,16 @@ def test_differences_of_dumps(spark):
     out = {(r.name, r.path, r.change) for r in dumps.differences(frame(d=now, only=[7], odd="no json", void=None), frame(d=base, lost={"k": 1}, odd="no json", void=None)).collect()}
     assert out == {("d", "$.a.y[1]", "different"), ("d", "$.a.y[2].new", "added"), ("d", "$.n", "different"), ("d", "$.t", "different"), ("d", "$.s", "different"), ("d", "$.gone[0]", "gone"), ("d", "$.gone[1].q", "gone"), ("d", "$.more.deep.er[0][0]", "added"), ("only", "$[0]", "added"), ("lost", "$.k", "gone")}
     assert dumps.differences(frame(d=base), frame(d=base)).count() == 0 and dumps.differences(frame(d=base).limit(0), frame(d=base).limit(0)).count() == 0
+
+
+def test_only_what_differs_is_opened(spark):
+    """Documents and members that are the same are not written leaf by leaf, and depth is not bound to what one pass opens."""
+    deep = lambda x: {"a": [{"b": {"c": [[{"d": {"e": [x]}}]]}}], "same": list(range(50))}
+    frame = lambda rows: spark.createDataFrame([(k, json.dumps(v)) for k, v in rows.items()], "name string, json string")
+    base = {str(k): deep(k) for k in range(40)}
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    out = dumps.differences(frame(base | {"7": deep("x")}), frame(base))
+    assert [tuple(r) for r in out.collect()] == [("7", "$.a[0].b.c[0][0].d.e[0]", "different", '"x"', "7")]
+    written = [spark.read.parquet(str(p)).count() for folder in set(shared.iterdir()) - before for p in folder.iterdir()]
+    assert written and sum(written) == len(written)  # one pair a pass
