@@ -85,10 +85,14 @@ def to_int(text: Column) -> Column:
 
 
 def parse_minutes(text: Column) -> Column:
-    """``28:30`` -> 28.5, ``25.5`` -> 25.5; null for no text and for anything else."""
+    """``28:30`` -> 28.5, ``25.5`` -> 25.5; null for no text and for anything else.
+
+    Nearly all texts are digits around one colon, which trimming tells without a pattern; patterns judge the rest."""
+    plain = F.substring_index(text, ":", 1).try_cast("int") + F.substring_index(text, ":", -1).try_cast("int") / F.lit(60.0)
     minute, second = F.split_part(text, F.lit(":"), F.lit(1)), F.split_part(text, F.lit(":"), F.lit(2))
     clock = F.when(minute.rlike(INTEGER) & second.rlike(INTEGER), F.trim(minute).try_cast("int") + F.trim(second).try_cast("int") / F.lit(60.0))
-    return F.when(F.size(F.split(text, ":")) == 2, clock).otherwise(to_float(text))
+    other = F.when(F.size(F.split(text, ":")) == 2, clock).otherwise(to_float(text))
+    return F.when(text == "", F.lit(None).cast("double")).when(F.btrim(text, F.lit("0123456789")) == ":", plain).otherwise(other)
 
 
 def per_36(value: Column, minutes: Column) -> Column:
