@@ -117,9 +117,13 @@ def _rows(spark: SparkSession, path: str, m: dict, buckets: list[int] | None = N
 
 def _write(df: DataFrame, path: str, by: list[str], buckets: int) -> dict[str, str]:
     """Write rows in buckets, and where each bucket lies."""
+    return _write_dealt(df.withColumn("__bucket", bucket_of(by, buckets)).repartition("__bucket"), path)
+
+
+def _write_dealt(df: DataFrame, path: str) -> dict[str, str]:
+    """Write rows that are dealt by ``__bucket``."""
     folder = f"data/{uuid.uuid4().hex}"
-    dealt = df.withColumn("__bucket", bucket_of(by, buckets))
-    dealt.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{path}/{folder}")
+    df.write.partitionBy("__bucket").parquet(f"{path}/{folder}")
     return {n.removeprefix("__bucket="): f"{folder}/{n}" for n in names(df.sparkSession, f"{path}/{folder}") if n.startswith("__bucket=")}
 
 
@@ -156,8 +160,11 @@ def merge(spark: SparkSession, path: str, new: DataFrame, how: upsert.Rules, *,
                 within = F.row_number().over(W.partitionBy("__b").orderBy(*how.key)) - 1
                 return dealt.withColumn("id", (F.col("__first") + within) * n + F.col("__b")).drop("__b", "__first")
 
-            out = upsert.upsert(old, new, how, order=order, zero_is_missing=zero_is_missing, mint=mint).select(*old.columns)
-            folders = _write(out, path, by, n)
+            if "id" in old.columns:  # minted rows come from other tasks
+                folders = _write(upsert.upsert(old, new, how, order=order, zero_is_missing=zero_is_missing, mint=mint).select(*old.columns), path, by, n)
+            else:  # rows meet in their bucket's task, which writes it
+                met = upsert.upsert(old, new, how, order=order, zero_is_missing=zero_is_missing, deal=bucket_of(by, n))
+                folders = _write_dealt(met.select(*old.columns, F.col(upsert.DEALT).alias("__bucket")), path)
             ids = {}
             if "id" in old.columns:
                 written = _rows(spark, path, base | {"folders": folders})

@@ -1,6 +1,6 @@
 """Keyed upserts by rule tables.
 
-Plain Parquet has no MERGE, so an upsert is a full outer join on the natural key and a rule for each
+Plain Parquet has no MERGE, so in an upsert stored and new rows meet by the natural key, with a rule for each
 column, and a stored table is a folder of versions. New rows of one key are folded in their order of arrival first, as one-by-one application would.
 """
 
@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +17,10 @@ from courtside import schemas
 from courtside.functions import scalars as S
 
 
+#: The column by which an upsert's result is dealt, where its caller names one.
+DEALT = "__dealt"
+
+
 @dataclass(frozen=True)
 class Rules:
     """What becomes of each column: ``overwrite`` takes the new value, ``keep`` the new one unless it is
@@ -77,7 +79,7 @@ def minted(rows: DataFrame, key: list[str], start: Column, buckets: int = 4096)
     return dealt.withColumn("id", start + within * buckets + F.col("__bucket")).drop("__bucket")
 
 
-def upsert(old: DataFrame, new: DataFrame, how: Rules, *, order: str | None = None, zero_is_missing: bool = False, mint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, how: Rules, *, order: str | None = None, zero_is_missing: bool = False, mint: Callable[[DataFrame], DataFrame] | None = None, deal: Column | None = None) -> DataFrame:
     """``old`` after applying the rows of ``new``: all columns of ``old``, those that only ``new`` has, and ``change``.
 
     ``order`` names the column of arrival in ``new``, by which rows of one key are folded into one; without it a key
@@ -85,6 +87,7 @@ def upsert(old: DataFrame, new: DataFrame, how: Rules, *, order: str | None = No
     their ids, by default on from the greatest of ``old``. With ``zero_is_missing`` a zero is treated like null in kept columns, as the reference's
     storage does. Where ``old`` has an ``id``, stored rows keep theirs and inserted ones go on from the greatest;
     an ``id`` in ``new`` is not read. Computed columns are null where no side has what they follow from.
+    ``deal``, a function of the key, becomes the column ``DEALT``; without ids to mint, rows are dealt by it to the tasks.
     """
     key, kinds = how.key, dict(new.dtypes) | dict(old.dtypes)
     extra = [c for c in new.columns if c not in old.columns and c != order and c != "id"]
@@ -103,20 +106,28 @@ def upsert(old: DataFrame, new: DataFrame, how: Rules, *, order: str | None = No
         twice = F.raise_error(F.concat(F.lit(f"rows of one key in a delivery of {how.table} need an order: "), F.to_json(F.struct(*key))))
         fresh = once.withColumn("r", F.when(F.col("n") > 1, twice.cast(once.schema["r"].dataType)).otherwise(F.col("r"))).select(*key, *[F.col("r").getField(c).alias(c) for c in named])
 
-    left, right = old.select(F.struct(*old.columns).alias("was")), fresh.select(F.struct(*fresh.columns).alias("now"))
-    same = reduce(and_, [F.col(f"was.{c}").eqNullSafe(F.col(f"now.{c}")) for c in key])
-    both = left.join(right, same, "full")
-    known, arrived = F.col("was").isNotNull(), F.col("now").isNotNull()
+    # stored and arriving rows of a key meet in one shuffle, which ``deal`` may name so that the result is dealt by it
+    with_id = ["id"] if "id" in old.columns else []
+    lacking = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c)
+    stored, arriving = (df.select(*key, *[lacking(df, c) for c in [*with_id, *named]], F.lit(there).alias("__stored")) for df, there in ((old, True), (fresh, False)))
+    rows = stored.unionByName(arriving)
+    if deal is not None:
+        rows = rows.withColumn(DEALT, deal).repartition(DEALT)
+    dealt = [DEALT] if deal is not None else []
+    of = W.partitionBy(*dealt, *key)
+    taken = [c for c in named if c in kept or c in how.overwrite]
+    now = F.first(F.when(~F.col("__stored"), F.struct(F.lit(True).alias("__there"), *taken)), ignorenulls=True).over(of)
+    both = rows.withColumns({"__now": now, "__known": F.max("__stored").over(of)}).where("__stored or not __known")
+    known, arrived = F.col("__stored"), F.col("__now").isNotNull()
 
     def value(c: str) -> Column:
-        was, now = F.col(f"was.{c}") if c in old.columns else F.lit(None).cast(kinds[c]), F.col(f"now.{c}")
-        if c in how.overwrite:
-            return F.when(arrived, now).otherwise(was)
-        return F.coalesce(now, was) if c in kept else F.when(known, was).otherwise(now)
+        if c not in taken:
+            return F.col(c)
+        new_value = F.col("__now").getField(c)
+        return F.when(arrived, new_value).otherwise(F.col(c)) if c in how.overwrite else F.coalesce(new_value, c)
 
     change = F.when(~known, "inserted").when(arrived, "updated").otherwise("kept")
-    with_id = [F.col("was.id").alias("id")] if "id" in old.columns else []
-    out = both.select(*with_id, *[F.when(known, F.col(f"was.{c}")).otherwise(F.col(f"now.{c}")).alias(c) for c in key], *[value(c).alias(c) for c in named], change.alias("change"))
+    out = both.select(*dealt, *with_id, *key, *[value(c).alias(c) for c in named], change.alias("change"))
     for c, (inputs, v) in (how.computed or {}).items():
         out = out.withColumn(c, v if set(inputs) <= set(out.columns) else F.lit(None).cast("double"))
     if with_id:
@@ -125,7 +136,7 @@ def upsert(old: DataFrame, new: DataFrame, how: Rules, *, order: str | None = No
         new_rows = mint(inserted) if mint else minted(inserted, key, most + 1)
         out = out.where("change <> 'inserted'").unionByName(new_rows.withColumn("id", F.col("id").cast(kinds["id"])).select(*out.columns))
     computed = [c for c in how.computed or {} if c not in old.columns and c not in extra]
-    return out.select(*old.columns, *extra, *computed, "change")
+    return out.select(*old.columns, *extra, *computed, "change", *dealt)
 
 
 def _fs(spark, path: str):

@@ -266,3 +266,18 @@ def test_duplicates_without_all_pairs(spark):
     assert {tuple(r) for r in found.collect()} == {(3, 1), (5, 4), (2, None)} - {(2, None)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_dealt_upsert_meets_and_stays_in_one_shuffle(spark):
+    kind = "game_id long, team_id long, player_name string, minutes string, points int"
+    old = spark.createDataFrame([(1, 1, "Ana", "10:00", 5), (1, 1, "Ana", "11:00", 6), (None, 1, "Bea", "12:00", 7), (2, 1, "Eva", "13:00", 8)], kind)
+    new = spark.createDataFrame([(1, 1, "Ana", None, 9, 1), (1, 1, "Ana", "", 10, 2), (None, 1, "Bea", "01:00", None, 3), (3, 2, "Zoe", "02:00", 1, 4), (3, 2, "Zoe", None, 2, 5)], f"{kind}, ord int")
+    deal = F.pmod(F.xxhash64("game_id"), F.lit(4)).cast("int")
+    met = upsert.upsert(old, new, upsert.rules("boxscores"), order="ord", deal=deal)
+    plain = upsert.upsert(old, new, upsert.rules("boxscores"), order="ord")
+    want = {(1, 1, "Ana", "10:00", 10, "updated"), (1, 1, "Ana", "11:00", 10, "updated"), (None, 1, "Bea", "01:00", 7, "updated"), (2, 1, "Eva", "13:00", 8, "kept"), (3, 2, "Zoe", "02:00", 2, "inserted")}
+    for df in (met, plain):
+        got = [tuple(r) for r in df.select("game_id", "team_id", "player_name", "minutes", "points", "change").collect()]
+        assert len(got) == 5 and set(got) == want
+    spread = met.groupBy(upsert.DEALT).count()  # needs no other shuffle: those of the delivery's fold and of the deal
+    assert spread._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
