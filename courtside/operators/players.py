@@ -93,9 +93,13 @@ def streaks(
 
 
 def load(boxscores: DataFrame, window: DataFrame) -> DataFrame:
-    """Minutes of each player over the games of ``window(game_id, team_id)``."""
+    """Minutes of each player over the games of ``window(game_id, team_id)``, some days of games.
+
+    A player's games are added from the longest down, as doubles that are added as they come differ from run to run.
+    """
     rows = boxscores.join(window.select("game_id", "team_id").distinct(), ["game_id", "team_id"], "left_semi").withColumn("mins", S.parse_minutes(F.col("minutes"))).where("mins > 0")
-    return rows.groupBy(*PLAYER).agg(F.sum("mins").alias("total_minutes"), mean("mins").alias("avg_minutes"), F.count("*").alias("games"))
+    total = F.aggregate(F.sort_array(F.collect_list("mins"), asc=False), F.lit(0.0), lambda a, b: a + b)
+    return rows.groupBy(*PLAYER).agg(total.alias("total_minutes"), mean("mins").alias("avg_minutes"), F.count("*").alias("games"))
 
 
 def sliding_load(games: DataFrame, boxscores: DataFrame, days: int = 14) -> DataFrame:

@@ -268,6 +268,16 @@ def test_duplicates_without_all_pairs(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_load_is_added_in_one_order(spark, games):
+    """The same games of a player give the same total, in whatever order their rows come."""
+    clocks = ["20:06", "00:12", "33:18", "07:07", "11:11"]
+    for turn in range(5):
+        rows = [(k, 1, name, m) for name, order in (("up", clocks[turn:] + clocks[:turn]), ("down", clocks[::-1])) for k, m in enumerate(order)]
+        boxes = spark.createDataFrame(rows, "game_id long, team_id long, player_name string, minutes string").coalesce(1)
+        window = spark.range(5).select(F.col("id").alias("game_id"), F.lit(1).cast("long").alias("team_id"))
+        assert len({r.total_minutes for r in players.load(boxes, window).collect()}) == 1, turn
+
+
 def test_dealt_upsert_meets_and_stays_in_one_shuffle(spark):
     kind = "game_id long, team_id long, player_name string, minutes string, points int"
     old = spark.createDataFrame([(1, 1, "Ana", "10:00", 5), (1, 1, "Ana", "11:00", 6), (None, 1, "Bea", "12:00", 7), (2, 1, "Eva", "13:00", 8)], kind)
