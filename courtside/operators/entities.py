@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,14 +46,25 @@ def _alike(asked: DataFrame, known: DataFrame) -> DataFrame:
     """``(key, other)``: keys of ``asked`` long enough, and keys of ``known`` that hold them or are held by them."""
     long = asked.where(F.length("key") >= SHORTEST)
     within = contained(long, known).select(F.col("inner").alias("key"), F.col("outer").alias("other"))
-    around = contained(known, long).select(F.col("outer").alias("key"), F.col("inner").alias("other"))
-    return within.union(around).distinct()
+    around = contained(known, long).where("inner <> outer").select(F.col("outer").alias("key"), F.col("inner").alias("other"))
+    return within.union(around)
 
 
-def _named(opponents: DataFrame, teams: DataFrame) -> DataFrame:
+def _one(table: DataFrame, few: bool) -> DataFrame:
+    """``table`` as one partition, if its rows are few."""
+    return table.coalesce(1) if few else table
+
+
+def _sent(table: DataFrame, few: bool) -> DataFrame:
+    """``table`` to be broadcast, if its rows are few: the planner takes a join's result for as large as its sides' product."""
+    return table.hint("broadcast") if few else table
+
+
+def _named(opponents: DataFrame, teams: DataFrame, few: bool = False) -> DataFrame:
     """``(key, name_id)``: the team with the least id whose normal name holds the key or is held by it."""
     known = teams.select(names.team_key(F.col("name")).alias("key"), "id")
-    return _alike(opponents, known).join(known.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("id").alias("name_id"))
+    met = _one(_alike(opponents, known), few).join(_sent(known.withColumnRenamed("key", "other"), few), "other")
+    return _sent(met.groupBy("key").agg(F.min("id").alias("name_id")), few)
 
 
 def resolve(opponents: DataFrame, teams: DataFrame) -> DataFrame:
@@ -71,41 +82,61 @@ def resolve(opponents: DataFrame, teams: DataFrame) -> DataFrame:
 
 # --- a delivery, row by row ---------------------------------------------------------------------------
 
-#: Rows that make their team, and rows after which their team has their slug: those that bring one, and those that make it.
-_MADE = "(team.new = 1 AND team.at = at)"
-_SETS = f"(given OR {_MADE})"
+#: Rows up to which one task takes a round: dealing so few out, by team and by slug, takes longer than the round itself.
+SMALL = 4096
+
+#: Rows that make their team, and rows after which their team has their slug: those that bring one, those that make it,
+#: and (without ``at``, before all others) those that say who holds a slug at first.
+_MADE = "(team.new = 1 AND team.at <=> at)"
+_SETS = f"(at IS NULL OR given OR {_MADE})"
+_OWN = ["at", "slug", "given", "key", "name_id", "league", "first", "open"]
 
 
-def _stored(id_: Column) -> Column:
+def _stored(id_: str) -> str:
     """A stored team as a reference: stored ones come first, by id, then new ones in the order in which they came up."""
-    return F.when(id_.isNotNull(), F.struct(F.lit(0).alias("new"), id_.cast("long").alias("id"), F.lit(None).cast("struct<ord:bigint,opponent:string,slug:string>").alias("at")))
+    return f"IF({id_} IS NULL, NULL, struct(0 AS new, CAST({id_} AS bigint) AS id, CAST(NULL AS struct<ord: bigint, opponent: string, slug: string>) AS at))"
 
 
-def _fresh(at: Column) -> Column:
-    return F.when(at.isNotNull(), F.struct(F.lit(1).alias("new"), F.lit(None).cast("long").alias("id"), at.alias("at")))
+def _fresh(at: str) -> str:
+    return f"IF({at} IS NULL, NULL, struct(1 AS new, CAST(NULL AS bigint) AS id, {at} AS at))"
 
 
-def _stepped(state: DataFrame, near: DataFrame) -> DataFrame:
+def _saved(written: Written, table: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """A table written, and figures of it that are taken as it is written. With few rows it is read as one partition,
+    in which windows and groups need no shuffle."""
+    seen = Observation()
+    saved = written.save(table.observe(seen, F.count(F.lit(1)).alias("rows"), *[v.alias(k) for k, v in figures.items()]))
+    out = _one(saved, seen.get["rows"] <= SMALL)
+    out._written = saved._written
+    return out, seen.get
+
+
+def _led(state: DataFrame, near: DataFrame, few: bool) -> DataFrame:
+    """``state`` with ``leader``: of the rows that make a team whose name is near the row's, the first."""
+    made = state.where(_MADE).select(F.col("key").alias("other"), "at")
+    leaders = near.join(_sent(made, few), "other").groupBy("key").agg(F.min("at").alias("leader"))
+    return state.drop("leader").join(_sent(leaders, few), "key", "left")
+
+
+def _stepped(state: DataFrame) -> DataFrame:
     """Every row's team as it follows from the teams that ``state`` holds for the rows before it.
 
     Who holds a slug at a row: the team of the last row before it that set this slug, if no row in between set another
-    one on that team; without such a row the team that had the slug at first, if none before set another on it.
+    one on that team. ``torn`` tells of rows of ``state`` that may find another team when they come again: those whose
+    team is given several slugs, or another than that under which a row looks for it; and those whose slug some row sets
+    on a team that isn't theirs.
     """
-    back = W.partitionBy("team").orderBy(F.col("at").desc()).rowsBetween(W.unboundedPreceding, -1)
-    before = W.partitionBy("slug").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    seen = state.withColumn("until", F.min(F.when(F.expr(_SETS), F.col("at"))).over(back))
-    seen = seen.withColumn("last", F.last(F.when(F.expr(_SETS), F.struct("team", "until")), ignorenulls=True).over(before))
-    first = state.where(f"{_SETS} AND team.new = 0").groupBy(F.col("team.id").alias("slug_id")).agg(F.min("at").alias("left"))
-    made = state.where(_MADE).groupBy(F.col("key").alias("other")).agg(F.min("at").alias("made"))
-    leader = near.join(made, "other").groupBy("key").agg(F.min("made").alias("leader"))
-    seen = seen.join(first, "slug_id", "left").join(leader, "key", "left")
-    still = lambda end: end.isNull() | (end >= F.col("at"))
-    holder = F.when(F.col("last").isNotNull(), F.when(still(F.col("last.until")), F.col("last.team"))).when(still(F.col("left")), _stored(F.col("slug_id")))
-    named = F.coalesce(_stored(F.col("name_id")), F.when(F.col("leader") < F.col("at"), _fresh(F.col("leader"))))
-    team = F.coalesce(holder, named, _fresh(F.col("at")))
-    how = F.when(holder.isNotNull(), "slug").when(named.isNotNull(), "name").otherwise("new")
-    own = ["at", "slug", "given", "key", "slug_id", "name_id"]
-    return seen.select(*own, team.alias("team"), how.alias("found_by"), (~team.eqNullSafe(F.col("team"))).alias("moved"))
+    by_team, by_slug = (f"OVER (PARTITION BY {k} ORDER BY at {way} ROWS BETWEEN UNBOUNDED PRECEDING AND" for k, way in (("team", "DESC"), ("slug", "ASC")))
+    before, whole = "1 PRECEDING)", "UNBOUNDED FOLLOWING)"
+    seen = state.selectExpr(*_OWN, "leader", "team", f"{_SETS} AS sets", f"{_MADE} AS made")
+    seen = seen.selectExpr("*", f"min(IF(sets, at, NULL)) {by_team} {before} AS until", *[f"{f}(IF(sets, slug, NULL)) {by_team} {whole} AS {f}_slug" for f in ("min", "max")])
+    seen = seen.selectExpr("*", f"last(IF(sets, struct(team, until), NULL), true) {by_slug} {before} AS last", *[f"{f}(IF(sets AND at IS NOT NULL, team, NULL)) {by_slug} {whole} AS {f}_team" for f in ("min", "max")])
+    torn = "at IS NOT NULL AND (coalesce(min_slug <> max_slug, false) OR coalesce(min_team <> max_team, false) OR coalesce(min_team <> team, false)) AS torn"
+    named = f"coalesce({_stored('name_id')}, IF(leader < at, {_fresh('leader')}, NULL)) AS named"
+    seen = seen.selectExpr(*_OWN, "leader", "made", "team AS was", torn, "IF(last.until IS NULL OR last.until >= at, last.team, NULL) AS holder", named)
+    now = f"IF(at IS NULL, was, coalesce(holder, named, {_fresh('at')})) AS team"
+    how = "CASE WHEN holder IS NOT NULL THEN 'slug' WHEN named IS NOT NULL THEN 'name' ELSE 'new' END AS found_by"
+    return seen.selectExpr("*", now, how).selectExpr(*_OWN, "leader", "team", "found_by", "torn", "NOT team <=> was AS moved", f"made <> {_MADE} AS remade")
 
 
 def settle(delivery: DataFrame, teams: DataFrame, order: str = "src_ord") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -125,78 +156,68 @@ def settle(delivery: DataFrame, teams: DataFrame, order: str = "src_ord") -> tup
 
     The order is not walked through. All rows guess their team, and correct it from the guesses of the rows before
     them until nothing moves: a row is right one round after those that it depends on. Only the first row of each pair
-    takes part, and all rows of pairs whose team or slug moves, as no other repeated row changes anything.
+    takes part, and all rows of pairs whose team or slug moves, as no other repeated row changes anything. A round is one
+    pass by team and one by slug; who leads a name is only asked again after rounds in which other rows make teams.
     """
-    spark = delivery.sparkSession
-    written = Written(spark, "settle")
+    written = Written(delivery.sparkSession, "settle")
     slug = F.coalesce("opponent_slug", F.lit(""))
     league = F.col("league") if "league" in delivery.columns else F.lit(None).cast("string")
     rows = delivery.where("trim(coalesce(opponent, '')) <> ''").select(F.col(order).cast("long").alias("ord"), "opponent", slug.alias("given_slug"), league.alias("league"))
     rows = written.save(rows.groupBy("ord", "opponent", "given_slug").agg(F.min("league").alias("league")))
-    pairs = rows.groupBy("opponent", "given_slug").agg(F.min("ord").alias("ord"))
+    columns, id_type = teams.columns, teams.schema["id"].dataType
+    teams, of_teams = _saved(written, teams, most=F.max("id").cast("long"))
+
+    pairs = rows.groupBy("opponent", "given_slug").agg(F.min("ord").alias("ord"), F.min_by("league", "ord").alias("league"))
+    pairs, of_pairs = _saved(written, pairs)
+    few = of_pairs["rows"] + of_teams["rows"] <= SMALL
     pairs = pairs.withColumn("key", names.team_key(F.col("opponent")))
     pairs = pairs.withColumn("given", F.col("given_slug") != "").withColumn("slug", F.when(F.col("given"), F.col("given_slug")).otherwise(F.col("key")))
+    pairs, _ = _saved(written, pairs)
     holders = teams.groupBy("slug").agg(F.min("id").cast("long").alias("slug_id"))
-    pairs = written.save(pairs.join(holders, "slug", "left").join(_named(pairs, teams).select("key", F.col("name_id").cast("long").alias("name_id")), "key", "left"))
+    known = pairs.join(holders, "slug", "left").join(_named(pairs, teams, few).select("key", F.col("name_id").cast("long").alias("name_id")), "key", "left")
+    at = "struct(ord, opponent, given_slug AS slug) AS at"
+    guess = f"coalesce({_stored('slug_id')}, {_stored('name_id')}, {_fresh('at')}) AS team"
+    state = known.selectExpr("*", at).selectExpr("at", "slug", "given", "key", "name_id", "league", "true AS first", "false AS open", guess)
+    held = holders.join(pairs.select("slug").distinct(), "slug").selectExpr("slug", f"{_stored('slug_id')} AS team")
+    state, seen = _saved(written, state.unionByName(held, allowMissingColumns=True))
     # names that no stored team has: who of them would be whose team
-    unknown = pairs.where("name_id is null").select("key").distinct()
-    near = written.save(_alike(unknown, unknown))
+    unknown = state.where("at is not null and name_id is null").select("key").distinct()
+    near, of_near = _saved(written, _alike(unknown, unknown))
 
-    at = F.struct("ord", "opponent", F.col("given_slug").alias("slug")).alias("at")
-    own = ["slug", "given", "key", "slug_id", "name_id"]
-    open_ = solved = None
+    remade, any_ = True, lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     while True:
-        if open_ is None:
-            state = pairs.select(at, *own)
-        else:
-            every = rows.join(open_, ["opponent", "given_slug"]).join(pairs.drop("ord"), ["opponent", "given_slug"]).select(at, *own)
-            state = pairs.join(open_, ["opponent", "given_slug"], "left_anti").select(at, *own).union(every)
-        guess = F.coalesce(_stored(F.col("slug_id")), _stored(F.col("name_id")), _fresh(F.col("at")))
-        if open_ is not None:  # what was found before is nearer
-            was = solved.groupBy(F.col("at.opponent").alias("o"), F.col("at.slug").alias("s")).agg(F.min_by("team", "at").alias("was"))
-            state = state.join(was, (F.col("at.opponent") == F.col("o")) & (F.col("at.slug") == F.col("s")), "left")
-            guess = F.coalesce("was", guess)
-        state = written.save(state.select("at", *own, guess.alias("team")))
-        while True:
-            before, state = state, written.save(_stepped(state, near))
-            written.drop(before)
-            if not state.where("moved").limit(1).count():
-                break
-        # rows whose team is given several slugs, or another than that under which a row looks for it, may find another
-        # team when they come again; so may rows whose slug some row sets on a team that isn't theirs
-        sets = state.where(_SETS).select("team", "slug")
-        asked_for = state.where(F.col("slug_id").isNotNull()).select(_stored(F.col("slug_id")).alias("team"), "slug")
-        several = sets.union(asked_for).groupBy("team").agg((F.min("slug") != F.max("slug")).alias("several")).where("several").select("team", "several")
-        owners = sets.groupBy("slug").agg(F.min("team").alias("least"), F.max("team").alias("most"))
-        judged = state.join(several, "team", "left").join(owners, "slug", "left")
-        torn = judged.where("several OR least <> most OR least <> team").select(F.col("at.opponent").alias("opponent"), F.col("at.slug").alias("given_slug")).distinct()
-        more = torn if open_ is None else torn.union(open_).distinct()
-        more = written.save(more)
-        if more.count() == (open_.count() if open_ is not None else 0):
+        few = seen["rows"] + of_near["rows"] <= SMALL
+        step, seen = _saved(written, _stepped(_led(state, near, few) if remade else state), moved=any_(F.col("moved")), remade=any_(F.col("remade")), torn=any_(F.expr("torn and not open")))
+        written.drop(state)
+        state, remade = step, seen["remade"]
+        if not seen["moved"] and seen["torn"]:
+            # every row of the pairs that turned out torn takes part from here on, with the team of the first at first
+            kept = state.where("open or not torn").select(*_OWN, "leader", "team")
+            again = state.where("torn and not open").selectExpr("at.opponent", "at.slug AS given_slug", "at.ord AS first_ord", "slug", "given", "key", "name_id", "leader", "team")
+            every = rows.join(again, ["opponent", "given_slug"]).selectExpr("*", at, "ord = first_ord AS first", "true AS open")
+            state, seen = _saved(written, kept.unionByName(every.select(*kept.columns)))
+            written.drop(step)
+        elif not seen["moved"]:
             break
-        open_, solved = more, state
 
     # the teams: last slug set on each, and new ones numbered
-    last = state.where(_SETS).groupBy("team").agg(F.max_by("slug", "at").alias("new_slug"))
-    most = teams.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    made = state.where(_MADE).select("team", F.col("at.ord").alias("ord"), F.col("at.opponent").alias("name"), F.col("at.slug").alias("given_slug"), "at")
-    numbered = ranked(made, "rank", [F.asc("at")], F.floor(F.col("ord") / 65536))
-    numbered = written.save(numbered.join(last, "team").join(rows.withColumnRenamed("opponent", "name"), ["ord", "name", "given_slug"]).select("team", (F.lit(most) + F.col("rank")).cast("long").alias("team_id"), "name", "new_slug", "league"))
+    last, _ = _saved(written, state.where(f"at is not null and {_SETS}").groupBy("team").agg(F.max_by("slug", "at").alias("new_slug"), F.min_by("league", "at").alias("new_league")))
+    most = of_teams["most"] or 0
+    made = ranked(last.where("team.new = 1").select("team.at", "new_slug", "new_league"), "rank", [F.asc("at")], F.floor(F.col("at.ord") / 65536))
+    numbered, _ = _saved(written, made.select("at", (F.lit(most) + F.col("rank")).cast("long").alias("team_id"), "new_slug", "new_league"))
     migrated = last.where("team.new = 0").select(F.col("team.id").alias("__id"), "new_slug")
-    kept = teams.join(migrated, teams["id"] == F.col("__id"), "left").withColumn("slug", F.coalesce("new_slug", "slug")).select(*teams.columns)
-    fresh = numbered.select(F.col("team_id").cast(teams.schema["id"].dataType).alias("id"), F.col("new_slug").alias("slug"), "name", F.coalesce("league", F.lit("")).alias("league"))
-    fresh = fresh.select(*[c for c in fresh.columns if c in teams.columns])
-    every_team = written.save(kept.unionByName(fresh, allowMissingColumns=True))
-
-    ids = state.join(numbered.select("team", "team_id"), "team", "left").select("at", F.coalesce("team.id", "team_id").alias("team_id"), "found_by")
-    found = ids.select(F.col("at.ord").alias("ord"), F.col("at.opponent").alias("opponent"), F.col("at.slug").alias("given_slug"), "team_id", "found_by")
-    first = written.save(found.join(pairs.select("opponent", "given_slug", "ord"), ["opponent", "given_slug", "ord"], "left_semi"))
-    single = rows.join(first.select("opponent", "given_slug", "team_id"), ["opponent", "given_slug"])
-    if open_ is not None:
-        single = single.join(open_, ["opponent", "given_slug"], "left_anti").select("ord", "opponent", "given_slug", "team_id")
-        single = single.union(found.join(open_, ["opponent", "given_slug"], "left_semi").select("ord", "opponent", "given_slug", "team_id"))
+    kept = teams.join(migrated, teams["id"] == F.col("__id"), "left").withColumn("slug", F.coalesce("new_slug", "slug")).select(*columns)
+    fresh = numbered.select(F.col("team_id").cast(id_type).alias("id"), F.col("new_slug").alias("slug"), F.col("at.opponent").alias("name"), F.coalesce("new_league", F.lit("")).alias("league"))
+    fresh = fresh.select(*[c for c in fresh.columns if c in columns])
+    every_team = kept.unionByName(fresh, allowMissingColumns=True)
+
+    of_new = numbered.select(F.col("at").alias("made_at"), F.col("team_id").alias("new_id"))
+    ids = state.where("at is not null").join(of_new, F.col("team.at") == F.col("made_at"), "left")
+    ids = written.save(ids.select("at.ord", "at.opponent", F.col("at.slug").alias("given_slug"), F.coalesce("team.id", "new_id").alias("team_id"), "found_by", "first", "open"))
+    single = rows.join(ids.where("not open").select("opponent", "given_slug", "team_id"), ["opponent", "given_slug"])
+    resolved = single.select("ord", "opponent", "given_slug", "team_id").union(ids.where("open").select("ord", "opponent", "given_slug", "team_id"))
     out = lambda df, *more: df.select(F.col("ord").alias(order), "opponent", F.col("given_slug").alias("opponent_slug"), "team_id", *more)
-    return written.save(out(single)), every_team, out(first, "found_by")
+    return out(resolved), every_team, out(ids.where("first"), "found_by")
 
 
 # --- teams that are one -------------------------------------------------------------------------------

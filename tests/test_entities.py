@@ -113,3 +113,31 @@ def test_a_shared_word_makes_no_pairs(spark):
     assert {tuple(r) for r in entities.contained(short, short).collect()} == {("a", "a"), ("a", "ab"), ("a", "xab"), ("a", "abcd"), ("ab", "ab"), ("ab", "xab"), ("ab", "abcd"), ("xab", "xab"), ("abcd", "abcd")}
     seen = entities.candidates(keys, keys).count()
     assert seen < 20_000 * 40
+
+
+def test_few_rows_take_their_rounds_without_a_shuffle(spark, monkeypatch):
+    """Sixty random deliveries at once: equal to one by one, and no round deals its rows out, though the
+    planner takes its joins for large."""
+    rng, plans, save = random.Random(5), [], entities.Written.save
+    rows, teams, want = [], [], ({}, {}, {})
+    for d in range(60):
+        letters = [chr(0x4E00 + 3 * d + k) for k in range(3)]
+        word = lambda lo, hi, letters=letters: "".join(rng.choices(letters, k=rng.randint(lo, hi)))
+        slugs, names_ = sorted({word(1, 2) + "!" for _ in range(4)}), [word(3, 7) for _ in range(5)]
+        own = [{"id": d * 100 + k, "slug": s, "name": word(2, 6)} for k, s in enumerate(slugs[:2])]
+        mine = [(d * 100 + k, rng.choice(names_) + rng.choice(["", " ", "-"]), rng.choice([*slugs, key(names_[0]), "", ""])) for k in range(16)]
+        rows, teams = rows + mine, teams + own
+        for w, r in zip(want, one_by_one(mine, own)):
+            w.update(r)
+
+    def saved(self, df):
+        plans.extend([df._jdf.queryExecution().executedPlan().toString()] * (not {"team", "found_by"} - {*df.columns} and "at" in df.columns))
+        return save(self, df)
+
+    monkeypatch.setattr(entities.Written, "save", saved)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        assert settled(spark, rows, teams) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) > 2 and not any("Exchange hashpartitioning" in p for p in plans)
