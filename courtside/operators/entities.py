@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,6 +89,9 @@ def resolve(opponents: DataFrame, teams: DataFrame) -> DataFrame:
 #: Rows up to which one task takes a round: dealing so few out, by team and by slug, takes longer than the round itself.
 SMALL = 4096
 
+#: Rows up to which one task, with names as few, walks through a delivery before a round.
+WALKED = 64 * SMALL
+
 #: Rows that make their team, and rows after which their team has their slug: those that bring one, those that make it,
 #: and (without ``at``, before all others) those that say who holds a slug at first.
 _MADE = "(team.new = 1 AND team.at <=> at)"
@@ -139,6 +146,62 @@ def _stepped(state: DataFrame) -> DataFrame:
     return seen.selectExpr("*", now, how).selectExpr(*_OWN, "leader", "team", "found_by", "torn", "NOT team <=> was AS moved", f"made <> {_MADE} AS remade")
 
 
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in their order, after the stored teams (rows without ``at`` and ``team``): what each finds at its turn.
+
+    Held are the names of all teams and their slugs, not the rows.
+    """
+    teams, keys, slugs, holder, seen = [], [], [], {}, {}
+
+    def add(key: str, slug: str | None, team: dict) -> int:
+        teams.append(team)
+        keys.append(key)
+        slugs.append(slug)
+        if slug is not None:
+            holder.setdefault(slug, len(teams) - 1)
+        return len(teams) - 1
+
+    def near(key: str) -> int | None:
+        """The first team whose name holds the key or is held by it; only teams that are new since are looked at again."""
+        upto, found = seen.get(key, (0, None))
+        if found is None and len(key) >= SHORTEST:
+            found = next((i for i in range(upto, len(keys)) if keys[i] and (key in keys[i] or keys[i] in key)), None)
+            seen[key] = len(keys), found
+        return found
+
+    for batch in batches:
+        whose, named = [], []
+        has_turn, has_team = (batch[c].is_valid() for c in ("at", "team"))
+        columns = [has_turn, has_team, *(batch[c] for c in ("slug", "key", "given", "name_id"))]
+        for place, (turn, held, slug, key, given, id_) in enumerate(zip(*[c.to_pylist() for c in columns])):
+            if not turn and not held:
+                add(key, slug, {"new": 0, "id": id_, "at": None})
+                continue
+            team, like = holder.get(slug), near(key) if turn else None
+            if team is None and like is None:
+                team = add(key, slug, {"new": 1, "id": None, "at": batch["at"][place].as_py()})
+            elif team is None:
+                team = like
+                if given:
+                    if holder.get(slugs[team]) == team:
+                        del holder[slugs[team]]
+                    slugs[team], holder[slug] = slug, team
+            whose.append(team)
+            named.append(like)
+        out = batch.filter(pc.or_(has_turn, has_team))
+        all_, named = pa.array(teams, out.schema.field("team").type), pa.array(named, pa.int64())
+        found = {"team": all_.take(pa.array(whose, pa.int64())), "name_id": all_.field("id").take(named), "leader": all_.field("at").take(named)}
+        yield pa.RecordBatch.from_arrays([found.get(c, out[c]) for c in out.schema.names], schema=out.schema)
+
+
+def _walked(state: DataFrame, teams: DataFrame) -> DataFrame:
+    """``state``, of few rows, with the team that each finds when they come one by one, as one task walks through them."""
+    state = state.select(*_OWN, "leader", "team")
+    stored = teams.select("slug", names.team_key(F.col("name")).alias("key"), F.col("id").cast("long").alias("name_id"))
+    rows = state.unionByName(stored, allowMissingColumns=True).coalesce(1)
+    return rows.sortWithinPartitions("at", F.asc_nulls_last("name_id")).mapInArrow(_walk, state.schema)
+
+
 def settle(delivery: DataFrame, teams: DataFrame, order: str = "src_ord") -> tuple[DataFrame, DataFrame, DataFrame]:
     """What storing a delivery's opponents one by one, in the order of ``order``, makes of them and of ``teams``.
 
@@ -158,6 +221,7 @@ def settle(delivery: DataFrame, teams: DataFrame, order: str = "src_ord") -> tup
     them until nothing moves: a row is right one round after those that it depends on. Only the first row of each pair
     takes part, and all rows of pairs whose team or slug moves, as no other repeated row changes anything. A round is one
     pass by team and one by slug; who leads a name is only asked again after rounds in which other rows make teams.
+    Where rows and names are few, one task walks through them for the guess, and a round only confirms it.
     """
     written = Written(delivery.sparkSession, "settle")
     slug = F.coalesce("opponent_slug", F.lit(""))
@@ -168,28 +232,41 @@ def settle(delivery: DataFrame, teams: DataFrame, order: str = "src_ord") -> tup
     teams, of_teams = _saved(written, teams, most=F.max("id").cast("long"))
 
     pairs = rows.groupBy("opponent", "given_slug").agg(F.min("ord").alias("ord"), F.min_by("league", "ord").alias("league"))
-    pairs, of_pairs = _saved(written, pairs)
-    few = of_pairs["rows"] + of_teams["rows"] <= SMALL
     pairs = pairs.withColumn("key", names.team_key(F.col("opponent")))
     pairs = pairs.withColumn("given", F.col("given_slug") != "").withColumn("slug", F.when(F.col("given"), F.col("given_slug")).otherwise(F.col("key")))
-    pairs, _ = _saved(written, pairs)
+    pairs, seen = _saved(written, pairs)
+    few = seen["rows"] + of_teams["rows"] <= SMALL
     holders = teams.groupBy("slug").agg(F.min("id").cast("long").alias("slug_id"))
-    known = pairs.join(holders, "slug", "left").join(_named(pairs, teams, few).select("key", F.col("name_id").cast("long").alias("name_id")), "key", "left")
+    held = holders.join(_sent(pairs.select("slug").distinct(), few), "slug").selectExpr("slug", f"{_stored('slug_id')} AS team")
     at = "struct(ord, opponent, given_slug AS slug) AS at"
-    guess = f"coalesce({_stored('slug_id')}, {_stored('name_id')}, {_fresh('at')}) AS team"
-    state = known.selectExpr("*", at).selectExpr("at", "slug", "given", "key", "name_id", "league", "true AS first", "false AS open", guess)
-    held = holders.join(pairs.select("slug").distinct(), "slug").selectExpr("slug", f"{_stored('slug_id')} AS team")
-    state, seen = _saved(written, state.unionByName(held, allowMissingColumns=True))
-    # names that no stored team has: who of them would be whose team
-    unknown = state.where("at is not null and name_id is null").select("key").distinct()
-    near, of_near = _saved(written, _alike(unknown, unknown))
-
-    remade, any_ = True, lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    if few:
+        state = pairs.selectExpr("*", at, "CAST(NULL AS bigint) AS name_id", "true AS first", "false AS open", f"{_fresh('NULL')} AS team")
+    else:
+        known = pairs.join(holders, "slug", "left").join(_named(pairs, teams).select("key", F.col("name_id").cast("long").alias("name_id")), "key", "left")
+        state = known.selectExpr("*", at, "true AS first", "false AS open").withColumn("team", F.expr(f"coalesce({_stored('slug_id')}, {_stored('name_id')}, {_fresh('at')})"))
+    leader = F.lit(None).cast(state.schema["at"].dataType).alias("leader")
+    state = state.select(*_OWN, leader, "team").unionByName(held, allowMissingColumns=True)
+    if not few:
+        state, seen = _saved(written, state)
+
+    near, any_ = None, lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    remade = True
     while True:
-        few = seen["rows"] + of_near["rows"] <= SMALL
-        step, seen = _saved(written, _stepped(_led(state, near, few) if remade else state), moved=any_(F.col("moved")), remade=any_(F.col("remade")), torn=any_(F.expr("torn and not open")))
-        written.drop(state)
-        state, remade = step, seen["remade"]
+        walk = few and seen["rows"] <= WALKED
+        if walk:
+            guess = _walked(state, teams)
+        elif remade:
+            if near is None:
+                # names that no stored team has: who of them would be whose team
+                unknown = state.where("at is not null and name_id is null").select("key").distinct()
+                near, of_near = _saved(written, _alike(unknown, unknown))
+            guess = _led(state, near, seen["rows"] + of_near["rows"] <= SMALL)
+        else:
+            guess = state
+        step, seen = _saved(written, _stepped(guess), moved=any_(F.col("moved")), remade=any_(F.col("remade")), torn=any_(F.expr("torn and not open")))
+        if hasattr(state, "_written"):
+            written.drop(state)
+        state, remade = step, walk or seen["remade"]  # whom a walk has not met yet may still lead
         if not seen["moved"] and seen["torn"]:
             # every row of the pairs that turned out torn takes part from here on, with the team of the first at first
             kept = state.where("open or not torn").select(*_OWN, "leader", "team")
@@ -200,11 +277,15 @@ def settle(delivery: DataFrame, teams: DataFrame, order: str = "src_ord") -> tup
         elif not seen["moved"]:
             break
 
-    # the teams: last slug set on each, and new ones numbered
-    last, _ = _saved(written, state.where(f"at is not null and {_SETS}").groupBy("team").agg(F.max_by("slug", "at").alias("new_slug"), F.min_by("league", "at").alias("new_league")))
+    # the teams: last slug set on each, and new ones numbered; what is few is made twice sooner than written
+    few = seen["rows"] <= WALKED
+    last = state.where(f"at is not null and {_SETS}").groupBy("team").agg(F.max_by("slug", "at").alias("new_slug"), F.min_by("league", "at").alias("new_league"))
+    last = last if few else written.save(last)
     most = of_teams["most"] or 0
-    made = ranked(last.where("team.new = 1").select("team.at", "new_slug", "new_league"), "rank", [F.asc("at")], F.floor(F.col("at.ord") / 65536))
-    numbered, _ = _saved(written, made.select("at", (F.lit(most) + F.col("rank")).cast("long").alias("team_id"), "new_slug", "new_league"))
+    made = last.where("team.new = 1").select("team.at", "new_slug", "new_league")
+    made = _one(made, few).withColumn("rank", F.row_number().over(W.orderBy("at"))) if few else ranked(made, "rank", [F.asc("at")], F.floor(F.col("at.ord") / 65536))
+    numbered = made.select("at", (F.lit(most) + F.col("rank")).cast("long").alias("team_id"), "new_slug", "new_league")
+    numbered = numbered if few else written.save(numbered)
     migrated = last.where("team.new = 0").select(F.col("team.id").alias("__id"), "new_slug")
     kept = teams.join(migrated, teams["id"] == F.col("__id"), "left").withColumn("slug", F.coalesce("new_slug", "slug")).select(*columns)
     fresh = numbered.select(F.col("team_id").cast(id_type).alias("id"), F.col("new_slug").alias("slug"), F.col("at.opponent").alias("name"), F.coalesce("new_league", F.lit("")).alias("league"))

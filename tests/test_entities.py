@@ -141,3 +141,40 @@ def test_few_rows_take_their_rounds_without_a_shuffle(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(plans) > 2 and not any("Exchange hashpartitioning" in p for p in plans)
+
+
+def _deliveries(rng, n):
+    """Random deliveries, each in an alphabet of its own, with much said again later."""
+    rows, teams = [], []
+    for d in range(n):
+        letters = [chr(0x4E00 + 3 * d + k) for k in range(3)]
+        word = lambda lo, hi, letters=letters: "".join(rng.choices(letters, k=rng.randint(lo, hi)))
+        slugs, names_ = sorted({word(1, 2) + "!" for _ in range(4)}), [word(3, 7) for _ in range(5)]
+        teams += [{"id": d * 100 + k, "slug": s, "name": word(2, 6)} for k, s in enumerate(slugs[:2])]
+        rows += [(d * 100 + k, rng.choice(names_) + rng.choice(["", " ", "-"]), rng.choice([*slugs, key(names_[0]), "", ""])) for k in range(40)]
+    return rows, teams
+
+
+def test_few_rows_are_walked_through_in_few_writes(spark, monkeypatch):
+    """A chain of forty rows, each of which finds its team by what the one before has set, takes no round for each."""
+    rows = [(k, "Alpha " + "x" * (40 - k), f"s{k}") for k in range(40)]
+    teams, writes, save = [{"id": 1, "slug": "a", "name": "Sol"}], [], entities.Written.save
+    monkeypatch.setattr(entities.Written, "save", lambda self, df: writes.append(df.columns) or save(self, df))
+    assert settled(spark, rows, teams) == one_by_one(rows, teams)
+    rows, teams = _deliveries(random.Random(23), 20)
+    assert settled(spark, rows, teams) == one_by_one(rows, teams)
+    assert len(writes) <= 24
+
+
+def test_rows_that_are_too_many_to_walk_through_go_on_in_rounds(spark, monkeypatch):
+    """Few pairs, whose repeated rows are many: the same teams, though the walk met some before their leaders."""
+    rows, teams = _deliveries(random.Random(29), 40)
+    assert len({r[1:] for r in rows}) < len(rows)
+    pairs = len({r[1:] for r in rows}) + len(teams)
+    monkeypatch.setattr(entities, "WALKED", pairs + 1)
+    walked = []
+    monkeypatch.setattr(entities, "_walked", lambda *a, f=entities._walked: walked.append(1) or f(*a))
+    led = []
+    monkeypatch.setattr(entities, "_led", lambda *a, f=entities._led: led.append(1) or f(*a))
+    assert settled(spark, rows, teams) == one_by_one(rows, teams)
+    assert walked and led
