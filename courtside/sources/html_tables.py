@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 from html import unescape
 from html.parser import HTMLParser
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,64 +33,115 @@ HEADER_ALIASES = {"MIN": "MP", "TO": "TOV", "FGM": "FG", "3PM": "3P", "FTM": "FT
 
 # Markup without anything unusual: known tags with quoted attributes, comments without a "--" inside.
 _NAMES = "table|thead|tbody|tfoot|caption|tr|td|th|a|html|body|div|p|span|b|i|u|em|strong|small|sup|sub|h[1-6]|ul|ol|li|br"
-_MARKUP = rf"""<(?:(?P<end>/)(?P<ended>{_NAMES})\s*+|(?P<begun>{_NAMES})(?P<attrs>(?:\s++[a-zA-Z][a-zA-Z-]*+="[^"<>&]*+")*+)\s*+|!--(?!-?>)(?P<comment>(?:[^-]|-(?!-))*+)--)>"""
-_PLAIN = re.compile(r"[^<]*+(?:" + re.sub(r"\?P<\w+>", "?:", _MARKUP) + r"[^<]*+)*+", re.IGNORECASE)
-_TOKENS = re.compile(_MARKUP + r"([^<]*+)", re.IGNORECASE)
+_QUOTED = r"""(?:\s++[a-zA-Z][a-zA-Z-]*+="[^"<>&]*+")*+"""
+_MARKUP = rf"""<(?:(?P<end>/)(?P<ended>{_NAMES})\s*+|(?P<begun>{_NAMES})(?P<attrs>{_QUOTED})\s*+|!--(?!-?>)(?P<comment>[^-]*+(?:-(?!-)[^-]*+)*+)--)>"""
+# A row of cells that hold nothing but text and have no attributes is one token, and so is such a cell that has some.
+# Where a match may fail behind a group there are no possessive quantifiers in it: Python's re loses the group's span.
+_BARE = "|".join(rf"<tr>(?P<{t}s><{t}>[^<]*(?:</{t}><{t}>[^<]*)*)</{t}></tr>" for t in ("td", "th"))
+_PLAIN = re.compile(r"[^<]*+(?:(?:" + re.sub(r"\?P<\w+>", "?:", rf"(?-i:{_BARE})|{_MARKUP}") + r")[^<]*+)*+", re.IGNORECASE)
+_TOKENS = re.compile(rf"(?:(?-i:{_BARE})|<(t[dh])({_QUOTED.replace("++", "+").replace("*+", "*")})\s*>([^<]*)</t[dh]\s*+>|{_MARKUP})([^<]*+)", re.IGNORECASE)
 _ATTRS = re.compile(r'([a-zA-Z-]+)="([^"]*)"')
 
 
-def _read(parser: HTMLParser, html: str) -> HTMLParser:
-    """``parser`` after the page. Plain markup is cut into tags by a pattern, several times as fast; any other goes
+class _Reader(HTMLParser):
+    """A parser that also reads plain markup, cut into tags by a pattern, several times as fast; any other page goes
     through the parser's own reading. Both call the same handlers in the same order."""
-    if not _PLAIN.fullmatch(html):
-        parser.feed(html)
-        parser.close()
-        return parser
-    first = html.find("<")
-    if first:
-        parser.handle_data(unescape(html if first < 0 else html[:first]))
-    for end, ended, begun, attrs, comment, text in _TOKENS.findall(html):
-        if begun:
-            parser.handle_starttag(begun.lower(), [(k.lower(), v) for k, v in _ATTRS.findall(attrs)] if attrs else [])
-        elif end:
-            parser.handle_endtag(ended.lower())
-        else:
-            parser.handle_comment(comment)
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+
+    def read(self, html: str) -> _Reader:
+        if not _PLAIN.fullmatch(html):
+            self.feed(html)
+            self.close()
+            return self
+        attributes = lambda attrs: [(k.lower(), v) for k, v in _ATTRS.findall(attrs)] if attrs else []
+        first = html.find("<")
+        if first:
+            self.handle_data(unescape(html if first < 0 else html[:first]))
+        for tds, ths, cell, its, inside, end, ended, begun, attrs, comment, text in _TOKENS.findall(html):
+            if tds or ths:
+                tag, texts = ("td", tds[4:]) if tds else ("th", ths[4:])
+                cells = texts.split(f"</{tag}><{tag}>")
+                self.handle_row(tag, [unescape(x) for x in cells] if "&" in texts else cells)
+            elif cell:
+                self.handle_cell(cell.lower(), attributes(its), unescape(inside) if "&" in inside else inside)
+            elif begun:
+                self.handle_starttag(begun.lower(), attributes(attrs))
+            elif end:
+                self.handle_endtag(ended.lower())
+            else:
+                self.handle_comment(comment)
+            if text:
+                self.handle_data(unescape(text) if "&" in text else text)
+        return self
+
+    def handle_row(self, tag: str, texts: list[str]) -> None:
+        self.handle_starttag("tr", [])
+        for text in texts:
+            self.handle_cell(tag, [], text)
+        self.handle_endtag("tr")
+
+    def handle_cell(self, tag: str, attrs: list, text: str) -> None:
+        self.handle_starttag(tag, attrs)
         if text:
-            parser.handle_data(unescape(text) if "&" in text else text)
-    return parser
+            self.handle_data(text)
+        self.handle_endtag(tag)
+
 
+#: What tables and cells hold, in this order. A row is its class, whether it is in the head, and its cells column by column.
+_TABLE, _CELL = ("table_id", "caption", "headers", "rows"), ("text", "stat", "href", "header")
 
-class _Tables(HTMLParser):
-    """Collects tables as nested dictionaries; a comment that holds a table is parsed like the page."""
+
+class _Tables(_Reader):
+    """Collects tables as nested lists; a comment that holds a table is parsed like the page."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.tables: list[dict] = []
-        self.hidden: list[dict] = []
-        self.open: list[dict] = []
+        super().__init__()
+        self.tables: list[list] = []
+        self.hidden: list[list] = []
+        self.open: list[list] = []
         self.head = self.caption = False
-        self.cell: dict | None = None
+        self.cell: tuple | None = None  # the row whose last cell is open
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         if tag == "table":
-            self.open.append({"table_id": a.get("id", ""), "caption": "", "headers": [], "rows": []})
+            self.open.append([a.get("id", ""), "", [], []])
             self.tables.append(self.open[-1])
         if not self.open:
             return
-        table = self.open[-1]
+        rows = self.open[-1][3]
         if tag in ("thead", "tbody", "tfoot"):
             self.head = tag == "thead"
         elif tag == "caption":
             self.caption = True
         elif tag == "tr":
-            table["rows"].append({"css": a.get("class", ""), "head": self.head, "cells": []})
-        elif tag in ("td", "th") and table["rows"]:
-            self.cell = {"text": "", "stat": a.get("data-stat", ""), "href": None, "header": tag == "th"}
-            table["rows"][-1]["cells"].append(self.cell)
-        elif tag == "a" and self.cell is not None and self.cell["href"] is None:
-            self.cell["href"] = a.get("href")
+            rows.append((a.get("class", ""), self.head, [], [], [], []))
+        elif tag in ("td", "th") and rows:
+            self.cell = rows[-1]
+            self._add("", a.get("data-stat", ""), None, tag == "th")
+        elif tag == "a" and self.cell is not None and self.cell[4][-1] is None:
+            self.cell[4][-1] = a.get("href")
+
+    def _add(self, *cell) -> None:
+        for column, value in zip(self.open[-1][3][-1][2:], cell):
+            column.append(value)
+
+    def handle_row(self, tag, texts):
+        if not self.open:
+            super().handle_row(tag, texts)
+            return
+        n = len(texts)
+        self.open[-1][3].append(("", self.head, texts, [""] * n, [None] * n, [tag == "th"] * n))
+        self.cell = None
+
+    def handle_cell(self, tag, attrs, text):
+        if not self.open or not self.open[-1][3]:
+            super().handle_cell(tag, attrs, text)
+            return
+        self._add(text, dict(attrs).get("data-stat", "") if attrs else "", None, tag == "th")
+        self.cell = None
 
     def handle_endtag(self, tag):
         if tag in ("td", "th", "tr"):
@@ -101,50 +152,55 @@ class _Tables(HTMLParser):
             self.caption = False
         elif tag == "table" and self.open:
             table = self.open.pop()
-            first = next((r for r in table["rows"] if r["head"]), None)
-            table["headers"] = [c["text"].strip() for c in first["cells"] if c["header"]] if first else []
+            first = next((r for r in table[3] if r[1]), None)
+            table[2] = [text.strip() for text, header in zip(first[2], first[5]) if header] if first else []
 
     def handle_data(self, data):
         if self.cell is not None:
-            self.cell["text"] += data
+            self.cell[2][-1] += data
         elif self.caption and self.open:
-            self.open[-1]["caption"] += data
+            self.open[-1][1] += data
 
     def handle_comment(self, data):
         if "<table" in data:
-            self.hidden += parse(data)
+            self.hidden += _Tables().read(data).found()
+
+    def found(self) -> list[list]:
+        """All tables in order, those in comments after the visible ones."""
+        return self.tables + self.hidden
+
+
+def _parsed(html: str | None) -> list[list]:
+    return _Tables().read(html or "").found()
+
+
+def _shown(text: str) -> str:
+    return " ".join(text.split())
 
 
 def parse(html: str | None) -> list[dict]:
     """All tables of a page in order, those in comments after the visible ones."""
-    p = _read(_Tables(), html or "")
-    for table in p.open:  # never closed
-        table["headers"] = table["headers"] or []
-    out = p.tables + p.hidden
-    for k, table in enumerate(out):
-        table["ordinal"] = k
-        for row in table["rows"]:
-            for cell in row["cells"]:
-                cell["text"] = " ".join(cell["text"].split())
-    return out
-
-
-def _arrow(pages: list[list[dict]]) -> pa.Array:
+    row = lambda r: {"css": r[0], "head": r[1], "cells": [dict(zip(_CELL, c)) for c in zip(map(_shown, r[2]), *r[3:])]}
+    return [dict(zip(_TABLE, (*t[:3], [row(r) for r in t[3]]))) | {"ordinal": k} for k, t in enumerate(_parsed(html))]
+
+
+def _arrow(pages: list[list[list]]) -> pa.Array:
     """The tables of several pages as one array, put together column by column."""
     tables = [t for page in pages for t in page]
-    rows = [r for t in tables for r in t["rows"]]
-    cells = [c for r in rows for c in r["cells"]]
-    text = lambda dicts, k: pa.array([d[k] for d in dicts], pa.string())
-    flag = lambda dicts, k: pa.array([d[k] for d in dicts], pa.bool_())
+    rows = [r for t in tables for r in t[3]]
+    column = lambda parts, n: list(zip(*parts)) or [()] * n
+    strings = lambda values: pa.array(values, pa.string())
 
     def lists(parts, values: pa.Array) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, parts))], pa.int32()), values)
 
-    cell = pa.StructArray.from_arrays([text(cells, "text"), text(cells, "stat"), text(cells, "href"), flag(cells, "header")], ["text", "stat", "href", "header"])
-    row = pa.StructArray.from_arrays([text(rows, "css"), flag(rows, "head"), lists((r["cells"] for r in rows), cell)], ["css", "head", "cells"])
-    headers = lists((t["headers"] for t in tables), pa.array([h for t in tables for h in t["headers"]], pa.string()))
-    ordinal = pa.array([t["ordinal"] for t in tables], pa.int32())
-    table = pa.StructArray.from_arrays([ordinal, text(tables, "table_id"), text(tables, "caption"), headers, lists((t["rows"] for t in tables), row)], ["ordinal", "table_id", "caption", "headers", "rows"])
+    css, head, text, *more = column(rows, 6)
+    stat, href, header = (list(chain.from_iterable(c)) for c in more)
+    cell = pa.StructArray.from_arrays([strings([*map(_shown, chain.from_iterable(text))]), strings(stat), strings(href), pa.array(header, pa.bool_())], list(_CELL))
+    row = pa.StructArray.from_arrays([strings(css), pa.array(head, pa.bool_()), lists(text, cell)], ["css", "head", "cells"])
+    table_id, caption, headers, of_table = column(tables, 4)
+    ordinal = pa.array([k for page in pages for k in range(len(page))], pa.int32())
+    table = pa.StructArray.from_arrays([ordinal, strings(table_id), strings(caption), lists(headers, strings([h for t in headers for h in t])), lists(of_table, row)], ["ordinal", *_TABLE])
     return lists(pages, table)
 
 
@@ -163,7 +219,7 @@ def _portions(batches: Iterator[pa.Array], read: Callable[[str | None], list], w
 
 
 def _tables(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    yield from _portions(pages, parse, lambda found: sum(len(r["cells"]) + 1 for t in found for r in t["rows"]), _arrow)
+    yield from _portions(pages, _parsed, lambda found: sum(len(r[2]) + 1 for t in found for r in t[3]), _arrow)
 
 
 def html_tables(html: Column | str) -> Column:
@@ -273,11 +329,11 @@ def game_logs(pages: DataFrame) -> DataFrame:
     return by_header(canonical_headers(found)).where(S.blank_to_null(F.col("values")["Date"]).isNotNull())
 
 
-class _Links(HTMLParser):
+class _Links(_Reader):
     """Collects links with their texts."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.found: list[dict] = []
         self.inside = False
 
@@ -296,7 +352,7 @@ class _Links(HTMLParser):
 
 def parse_links(html: str | None) -> list[dict]:
     """All links of a page in order."""
-    found = _read(_Links(), html or "").found
+    found = _Links().read(html or "").found
     return [{"text": " ".join(x["text"].split()), "href": x["href"]} for x in found]
 
 

@@ -150,3 +150,20 @@ def test_headers_that_are_one_under_their_canonical_name(spark):
     page = "<table><thead><tr><th>Date</th><th>MIN</th><th>MP</th><th>PTS</th></tr></thead><tr><td>d</td><td>1</td><td>2</td><td>3</td></tr><tr><td>e</td><td>4</td></tr></table>"
     rows = html_tables.game_logs(spark.createDataFrame([("p", page)], "player string, html string")).collect()
     assert [r["values"] for r in rows] == [{"Date": "d", "MP": "2", "PTS": "3"}, {"Date": "e", "MP": "4"}]
+
+
+def test_rows_of_bare_cells_are_read_whole(monkeypatch):
+    """A page's handlers are called by row, not by cell; what they find is what the parser finds."""
+    rng, calls = random.Random(2), []
+    bits = ["<table>", '<table id="b">', "</table>", "<thead>", "</thead>", "<caption>", "</caption>", "<tr>", "<td>", "<tr><td>a</td><td> b\n c</td></tr>", "<tr><th>h</th><th></th></tr>", "<tr><td>&lt;</td></tr>", "<tr><td></td></tr>", "<tr><th></th></tr>", "<tr><td>a</td><td>b", "<TR><TD>u</TD></TR>", '<td data-stat="s">v</td>', "<td>w</th>", '<a href="/q">', "x", "<!-- <table><tr><td>h</td></tr></table> -->", "<tr><td>1</td><th>2</th></tr>"]
+    pages = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 15))) for _ in range(3000)]
+    table = "<table><thead><tr><th>A</th><th>B</th></tr></thead>" + "<tr><td>1</td><td>2</td></tr>" * 500 + "</table>"
+    start = html_tables._Tables.handle_starttag
+    with monkeypatch.context() as m:
+        m.setattr(html_tables._Tables, "handle_starttag", lambda self, *a: calls.append(a) or start(self, *a))
+        assert len(html_tables.parse(f"<!-- {table} -->")[0]["rows"]) == 501
+    assert len(calls) < 10
+    fast = [(html_tables.parse(p), html_tables.parse_links(p)) for p in pages]
+    arrow = pa.concat_arrays(list(html_tables._tables(iter([pa.array(pages)])))).to_pylist()
+    monkeypatch.setattr(html_tables, "_PLAIN", re.compile("(?!)"))
+    assert fast == [(html_tables.parse(p), html_tables.parse_links(p)) for p in pages] and arrow == [f[0] for f in fast]
