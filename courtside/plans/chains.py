@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from courtside.operators import entities, increments, store, teams, upsert
@@ -179,8 +179,10 @@ def streamed_load(t: Tables) -> DataFrame:
     rows = t.boxscores.join(t.games.select(F.col("id").alias("game_id"), F.col("game_date").cast("timestamp").alias("ts")), "game_id")
     last = t.spark.createDataFrame([("", "10:00")], "player_name string, minutes string").select(F.lit("2200-01-01").cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("team_id"), "player_name", "minutes")
     schema = "ts timestamp, team_id long, player_name string, minutes string"
-    rows.select("ts", "team_id", "player_name", "minutes").union(last).write.parquet(f"{root}/landed")
-    out = state.trailing_load(t.spark.readStream.schema(schema).parquet(f"{root}/landed"), 14, "36500 days")
+    landed = Observation()
+    rows.select("ts", "team_id", "player_name", "minutes").union(last).observe(landed, F.count(F.lit(1)).alias("rows")).write.parquet(f"{root}/landed")
+    buckets = max(256, landed.get["rows"] // 16_384)
+    out = state.trailing_load(t.spark.readStream.schema(schema).parquet(f"{root}/landed"), 14, "36500 days", buckets)
     out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/mark").trigger(availableNow=True).start().awaitTermination()
     return rounded(t.spark.read.schema(out.schema).parquet(f"{root}/out")).withColumn("game_date", F.col("game_date").cast("string"))
 

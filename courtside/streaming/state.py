@@ -5,7 +5,10 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -162,13 +165,93 @@ class _Load(StatefulProcessor):
         pass
 
 
-def trailing_load(stream: DataFrame, days: int = 14, late: str = "30 days") -> DataFrame:
+#: Days of a bucket's players, and what is told of one.
+_DAYS = pa.schema([("team_id", pa.int64()), ("player_name", pa.string()), ("day", pa.int32()), ("billionths", pa.int64()), ("games", pa.int64()), ("told", pa.bool_())])
+TOLD = "team_id long, player_name string, day int, billionths long, games long"
+
+
+class _Loads(StatefulProcessor):
+    """As ``_Load``, for the players of a bucket at once: their days are one value, and a timer waits for the next of them."""
+
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("days", "rows binary")
+
+    def _get(self) -> pa.Table:
+        held = self.held.get()
+        return pa.ipc.open_stream(bytes(held[0])).read_all() if held is not None else _DAYS.empty_table()
+
+    def _put(self, held: pa.Table) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _DAYS) as out:
+            out.write_table(held)
+        self.held.update((sink.getvalue().to_pybytes(),))
+
+    @staticmethod
+    def _summed(parts: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(parts).group_by(_DAYS.names[:3]).aggregate([("billionths", "sum"), ("games", "sum"), ("told", "any")])
+        return sums.rename_columns([c.removesuffix("_sum").removesuffix("_any") for c in sums.column_names]).select(_DAYS.names).cast(_DAYS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs() // DAY_MS
+        parts = [_DAYS.empty_table()]
+        for df in rows:
+            df = df[df["day"] >= closed]  # else its day was told
+            parts.append(self._summed([pa.Table.from_pandas(df.assign(games=1, told=False)[_DAYS.names], _DAYS, preserve_index=False)]))
+        new = self._summed(parts)
+        if new.num_rows:
+            held = self._get()
+            waiting, first = pc.min(held["day"].filter(pc.greater_equal(held["day"], closed))).as_py(), pc.min(new["day"]).as_py()
+            self._put(self._summed([held, new]))
+            if waiting is None or first < waiting:  # else the timer is there
+                self.handle.registerTimer((first + 1) * DAY_MS)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Days of a player lie one after another in a row of all players' days, so what a day looks back on is a stretch of it."""
+        closed = timerValues.getCurrentWatermarkInMs() // DAY_MS
+        held = self._get()
+        day = held["day"].to_numpy().astype("int64")
+        place = (held.select(_DAYS.names[:2]).to_pandas().groupby(_DAYS.names[:2], dropna=False, sort=False).ngroup().to_numpy().astype("int64") << 32) + day
+        order = np.argsort(place)
+        held, day, place = held.take(order), day[order], place[order]
+        since = np.searchsorted(place, place - self.days + 1)
+        sums = {c: np.concatenate([[0], np.cumsum(held[c].to_numpy())]) for c in ("billionths", "games")}
+        tell = (day < closed) & ~held["told"].to_numpy()
+        found = {c: (s[1:] - s[since])[tell] for c, s in sums.items()}
+        kept = held.set_column(5, "told", pa.array(day < closed)).filter(pa.array(day > closed - self.days))
+        if kept.num_rows:
+            self._put(kept)
+        else:
+            self.held.clear()
+        waiting = day[day >= closed]
+        if len(waiting):
+            self.handle.registerTimer((int(waiting.min()) + 1) * DAY_MS)
+        if tell.any():
+            yield held.select(_DAYS.names[:3]).filter(pa.array(tell)).to_pandas().assign(**found)
+
+    def close(self) -> None:
+        pass
+
+
+def trailing_load(stream: DataFrame, days: int = 14, late: str = "30 days", buckets: int | None = None) -> DataFrame:
     """``players.sliding_load`` of a stream of rows ``(ts, team_id, player_name, minutes)``, in any order within ``late``.
 
     A row a player and day on which they played, once the watermark has passed the day, so it is final. Held are the days that
     a later one can still look back on; each row is held once, not once for each window that it falls in. Rows without
     minutes and rows of closed days are left out.
+
+    With ``buckets`` what is held is dealt out by the hash of the player, and a bucket's players are one key: a history of
+    many players then costs a few calls for each bucket, not for each player. A bucket's days should fit in a task; the number
+    of buckets stays with the checkpoint.
     """
     rows = stream.withColumn("mins", S.parse_minutes(F.col("minutes"))).where("mins > 0 and ts is not null").withWatermark("ts", late)
     of_day = rows.select("team_id", "player_name", "ts", F.unix_date(F.to_date("ts")).alias("day"), F.rint(F.col("mins") * F.lit(1e9)).cast("long").alias("billionths"))
-    return of_day.groupBy("team_id", "player_name").transformWithState(_Load(days), LOAD, "append", "EventTime")
+    if buckets is None:
+        return of_day.groupBy("team_id", "player_name").transformWithState(_Load(days), LOAD, "append", "EventTime")
+    dealt = of_day.withColumn("bucket", F.pmod(F.xxhash64("team_id", "player_name"), F.lit(buckets)))
+    told = dealt.groupBy("bucket").transformWithStateInPandas(_Loads(days), TOLD, "append", "EventTime")
+    return told.select("team_id", "player_name", F.date_from_unix_date("day").alias("game_date"), (F.col("billionths") / F.lit(1e9)).alias("load_minutes"), F.col("games").alias("load_games"))

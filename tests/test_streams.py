@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -161,3 +162,52 @@ def test_trailing_load_reads_and_writes_a_player_once_a_trigger():
     list(load.handleInputRows((1, "a"), iter([Row(day=9, billionths=1)]), Time()))
     assert calls[3:] == ["get", "update"]
     assert dict(zip(handle.held.value[0], handle.held.value[1])) == {9: 10, 3: 6, 50: 50}
+
+
+def test_trailing_load_by_buckets_is_that_by_players(spark, landed):
+    """Three runs from the checkpoint, days told in between, rows that come too late, and more players than buckets; a
+    bucket's state is written once a trigger."""
+    rng = random.Random(4)
+    schema = "ts timestamp, team_id long, player_name string, minutes string"
+    rows = [(T0 + datetime.timedelta(days=rng.randrange(40) + 20 * (n // 200), hours=rng.randrange(24)), rng.choice([0, 1, None]), rng.choice(["a", "b", "é", None]), rng.choice(["10:30", "20:00", "", "7:20", None])) for n in range(600)]
+    runs = {}
+    for kind, buckets in (("players", None), ("buckets", 3)):
+        landed.out, landed.mark, landed.src = (f"{landed.src.rsplit('/', 1)[0]}/{kind}-{x}" for x in ("out", "mark", "src"))
+        counts = []
+        for k in range(3):
+            landed.add(rows[200 * k : 200 * (k + 1)], schema)
+            counts.append(landed.run(schema, lambda s, b=buckets: state.trailing_load(s, 14, "5 days", b)).count())
+        landed.add([(T0 + datetime.timedelta(days=400), 9, "late", "1:00")], schema)
+        got = landed.run(schema, lambda s, b=buckets: state.trailing_load(s, 14, "5 days", b))
+        assert 0 < counts[0] < counts[1] < counts[2] < got.count()
+        runs[kind] = (counts, got.dtypes, sorted(map(str, got.collect())))
+    assert runs["players"] == runs["buckets"]
+
+
+def test_trailing_load_by_buckets_makes_few_calls():
+    """Two hundred players of a bucket are one read, one write and one timer."""
+    calls = []
+
+    class Held:
+        def get(self):
+            calls.append("get")
+
+        def update(self, value):
+            calls.append("update")
+
+    class Handle:
+        def getValueState(self, *_):
+            return Held()
+
+        def registerTimer(self, ms):
+            calls.append(ms)
+
+    class Time:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    loads = state._Loads(14)
+    loads.init(Handle())
+    df = pd.DataFrame({"bucket": 0, "team_id": range(200), "player_name": "a", "day": range(7, 207), "billionths": 1})
+    assert list(loads.handleInputRows((0,), iter([df, df]), Time())) == []
+    assert calls == ["get", "update", 8 * state.DAY_MS]
